@@ -58,3 +58,4 @@ def oracle_queries() -> dict[str, str]:
 def _load_all():
     # importing the modules runs their @register decorators
     import ledgerline.plans.queries  # noqa: F401
+    import ledgerline.plans.queries_serving  # noqa: F401

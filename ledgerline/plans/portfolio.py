@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerline.plans.returns import Returns
+from ledgerline.plans.serving import Serving
 
 
-class Portfolio(Returns):
+class Portfolio(Serving):
     """All models for one set of raw sources and one as-of date."""

@@ -88,7 +88,7 @@ def load_raw(spark: SparkSession, sf_dir: str) -> RawSources:
     nation = table(spark, sf_dir, "nation")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     lineitem = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_returnflag", "l_linestatus", "l_shipdate")
     events = table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value")
 
@@ -113,8 +113,10 @@ def load_raw(spark: SparkSession, sf_dir: str) -> RawSources:
     ttype = _trade_type(F.col("l_returnflag"), F.col("l_linestatus"))
     prefix = F.create_map(*[x for kv in REFERENCE_PREFIX.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     trades = trades.withColumn("transaction_type", ttype).select(
-        F.concat(F.lit("L"), F.col("l_orderkey").cast("string"), F.lit("-"),
-                 F.col("l_linenumber").cast("string")).alias("id"),
+        # (order, line, part, supplier, ship day) is the lineitem's unique key in the test tables
+        F.concat_ws("-", F.concat(F.lit("L"), F.col("l_orderkey").cast("string")),
+                    F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"),
+                    F.col("l_suppkey").cast("string"), F.date_format("l_shipdate", "yyyyMMdd")).alias("id"),
         "account_id",
         F.col("p_brand").alias("fund_id"),
         "trade_date",
