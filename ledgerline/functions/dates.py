@@ -56,7 +56,7 @@ def calendar(spark: SparkSession, start: str | _dt.date, end: str | _dt.date) ->
 
 def parse_uk_date(c: Column) -> Column:
     """``dd/mm/yyyy`` text to date; blank to null; malformed to null (caller splits rejects)."""
-    return F.try_to_date(F.nullif(F.trim(c), F.lit("")), F.lit("dd/MM/yyyy"))
+    return F.try_to_date(F.nullif(F.trim(c), F.lit("")), "dd/MM/yyyy")
 
 
 def month_ends_between(start: Column, end: Column) -> Column:

@@ -59,3 +59,4 @@ def _load_all():
     # importing the modules runs their @register decorators
     import ledgerline.plans.queries  # noqa: F401
     import ledgerline.plans.queries_serving  # noqa: F401
+    import ledgerline.plans.queries_ingest  # noqa: F401

@@ -63,7 +63,14 @@ class Warehouse:
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, **kw) -> "Warehouse":
-        return cls(spark, load_raw(spark, sf_dir), **kw)
+        w = cls(spark, load_raw(spark, sf_dir), **kw)
+        w.sf_dir = sf_dir
+        return w
+
+    def table(self, name: str) -> DataFrame:
+        """A test table next to the raw sources (text jobs read documents/conversations)."""
+        from ledgerline.sources.fixture import table
+        return table(self.spark, self.sf_dir, name)
 
     # ---- parameters as columns -------------------------------------------
     @property

@@ -29,12 +29,13 @@ SIDE_BY_FLAGS = [  # (l_returnflag, l_linestatus) -> transaction type; anything
     ("A", "F", "SWITCH_IN"),
 ]
 REFERENCE_PREFIX = {"BUY": "B", "SELL": "S", "SWITCH_IN": "BX", "SWITCH_OUT": "X"}
-CASH_BY_PRIORITY = [  # order priority -> (type, subtype, reference prefix)
+SWITCH_SUBTYPE = "Fund class switch"
+CASH_BY_PRIORITY = [  # order priority -> (type, subtype, broker reference; REBATE gets the order key appended)
     ("1-URGENT", "CONTRIBUTION", "One-off", "FPC"),
-    ("2-HIGH", "TRANSFER", None, "BACS"),
+    ("2-HIGH", "TRANSFER", "Transfer in", "BACS"),
     ("3-MEDIUM", "INTEREST", None, "INTEREST"),
-    ("4-NOT SPECIFIED", "REBATE", None, "URIB"),
-    ("5-LOW", "FEE", None, "MANAGE FEE"),
+    ("4-NOT SPECIFIED", "REBATE", "Unit rebate", "URIB"),
+    ("5-LOW", "FEE", "Management fee", "MANAGE FEE"),
 ]
 FEE_DIVISOR = 100       # fee = order total / 100, whole pence
 REBATE_DIVISOR = 1000   # rebate = order total / 1000, whole pence
@@ -124,7 +125,7 @@ def load_raw(spark: SparkSession, sf_dir: str) -> RawSources:
         F.concat(F.element_at(prefix, F.col("transaction_type")), F.col("l_orderkey").cast("string")).alias("reference"),
         F.concat(F.lit("Fund "), "p_brand", F.lit(" (GBP) "), "p_name").alias("raw_description"),
         "transaction_type",
-        F.lit(None).cast("string").alias("transaction_subtype"),
+        F.when(F.col("transaction_type").startswith("SWITCH"), F.lit(SWITCH_SUBTYPE)).alias("transaction_subtype"),
         F.lit(None).cast("double").alias("unit_cost_pence"),
         F.col("l_quantity").alias("quantity"),
         F.when(F.col("transaction_type").isin("BUY", "SWITCH_IN"), -F.col("l_extendedprice"))
@@ -144,8 +145,8 @@ def load_raw(spark: SparkSession, sf_dir: str) -> RawSources:
         F.lit(None).cast("string").alias("fund_id"),
         "trade_date",
         F.lit(None).cast("date").alias("settle_date"),
-        F.when(F.col("transaction_type").isin("FEE", "INTEREST"), cref)
-         .otherwise(F.concat(cref, F.col("o_orderkey").cast("string"))).alias("reference"),
+        F.when(F.col("transaction_type") == "REBATE", F.concat(cref, F.col("o_orderkey").cast("string")))
+         .otherwise(cref).alias("reference"),
         F.concat(F.lit("Cash "), F.col("o_orderpriority")).alias("raw_description"),
         "transaction_type",
         csub.alias("transaction_subtype"),
