@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerline.plans.serving import Serving
+from ledgerline.plans.derived import Derived
 
 
-class Portfolio(Serving):
+class Portfolio(Derived):
     """All models for one set of raw sources and one as-of date."""

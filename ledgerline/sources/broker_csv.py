@@ -65,11 +65,15 @@ def _header_name(h: Column) -> Column:
     return expr.otherwise(h)
 
 
-def scan_broker_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A1: raw data records with named string fields, source file and account."""
-    raw = (spark.read.schema(RAW_SCHEMA).option("encoding", ENCODING).option("mode", "PERMISSIVE")
-           .option("quote", '"').option("escape", '"').csv(path)
-           .withColumn("source_file", F.col("_metadata.file_path")))
+def read_raw_records(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of every file as a 7-field string record with its source file."""
+    return (spark.read.schema(RAW_SCHEMA).option("encoding", ENCODING).option("mode", "PERMISSIVE")
+            .option("quote", '"').option("escape", '"').csv(path)
+            .withColumn("source_file", F.col("_metadata.file_path")))
+
+
+def named_records(raw: DataFrame) -> DataFrame:
+    """Raw records -> data records with named fields, using each file's own header record."""
     cells = F.array(*[F.col(f"c{i}") for i in range(N_COLS)])
     is_header = F.coalesce(F.exists(cells, lambda c: F.coalesce(F.lower(c).contains("trade date"), F.lit(False))),
                            F.lit(False))
@@ -80,7 +84,6 @@ def scan_broker_csv(spark: SparkSession, path: str) -> DataFrame:
     pos = [F.array_position(F.col("names"), f).cast("int").alias(f"p_{f}") for f in FIELDS]
     headers = headers.select("source_file", *pos)
     data = raw.filter(~is_header).join(headers, "source_file")
-    cells = F.array(*[F.col(f"c{i}") for i in range(N_COLS)])
     named = data.select(
         "source_file", account_from_path(F.col("source_file")).alias("account_id"),
         *[F.when(F.col(f"p_{f}") > 0, F.element_at(cells, F.greatest(F.col(f"p_{f}"), F.lit(1))))
@@ -88,6 +91,11 @@ def scan_broker_csv(spark: SparkSession, path: str) -> DataFrame:
     return named.filter(F.col("trade_date").rlike(DATE_SHAPE))
 
 
+def scan_broker_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A1: raw data records with named string fields, source file and account."""
+    return named_records(read_raw_records(spark, path))
+
+
 def parse_broker_rows(rows: DataFrame) -> DataFrame:
     """Typed columns, transaction class and a reject reason."""
     value = parse_number(F.col("value"))
