@@ -33,8 +33,13 @@ def register(name: str, oracle: str | None = None, raw_oracle: str | None = None
 
 @lru_cache(maxsize=8)
 def _portfolio(spark: SparkSession, sf_dir: str):
+    """One model set per (session, data folder); landed sources and core models written once."""
     from ledgerline.plans.portfolio import Portfolio
-    return Portfolio.from_testdata(spark, sf_dir)
+    return Portfolio.from_testdata(spark, sf_dir).materialise_core()
+
+
+def build(spark: SparkSession, sf_dir: str):
+    return _portfolio(spark, sf_dir)
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

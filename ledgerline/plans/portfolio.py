@@ -2,8 +2,60 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
+
 from ledgerline.plans.derived import Derived
+from ledgerline.session import checkpoint_dir
+from ledgerline.sources.fixture import RawSources
+
+# Models written as tables by ``materialise_core``, in dependency order. Each
+# entry: (attribute, columns to sort by inside each output file).
+CORE_MODELS = [
+    ("dim_account", ["account_name"]),
+    ("dim_fund", ["fund_id"]),
+    ("dim_transaction_type", []),
+    ("fct_transactions_wide", ["account_key", "trade_date"]),
+    ("fct_fund_prices_daily", ["fund_key", "price_date"]),
+    ("fct_benchmarks_monthly", ["index_id", "year_month"]),
+    ("fct_cash_position_daily", ["account_key", "trade_date"]),
+    ("unit_steps", ["account_key", "fund_key", "trade_date"]),
+]
 
 
 class Portfolio(Derived):
     """All models for one set of raw sources and one as-of date."""
+
+    def _table_root(self) -> str:
+        if not hasattr(self, "_run_id"):
+            self._run_id = uuid.uuid4().hex[:12]
+        return f"{checkpoint_dir(self.spark).rstrip('/')}/tables/{self._run_id}"
+
+    def _write_read(self, df: DataFrame, name: str, sort_by: list[str]) -> DataFrame:
+        path = f"{self._table_root()}/{name}"
+        out = df.sortWithinPartitions(*sort_by) if sort_by else df
+        out.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def materialise_core(self) -> "Portfolio":
+        """Land the raw sources and the core star models as parquet tables.
+
+        The reference builds every non-base model as a table; this does the
+        same for the models every mart shares, so a mart reads a few compact
+        tables instead of re-deriving the star from the raw sources (one
+        monthly-returns plan would otherwise repeat the source joins dozens
+        of times). It also cuts lineage: a lost executor recomputes from
+        these files, not from the sources. Tables go to the session's
+        ``spark.checkpoint.dir`` (shared storage on a cluster) under a fresh
+        run folder.
+        """
+        raw = self.raw
+        self.raw = RawSources(*[self._write_read(getattr(raw, f), f"raw_{f}", [])
+                                for f in ("accounts", "funds", "transactions", "prices", "benchmarks",
+                                          "ingest_log")])
+        for attr in ("base_transactions", "base_prices", "base_benchmarks"):
+            self.__dict__.pop(attr, None)
+        for attr, sort_by in CORE_MODELS:
+            self.__dict__[attr] = self._write_read(getattr(self, attr), attr, sort_by)
+        return self
