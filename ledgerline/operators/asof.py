@@ -109,13 +109,15 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: s
         # by an as-of at bucket grain: bounded by buckets per key.
         rb = R.groupBy(*on, "_b").agg(F.max_by("_pay", "_t").alias("_rb"))
         need = inb.filter(F.col("_m").isNull()).select(*on, "_b").distinct()
-        bu = (need.select(*on, "_b", F.lit(1).alias("_side"), F.lit(None).cast(
+        # lookups sort before the right rows of their own bucket, so only
+        # strictly earlier buckets can feed the carry
+        bu = (need.select(*on, "_b", F.lit(0).alias("_side"), F.lit(None).cast(
                   rb.schema["_rb"].dataType).alias("_rb"))
-              .unionByName(rb.select(*on, "_b", F.lit(0).alias("_side"), "_rb")))
+              .unionByName(rb.select(*on, "_b", F.lit(1).alias("_side"), "_rb")))
         wb = (Window.partitionBy(*on).orderBy("_b", "_side")
               .rowsBetween(Window.unboundedPreceding, -1))
         carry = (bu.withColumn("_carry", F.last("_rb", ignorenulls=True).over(wb))
-                   .filter(F.col("_side") == 1).select(*on, "_b", "_carry"))
+                   .filter(F.col("_side") == 0).select(*on, "_b", "_carry"))
         res = (inb.join(carry, on=[*on, "_b"], how="left")
                   .withColumn("_m", F.coalesce("_m", "_carry")))
     if how == "inner":

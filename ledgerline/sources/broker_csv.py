@@ -38,6 +38,7 @@ HEADER_RULES = [  # (substring, internal name), checked in order; first match wi
 ]
 FIELDS = ["trade_date", "settle_date", "reference", "description", "unit_cost", "quantity", "value"]
 N_COLS = 7
+MIN_DATA_FIELDS = 4
 ENCODING = "ISO-8859-1"
 DATE_SHAPE = r"^\s*\d{2}/\d{2}/\d{4}\s*$"
 TRADE_TYPES = ("BUY", "SELL", "SWITCH_IN", "SWITCH_OUT")
@@ -68,7 +69,7 @@ def _header_name(h: Column) -> Column:
 def read_raw_records(spark: SparkSession, path: str) -> DataFrame:
     """Every line of every file as a 7-field string record with its source file."""
     return (spark.read.schema(RAW_SCHEMA).option("encoding", ENCODING).option("mode", "PERMISSIVE")
-            .option("quote", '"').option("escape", '"').csv(path)
+            .option("quote", '"').option("escape", '"').option("recursiveFileLookup", "true").csv(path)
             .withColumn("source_file", F.col("_metadata.file_path")))
 
 
@@ -87,8 +88,13 @@ def named_records(raw: DataFrame) -> DataFrame:
     named = data.select(
         "source_file", account_from_path(F.col("source_file")).alias("account_id"),
         *[F.when(F.col(f"p_{f}") > 0, F.element_at(cells, F.greatest(F.col(f"p_{f}"), F.lit(1))))
-          .alias(f) for f in FIELDS])
-    return named.filter(F.col("trade_date").rlike(DATE_SHAPE))
+          .alias(f) for f in FIELDS], cells.alias("_cells"))
+    cells = F.col("_cells")
+    # metadata lines hold at most two fields (e.g. "Valuation date,01/03/2024", which could pass for a
+    # trade date in a file whose date column is second); a data line has a date, a reference, a value
+    # or 'n/a' and a quantity or 'n/a'
+    filled = F.size(F.filter(cells, lambda c: c.isNotNull()))
+    return named.filter(F.col("trade_date").rlike(DATE_SHAPE) & (filled >= MIN_DATA_FIELDS)).drop("_cells")
 
 
 def scan_broker_csv(spark: SparkSession, path: str) -> DataFrame:
