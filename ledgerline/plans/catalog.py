@@ -66,3 +66,4 @@ def _load_all():
     import ledgerline.plans.queries_serving  # noqa: F401
     import ledgerline.plans.queries_ingest  # noqa: F401
     import ledgerline.plans.queries_more  # noqa: F401
+    import ledgerline.plans.queries_ops  # noqa: F401

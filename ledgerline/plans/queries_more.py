@@ -302,20 +302,26 @@ def period_growth(p):
     return p.period_growth(SERIES_FROM, AS_OF)
 
 
-@register("isa_vs_index_rebased", oracle=f"""
+REBASED = f"""
 , pr AS (
     SELECT month_end_date AS date, monthly_return AS r,
            exp(sum(CASE WHEN 1 + monthly_return > 0 THEN ln(1 + monthly_return) END)
                OVER (ORDER BY year_month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) * 100 AS v
-    FROM portfolio_returns_monthly WHERE account_name = '{ACCOUNT_A}' AND year_month >= '{REBASE_MONTH}')
-SELECT '{ACCOUNT_A}' AS series, date, round(CASE WHEN r IS NOT NULL THEN v END, 6) AS value FROM pr
-UNION ALL
-SELECT index_id, month_end_date,
-       round(month_end_level / first_value(month_end_level) OVER (PARTITION BY index_id ORDER BY year_month) * 100, 6)
-FROM benchmark_returns_monthly WHERE index_id IN ({_in(INDICES)}) AND year_month >= '{REBASE_MONTH}'
-UNION ALL
-SELECT s, CAST(DATE '{REBASE_MONTH}-01' - INTERVAL 1 DAY AS DATE), 100.0
-FROM (SELECT unnest([{_in([ACCOUNT_A, *INDICES])}]) AS s)""")
+    FROM portfolio_returns_monthly WHERE account_name = '{ACCOUNT_A}' AND year_month >= '{REBASE_MONTH}'),
+  rebased AS (
+    SELECT '{ACCOUNT_A}' AS series, date, round(CASE WHEN r IS NOT NULL THEN v END, 6) AS value FROM pr
+    UNION ALL
+    SELECT index_id, month_end_date,
+           round(month_end_level / first_value(month_end_level) OVER (PARTITION BY index_id ORDER BY year_month)
+                 * 100, 6)
+    FROM benchmark_returns_monthly WHERE index_id IN ({_in(INDICES)}) AND year_month >= '{REBASE_MONTH}'
+    UNION ALL
+    SELECT s, CAST(DATE '{REBASE_MONTH}-01' - INTERVAL 1 DAY AS DATE), 100.0
+    FROM (SELECT unnest([{_in([ACCOUNT_A, *INDICES])}]) AS s))"""
+REBASE_DAY = f"CAST(DATE '{REBASE_MONTH}-01' - INTERVAL 1 DAY AS DATE)"
+
+
+@register("isa_vs_index_rebased", oracle=REBASED + "\nSELECT * FROM rebased")
 def isa_vs_index_rebased(p):
     return p.rebased_comparison(ACCOUNT_A, REBASE_MONTH, INDICES)
 
