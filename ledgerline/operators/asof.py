@@ -62,17 +62,29 @@ def explode_month_ends(df: DataFrame, start: str, end: str, out: str = "date") -
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], at: str, horizon,
-                 grain: str = "day", out: str = "date", min_value: tuple[str, float] | None = None) -> DataFrame:
+                 grain: str = "day", out: str = "date", min_value: tuple[str, float] | None = None,
+                 window: tuple[str, str] | None = None) -> DataFrame:
     """Dense as-of series: each step value repeated on every day (or month end) it holds.
 
     ``min_value=(col, threshold)`` drops intervals whose value is not above the
     threshold before exploding, so closed positions never materialise.
+    ``window=(first_day, last_day)`` clips every interval to that range before
+    exploding: a report over one year of a 30-year history generates one
+    year of rows (a filter on the generated date could not be pushed below
+    the explode).
     """
     iv = step_intervals(df, keys, at, horizon, "_valid_to")
     if min_value is not None:
         iv = iv.filter(F.col(min_value[0]) > F.lit(min_value[1]))
-    exploded = (explode_days if grain == "day" else explode_month_ends)(iv, at, "_valid_to", out)
-    return exploded.drop("_valid_to") if out != at else exploded.drop("_valid_to")
+    start = "_valid_from"
+    iv = iv.withColumn(start, F.col(at))
+    if window is not None:
+        lo, hi = _lit_date(window[0]), _lit_date(window[1])
+        iv = (iv.withColumn(start, F.greatest(F.col(at), lo))
+                .withColumn("_valid_to", F.least(F.col("_valid_to"), hi))
+                .filter(F.col(start) <= F.col("_valid_to")))
+    exploded = (explode_days if grain == "day" else explode_month_ends)(iv, start, "_valid_to", out)
+    return exploded.drop("_valid_to", start)
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str,

@@ -62,6 +62,27 @@ def assert_expression(df: DataFrame, table: str, name: str, expr: Column, where:
     return _row(bad.agg(F.count(F.lit(1)).alias("failures")), table, "expression_is_true", name)
 
 
+def table_checks(df: DataFrame, table: str, not_null: Sequence[str] = (),
+                 accepted: dict[str, Sequence] | None = None,
+                 expressions: Sequence[tuple[str, Column, Column | None]] = ()) -> DataFrame:
+    """J1 + J3 + J5 for one table in a single scan: every row-level check is a
+    conditional count inside one aggregation, unpivoted to one row per check."""
+    counts = []
+    for c in not_null:
+        counts.append(("not_null", c, F.count(F.when(F.col(c).isNull(), 1))))
+    for c, values in (accepted or {}).items():
+        counts.append(("accepted_values", c, F.count(F.when(F.col(c).isNotNull() & ~F.col(c).isin(*values), 1))))
+    for name, expr, where in expressions:
+        applies = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+        counts.append(("expression_is_true", name, F.count(F.when(applies & ~F.coalesce(expr, F.lit(False)), 1))))
+    agg = df.agg(*[cnt.alias(f"_c{i}") for i, (_, _, cnt) in enumerate(counts)])
+    rows = F.array(*[F.struct(F.lit(chk).alias("check_name"), F.lit(col).alias("column_name"),
+                              F.col(f"_c{i}").cast("bigint").alias("failures"))
+                     for i, (chk, col, _) in enumerate(counts)])
+    return agg.select(F.explode(rows).alias("s")).select(
+        F.lit(table).alias("table_name"), "s.check_name", "s.column_name", "s.failures")
+
+
 def dq_report(checks: Sequence[DataFrame]) -> DataFrame:
     """Every check's rows in one frame."""
     return reduce(DataFrame.unionByName, checks)

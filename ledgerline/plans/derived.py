@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import dates as D
 from ledgerline.functions.numeric import dround
-from ledgerline.operators.asof import explode_days, step_intervals
 from ledgerline.operators.windows import cumprod_index, period_end_downsample, rebase_to_first
 from ledgerline.plans.serving import Serving
 from ledgerline.plans.star import CASH, FUND, HOLDING, OPEN_UNITS, money
@@ -177,18 +176,7 @@ class Derived(Serving):
     # ------------------------------------------------------------ I33 / C13
     def fund_values_between(self, d0: str, d1: str) -> DataFrame:
         """Daily fund values for [d0, d1] only: intervals are clipped before exploding."""
-        lo, hi = F.lit(d0).cast("date"), F.lit(d1).cast("date")
-        u = step_intervals(self.unit_steps, ["account_key", "fund_key"], "trade_date", self.horizon, "u1") \
-            .filter(F.col("units_held") > OPEN_UNITS)
-        u = u.select("account_key", "fund_key", "fund_id", "units_held",
-                     F.greatest("trade_date", lo).alias("a"), F.least("u1", hi).alias("b")).filter(F.col("a") <= F.col("b"))
-        p = step_intervals(self.price_steps, ["fund_key"], "price_date", self.horizon, "p1")
-        p = p.select("fund_key", "fund_price_gbp", F.greatest("price_date", lo).alias("a"),
-                     F.least("p1", hi).alias("b")).filter(F.col("a") <= F.col("b"))
-        ud = explode_days(u, "a", "b").drop("a", "b")
-        pd_ = explode_days(p, "a", "b").drop("a", "b")
-        return ud.join(pd_, ["fund_key", "date"]).withColumn(
-            "value_gbp", F.col("units_held") * F.col("fund_price_gbp"))
+        return self._fund_values("day", (d0, d1))
 
     def fund_value_history(self, cutoff: str, d0: str, d1: str, min_value: float = 1.0) -> DataFrame:
         """Daily value per fund in [d0, d1] for the funds held above ``min_value`` on the cut-off day."""

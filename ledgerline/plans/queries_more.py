@@ -27,38 +27,42 @@ _TYPES = _in(ALL_TYPES)
 
 
 def star_dq_report(p):
+    """The star's assertions: row-level checks in one scan per table, plus uniqueness and relationships."""
     dd, da, df, dt = p.dim_date, p.dim_account, p.dim_fund, p.dim_transaction_type
     ft, cp, hd, bm = p.fct_transactions, p.fct_cash_position_daily, p.holdings_daily, p.fct_benchmarks_monthly
+    me = "month_end_indicator = 'Month End'"
+    fye = "financial_year_end_indicator = 'Financial Year End'"
+    net = "net = trade + inflows + fees"
     return Q.dq_report([
-        Q.assert_not_null(dd, "dim_date", ["date_key", "date", "year", "month", "day", "year_month", "financial_year"]),
+        Q.table_checks(dd, "dim_date", ["date_key", "date", "year", "month", "day", "year_month", "financial_year"],
+                       expressions=[(me, F.col("month_end_indicator") == "Month End",
+                                     F.col("date") == F.lit("2000-02-29").cast("date")),
+                                    (fye, F.col("financial_year_end_indicator") == "Financial Year End",
+                                     F.col("date") == F.lit("2001-03-31").cast("date"))]),
         Q.assert_unique(dd, "dim_date", ["date_key"]),
         Q.assert_unique(dd, "dim_date", ["date"]),
-        Q.assert_expression(dd, "dim_date", "month_end_indicator = 'Month End'",
-                            F.col("month_end_indicator") == "Month End", F.col("date") == F.lit("2000-02-29").cast("date")),
-        Q.assert_expression(dd, "dim_date", "financial_year_end_indicator = 'Financial Year End'",
-                            F.col("financial_year_end_indicator") == "Financial Year End",
-                            F.col("date") == F.lit("2001-03-31").cast("date")),
-        Q.assert_not_null(da, "dim_account", ["account_key", "account_name"]),
+        Q.table_checks(da, "dim_account", ["account_key", "account_name"]),
         Q.assert_unique(da, "dim_account", ["account_key"]),
         Q.assert_unique(df, "dim_fund", ["fund_key"]),
-        Q.assert_accepted_values(df, "dim_fund", "investment_status_indicator", ["Holding", "Exited"]),
+        Q.table_checks(df, "dim_fund", accepted={"investment_status_indicator": ["Holding", "Exited"]}),
         Q.assert_unique(dt, "dim_transaction_type", ["transaction_type", "transaction_subtype"]),
-        Q.assert_accepted_values(dt, "dim_transaction_type", "transaction_type", list(ALL_TYPES)),
-        Q.assert_not_null(ft, "fct_transactions", ["transaction_id", "account_key", "transaction_type_key",
-                                                   "trade_date_key"]),
+        Q.table_checks(dt, "dim_transaction_type", accepted={"transaction_type": list(ALL_TYPES)}),
+        Q.table_checks(ft, "fct_transactions", ["transaction_id", "account_key", "transaction_type_key",
+                                                "trade_date_key"]),
         Q.assert_unique(ft, "fct_transactions", ["transaction_id"]),
         Q.assert_relationship(ft, "fct_transactions", "account_key", da, "account_key"),
         Q.assert_relationship(ft, "fct_transactions", "fund_key", df, "fund_key"),
         Q.assert_relationship(ft, "fct_transactions", "trade_date_key", dd, "date_key"),
         Q.assert_relationship(ft, "fct_transactions", "settle_date_key", dd, "date_key"),
-        Q.assert_expression(cp, "fct_cash_position_daily", "net = trade + inflows + fees",
-                            F.abs(F.col("net_cash_movement_gbp") - (F.col("trade_cash_net_gbp") + F.col("inflows_gbp")
-                                                                    + F.col("fees_and_other_gbp"))) < 0.005),
+        Q.table_checks(cp, "fct_cash_position_daily", expressions=[
+            (net, F.abs(F.col("net_cash_movement_gbp") - (F.col("trade_cash_net_gbp") + F.col("inflows_gbp")
+                                                          + F.col("fees_and_other_gbp"))) < 0.005, None)]),
         Q.assert_unique(hd, "fct_holdings_daily", ["date_key", "account_key", "fund_key", "holding_type"]),
-        Q.assert_accepted_values(hd, "fct_holdings_daily", "holding_type", ["Fund", "Cash"]),
+        Q.table_checks(hd, "fct_holdings_daily", accepted={"holding_type": ["Fund", "Cash"]}),
         Q.assert_relationship(hd, "fct_holdings_daily", "fund_key", df, "fund_key",
                               where=F.col("holding_type") == "Fund"),
-        Q.assert_expression(bm, "fct_benchmarks_monthly", "month_end_level > 0", F.col("month_end_level") > 0),
+        Q.table_checks(bm, "fct_benchmarks_monthly",
+                       expressions=[("month_end_level > 0", F.col("month_end_level") > 0, None)]),
     ])
 
 

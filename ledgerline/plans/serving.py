@@ -113,7 +113,14 @@ class Serving(Returns):
 
     @cached_property
     def portfolio_inflows_daily(self) -> DataFrame:
-        pv = self.portfolio_value_daily
+        return self._inflows_for(self.portfolio_value_daily)
+
+    def portfolio_inflows_between(self, d0: str, d1: str) -> DataFrame:
+        """I8 restricted to [d0, d1]: only in-range days are generated; the
+        cumulative inflows still come from the full (sparse) inflow history."""
+        return self._inflows_for(self.portfolio_value_between(d0, d1))
+
+    def _inflows_for(self, pv: DataFrame) -> DataFrame:
         di = self.daily_inflows
         # daily grain on both sides: per account at most one row per day each,
         # so the per-account as-of window is bounded by the calendar.
@@ -134,8 +141,7 @@ class Serving(Returns):
 
     # --------------------------------------------------------------- I16
     def portfolio_value_series(self, date_from: str, date_to: str, account: str | None = None) -> DataFrame:
-        pv = self.portfolio_value_daily.filter(F.col("valuation_date").between(
-            F.lit(date_from).cast("date"), F.lit(date_to).cast("date")))
+        pv = self.portfolio_value_between(date_from, date_to)
         if account is not None:
             pv = pv.filter(F.col("account_name") == account)
         return pv.groupBy(F.col("valuation_date").alias("date")).agg(
@@ -160,8 +166,7 @@ class Serving(Returns):
 
     # --------------------------------------------------------------- I18
     def inflows_vs_growth(self, date_from: str, date_to: str, account: str | None = None) -> DataFrame:
-        d = self.portfolio_inflows_daily.filter(F.col("valuation_date").between(
-            F.lit(date_from).cast("date"), F.lit(date_to).cast("date")))
+        d = self.portfolio_inflows_between(date_from, date_to)
         if account is not None:
             d = d.filter(F.col("account_name") == account)
         g = d.groupBy(F.col("valuation_date").alias("date")).agg(

@@ -58,26 +58,28 @@ class Snapshots(Warehouse):
                 .agg(F.max_by("cash_balance_gbp", "_prio").alias("cash_balance_gbp")))
 
     # ---- dense series, either grain -----------------------------------------
-    def _fund_values(self, grain: str) -> DataFrame:
+    def _fund_values(self, grain: str, window: tuple[str, str] | None = None) -> DataFrame:
         units = forward_fill(self.unit_steps.select("account_key", "account_name", "fund_key", "fund_id",
                                                     "trade_date", "units_held"),
                              ["account_key", "fund_key"], "trade_date", self.horizon, grain,
-                             min_value=("units_held", OPEN_UNITS)).drop("trade_date")
-        prices = forward_fill(self.price_steps, ["fund_key"], "price_date", self.horizon, grain).drop("price_date")
+                             min_value=("units_held", OPEN_UNITS), window=window).drop("trade_date")
+        prices = forward_fill(self.price_steps, ["fund_key"], "price_date", self.horizon, grain,
+                              window=window).drop("price_date")
         return (units.join(prices, ["fund_key", "date"])
                 .select(D.date_key(F.col("date")).alias("date_key"), "account_key", "fund_key",
                         "units_held", "fund_price_gbp",
                         (F.col("units_held") * F.col("fund_price_gbp")).alias("value_gbp"),
                         "date", "account_name", "fund_id"))
 
-    def _cash_values(self, grain: str) -> DataFrame:
-        cash = forward_fill(self.cash_steps, ["account_key"], "trade_date", self.horizon, grain).drop("trade_date")
+    def _cash_values(self, grain: str, window: tuple[str, str] | None = None) -> DataFrame:
+        cash = forward_fill(self.cash_steps, ["account_key"], "trade_date", self.horizon, grain,
+                            window=window).drop("trade_date")
         return cash.select(D.date_key(F.col("date")).alias("date_key"), "account_key",
                            F.col("cash_balance_gbp").alias("value_gbp"), "date", "account_name")
 
-    def _holdings(self, grain: str) -> DataFrame:
-        funds = self._fund_values(grain).withColumn("holding_type", F.lit(FUND))
-        cash = self._cash_values(grain).withColumn("holding_type", F.lit(CASH))
+    def _holdings(self, grain: str, window: tuple[str, str] | None = None) -> DataFrame:
+        funds = self._fund_values(grain, window).withColumn("holding_type", F.lit(FUND))
+        cash = self._cash_values(grain, window).withColumn("holding_type", F.lit(CASH))
         cols = ["date_key", "account_key", "fund_key", "holding_type", "units_held", "fund_price_gbp",
                 "value_gbp", "date", "account_name", "fund_id"]
         return funds.unionByName(cash, allowMissingColumns=True).select(*cols)
@@ -105,13 +107,21 @@ class Snapshots(Warehouse):
     def holdings_month_end(self) -> DataFrame:
         return self._holdings("month")
 
-    @cached_property
-    def portfolio_value_daily(self) -> DataFrame:      # I6
-        return (self.holdings_daily.groupBy("account_name", "date")
+    @staticmethod
+    def _value_by_day(holdings: DataFrame) -> DataFrame:
+        return (holdings.groupBy("account_name", "date")
                 .agg(money(F.sum("value_gbp")).alias("portfolio_value_gbp"))
                 .filter(F.col("portfolio_value_gbp") > 0)
                 .select("account_name", F.col("date").alias("valuation_date"), "portfolio_value_gbp"))
 
+    @cached_property
+    def portfolio_value_daily(self) -> DataFrame:      # I6
+        return self._value_by_day(self.holdings_daily)
+
+    def portfolio_value_between(self, d0: str, d1: str) -> DataFrame:
+        """I6 restricted to [d0, d1], generating only the days in range."""
+        return self._value_by_day(self._holdings("day", (d0, d1)))
+
     # ---- monthly snapshots -------------------------------------------------------
     @cached_property
     def account_month_spine(self) -> DataFrame:        # C6
@@ -119,9 +129,9 @@ class Snapshots(Warehouse):
         first = F.greatest(F.trunc("account_open_date", "MM"), F.lit(self.cal_start).cast("date"))
         last = F.least(last_month, F.trunc(F.lit(self.cal_end).cast("date"), "MM"))
         a = self.dim_account.filter(F.col("account_open_date").isNotNull())
-        return (a.select("account_key", "account_name",
-                         F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("m"))
-                .filter(F.col("m") <= last)
+        months = F.when(first <= last, F.sequence(first, last, F.expr("interval 1 month"))) \
+            .otherwise(F.array().cast("array<date>"))      # opened in the as-of month: no complete month yet
+        return (a.select("account_key", "account_name", F.explode(months).alias("m"))
                 .select("account_key", "account_name", D.year_month(F.col("m")).alias("year_month"),
                         D.financial_year(F.col("m")).alias("financial_year")))
 
