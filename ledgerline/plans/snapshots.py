@@ -65,7 +65,10 @@ class Snapshots(Warehouse):
                              min_value=("units_held", OPEN_UNITS), window=window).drop("trade_date")
         prices = forward_fill(self.price_steps, ["fund_key"], "price_date", self.horizon, grain,
                               window=window).drop("price_date")
-        return (units.join(prices, ["fund_key", "date"])
+        # Both sides are exploded series (accounts x funds x days, funds x days). Plan-time size
+        # estimates do not see the explode, so never let the planner broadcast either side: hash
+        # both on (fund, date), which also spreads one hot fund over all of its dates.
+        return (units.join(prices.hint("shuffle_hash"), ["fund_key", "date"])
                 .select(D.date_key(F.col("date")).alias("date_key"), "account_key", "fund_key",
                         "units_held", "fund_price_gbp",
                         (F.col("units_held") * F.col("fund_price_gbp")).alias("value_gbp"),

@@ -17,6 +17,12 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Broadcast only from measured sizes: no plan-time size-based broadcast (estimates cannot see
+    # explodes or filters on skewed data); AQE converts a shuffle join to a broadcast at run time
+    # when the materialised side is actually under the threshold. Explicit hints remain for
+    # dimensions whose size is bounded by definition (calendar, transaction types).
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
