@@ -58,4 +58,5 @@ class Portfolio(Derived):
             self.__dict__.pop(attr, None)
         for attr, sort_by in CORE_MODELS:
             self.__dict__[attr] = self._write_read(getattr(self, attr), attr, sort_by)
+            self.materialised.add(attr)
         return self

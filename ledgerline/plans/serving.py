@@ -118,6 +118,9 @@ class Serving(Returns):
     def portfolio_inflows_between(self, d0: str, d1: str) -> DataFrame:
         """I8 restricted to [d0, d1]: only in-range days are generated; the
         cumulative inflows still come from the full (sparse) inflow history."""
+        if "portfolio_inflows_daily" in self.materialised:
+            return self.portfolio_inflows_daily.filter(F.col("valuation_date").between(
+                F.lit(d0).cast("date"), F.lit(d1).cast("date")))
         return self._inflows_for(self.portfolio_value_between(d0, d1))
 
     def _inflows_for(self, pv: DataFrame) -> DataFrame:

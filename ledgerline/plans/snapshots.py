@@ -122,7 +122,11 @@ class Snapshots(Warehouse):
         return self._value_by_day(self.holdings_daily)
 
     def portfolio_value_between(self, d0: str, d1: str) -> DataFrame:
-        """I6 restricted to [d0, d1], generating only the days in range."""
+        """I6 restricted to [d0, d1]: a written daily table is read with the date
+        filter pushed to the scan; otherwise only the days in range are generated."""
+        if "portfolio_value_daily" in self.materialised:
+            return self.portfolio_value_daily.filter(F.col("valuation_date").between(
+                F.lit(d0).cast("date"), F.lit(d1).cast("date")))
         return self._value_by_day(self._holdings("day", (d0, d1)))
 
     # ---- monthly snapshots -------------------------------------------------------

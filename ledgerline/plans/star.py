@@ -60,6 +60,7 @@ class Warehouse:
         self.as_of = as_of
         self.cal_start = calendar_start
         self.cal_end = calendar_end
+        self.materialised: set[str] = set()    # models held as written tables
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, **kw) -> "Warehouse":

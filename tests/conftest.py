@@ -34,4 +34,5 @@ def seeded_portfolio(spark, as_of="2024-12-31", raw: RawSources | None = None, *
     p = Portfolio(spark, raw, as_of=as_of, calendar_start="2016-01-01", calendar_end="2025-12-31")
     for name, df in models.items():
         p.__dict__[name] = df
+        p.materialised.add(name)
     return p
