@@ -17,14 +17,20 @@ from ledgerline.oracle import with_models
 _SPARK: dict[str, Callable] = {}
 _ORACLE: dict[str, str] = {}
 _RAW_ORACLE: dict[str, str] = {}
+_GRAIN: dict[str, str] = {}
+_ORACLE_KW: dict[str, dict] = {}
 
 
-def register(name: str, oracle: str | None = None, raw_oracle: str | None = None):
-    """Decorator. ``oracle`` is wrapped in the model CTEs; ``raw_oracle`` is used as is."""
+def register(name: str, oracle: str | None = None, raw_oracle: str | None = None,
+             account_by: str = "nation", oracle_models: dict | None = None):
+    """Decorator. ``oracle`` is wrapped in the model CTEs (built with ``oracle_models``
+    options); ``raw_oracle`` is used as is; ``account_by`` picks the fixture's account grain."""
     def deco(fn):
         _SPARK[name] = fn
+        _GRAIN[name] = account_by
         if oracle is not None:
             _ORACLE[name] = oracle
+            _ORACLE_KW[name] = dict(oracle_models or {}, account_by=account_by)
         if raw_oracle is not None:
             _RAW_ORACLE[name] = raw_oracle
         return fn
@@ -32,30 +38,30 @@ def register(name: str, oracle: str | None = None, raw_oracle: str | None = None
 
 
 @lru_cache(maxsize=8)
-def _portfolio(spark: SparkSession, sf_dir: str):
-    """One model set per (session, data folder); landed sources and core models written once."""
+def _portfolio(spark: SparkSession, sf_dir: str, account_by: str = "nation"):
+    """One model set per (session, data folder, account grain); sources and core models written once."""
     from ledgerline.plans.portfolio import Portfolio
-    return Portfolio.from_testdata(spark, sf_dir).materialise_core()
+    return Portfolio.from_testdata(spark, sf_dir, account_by).materialise_core()
 
 
-def build(spark: SparkSession, sf_dir: str):
-    return _portfolio(spark, sf_dir)
+def build(spark: SparkSession, sf_dir: str, account_by: str = "nation"):
+    return _portfolio(spark, sf_dir, account_by)
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load_all()
 
-    def bind(fn):
+    def bind(fn, grain):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(_portfolio(spark, sf_dir))
+            return fn(_portfolio(spark, sf_dir, grain))
         run.__name__ = fn.__name__
         return run
-    return {k: bind(v) for k, v in _SPARK.items()}
+    return {k: bind(v, _GRAIN.get(k, "nation")) for k, v in _SPARK.items()}
 
 
 def oracle_queries() -> dict[str, str]:
     _load_all()
-    out = {k: with_models(v) for k, v in _ORACLE.items()}
+    out = {k: with_models(v, **_ORACLE_KW.get(k, {})) for k, v in _ORACLE.items()}
     out.update(_RAW_ORACLE)
     return out
 

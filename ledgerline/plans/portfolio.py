@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
@@ -24,6 +25,14 @@ CORE_MODELS = [
 ]
 
 
+# Dependency levels of CORE_MODELS: each level reads only the landed sources and earlier levels.
+CORE_LEVELS = [
+    ["dim_account", "dim_fund", "dim_transaction_type", "fct_benchmarks_monthly"],
+    ["fct_transactions_wide", "fct_fund_prices_daily"],
+    ["fct_cash_position_daily", "unit_steps"],
+]
+
+
 class Portfolio(Derived):
     """All models for one set of raw sources and one as-of date."""
 
@@ -51,12 +60,22 @@ class Portfolio(Derived):
         run folder.
         """
         raw = self.raw
-        self.raw = RawSources(*[self._write_read(getattr(raw, f), f"raw_{f}", [])
-                                for f in ("accounts", "funds", "transactions", "prices", "benchmarks",
-                                          "ingest_log")])
+        names = ("accounts", "funds", "transactions", "prices", "benchmarks", "ingest_log")
+        landed = self._parallel({f: (getattr(raw, f), f"raw_{f}", []) for f in names})
+        self.raw = RawSources(*[landed[f] for f in names])
         for attr in ("base_transactions", "base_prices", "base_benchmarks"):
             self.__dict__.pop(attr, None)
-        for attr, sort_by in CORE_MODELS:
-            self.__dict__[attr] = self._write_read(getattr(self, attr), attr, sort_by)
-            self.materialised.add(attr)
+        by_name = dict(CORE_MODELS)
+        for level in CORE_LEVELS:
+            # models of one level only depend on earlier levels: build them concurrently
+            done = self._parallel({a: (getattr(self, a), a, by_name[a]) for a in level})
+            for attr, df in done.items():
+                self.__dict__[attr] = df
+                self.materialised.add(attr)
         return self
+
+    def _parallel(self, jobs: dict) -> dict:
+        """Run independent writes as concurrent Spark jobs (each job alone leaves cores idle)."""
+        with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+            futures = {k: pool.submit(self._write_read, *args) for k, args in jobs.items()}
+            return {k: f.result() for k, f in futures.items()}

@@ -144,3 +144,20 @@ SELECT index_id, ticker, year_month, month_end_date, month_end_level, prev_month
 FROM benchmark_returns_monthly""")
 def benchmark_returns_monthly(p):
     return _r6(p.benchmark_returns_monthly, "monthly_return", *TRAILING_COLS)
+
+
+# ----------------------------------------------- customer grain (scale variant of I9 / I13)
+# One account per customer: the dense series grow with the data (customers x brands x
+# months), so these exercise the entity-partitioned windows and as-of explodes on many keys.
+@register("portfolio_snapshot_monthly_by_customer", oracle="SELECT * FROM portfolio_snapshot_monthly",
+          account_by="customer", oracle_models={"spine": "month"})
+def portfolio_snapshot_monthly_by_customer(p):
+    return p.portfolio_snapshot_monthly
+
+
+@register("portfolio_returns_monthly_by_customer", oracle=f"""
+SELECT account_name, year_month, financial_year, month_end_date, month_end_value_gbp, prev_month_end_value_gbp,
+       month_inflows_gbp, {R6.format('monthly_return')}, {', '.join(R6.format(c) for c in TRAILING_COLS)}
+FROM portfolio_returns_monthly""", account_by="customer", oracle_models={"spine": "month"})
+def portfolio_returns_monthly_by_customer(p):
+    return _r6(p.portfolio_returns_monthly, "monthly_return", *TRAILING_COLS)

@@ -22,6 +22,10 @@ from ledgerline.plans.star import (BUY_SIDE, CASH, FUND, INFLOW_TYPES, OPEN_UNIT
                                    money, signed_units)
 
 
+# Largest exploded series broadcast to every task (rows of a few small columns: tens of MB).
+BROADCAST_MAX_ROWS = 2_000_000
+
+
 class Snapshots(Warehouse):
     @property
     def horizon(self) -> str:
@@ -65,15 +69,39 @@ class Snapshots(Warehouse):
                              min_value=("units_held", OPEN_UNITS), window=window).drop("trade_date")
         prices = forward_fill(self.price_steps, ["fund_key"], "price_date", self.horizon, grain,
                               window=window).drop("price_date")
-        # Both sides are exploded series (accounts x funds x days, funds x days). Plan-time size
-        # estimates do not see the explode, so never let the planner broadcast either side: hash
-        # both on (fund, date), which also spreads one hot fund over all of its dates.
-        return (units.join(prices.hint("shuffle_hash"), ["fund_key", "date"])
+        return (units.join(self._sized_price_side(prices, grain, window), ["fund_key", "date"])
                 .select(D.date_key(F.col("date")).alias("date_key"), "account_key", "fund_key",
                         "units_held", "fund_price_gbp",
                         (F.col("units_held") * F.col("fund_price_gbp")).alias("value_gbp"),
                         "date", "account_name", "fund_id"))
 
+    @cached_property
+    def _price_extent(self) -> tuple[int, object]:
+        """(number of priced funds, first price date): one aggregate over the price table."""
+        r = self.price_steps.agg(F.countDistinct("fund_key").alias("n"), F.min("price_date").alias("d0")).first()
+        return int(r["n"] or 0), r["d0"]
+
+    def _sized_price_side(self, prices: DataFrame, grain: str, window) -> DataFrame:
+        """Broadcast the exploded price series only behind a proven bound on its size.
+
+        The series has at most (priced funds) x (days or month ends from the first
+        price to the horizon) rows. Plan-time estimates cannot see the explode, so
+        the bound is computed from the price table; under the limit the side is
+        broadcast (the unit series then never shuffles for this join), above it
+        both sides are hash-partitioned on (fund, date), which also spreads one
+        hot fund over all of its dates.
+        """
+        import datetime as _dt
+        n_funds, d0 = self._price_extent
+        if d0 is None:
+            return prices
+        lo = max(d0, _dt.date.fromisoformat(window[0])) if window else d0
+        hi = min(_dt.date.fromisoformat(self.horizon), _dt.date.fromisoformat(window[1])) if window \
+            else _dt.date.fromisoformat(self.horizon)
+        days = max((hi - lo).days + 1, 0)
+        periods = days if grain == "day" else days // 28 + 1
+        return F.broadcast(prices) if n_funds * periods <= BROADCAST_MAX_ROWS else prices.hint("shuffle_hash")
+
     def _cash_values(self, grain: str, window: tuple[str, str] | None = None) -> DataFrame:
         cash = forward_fill(self.cash_steps, ["account_key"], "trade_date", self.horizon, grain,
                             window=window).drop("trade_date")
@@ -154,14 +182,15 @@ class Snapshots(Warehouse):
 
     @cached_property
     def portfolio_snapshot_monthly(self) -> DataFrame:   # I9
-        mev = (self.holdings_month_end.groupBy("account_key", "date")
+        # keyed by the account name (1:1 with the 32-character surrogate key, far fewer shuffle bytes)
+        mev = (self.holdings_month_end.groupBy("account_name", "date")
                .agg(money(F.sum("value_gbp")).alias("month_end_value_gbp"))
-               .select("account_key", D.year_month(F.col("date")).alias("year_month"),
+               .select("account_name", D.year_month(F.col("date")).alias("year_month"),
                        F.col("date").alias("month_end_date"), "month_end_value_gbp"))
-        flows = self._monthly_flows(["account_key"]).filter(F.col("account_key").isNotNull())
+        flows = self._monthly_flows(["account_name"]).filter(F.col("account_name").isNotNull())
         return (self.account_month_spine
-                .join(mev, ["account_key", "year_month"], "left")
-                .join(flows, ["account_key", "year_month"], "left")
+                .join(mev, ["account_name", "year_month"], "left")
+                .join(flows, ["account_name", "year_month"], "left")
                 .select("account_name", "year_month", "financial_year", "month_end_date", "month_end_value_gbp",
                         money(F.coalesce("inflows", F.lit(0.0))).alias("monthly_inflows_gbp"),
                         money(F.when(F.col("_has_trade") == 1, F.col("net_trades")).otherwise(0.0))

@@ -63,8 +63,8 @@ class Warehouse:
         self.materialised: set[str] = set()    # models held as written tables
 
     @classmethod
-    def from_testdata(cls, spark: SparkSession, sf_dir: str, **kw) -> "Warehouse":
-        w = cls(spark, load_raw(spark, sf_dir), **kw)
+    def from_testdata(cls, spark: SparkSession, sf_dir: str, account_by: str = "nation", **kw) -> "Warehouse":
+        w = cls(spark, load_raw(spark, sf_dir, account_by), **kw)
         w.sf_dir = sf_dir
         return w
 

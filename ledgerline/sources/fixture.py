@@ -42,6 +42,7 @@ REBATE_DIVISOR = 1000   # rebate = order total / 1000, whole pence
 FIXTURE_AS_OF = "2001-08-31"
 CALENDAR_START, CALENDAR_END = "1995-01-01", "2001-12-31"
 PRICE_SOURCE = "fixture"
+CUSTOMER_PREFIX = "C"
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -73,8 +74,8 @@ class RawSources:
     ingest_log: DataFrame
 
 
-def order_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders -> (o_*, account_id) through customer -> nation."""
+def order_accounts(spark: SparkSession, sf_dir: str, account_by: str = "nation") -> DataFrame:
+    """orders -> (o_*, account_id): the customer's nation, or the customer itself (``account_by='customer'``)."""
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -82,10 +83,20 @@ def order_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (orders.join(customer, orders.o_custkey == customer.c_custkey)
             .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))   # 25 rows by definition
             .select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("trade_date"),
-                    "o_orderpriority", F.col("n_name").alias("account_id")))
+                    "o_orderpriority", account_id(account_by).alias("account_id")))
 
 
-def load_raw(spark: SparkSession, sf_dir: str) -> RawSources:
+def account_id(account_by: str):
+    if account_by == "nation":
+        return F.col("n_name")
+    if account_by == "customer":
+        return F.concat(F.lit(CUSTOMER_PREFIX), F.col("c_custkey").cast("string"))
+    raise ValueError(f"unknown account grain {account_by!r}")
+
+
+def load_raw(spark: SparkSession, sf_dir: str, account_by: str = "nation") -> RawSources:
+    """Raw sources; ``account_by='customer'`` makes every customer an account (the dense
+    series then grow with the data: customers x brands x days)."""
     nation = table(spark, sf_dir, "nation")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     lineitem = table(spark, sf_dir, "lineitem").select(
@@ -93,7 +104,11 @@ def load_raw(spark: SparkSession, sf_dir: str) -> RawSources:
         "l_returnflag", "l_linestatus", "l_shipdate")
     events = table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value")
 
-    accounts = nation.select(F.col("n_name").alias("id"), F.col("n_name").alias("name"))
+    if account_by == "customer":
+        cust = table(spark, sf_dir, "customer").select("c_custkey")
+        accounts = cust.select(account_id("customer").alias("id"), account_id("customer").alias("name"))
+    else:
+        accounts = nation.select(F.col("n_name").alias("id"), F.col("n_name").alias("name"))
 
     brands = part.select("p_brand").distinct()
     brand_no = F.regexp_extract("p_brand", r"(\d+)$", 1)
@@ -108,7 +123,7 @@ def load_raw(spark: SparkSession, sf_dir: str) -> RawSources:
         F.lit(True).alias("is_active"),
     )
 
-    oa = order_accounts(spark, sf_dir)
+    oa = order_accounts(spark, sf_dir, account_by)
     li = lineitem.join(part, lineitem.l_partkey == part.p_partkey)
     trades = li.join(oa, li.l_orderkey == oa.o_orderkey)
     ttype = _trade_type(F.col("l_returnflag"), F.col("l_linestatus"))
