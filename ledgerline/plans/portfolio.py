@@ -76,6 +76,13 @@ class Portfolio(Derived):
 
     def _parallel(self, jobs: dict) -> dict:
         """Run independent writes as concurrent Spark jobs (each job alone leaves cores idle)."""
+        sc = self.spark.sparkContext
+        group = sc.getLocalProperty("spark.jobGroup.id")      # job groups are per thread: pass it on
+
+        def run(args):
+            if group:
+                sc.setJobGroup(group, group)
+            return self._write_read(*args)
         with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-            futures = {k: pool.submit(self._write_read, *args) for k, args in jobs.items()}
+            futures = {k: pool.submit(run, args) for k, args in jobs.items()}
             return {k: f.result() for k, f in futures.items()}
