@@ -9,14 +9,14 @@ partition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import dates as D
 from ledgerline.functions.numeric import dround
 from ledgerline.operators.windows import cumprod_index, period_end_downsample, rebase_to_first
 from ledgerline.plans.serving import Serving
-from ledgerline.plans.star import CASH, FUND, HOLDING, OPEN_UNITS, money
+from ledgerline.plans.star import FUND, HOLDING, money
 
 DAYS_PER_YEAR = 365.25
 CASH_FUND_ID = "CASH"

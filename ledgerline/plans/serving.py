@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import dates as D
-from ledgerline.functions.numeric import dround
 from ledgerline.operators.asof import asof_join, step_intervals
 from ledgerline.operators.windows import running_sum
 from ledgerline.plans.returns import Returns
