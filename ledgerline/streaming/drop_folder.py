@@ -20,7 +20,10 @@ from pyspark.errors import AnalysisException
 from ledgerline.sources import broker_csv as B
 from ledgerline.sources.writers import dedupe_first
 
-TX_ORDER = [F.col("settle_date").asc_nulls_first(), F.col("raw_description").asc_nulls_first(),
+PARTITION_COL = "trade_month"
+def tx_order():
+    """Deterministic winner among rows with the same content id (built lazily: Columns need a session)."""
+    return [F.col("settle_date").asc_nulls_first(), F.col("raw_description").asc_nulls_first(),
             F.col("quantity").asc_nulls_first()]
 
 
@@ -33,14 +36,20 @@ def start_drop_folder_ingest(spark: SparkSession, drop_dir: str, target_dir: str
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         tx, _ = B.ingest_transactions(B.named_records(batch), funds)
-        tx = dedupe_first(tx.drop("source_file"), ["id"], TX_ORDER)
+        tx = dedupe_first(tx.drop("source_file"), ["id"], tx_order()) \
+            .withColumn(PARTITION_COL, F.date_format("trade_date", "yyyy-MM")).persist()
+        # The id hashes the trade date, so a duplicate can only sit in the same trade month:
+        # read just the target partitions this batch touches (a list bounded by the calendar).
+        months = [r[0] for r in tx.select(PARTITION_COL).distinct().collect()]
         try:
-            existing = spark.read.parquet(target_dir).select("id")
+            existing = (spark.read.parquet(target_dir).filter(F.col(PARTITION_COL).isin(months))
+                        .select("id"))
         except AnalysisException:      # first batch ever: the target does not exist yet
             existing = None
-        if existing is not None:
-            tx = tx.join(existing, "id", "left_anti")
-        tx.write.mode("append").parquet(target_dir)
+        # one writer per month touched (not one file per task and month)
+        new = tx.join(existing, "id", "left_anti") if existing is not None else tx
+        new.repartition(PARTITION_COL).write.mode("append").partitionBy(PARTITION_COL).parquet(target_dir)
+        tx.unpersist()
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
