@@ -390,3 +390,14 @@ for _check, _key in [("unique", "assert_unique"), ("accepted_values", "assert_ac
     catalog._ORACLE[_key] = catalog._ORACLE["dq_report"].replace(
         "\nSELECT * FROM dq", f"\nSELECT * FROM dq WHERE check_name = '{_check}'")
 
+
+
+# The reference's one-row CTEs side by side and its CROSS JOIN of two marts are answered
+# with scalar subqueries (no cross join): the question query that used one is the operator.
+alias("cross_join", "q09_sharpe_vs_index")
+
+
+@register("external_inflows_daily", oracle="""
+SELECT account_name, inflow_date, round(inflow_today, 2) AS inflows_gbp FROM daily_inflows""")
+def external_inflows_daily(p):
+    return p.daily_inflows.select("account_name", "inflow_date", money(F.col("inflow_today")).alias("inflows_gbp"))

@@ -90,3 +90,16 @@ def test_trade_before_first_price_is_dropped(spark):
     rows = p.fund_values_daily.orderBy("date").collect()
     assert [r.date for r in rows] == [D(2024, 1, 3), D(2024, 1, 4), D(2024, 1, 5)]
     assert all(r.value_gbp == 20.0 for r in rows)
+
+
+def test_price_join_same_result_with_and_without_broadcast(spark, monkeypatch):
+    """The size-checked broadcast of the exploded price series and its shuffle fallback agree."""
+    import ledgerline.plans.snapshots as S
+    from tests.conftest import SMOKE_DIR
+    from ledgerline.plans.portfolio import Portfolio
+    p = Portfolio.from_testdata(spark, SMOKE_DIR)
+    cols = ["date_key", "account_key", "fund_key", "units_held", "fund_price_gbp", "value_gbp"]
+    broadcast = sorted(tuple(r) for r in p._fund_values("month").select(*cols).collect())
+    monkeypatch.setattr(S, "BROADCAST_MAX_ROWS", 0)
+    shuffled = sorted(tuple(r) for r in p._fund_values("month").select(*cols).collect())
+    assert broadcast == shuffled and len(broadcast) > 0
