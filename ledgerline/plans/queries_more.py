@@ -49,18 +49,15 @@ def star_dq_report(p):
         Q.table_checks(dt, "dim_transaction_type", accepted={"transaction_type": list(ALL_TYPES)}),
         Q.table_checks(ft, "fct_transactions", ["transaction_id", "account_key", "transaction_type_key",
                                                 "trade_date_key"]),
-        Q.assert_unique(ft, "fct_transactions", ["transaction_id"]),
-        Q.assert_relationship(ft, "fct_transactions", "account_key", da, "account_key"),
-        Q.assert_relationship(ft, "fct_transactions", "fund_key", df, "fund_key"),
-        Q.assert_relationship(ft, "fct_transactions", "trade_date_key", dd, "date_key"),
-        Q.assert_relationship(ft, "fct_transactions", "settle_date_key", dd, "date_key"),
+        Q.key_checks(ft, "fct_transactions", ["transaction_id"], parents=[
+            ("account_key", da, "account_key", None), ("fund_key", df, "fund_key", None),
+            ("trade_date_key", dd, "date_key", None), ("settle_date_key", dd, "date_key", None)]),
         Q.table_checks(cp, "fct_cash_position_daily", expressions=[
             (net, F.abs(F.col("net_cash_movement_gbp") - (F.col("trade_cash_net_gbp") + F.col("inflows_gbp")
                                                           + F.col("fees_and_other_gbp"))) < 0.005, None)]),
-        Q.assert_unique(hd, "fct_holdings_daily", ["date_key", "account_key", "fund_key", "holding_type"]),
-        Q.table_checks(hd, "fct_holdings_daily", accepted={"holding_type": ["Fund", "Cash"]}),
-        Q.assert_relationship(hd, "fct_holdings_daily", "fund_key", df, "fund_key",
-                              where=F.col("holding_type") == "Fund"),
+        Q.key_checks(hd, "fct_holdings_daily", ["date_key", "account_key", "fund_key", "holding_type"],
+                     accepted={"holding_type": ["Fund", "Cash"]},
+                     parents=[("fund_key", df, "fund_key", F.col("holding_type") == "Fund")]),
         Q.table_checks(bm, "fct_benchmarks_monthly",
                        expressions=[("month_end_level > 0", F.col("month_end_level") > 0, None)]),
     ])

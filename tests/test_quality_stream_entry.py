@@ -81,3 +81,16 @@ def test_query_matches_oracle_on_smoke_data(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMOKE_DIR}/{t}.parquet')")
     ok, msg = compare(E.queries()[name](spark, SMOKE_DIR).toPandas(), con.execute(E.oracle_sql()[name]).fetchdf())
     assert ok, msg
+
+
+def test_key_checks_equal_standalone_checks(spark):
+    df = spark.createDataFrame([(1, "X", 10), (1, "Q", 11), (2, "X", 99), (3, None, None), (None, "Y", 10)],
+                               "k int, kind string, p int")
+    parent = spark.createDataFrame([(10,), (11,)], "p int")
+    one_pass = {tuple(r) for r in Q.key_checks(df, "t", ["k"], accepted={"kind": ["X", "Y"]},
+                                               parents=[("p", parent, "p", F.col("kind") != "Y")]).collect()}
+    separate = {tuple(r) for r in Q.dq_report([
+        Q.assert_unique(df, "t", ["k"]), Q.assert_accepted_values(df, "t", "kind", ["X", "Y"]),
+        Q.assert_relationship(df, "t", "p", parent, "p", where=F.col("kind") != "Y")]).collect()}
+    assert one_pass == separate == {("t", "unique", "k", 1), ("t", "accepted_values", "kind", 1),
+                                    ("t", "relationships", "p", 1)}
