@@ -51,8 +51,10 @@ def assert_relationship(df: DataFrame, table: str, col: str, parent: DataFrame,
     child = df.filter(F.col(col).isNotNull())
     if where is not None:
         child = child.filter(where)
-    orphans = child.join(parent.select(F.col(parent_col).alias(col)).distinct(), col, "left_anti")
-    return _row(orphans.agg(F.count(F.lit(1)).alias("failures")), table, "relationships", col)
+    # count child rows per key first (map-side combine), so only distinct keys are shuffled
+    per_key = child.groupBy(col).agg(F.count(F.lit(1)).alias("_rows"))
+    orphans = per_key.join(parent.select(F.col(parent_col).alias(col)).distinct(), col, "left_anti")
+    return _row(orphans.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("failures")), table, "relationships", col)
 
 
 def assert_expression(df: DataFrame, table: str, name: str, expr: Column, where: Column | None = None) -> DataFrame:
@@ -85,25 +87,17 @@ def table_checks(df: DataFrame, table: str, not_null: Sequence[str] = (),
 
 def key_checks(df: DataFrame, table: str, key: Sequence[str], accepted: dict[str, Sequence] | None = None,
                parents: Sequence[tuple[str, DataFrame, str, Column | None]] = ()) -> DataFrame:
-    """J2 + J3 + J4 for one table in one grouped pass.
+    """J2 + J3 in one grouped pass over the table, plus J4 per parent.
 
-    Each parent's distinct keys are left-joined as a flag (``parents``:
-    (column, parent frame, parent column, optional where)); then one groupBy on
-    ``key`` counts rows per key (duplicates), rows outside the accepted values
-    and rows without a parent, and a final global aggregate sums them. The
-    table is read once instead of once per check.
+    One groupBy on ``key`` counts rows per key (duplicates) and rows outside
+    the accepted values. Each relationship (``parents``: column, parent frame,
+    parent column, optional where) pre-aggregates the child's keys before the
+    anti-join, so it only reads that column and shuffles distinct keys.
     """
-    rows = df
-    flags = []
-    for i, (col, parent, pcol, where) in enumerate(parents):
-        keys = parent.select(F.col(pcol).alias(f"_pk{i}")).distinct().withColumn(f"_has{i}", F.lit(True))
-        rows = rows.join(keys, F.col(col) == F.col(f"_pk{i}"), "left")
-        applies = F.col(col).isNotNull() & (F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
-        flags.append(("relationships", col, F.count(F.when(applies & F.col(f"_has{i}").isNull(), 1))))
-    for c, values in (accepted or {}).items():
-        flags.append(("accepted_values", c, F.count(F.when(F.col(c).isNotNull() & ~F.col(c).isin(*values), 1))))
-    per_key = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"),
-                                     *[cnt.alias(f"_f{i}") for i, (_, _, cnt) in enumerate(flags)])
+    flags = [("accepted_values", c, F.count(F.when(F.col(c).isNotNull() & ~F.col(c).isin(*values), 1)))
+             for c, values in (accepted or {}).items()]
+    per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"),
+                                   *[cnt.alias(f"_f{i}") for i, (_, _, cnt) in enumerate(flags)])
     name = "unique" if len(key) == 1 else "unique_combination"
     checks = [(name, ",".join(key), F.count(F.when(F.col("_n") > 1, 1)))] + \
              [(chk, col, F.sum(f"_f{i}")) for i, (chk, col, _) in enumerate(flags)]
@@ -111,8 +105,10 @@ def key_checks(df: DataFrame, table: str, key: Sequence[str], accepted: dict[str
     arr = F.array(*[F.struct(F.lit(chk).alias("check_name"), F.lit(col).alias("column_name"),
                              F.coalesce(F.col(f"_c{i}"), F.lit(0)).cast("bigint").alias("failures"))
                     for i, (chk, col, _) in enumerate(checks)])
-    return agg.select(F.explode(arr).alias("s")).select(
+    grouped = agg.select(F.explode(arr).alias("s")).select(
         F.lit(table).alias("table_name"), "s.check_name", "s.column_name", "s.failures")
+    rels = [assert_relationship(df, table, col, parent, pcol, where) for col, parent, pcol, where in parents]
+    return reduce(DataFrame.unionByName, [grouped, *rels])
 
 
 def dq_report(checks: Sequence[DataFrame]) -> DataFrame:
