@@ -441,14 +441,17 @@ def sort_conditional_key(p):
 # ------------------------------------------------------------------ L1 streaming
 @register("incremental_drop_folder", oracle=_DEDUPED + f"\nSELECT {TX_COLS} FROM ded")
 def incremental_drop_folder(p):
-    """Two overlapping drops (before 1999, then everything) ingested by one availableNow stream run."""
+    """Two overlapping drops arriving one after the other (trades before 1999, then everything),
+    each picked up by an availableNow run of the same stream (same checkpoint): the second run
+    sees only the new files and appends only ids the target does not hold yet."""
     from ledgerline.streaming.drop_folder import start_drop_folder_ingest
     spark = p.spark
     drop = B.scratch_path(spark, "drop")
+    target = B.scratch_path(spark, "drop-target")
+    ckpt = B.scratch_path(spark, "drop-ckpt")
     t = p.raw.transactions
     B.write_broker_csv(t.filter(F.col("trade_date") < F.lit("1999-01-01").cast("date")), drop + "/run1")
+    start_drop_folder_ingest(spark, drop, target, ckpt, p.raw.funds).awaitTermination()
     B.write_broker_csv(t, drop + "/run2")
-    target = B.scratch_path(spark, "drop-target")
-    q = start_drop_folder_ingest(spark, drop, target, B.scratch_path(spark, "drop-ckpt"), p.raw.funds)
-    q.awaitTermination()
+    start_drop_folder_ingest(spark, drop, target, ckpt, p.raw.funds).awaitTermination()
     return spark.read.parquet(target).select(*[c.strip() for c in TX_COLS.split(",")])
