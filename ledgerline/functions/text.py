@@ -35,7 +35,8 @@ NUMBER_IN_TEXT = r"£?([\d,]+(?:\.\d+)?)\s*%?"
 
 def parse_number(c: Column) -> Column:
     """Strip spaces, quotes and thousands separators; blank or 'n/a' -> null; else double (bad -> null)."""
-    s = F.regexp_replace(F.regexp_replace(F.trim(c), r'^"+|"+$', ""), ",", "")
+    # quote stripping and comma removal are character operations, not regexes
+    s = F.translate(F.btrim(F.trim(c), F.lit('"')), ",", "")
     return F.when((s == "") | (F.lower(s) == NOT_AVAILABLE) | s.isNull(), F.lit(None).cast("double")) \
         .otherwise(s.try_cast("double"))
 
