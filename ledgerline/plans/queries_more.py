@@ -455,3 +455,24 @@ def incremental_drop_folder(p):
     B.write_broker_csv(t, drop + "/run2")
     start_drop_folder_ingest(spark, drop, target, ckpt, p.raw.funds).awaitTermination()
     return spark.read.parquet(target).select(*[c.strip() for c in TX_COLS.split(",")])
+
+
+# ------------------------------------------------------------------ daily model build (A20, entry 1)
+_REFRESH_COUNTS = [("fct_holdings_daily", "holdings_daily"), ("mart_portfolio_value_daily", "portfolio_value_daily"),
+                   ("mart_portfolio_inflows_daily", "portfolio_inflows_daily"),
+                   ("mart_portfolio_snapshot_monthly", "portfolio_snapshot_monthly"),
+                   ("mart_fund_snapshot_monthly", "fund_snapshot_monthly"),
+                   ("mart_portfolio_returns_monthly", "portfolio_returns_monthly"),
+                   ("mart_fund_returns_monthly", "fund_returns_monthly"),
+                   ("mart_benchmarks_monthly", "benchmark_returns_monthly"),
+                   ("mart_holdings_latest", "holdings_latest"),
+                   ("mart_contributions_by_financial_year", "contributions_by_fy")]
+
+
+@register("daily_refresh", oracle="\n".join(
+    ["SELECT * FROM ("] +
+    ["\nUNION ALL ".join(f"SELECT '{name}' AS model, count(*) AS row_count FROM {cte}" for name, cte in _REFRESH_COUNTS)] +
+    [")"]))
+def daily_refresh(p):
+    from ledgerline.plans.refresh import daily_refresh as run
+    return run(p)
