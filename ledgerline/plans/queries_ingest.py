@@ -103,8 +103,7 @@ def _two_runs(p):
     """Run 1 ingests trades dated before FIRST_BATCH_BEFORE; run 2 re-ingests everything."""
     tx, _ = B.ingest_transactions(_scan(p), p.raw.funds)
     tx = tx.drop("source_file")
-    order = [F.col("settle_date").asc_nulls_first(), F.col("raw_description").asc_nulls_first(),
-             F.col("quantity").asc_nulls_first()]
+    order = ["settle_date", "raw_description", "quantity"]      # ascending, nulls first
     run1 = tx.filter(F.col("trade_date") < F.lit(FIRST_BATCH_BEFORE).cast("date"))
     _, table1 = W.insert_or_ignore(None, run1, ["id"], order)
     new2, table2 = W.insert_or_ignore(table1, tx, ["id"], order)

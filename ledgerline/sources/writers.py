@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,16 +25,25 @@ AUDIT_SCHEMA = T.StructType([
 ])
 
 
-def dedupe_first(batch: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """One row per key: the first in ``order`` (a deterministic stand-in for file order)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return batch.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+def dedupe_first(batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key: the smallest by ``order`` columns (ascending, nulls first), a
+    deterministic stand-in for file order.
+
+    An aggregation (``min_by`` of the whole row), not a window: copies are collapsed
+    map-side before the shuffle, so a group of identical copies holding a large share
+    of all rows never lands in one task.
+    """
+    cols = batch.columns
+    ordering = F.struct(*[F.col(c) for c in order]) if order else F.lit(0)
+    return (batch.groupBy(*keys)
+            .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), ordering).alias("_row"))
+            .select("_row.*"))
 
 
 def insert_or_ignore(target: DataFrame | None, batch: DataFrame, keys: Sequence[str],
-                     order: Sequence[Column | str] | None = None) -> tuple[DataFrame, DataFrame]:
+                     order: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """A10: (rows to append, target after the append). Existing keys win."""
-    new = dedupe_first(batch, keys, order or list(keys))
+    new = dedupe_first(batch, keys, list(order) if order else [])
     if target is not None:
         new = new.join(target.select(*keys), list(keys), "left_anti")
         return new, target.unionByName(new.select(*target.columns))
@@ -45,8 +54,10 @@ def upsert_replace(target: DataFrame, batch: DataFrame, keys: Sequence[str]) ->
     """Last write wins per key (the batch replaces existing rows with the same key)."""
     both = (target.withColumn("_seq", F.lit(0))
             .unionByName(batch.select(*target.columns).withColumn("_seq", F.lit(1))))
-    w = Window.partitionBy(*keys).orderBy(F.col("_seq").desc())
-    return both.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "_seq")
+    # aggregation rather than a window: many copies of one key combine map-side
+    return (both.groupBy(*keys)
+            .agg(F.max_by(F.struct(*[F.col(c) for c in target.columns]), F.col("_seq")).alias("_row"))
+            .select("_row.*"))
 
 
 def audit_row(spark: SparkSession, run_at: _dt.datetime, source: str, rows_inserted: int | Column,

@@ -21,10 +21,8 @@ from ledgerline.sources import broker_csv as B
 from ledgerline.sources.writers import dedupe_first
 
 PARTITION_COL = "trade_month"
-def tx_order():
-    """Deterministic winner among rows with the same content id (built lazily: Columns need a session)."""
-    return [F.col("settle_date").asc_nulls_first(), F.col("raw_description").asc_nulls_first(),
-            F.col("quantity").asc_nulls_first()]
+# Deterministic winner among rows with the same content id: smallest (ascending, nulls first).
+TX_ORDER = ["settle_date", "raw_description", "quantity"]
 
 
 def start_drop_folder_ingest(spark: SparkSession, drop_dir: str, target_dir: str, checkpoint: str,
@@ -36,7 +34,7 @@ def start_drop_folder_ingest(spark: SparkSession, drop_dir: str, target_dir: str
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         tx, _ = B.ingest_transactions(B.named_records(batch), funds)
-        tx = dedupe_first(tx.drop("source_file"), ["id"], tx_order()) \
+        tx = dedupe_first(tx.drop("source_file"), ["id"], TX_ORDER) \
             .withColumn(PARTITION_COL, F.date_format("trade_date", "yyyy-MM")).persist()
         # The id hashes the trade date, so a duplicate can only sit in the same trade month:
         # read just the target partitions this batch touches (a list bounded by the calendar).

@@ -99,3 +99,15 @@ def test_price_payload_normalisation(spark):
 def test_account_from_partitioned_path(spark):
     df = spark.createDataFrame([("file:///x/account=Brand%252310/part-0.csv",), ("file:///x/ISA/a.csv",)], "p string")
     assert [r[0] for r in df.select(B.account_from_path(F.col("p"))).collect()] == ["Brand#10", "ISA"]
+
+
+def test_dedupe_of_a_huge_copy_group_is_an_aggregate(spark):
+    """A group of identical copies holding most rows collapses map-side (no window on the key)."""
+    rows = [("dup", None, "x", 1.0)] * 5000 + [("dup", "2024-01-02", "a", 2.0)] + \
+           [(f"id{i}", "2024-01-01", "y", float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "id string, settle_date string, raw_description string, quantity double")
+    out = W.dedupe_first(df, ["id"], ["settle_date", "raw_description", "quantity"])
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == 101 and got["dup"].settle_date is None       # nulls first, as in the old ordering
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_min_by" in plan
