@@ -39,10 +39,16 @@ class Serving(Returns):
         return iv.join(first_price, "fund_key")
 
     def latest_fund_day(self, cap=None) -> Column:
-        """Scalar: last day <= cap on which any fund row exists."""
+        """Last day <= cap on which any fund row exists (C10/C11), as a date literal.
+
+        Resolved once by a one-row aggregate (a bounded scalar, not data) so that
+        every filter that uses it is a literal comparison Spark can push down to the
+        parquet scans, instead of a scalar subquery repeated in each of them.
+        """
         hi = F.col("u1") if cap is None else F.least(F.col("u1"), F.lit(cap).cast("date"))
         iv = self.unit_intervals
-        return iv.filter(F.greatest("u0", "fp") <= hi).select(F.max(hi)).scalar()
+        day = iv.filter(F.greatest("u0", "fp") <= hi).agg(F.max(hi).alias("d")).first()["d"]
+        return F.lit(day).cast("date")
 
     def prices_at(self, day: Column) -> DataFrame:
         return (self.price_steps.filter(F.col("price_date") <= day)
