@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, decontamination, licenses, line_dedup, pii, quality, secrets, toxicity
+from ledgerline.llm import bpe, decontamination, jaccard, licenses, line_dedup, pii, quality, secrets, toxicity
 from ledgerline.llm.common import table
 
 PII_KEY = "documents-release-1"  # production callers pass a secret of their own
@@ -44,6 +44,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_report(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -51,8 +55,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_decontamination, op4_secret_scan, op5_quality, op6_pii_surrogates,
-        op7_toxicity, op8_bpe, op10_line_dedup)}
+        op7_toxicity, op8_bpe, op9_jaccard_join, op10_line_dedup)}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.oracle_sql()}
+    return {"op9_jaccard_join": jaccard.oracle_sql(), "op10_line_dedup": line_dedup.oracle_sql()}
