@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, decontamination, jaccard, licenses, line_dedup, pii, quality, secrets, toxicity
+from ledgerline.llm import bpe, decontamination, jaccard, licenses, line_dedup, neighbours, pii, quality, secrets, toxicity
 from ledgerline.llm.common import table
 
 PII_KEY = "documents-release-1"  # production callers pass a secret of their own
@@ -22,6 +22,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_license_scan, op2_decontamination, op4_secret_scan, op5_quality, op6_pii_surrogates,
+        op1_license_scan, op2_decontamination, op3_nearest_neighbours, op4_secret_scan, op5_quality, op6_pii_surrogates,
         op7_toxicity, op8_bpe, op9_jaccard_join, op10_line_dedup)}
 
 
