@@ -74,3 +74,17 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as one column ``_row``, so that no column of theirs can clash with a working column."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"))
+
+
+def unpacked(columns: list[str], **changed) -> list:
+    """The columns of a packed row, some of them replaced."""
+    return [(changed[c] if c in changed else F.col(f"_row.{quoted(c)}")).alias(c) for c in columns]

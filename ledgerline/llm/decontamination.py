@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import WORD_BYTES, map_arrow, texts_of, words_of, written
+from ledgerline.llm.common import WORD_BYTES, map_arrow, packed, texts_of, unpacked, words_of, written
 
 WINDOW = 10
 SHARD_WORDS = 2_000_000
@@ -306,9 +306,9 @@ def _pass(df: DataFrame, items: list[tuple[str, bytes]], window: int, shard_word
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                        shard_words: int = SHARD_WORDS, slice_chars: int = SLICE_CHARS) -> DataFrame:
-    """The rows of ``docs`` (with a column ``text``) and ``_n_words``, ``_spans`` (flat word starts and ends of
-    the merged removal spans) and ``_items`` (sorted ids of the items found)."""
-    out = docs.withColumn("text", F.col("text").cast("string"))
+    """(_row, text, _n_words, _spans, _items): each document's row, flat word starts and ends of its merged
+    removal spans, and the sorted ids of the items found."""
+    out = packed(docs).withColumn("text", F.col("_row.text").cast("string"))
     for f in FOUND:
         out = out.withColumn(f.name, F.lit(None).cast(f.dataType))
     for k, items in enumerate(_slices(benchmark, slice_chars)):
@@ -318,12 +318,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """One row per document: words, words inside occurrences, items found and their digest."""
-    found = find_contamination(docs.select("doc_id", "text"), benchmark, **kw).drop("text")
+    found = find_contamination(docs.select("doc_id", "text"), benchmark, **kw)
     sums = lambda at: F.aggregate(
         F.filter("_spans", lambda x, i: i % 2 == at), F.lit(0).cast("bigint"), lambda s, x: s + x)
     found = found.withColumn("n_hit", sums(1) - sums(0))
     return found.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_n_words").alias("n_words"), "n_hit",
+        F.col("_row.doc_id").cast("bigint").alias("doc_id"), F.col("_n_words").alias("n_words"), "n_hit",
         F.size("_items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
@@ -347,8 +347,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFra
     cut_rows = map_arrow(found, cut, T.StructType([*found.schema, T.StructField("_cut", T.StringType())]))
     left = F.col("_n_words") > F.aggregate(F.transform("_spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)),
                                            F.lit(0).cast("bigint"), lambda s, x: s + x)
-    out = cut_rows.filter(~hit | left).withColumn("text", F.when(hit, F.col("_cut")).otherwise(F.col("text")))
+    changed = {"text": F.when(hit, F.col("_cut")).otherwise(F.col("_row.text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars"))
-                             .cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(hit, F.length("_cut")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cut_rows.filter(~hit | left).select(*unpacked(docs.columns, **changed))

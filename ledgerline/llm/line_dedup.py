@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import written
+from ledgerline.llm.common import packed, unpacked, written
 
 MIN_SITES = 5
 BAND = 0.25
@@ -75,46 +75,42 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
 
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, band: float = BAND,
                 lg_k: int = LG_K, max_share: float = MAX_SHARE) -> DataFrame:
-    """``docs`` with cleaned texts and two more columns: ``_n_lines`` and ``_n_removed``."""
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    texts = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    found = written(boilerplate(texts, site, min_sites, band, lg_k).select("h1", "h2"), "boilerplate")
+    """(_row, _old, _new, _n_lines, _n_removed): each document's row, its text before and after, and counts."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(text.alias("text"), F.col(site).alias("site"))
+    found = written(boilerplate(texts, "site", min_sites, band, lg_k).select("h1", "h2"), "boilerplate")
     drop = (texts.select(*_text_key(F.col("text")), F.posexplode(_lines(F.col("text"))).alias("at", "line"))
             .filter(F.trim("line") != "")
             .select("k1", "k2", "at", *_line_key(F.col("line")))
             .join(found, ["h1", "h2"])
             .groupBy("k1", "k2").agg(F.collect_set("at").alias("_drop")))
     drop = written(drop, "dropped-lines")
-    keyed = docs.withColumns({c: k for c, k in zip(("_k1", "_k2"), _text_key(F.coalesce("text", F.lit(""))))})
-    drop = drop.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
-    # the old text gets a name of its own: in a select, a name also means a column defined beside it
-    joined = keyed.join(drop, ["_k1", "_k2"], "left").withColumnRenamed("text", "_old")
-    lines = _lines(F.coalesce("_old", F.lit("")))
+    rows = packed(docs).withColumn("_old", F.coalesce(F.col("_row.text").cast("string"), F.lit("")))
+    rows = rows.select("*", *_text_key(F.col("_old"))).join(drop, ["k1", "k2"], "left")
+    lines = _lines(F.col("_old"))
     dropped = F.coalesce(F.aggregate(F.transform("_drop", lambda i: F.length(F.get(lines, i))), F.lit(0),
                                      lambda s, n: s + n), F.lit(0))
     removes = F.col("_drop").isNotNull() & (dropped <= max_share * F.length("_old"))
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_drop", i)), "\n")
-    return joined.select(
-        *[F.when(removes, kept).otherwise(F.col("_old")).alias("text") if c == "text" else F.col(c)
-          for c in docs.columns],
-        F.size(lines).cast("bigint").alias("_n_lines"),
-        F.when(removes, F.size("_drop")).otherwise(0).cast("bigint").alias("_n_removed"))
+    return rows.select("_row", "_old", F.when(removes, kept).otherwise(F.col("_old")).alias("_new"),
+                       F.size(lines).cast("bigint").alias("_n_lines"),
+                       F.when(removes, F.size("_drop")).otherwise(0).cast("bigint").alias("_n_removed"))
 
 
 def line_report(docs: DataFrame, **kw) -> DataFrame:
     """One row per document: doc_id, lines, lines removed, cleaned text."""
     return dedup_lines(docs.select("doc_id", "text", "source"), **kw).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_n_lines").alias("n_lines"),
-        F.col("_n_removed").alias("n_removed"), F.coalesce("text", F.lit("")).alias("text"))
+        F.col("_row.doc_id").cast("bigint").alias("doc_id"), F.col("_n_lines").alias("n_lines"),
+        F.col("_n_removed").alias("n_removed"), F.col("_new").alias("text"))
 
 
 def clean_lines(docs: DataFrame, **kw) -> DataFrame:
-    """The rows and columns of ``docs``, texts without boilerplate lines; ``n_chars`` follows."""
-    out = dedup_lines(docs, **kw)
+    """The rows and columns of ``docs``, texts without boilerplate lines; ``n_chars`` follows. Others are unchanged."""
+    hit = F.col("_n_removed") > 0
+    changed = {"text": F.when(hit, F.col("_new")).otherwise(F.col("_row.text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-                             .cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(hit, F.length("_new")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return dedup_lines(docs, **kw).select(*unpacked(docs.columns, **changed))
 
 
 def oracle_sql(min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> str:

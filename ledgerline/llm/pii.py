@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import written
+from ledgerline.llm.common import packed, written
 
 # Titles by gender, given names by gender and script.
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа"],
@@ -160,15 +160,14 @@ def surrogate_attempts(found: DataFrame, key: str) -> DataFrame:
 
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with surrogates in the texts, and ``_entities``: the kinds found, in order of place."""
-    docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    found = written(find_entities(docs), "text-entities")
+    """(_row, _new, _entities): each document's row, its text with surrogates, and the kinds found in order of place."""
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = written(find_entities(texts), "text-entities")
     later = surrogate_attempts(found, key)
     tries = written(found.join(later, ["kind", "canonical"]).groupBy("k1", "k2")
                     .agg(F.collect_set(F.struct("entity", "attempt")).alias("_tries")), "later-attempts")
-    keyed = docs.withColumns({c: k for c, k in zip(("_k1", "_k2"), _text_key(F.col("text")))})
-    joined = keyed.join(tries.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"], "left")
-    joined = joined.withColumnRenamed("text", "_old")  # in a select, a name also means a column defined beside it
+    rows = packed(docs).withColumn("_old", F.coalesce(F.col("_row.text").cast("string"), F.lit("")))
+    rows = rows.select("*", *_text_key(F.col("_old"))).join(tries, ["k1", "k2"], "left")
     entities = _entities(F.col("_old"))
 
     def new(e: Column) -> Column:
@@ -177,10 +176,8 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
 
     between = F.split("_old", ENTITY, -1)
     parts = F.zip_with(between, F.transform(entities, new), lambda b, e: F.concat(b, F.coalesce(e, F.lit(""))))
-    return joined.select(
-        *[F.when(F.size(entities) > 0, F.array_join(parts, "")).otherwise(F.col("_old")).alias("text") if c == "text"
-          else F.col(c) for c in docs.columns],
-        F.transform(entities, kind_of).alias("_entities"))
+    return rows.select("_row", F.when(F.size(entities) > 0, F.array_join(parts, "")).otherwise(F.col("_old")).alias("_new"),
+                       F.transform(entities, kind_of).alias("_entities"))
 
 
 def pii_report(docs: DataFrame, key: str) -> DataFrame:
@@ -188,5 +185,5 @@ def pii_report(docs: DataFrame, key: str) -> DataFrame:
     out = replace_entities(docs.select("doc_id", "text"), key)
     counts = [(F.size("_entities") - F.size(F.array_remove("_entities", kind))).cast("bigint").alias(f"n_{kind}")
               for kind in PATTERNS]
-    return out.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                      F.size("_entities").cast("bigint").alias("n_entities"), *counts, "text")
+    return out.select(F.col("_row.doc_id").cast("bigint").alias("doc_id"),
+                      F.size("_entities").cast("bigint").alias("n_entities"), *counts, F.col("_new").alias("text"))
