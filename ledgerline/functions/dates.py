@@ -55,8 +55,10 @@ def calendar(spark: SparkSession, start: str | _dt.date, end: str | _dt.date) ->
 
 
 def parse_uk_date(c: Column) -> Column:
-    """``dd/mm/yyyy`` text to date; blank to null; malformed to null (caller splits rejects)."""
-    return F.try_to_date(F.nullif(F.trim(c), F.lit("")), "dd/MM/yyyy")
+    """Day/month/year text (one or two digits, four for the year) to date; blank or malformed to null
+    (the caller splits rejects)."""
+    text = F.trim(c)
+    return F.when(text.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), F.try_to_date(text, "d/M/yyyy"))
 
 
 def month_ends_between(start: Column, end: Column) -> Column:

@@ -28,17 +28,17 @@ REFERENCE_RULES = [
 REGULAR_SAVER = ("CONTRIBUTION", "Regular", "REJECTED", "Regular saver rejected")
 OTHER_TYPE = "OTHER"
 NOT_AVAILABLE = "n/a"
+NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 FUND_NAME_PATTERN = r"^(.+?)\s*\(GBP\)"
 SLUG_MAX = 40
 NUMBER_IN_TEXT = r"£?([\d,]+(?:\.\d+)?)\s*%?"
 
 
 def parse_number(c: Column) -> Column:
-    """Strip spaces, quotes and thousands separators; blank or 'n/a' -> null; else double (bad -> null)."""
+    """Strip spaces, quotes and thousands separators; decimal numbers to double, all else (blank, 'n/a', bad) to null."""
     # quote stripping and comma removal are character operations, not regexes
     s = F.translate(F.btrim(F.trim(c), F.lit('"')), ",", "")
-    return F.when((s == "") | (F.lower(s) == NOT_AVAILABLE) | s.isNull(), F.lit(None).cast("double")) \
-        .otherwise(s.try_cast("double"))
+    return F.when(s.rlike(NUMBER), s.try_cast("double"))
 
 
 def classify_transaction(reference: Column, value: Column) -> Column:

@@ -9,6 +9,8 @@ partition.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +85,13 @@ def align_series(df: DataFrame, series: list[str], key: str = "series", date: st
     return wide
 
 
+# Nodes that a parsed query may consist of.
+QUERY_NODES = ("Project", "Filter", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union",
+               "Intersect", "Except", "Window", "WithWindowDefinition", "UnresolvedWith", "UnresolvedRelation",
+               "UnresolvedHaving", "UnresolvedInlineTable", "UnresolvedSubqueryColumnAliases", "SubqueryAlias",
+               "OneRowRelation", "LateralJoin", "Pivot", "Unpivot", "CTE")
+
+
 class Derived(Serving):
     # ------------------------------------------------------------ E10 + G3 + I34
     def rebased_comparison(self, account: str, rebase_month: str, index_ids: list[str]) -> DataFrame:
@@ -216,11 +225,28 @@ class Derived(Serving):
         }
         for name, df in views.items():
             df.createOrReplaceTempView(name)
+        self.view_names = set(views)
 
     def adhoc_select(self, sql: str) -> DataFrame:
-        """A read-only SELECT over the mart/dim views, first 200 rows."""
-        head = sql.lstrip().split(None, 1)[0].upper() if sql.strip() else ""
-        if head not in ("SELECT", "WITH"):
-            raise ValueError("only SELECT statements are allowed")
+        """A read-only SELECT over the mart/dim views, first 200 rows.
+
+        The statement is parsed by Spark before anything runs. Every node of the parsed plan, subqueries
+        included, must be a query node, and every relation a registered view or a name that WITH defines.
+        """
+        from pyspark.errors import ParseException
         self.register_views()
+        try:
+            tree = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
+        except ParseException as e:
+            raise ValueError("not a SELECT statement") from e
+        nodes = [re.sub(r"^[\s:+\-]*'?", "", line) for line in tree.splitlines()]
+        for node in filter(None, nodes):
+            if not re.match(rf"({'|'.join(QUERY_NODES)})\b", node):
+                raise ValueError(f"only SELECT statements are allowed, not {node.split()[0]}")
+        named = {n.strip() for x in re.findall(r"CTE \[([^\]]*)\]", tree) for n in x.split(",")}
+        for relation in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree):
+            if relation not in self.view_names | named:
+                raise ValueError(f"{relation} is not one of the views")
+        if re.search(r"\b(try_)?(reflect|java_method)\(", tree):
+            raise ValueError("only SQL functions are allowed")
         return self.spark.sql(sql).limit(ADHOC_ROW_CAP)

@@ -31,9 +31,10 @@ SQL_ID = ("md5(account_id || '|' || strftime(trade_date, '%Y-%m-%d') || '|' || r
 
 
 def _landed_csv(p):
-    spark = p.spark
-    root = B.scratch_path(spark, "broker-csv")
-    return B.write_broker_csv(p.raw.transactions, root)
+    """The fixture's export, written once per model set."""
+    if not hasattr(p, "_broker_csv"):
+        p._broker_csv = B.write_broker_csv(p.raw.transactions, B.scratch_path(p.spark, "broker-csv"))
+    return p._broker_csv
 
 
 def _scan(p):
@@ -73,7 +74,7 @@ SELECT {SQL_ID} AS id, account_id, fund_id, trade_date, settle_date, reference,
        transaction_subtype, unit_cost_pence, quantity, value_gbp
 FROM raw_transactions""")
 def ingest_transactions(p):
-    tx, _ = B.ingest_transactions(_scan(p), p.raw.funds)
+    tx, _ = B.ingest_transactions(_scan(p), p.raw.funds, p.raw.accounts)
     return tx.drop("source_file")
 
 
@@ -106,7 +107,7 @@ def _two_runs(p):
     order = ["settle_date", "raw_description", "quantity"]      # ascending, nulls first
     run1 = tx.filter(F.col("trade_date") < F.lit(FIRST_BATCH_BEFORE).cast("date"))
     _, table1 = W.insert_or_ignore(None, run1, ["id"], order)
-    new2, table2 = W.insert_or_ignore(table1, tx, ["id"], order)
+    new2, table2 = W.insert_or_ignore(table1, tx, ["id"], order, prune_by="trade_date")
     return tx, new2, table2
 
 
@@ -130,14 +131,12 @@ def insert_or_ignore(p):
     FROM (SELECT account_id, count(*) AS processed FROM ing GROUP BY 1) a
     LEFT JOIN (SELECT account_id, count(*) AS inserted FROM ded WHERE trade_date >= DATE '{FIRST_BATCH_BEFORE}'
                GROUP BY 1) b ON b.account_id = a.account_id)
-SELECT account_id, processed, inserted, processed - inserted AS skipped FROM per
+SELECT account_id, processed, inserted, processed - inserted AS skipped, CAST(0 AS BIGINT) AS rejected FROM per
 UNION ALL
-SELECT 'TOTAL', sum(processed), sum(inserted), sum(processed - inserted) FROM per""")
+SELECT 'TOTAL', sum(processed), sum(inserted), sum(processed - inserted), 0 FROM per""")
 def ingest_counts(p):
     batch, new2, _ = _two_runs(p)
-    c = B.ingest_counts(batch, new2, "account_id")
-    return c.select("account_id", F.col("processed").cast("bigint").alias("processed"),
-                    F.col("inserted").cast("bigint").alias("inserted"), F.col("skipped").cast("bigint").alias("skipped"))
+    return B.ingest_counts(batch, new2, "account_id")
 
 
 @register("ingest_audit_log", oracle=_DEDUPED + f"""
@@ -178,7 +177,51 @@ def quarantine_rejects(p):
          .alias("raw_description"))
     root = B.write_broker_csv(faulted, B.scratch_path(p.spark, "broker-csv-faults"))
     _, rejects = B.ingest_transactions(B.scan_broker_csv(p.spark, root), p.raw.funds)
-    return rejects.drop("source_file")
+    return rejects.drop("source_file", "severity", "raw_line")
+
+
+# The export's rows in the shapes that real files have: an eighth column in front of the value, day and month
+# without leading zeros, ISO dates, rows with only the mandatory cells, header words inside descriptions, an
+# account that nobody opened.
+_MESSY = """
+, messy AS (
+    SELECT *, CASE WHEN account_id = (SELECT max(id) FROM raw_accounts) THEN 'unknown account'
+                   WHEN length(reference) % 5 = 1 THEN 'unparseable trade date' END AS reason
+    FROM raw_transactions)"""
+
+
+@register("ingest_messy_exports", oracle=_MESSY + f"""
+SELECT 'inserted' AS outcome, account_id, count(DISTINCT {SQL_ID}) AS n_rows FROM messy WHERE reason IS NULL GROUP BY 2
+UNION ALL
+SELECT 'skipped', account_id, count(*) - count(DISTINCT {SQL_ID}) FROM messy WHERE reason IS NULL GROUP BY 2
+UNION ALL
+SELECT reason, account_id, count(*) FROM messy WHERE reason IS NOT NULL GROUP BY 1, 2""")
+def ingest_messy_exports(p):
+    """Every line of oddly shaped files ends up inserted, skipped or rejected with a reason."""
+    t = p.raw.transactions
+    iso = F.length("reference") % 5 == 1
+    plain = F.concat_ws("/", F.dayofmonth("trade_date"), F.month("trade_date"), F.year("trade_date"))
+    cash = F.col("quantity").isNull()
+    na = F.when(cash, F.lit(None)).otherwise(F.lit("n/a"))
+    out = t.select(
+        "account_id", F.when(iso, F.date_format("trade_date", "yyyy-MM-dd")).otherwise(plain).alias("Trade date"),
+        F.lit(None).cast("string").alias("Settle date"), F.col("reference").alias("Reference"),
+        F.when(cash, F.lit(None)).otherwise(F.concat(F.lit("adjusted trade date, reference "), "raw_description")).alias("Description"),
+        na.alias("Unit cost (p)"), F.format_string("%.0f", "quantity").alias("Quantity"), F.lit("GBP").alias("Currency"),
+        F.format_number("value_gbp", 2).alias("Value (£)"))
+    out = out.withColumn("Quantity", F.when(cash, F.lit(None)).otherwise(F.col("Quantity")))
+    root = B.scratch_path(p.spark, "messy-csv")
+    (out.write.partitionBy("account_id").option("header", True).option("encoding", B.ENCODING).option("escape", '"')
+     .csv(root))
+    last = F.lit(p.raw.accounts.agg(F.max("id")).first()[0])
+    rows, rejects = B.ingest_transactions(B.scan_broker_csv(p.spark, root), p.raw.funds, p.raw.accounts.filter(F.col("id") != last))
+    rejects = rejects.filter(F.col("severity") == B.REJECTED)
+    new, _ = W.insert_or_ignore(None, rows, ["id"], ["settle_date", "raw_description", "quantity"])
+    per = B.ingest_counts(rows, new, "account_id").filter(F.col("account_id") != "TOTAL")
+    ok = per.select(F.explode(F.array(F.struct(F.lit("inserted").alias("outcome"), F.col("inserted").alias("n_rows")),
+                                      F.struct(F.lit("skipped").alias("outcome"), F.col("skipped").alias("n_rows")))).alias("o"), "account_id")
+    return ok.select("o.outcome", "account_id", "o.n_rows").unionByName(
+        rejects.groupBy(F.col("reject_reason").alias("outcome"), "account_id").agg(F.count(F.lit(1)).alias("n_rows")))
 
 
 # ---------------------------------------------------------------- fund reference

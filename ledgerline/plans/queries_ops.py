@@ -20,6 +20,7 @@ from ledgerline.plans.queries_serving import ACCOUNT_A, AS_OF, SERIES_FROM
 from ledgerline.plans.returns import ratio
 from ledgerline.plans.star import (BUY_SIDE, FUND, INFLOW_TYPES, OPEN_UNITS, SELL_SIDE, SHOWN_UNITS, money,
                                    signed_units)
+from ledgerline.plans.queries_ingest import _scan
 from ledgerline.sources import broker_csv as B
 
 RANGE_FROM, RANGE_TO = "1998-01-01", "1998-12-31"
@@ -100,8 +101,7 @@ def open_position_filter(p):
 
 
 def _scanned(p):
-    root = B.write_broker_csv(p.raw.transactions, B.scratch_path(p.spark, "broker-csv"))
-    return B.parse_broker_rows(B.scan_broker_csv(p.spark, root))
+    return B.parse_broker_rows(_scan(p))
 
 
 @register("parse_uk_date", oracle="SELECT account_id, reference, trade_date, settle_date FROM raw_transactions")

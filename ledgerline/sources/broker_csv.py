@@ -1,15 +1,16 @@
 """Broker transaction CSV ingestion.
 
-Layout of a broker export: a few metadata lines, one header line, then data
-lines (``dd/mm/yyyy`` dates, quoted thousands-separated amounts, 'n/a' for
-missing numbers, ISO-8859-1 text). One folder per account.
-
-The scan never counts lines: every line is parsed as a 7-field CSV record in
-one splittable pass, header records are recognised by content and turned into
-a per-file column mapping (header names matched by case-insensitive
-substring, first rule wins), and data records are the ones whose mapped trade
-date looks like a date. So a file of any size is read in parallel splits and
-column order may differ between files.
+Layout of a broker export: some metadata lines, one header line, then data
+lines (UK dates, quoted thousands-separated amounts, 'n/a' for missing
+numbers, Windows-1252 text). One folder per account.
+
+Files are read as lines in parallel splits; a line's place is (block start,
+row in its split), so order within a file is known without counting lines.
+The header is the first line with a trade-date and a reference column. Every
+later line that isn't empty is data and ends up as a transaction or as a
+reject with its raw text and a reason: processed = inserted + skipped +
+rejected holds for each file. Rows may have any number of columns, in any
+order; header names are matched by case-insensitive substring, first rule wins.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerline.functions.dates import parse_uk_date
 from ledgerline.functions.keys import transaction_id
-from ledgerline.functions.text import classify_transaction, extract_fund_name, normalise_name, parse_number
+from ledgerline.functions.text import (NOT_AVAILABLE, classify_transaction, extract_fund_name, normalise_name,
+                                       parse_number)
+from ledgerline.operators.sizing import broadcast_if_small
 from ledgerline.session import checkpoint_dir
 
 # Fixed values of the broker export format.
@@ -37,13 +39,16 @@ HEADER_RULES = [  # (substring, internal name), checked in order; first match wi
     ("quantity", "quantity"),
 ]
 FIELDS = ["trade_date", "settle_date", "reference", "description", "unit_cost", "quantity", "value"]
-N_COLS = 7
-MIN_DATA_FIELDS = 4
-ENCODING = "ISO-8859-1"
-DATE_SHAPE = r"^\s*\d{2}/\d{2}/\d{4}\s*$"
+ENCODING = "ISO-8859-1"          # what Spark can write; exports are read as Windows-1252
 TRADE_TYPES = ("BUY", "SELL", "SWITCH_IN", "SWITCH_OUT")
+REJECTED, WARNING = "rejected", "warning"
+SALTS = 32
 
-RAW_SCHEMA = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(N_COLS)])
+# Windows-1252 differs from ISO-8859-1 in the printable characters at 0x80-0x9F.
+_CP1252 = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+# A cell with its leading comma: quoted (quotes doubled inside) or plain.
+CELL = r',("(?:[^"]++|"")*+"[^,]*+|[^,]*+)'
 
 
 def account_from_path(path: Column) -> Column:
@@ -66,60 +71,100 @@ def _header_name(h: Column) -> Column:
     return expr.otherwise(h)
 
 
-def read_raw_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every line of every file as a 7-field string record with its source file."""
-    return (spark.read.schema(RAW_SCHEMA).option("encoding", ENCODING).option("mode", "PERMISSIVE")
-            .option("quote", '"').option("escape", '"').option("recursiveFileLookup", "true").csv(path)
-            .withColumn("source_file", F.col("_metadata.file_path")))
-
-
-def named_records(raw: DataFrame) -> DataFrame:
-    """Raw records -> data records with named fields, using each file's own header record."""
-    cells = F.array(*[F.col(f"c{i}") for i in range(N_COLS)])
-    is_header = F.coalesce(F.exists(cells, lambda c: F.coalesce(F.lower(c).contains("trade date"), F.lit(False))),
-                           F.lit(False))
-    # one row per file: position of every internal field in that file's header
-    headers = (raw.filter(is_header)
-               .select("source_file", F.transform(cells, _header_name).alias("names"))
-               .groupBy("source_file").agg(F.first("names").alias("names")))
-    pos = [F.array_position(F.col("names"), f).cast("int").alias(f"p_{f}") for f in FIELDS]
-    headers = headers.select("source_file", *pos)
-    data = raw.filter(~is_header).join(headers, "source_file")
-    named = data.select(
+def cp1252_text(raw: Column) -> Column:
+    """Raw bytes of a line (as the text source gives them) read as Windows-1252."""
+    return F.translate(F.decode(raw.cast("binary"), ENCODING), "".join(_CP1252), "".join(_CP1252.values()))
+
+
+def csv_cells(line: Column) -> Column:
+    """The cells of one CSV line, however many; outer quotes removed, doubled ones undone."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), 1)
+    return F.transform(raw, lambda c: F.when(
+        c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"(?=[^"]*$)', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
+def file_lines(text: DataFrame) -> DataFrame:
+    """(line, source_file, pos) of a text source's rows; positions order the lines of a file."""
+    return text.select(
+        cp1252_text(F.col("value")).alias("line"), F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("block")) \
+        .select("line", "source_file", F.struct("block", F.monotonically_increasing_id().alias("row")).alias("pos"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    return file_lines(spark.read.option("recursiveFileLookup", "true").text(path))
+
+
+def file_headers(lines: DataFrame) -> DataFrame:
+    """One row per file: its header's position and the place of every internal field (0: none, last one wins)."""
+    low = F.lower("line")
+    names = (lines.filter(low.contains("trade date") & low.contains("reference"))
+             .select("source_file", "pos", F.transform(csv_cells(F.col("line")), _header_name).alias("names"))
+             .filter(F.array_contains("names", "trade_date") & F.array_contains("names", "reference"))
+             .groupBy("source_file").agg(F.min_by(F.struct("pos", "names"), "pos").alias("h")))
+
+    def place(f: str) -> Column:
+        back = F.array_position(F.reverse(F.col("h.names")), f)
+        return F.when(back > 0, F.size("h.names") - back + 1).otherwise(0).cast("int").alias(f"p_{f}")
+
+    return names.select("source_file", F.col("h.pos").alias("header_pos"), *[place(f) for f in FIELDS])
+
+
+def named_records(lines: DataFrame) -> DataFrame:
+    """Lines -> data records with named fields, each by its file's header; files without one keep the raw line only.
+
+    The header map (a row per file) is written once and broadcast if its measured size allows; beyond that
+    both sides are joined on (file, salt), so that one large file is not one task.
+    """
+    spark = lines.sparkSession
+    path = scratch_path(spark, "broker-headers")
+    file_headers(lines).write.parquet(path)
+    headers, small = broadcast_if_small(spark.read.parquet(path))
+    if small:
+        joined = lines.join(headers, "source_file", "left")
+    else:
+        salted = headers.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = lines.withColumn("_salt", F.pmod(F.xxhash64("pos"), F.lit(SALTS)).cast("int")) \
+            .join(salted, ["source_file", "_salt"], "left")
+    data = joined.filter((F.trim("line") != "") & (F.col("header_pos").isNull() | (F.col("pos") > F.col("header_pos"))))
+    data = data.withColumn("_cells", csv_cells(F.col("line")))
+    return data.select(
         "source_file", account_from_path(F.col("source_file")).alias("account_id"),
-        *[F.when(F.col(f"p_{f}") > 0, F.element_at(cells, F.greatest(F.col(f"p_{f}"), F.lit(1))))
-          .alias(f) for f in FIELDS], cells.alias("_cells"))
-    cells = F.col("_cells")
-    # metadata lines hold at most two fields (e.g. "Valuation date,01/03/2024", which could pass for a
-    # trade date in a file whose date column is second); a data line has a date, a reference, a value
-    # or 'n/a' and a quantity or 'n/a'
-    filled = F.size(F.filter(cells, lambda c: c.isNotNull()))
-    return named.filter(F.col("trade_date").rlike(DATE_SHAPE) & (filled >= MIN_DATA_FIELDS)).drop("_cells")
+        *[F.when(F.col(f"p_{f}") > 0, F.get(F.col("_cells"), F.col(f"p_{f}") - 1)).alias(f) for f in FIELDS],
+        F.col("line").alias("raw_line"), F.col("header_pos").isNotNull().alias("has_header"))
 
 
 def scan_broker_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A1: raw data records with named string fields, source file and account."""
-    return named_records(read_raw_records(spark, path))
+    """A1: raw data records with named string fields, source file, account and raw line."""
+    return named_records(read_lines(spark, path))
+
+
+def _given(cell: str) -> Column:
+    text = F.lower(F.trim(cell))
+    return F.coalesce((text != "") & (text != NOT_AVAILABLE), F.lit(False))
 
 
 def parse_broker_rows(rows: DataFrame) -> DataFrame:
     """Typed columns, transaction class and a reject reason."""
-    value = parse_number(F.col("value"))
+    value, date = parse_number(F.col("value")), parse_uk_date(F.col("trade_date"))
     typed = rows.select(
         "source_file", "account_id",
-        parse_uk_date(F.col("trade_date")).alias("trade_date"),
+        date.alias("trade_date"),
         parse_uk_date(F.col("settle_date")).alias("settle_date"),
         F.trim("reference").alias("reference"),
         F.trim("description").alias("raw_description"),
         parse_number(F.col("unit_cost")).alias("unit_cost_pence"),
         parse_number(F.col("quantity")).alias("quantity"),
         value.alias("value_gbp"),
-        F.when(value.isNull(), F.lit("unparseable value"))
-         .when(parse_uk_date(F.col("trade_date")).isNull(), F.lit("unparseable trade date"))
-         .when(F.trim("settle_date").isNotNull() & (F.trim("settle_date") != "")
-               & parse_uk_date(F.col("settle_date")).isNull(), F.lit("unparseable settle date"))
-         .alias("reject_reason"))
-    cls = classify_transaction(F.col("reference"), F.col("value_gbp"))
+        F.when(~F.col("has_header"), F.lit("no header line"))
+         .when(value.isNull(), F.lit("unparseable value"))
+         .when(date.isNull(), F.lit("unparseable trade date"))
+         .when(F.coalesce(F.trim("settle_date") != "", F.lit(False)) & parse_uk_date(F.col("settle_date")).isNull(),
+               F.lit("unparseable settle date"))
+         .when(_given("unit_cost") & parse_number(F.col("unit_cost")).isNull(), F.lit("unparseable unit cost"))
+         .when(_given("quantity") & parse_number(F.col("quantity")).isNull(), F.lit("unparseable quantity"))
+         .alias("reject_reason"), "raw_line")
+    cls = classify_transaction(F.coalesce("reference", F.lit("")), F.col("value_gbp"))
     return typed.withColumn("_cls", cls).select("*", "_cls.*").drop("_cls")
 
 
@@ -129,41 +174,57 @@ def fund_lookup(funds: DataFrame) -> DataFrame:
             .groupBy("_name_key").agg(F.max("_fund_id").alias("_fund_id")))
 
 
-def ingest_transactions(rows: DataFrame, funds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parsed rows -> (transactions in the source table's shape, rejects with reasons).
+def ingest_transactions(rows: DataFrame, funds: DataFrame, accounts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Parsed rows -> (transactions in the source table's shape, rejects and warnings with reasons).
 
-    Trades get a fund id by name (null when unmatched: kept, reported as a
-    warning row); the id is the content hash, so a re-ingested row keeps its id.
+    With ``accounts`` given, rows of an account that isn't among them are rejected. Trades get a fund id by
+    name (null when unmatched: kept, reported as a warning row); the id is the content hash, so a
+    re-ingested row keeps its id.
     """
     parsed = parse_broker_rows(rows)
-    rejects = parsed.filter(F.col("reject_reason").isNotNull())
+    if accounts is not None:
+        known, _ = broadcast_if_small(accounts.select(F.col("id").alias("account_id"), F.lit(True).alias("_known")).distinct())
+        parsed = parsed.join(known, "account_id", "left").withColumn(
+            "reject_reason", F.coalesce("reject_reason", F.when(F.col("_known").isNull(), F.lit("unknown account")))).drop("_known")
+    rejects = parsed.filter(F.col("reject_reason").isNotNull()).withColumn("severity", F.lit(REJECTED))
     good = parsed.filter(F.col("reject_reason").isNull())
     is_trade = F.col("transaction_type").isin(*TRADE_TYPES) & (F.col("raw_description") != "")
     good = good.withColumn("_name_key", F.when(is_trade, normalise_name(extract_fund_name(F.col("raw_description")))))
-    matched = good.join(fund_lookup(funds), "_name_key", "left")
+    lookup, _ = broadcast_if_small(fund_lookup(funds))
+    matched = good.join(lookup, "_name_key", "left")
     tx = matched.select(
         transaction_id(F.col("account_id"), F.col("trade_date"), F.col("reference"), F.col("value_gbp")).alias("id"),
         "account_id", F.col("_fund_id").alias("fund_id"), "trade_date", "settle_date", "reference",
         "raw_description", "transaction_type", "transaction_subtype", "unit_cost_pence", "quantity", "value_gbp",
         "source_file")
+    report = ["source_file", "account_id", "trade_date", "reference", "raw_description", "reject_reason", "severity", "raw_line"]
     warnings = (matched.filter(is_trade & F.col("_fund_id").isNull())
-                .select("source_file", "account_id", "trade_date", "reference", "raw_description",
-                        F.lit("unmatched fund").alias("reject_reason")))
-    rejects = rejects.select("source_file", "account_id", "trade_date", "reference", "raw_description",
-                             "reject_reason").unionByName(warnings)
-    return tx, rejects
+                .withColumns({"reject_reason": F.lit("unmatched fund"), "severity": F.lit(WARNING)}))
+    return tx, rejects.select(*report).unionByName(warnings.select(*report))
 
 
-def ingest_counts(batch: DataFrame, inserted: DataFrame, by: str = "account_id") -> DataFrame:
-    """Processed / inserted / skipped per ``by`` (file or account) plus their total row."""
-    proc = batch.groupBy(by).agg(F.count(F.lit(1)).alias("processed"))
-    ins = inserted.groupBy(by).agg(F.count(F.lit(1)).alias("inserted"))
-    per = (proc.join(ins, by, "left")
-           .select(by, "processed", F.coalesce("inserted", F.lit(0)).cast("bigint").alias("inserted")))
-    per = per.withColumn("skipped", F.col("processed") - F.col("inserted"))
-    total = per.agg(F.lit("TOTAL").alias(by), F.sum("processed").alias("processed"),
-                    F.sum("inserted").alias("inserted"), F.sum("skipped").alias("skipped"))
-    return per.unionByName(total)
+def ingest_counts(batch: DataFrame, inserted: DataFrame, by: str = "source_file",
+                  rejects: DataFrame | None = None) -> DataFrame:
+    """processed = inserted + skipped + rejected per ``by`` (file or account), and a total row.
+
+    Partial counts of each side are united and summed: one aggregation, no join.
+    """
+    def count(df: DataFrame, what: str) -> DataFrame:
+        return df.groupBy(by).agg(F.count(F.lit(1)).alias(what))
+
+    parts = [count(batch, "accepted"), count(inserted, "inserted")]
+    if rejects is not None:
+        parts.append(count(rejects.filter(F.col("severity") == REJECTED), "rejected"))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p, allowMissingColumns=True)
+    if rejects is None:
+        both = both.withColumn("rejected", F.lit(0).cast("bigint"))
+    total = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("accepted", "inserted", "rejected")]
+    per = both.groupBy(by).agg(*total)
+    per = per.unionByName(per.agg(F.lit("TOTAL").alias(by), *[F.sum(c).alias(c) for c in ("accepted", "inserted", "rejected")]))
+    return per.select(by, (F.col("accepted") + F.col("rejected")).alias("processed"), "inserted",
+                      (F.col("accepted") - F.col("inserted")).alias("skipped"), "rejected")
 
 
 # --------------------------------------------------------------- fixture export
@@ -189,7 +250,7 @@ def write_broker_csv(transactions: DataFrame, root: str) -> str:
         F.coalesce(money_text(F.col("quantity")), na).alias(BROKER_HEADER[5]),
         money_text(F.col("value_gbp")).alias(BROKER_HEADER[6]))
     (out.write.mode("overwrite").partitionBy("account").option("header", True)
-     .option("encoding", ENCODING).option("emptyValue", "").csv(root))
+     .option("encoding", ENCODING).option("emptyValue", "").option("escape", '"').csv(root))
     return root
 
 

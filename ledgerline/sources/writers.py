@@ -8,6 +8,7 @@ append what is left. Re-running the same batch appends nothing.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,11 +42,19 @@ def dedupe_first(batch: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def insert_or_ignore(target: DataFrame | None, batch: DataFrame, keys: Sequence[str],
-                     order: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """A10: (rows to append, target after the append). Existing keys win."""
+                     order: Sequence[str] | None = None, prune_by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A10: (rows to append, target after the append). Existing keys win.
+
+    ``prune_by`` names a date column that is a function of the key (a transaction's id holds its trade date):
+    only target rows between the batch's first and last such date can repeat a key, so only they are read.
+    """
     new = dedupe_first(batch, keys, list(order) if order else [])
     if target is not None:
-        new = new.join(target.select(*keys), list(keys), "left_anti")
+        held = target
+        if prune_by:
+            lo, hi = batch.agg(F.min(prune_by), F.max(prune_by)).first()
+            held = target.filter(F.col(prune_by).between(F.lit(lo), F.lit(hi)))
+        new = new.join(held.select(*keys), list(keys), "left_anti")
         return new, target.unionByName(new.select(*target.columns))
     return new, new
 
@@ -70,8 +79,19 @@ def audit_row(spark: SparkSession, run_at: _dt.datetime, source: str, rows_inser
                       F.lit(status).alias("status"), F.lit(detail).cast("string").alias("detail"))
 
 
-def append_audit(log_path: str, row: DataFrame) -> None:
-    row.write.mode("append").parquet(log_path)
+def append_audit(log_path: str, row: DataFrame, run: str | None = None) -> None:
+    """Append an audit row; with ``run`` given, a repeated run replaces its own row."""
+    if run is None:
+        row.write.mode("append").parquet(log_path)
+    else:
+        row.write.mode("overwrite").parquet(f"{log_path.rstrip('/')}/run={run}")
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, asked of the file system itself: other errors are not taken for a missing table."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = (), sort_within: Sequence[str] = ()) -> DataFrame:
@@ -81,7 +101,7 @@ def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = (), sort
     the raw sources) and lets downstream models prune partitions.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex[:12]}/{name}"   # a folder of its own each time
     w = df
     if sort_within:
         w = w.sortWithinPartitions(*sort_within)

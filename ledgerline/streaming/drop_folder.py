@@ -9,16 +9,21 @@ anti-joined against the target table before they are written. A micro-batch
 replayed after a failure (the checkpoint records it as not committed) appends
 nothing twice, so the sink is effectively exactly-once. Late files are fine:
 the key is content-based, not time-based, so no watermark is needed.
+
+Beside the target, each batch writes its rejects and warnings, its counts per
+file and one audit row (success or failure) under its own batch number, so a
+replayed batch replaces what it wrote.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from ledgerline.sources import broker_csv as B
-from ledgerline.sources.writers import dedupe_first
+from ledgerline.sources.writers import append_audit, audit_row, dedupe_first, table_exists
 
 PARTITION_COL = "trade_month"
 # Deterministic winner among rows with the same content id: smallest (ascending, nulls first).
@@ -26,28 +31,50 @@ TX_ORDER = ["settle_date", "raw_description", "quantity"]
 
 
 def start_drop_folder_ingest(spark: SparkSession, drop_dir: str, target_dir: str, checkpoint: str,
-                             funds: DataFrame, available_now: bool = True):
-    """Start the stream; returns the StreamingQuery (call ``awaitTermination`` for availableNow)."""
-    stream = (spark.readStream.schema(B.RAW_SCHEMA).option("encoding", B.ENCODING)
-              .option("quote", '"').option("escape", '"').option("recursiveFileLookup", "true")
-              .csv(drop_dir).withColumn("source_file", F.col("_metadata.file_path")))
+                             funds: DataFrame, available_now: bool = True, report_dir: str | None = None,
+                             accounts: DataFrame | None = None):
+    """Start the stream; returns the StreamingQuery (call ``awaitTermination`` for availableNow).
+
+    ``report_dir`` (default: beside the target) gets ``rejects``, ``counts`` and ``audit``.
+    """
+    report = (report_dir or f"{target_dir.rstrip('/')}-report").rstrip("/")
+    stream = (spark.readStream.format("text").option("recursiveFileLookup", "true").load(drop_dir)
+              .select("value", F.col("_metadata.file_path").alias("source_file"),
+                      F.col("_metadata.file_block_start").alias("block")))
+
+    def ingest(batch: DataFrame, epoch_id: int) -> int:
+        lines = batch.select(B.cp1252_text(F.col("value")).alias("line"), "source_file",
+                             F.struct("block", F.monotonically_increasing_id().alias("row")).alias("pos"))
+        rows, rejects = B.ingest_transactions(B.named_records(lines), funds, accounts)
+        tx = dedupe_first(rows, ["id"], TX_ORDER).withColumn(PARTITION_COL, F.date_format("trade_date", "yyyy-MM")).persist()
+        try:
+            # The id hashes the trade date, so a duplicate can only sit in the same trade month:
+            # read just the target partitions this batch touches (a list bounded by the calendar).
+            months = [r[0] for r in tx.select(PARTITION_COL).distinct().collect()]
+            new = tx
+            if table_exists(spark, target_dir):
+                held = spark.read.parquet(target_dir).filter(F.col(PARTITION_COL).isin(months)).select("id")
+                new = tx.join(held, "id", "left_anti")
+            # the report first: once the target has grown, the batch's new rows can no longer be told from old ones
+            rejects.write.mode("overwrite").parquet(f"{report}/rejects/batch={epoch_id}")
+            counts = f"{report}/counts/batch={epoch_id}"
+            B.ingest_counts(rows, new, "source_file", rejects).write.mode("overwrite").parquet(counts)
+            # few files per month, and a month with many rows is split
+            (new.drop("source_file").hint("rebalance", PARTITION_COL).write.mode("append")
+             .partitionBy(PARTITION_COL).parquet(target_dir))
+            return int(spark.read.parquet(counts).filter(F.col("source_file") == "TOTAL").first()["inserted"])
+        finally:
+            tx.unpersist()
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        tx, _ = B.ingest_transactions(B.named_records(batch), funds)
-        tx = dedupe_first(tx.drop("source_file"), ["id"], TX_ORDER) \
-            .withColumn(PARTITION_COL, F.date_format("trade_date", "yyyy-MM")).persist()
-        # The id hashes the trade date, so a duplicate can only sit in the same trade month:
-        # read just the target partitions this batch touches (a list bounded by the calendar).
-        months = [r[0] for r in tx.select(PARTITION_COL).distinct().collect()]
+        def log(rows: int, status: str, detail: str | None) -> None:
+            append_audit(f"{report}/audit", audit_row(spark, _dt.datetime.now(_dt.timezone.utc), "transactions", rows,
+                                                      status, detail), run=f"{epoch_id}-{status}")
         try:
-            existing = (spark.read.parquet(target_dir).filter(F.col(PARTITION_COL).isin(months))
-                        .select("id"))
-        except AnalysisException:      # first batch ever: the target does not exist yet
-            existing = None
-        # one writer per month touched (not one file per task and month)
-        new = tx.join(existing, "id", "left_anti") if existing is not None else tx
-        new.repartition(PARTITION_COL).write.mode("append").partitionBy(PARTITION_COL).parquet(target_dir)
-        tx.unpersist()
+            log(ingest(batch, epoch_id), "success", None)
+        except Exception as error:
+            log(0, "failure", str(error)[:1000])
+            raise
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

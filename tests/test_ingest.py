@@ -69,6 +69,63 @@ def test_insert_or_ignore_is_idempotent_and_counts(spark):
     assert counts == {"ISA": (4, 3, 1), "SIPP": (2, 2, 0), "TOTAL": (6, 5, 1)}
 
 
+def test_every_line_is_counted(spark):
+    """Odd shapes end up as transactions or rejects; processed = inserted + skipped + rejected for each file."""
+    root = tempfile.mkdtemp(prefix="broker-")
+    _write(f"{root}/ISA/odd.csv", META +
+           "Trade date,Settle date,Reference,Description,Unit cost (p),Quantity,Currency,Value (£)\n"
+           "02/02/2024,,FPC,,,,GBP,500.00\n"                                           # sparse
+           "1/3/2024,,B1,\"Fund Alpha (GBP) \"\"A\"\" trade date, reference note\",1,1,GBP,-1.50\n"
+           "2024-03-05,,FPC,x,,,GBP,1.00\n31/02/2024,,FPC,x,,,GBP,1.00\n,,FPC,x,,,GBP,1.00\n"
+           "03/02/2024,zz,FPC,x,,,GBP,1.00\n03/02/2024,,FPC,x,,,GBP,oops\n03/02/2024,,FPC,x,abc,,GBP,1\n"
+           "03/02/2024,,,no reference,,,GBP,2.00\n\n   \n,,,,,,,\n"
+           "02/02/2024,,FPC,,,,GBP,500.00\n04/02/2024,,FPC,caf\u00e9 \u20ac5 \u2013 ok,,,GBP,1.004\n"
+           "04/02/2024,,FPC,short row\n")
+    _write(f"{root}/ISA/none.csv", "no header here\nat all\n")
+    _write(f"{root}/Other/a.csv", META + HEADER + "02/02/2024,,FPC,x,,,1.00\n")
+    accounts = spark.createDataFrame([("ISA",)], "id string")
+    tx, rejects = B.ingest_transactions(B.scan_broker_csv(spark, root), _funds(spark), accounts)
+    new, _ = W.insert_or_ignore(None, tx, ["id"])
+    counts = {r.source_file.split("/")[-1]: (r.processed, r.inserted, r.skipped, r.rejected)
+              for r in B.ingest_counts(tx, new, "source_file", rejects).collect()}
+    assert counts == {"odd.csv": (13, 4, 1, 8), "none.csv": (2, 0, 0, 2), "a.csv": (1, 0, 0, 1), "TOTAL": (16, 4, 1, 11)}
+    reasons = sorted(r.reject_reason for r in rejects.collect())
+    assert reasons == sorted(["unparseable trade date"] * 3 + ["unparseable settle date", "unparseable unit cost"]
+                             + ["unparseable value"] * 3 + ["no header line"] * 2 + ["unknown account"])
+    got = {r.reference: r for r in new.collect() if r.reference != "FPC"}
+    assert got["B1"].trade_date == dt.date(2024, 3, 1) and got["B1"].fund_id == "FUND_A"
+    assert got["B1"].raw_description == 'Fund Alpha (GBP) "A" trade date, reference note'
+    assert any(r.raw_description == "caf\u00e9 \u20ac5 \u2013 ok" and r.value_gbp == 1.004 for r in new.collect())
+    assert all(r.raw_line for r in rejects.collect())
+
+
+def test_salted_header_join_equals_broadcast(spark, monkeypatch):
+    root = _landing()
+    want = sorted(map(str, B.scan_broker_csv(spark, root).collect()))
+    monkeypatch.setattr(B, "broadcast_if_small", lambda df: (df, False))
+    assert sorted(map(str, B.scan_broker_csv(spark, root).collect())) == want
+
+
+def test_transaction_id_equals_hashlib(spark):
+    import hashlib
+    import random
+    rnd = random.Random(1)
+    values = [0.0, 1.0, -1000.0, 0.1, 2.5, 1.001, 1.004, 1e15, 123456789012345.67, 1e16, 1.5e22, 1e-4, 0.00012, 9.9e-5, 1e-7,
+              -2.2737367544323206e-13, 5e-324, 1.7976931348623157e308, 2e-3, 1e23, 100.0, 1e100]
+    values += [rnd.uniform(-1, 1) * 10 ** rnd.randint(-12, 20) for _ in range(200)]
+    rows = [("acc", dt.date(2024, 1, 2), ref, v) for v in values for ref in ("B1", None, "")]
+    df = spark.createDataFrame(rows, "a string, d date, r string, v double")
+    from ledgerline.functions.keys import transaction_id
+    for r in df.select("*", transaction_id(F.col("a"), F.col("d"), F.col("r"), F.col("v")).alias("id")).collect():
+        assert r.id == hashlib.md5(f"{r.a}|{r.d}|{r.r or ''}|{r.v}".encode()).hexdigest(), r.v
+
+
+def test_materialise_keeps_earlier_tables(spark):
+    one = W.materialise(spark.range(3), "same_name")
+    two = W.materialise(spark.range(5), "same_name")
+    assert (one.count(), two.count()) == (3, 5)
+
+
 def test_upsert_replace_last_write_wins(spark):
     t = spark.createDataFrame([("A", "old"), ("B", "keep")], "id string, name string")
     b = spark.createDataFrame([("A", "new"), ("C", "add")], "id string, name string")

@@ -43,10 +43,45 @@ def test_drop_folder_stream_is_idempotent(spark):
         dst.write(src.read())
     start_drop_folder_ingest(spark, drop, target, ckpt, _funds(spark)).awaitTermination()
     ids = [r.id for r in spark.read.parquet(target).collect()]
+    report = f"{target}-report"
+    rejected = spark.read.parquet(f"{report}/rejects").filter("severity = 'rejected'")
+    assert sorted(r.reject_reason for r in rejected.collect()) == ["unparseable value"] * 2     # one in each drop
+    counts = {(r.batch, r.source_file.split("/")[-2]): (r.processed, r.inserted, r.skipped, r.rejected)
+              for r in spark.read.parquet(f"{report}/counts").filter("source_file <> 'TOTAL'").collect()}
+    assert counts == {(0, "ISA"): (5, 3, 1, 1), (0, "SIPP"): (2, 2, 0, 0), (1, "ISA2"): (5, 3, 1, 1)}
+    audit = sorted((r.run, r.rows_inserted, r.status) for r in spark.read.parquet(f"{report}/audit").collect())
+    assert audit == [("0-success", 5, "success"), ("1-success", 3, "success")]
     # ISA2 is a different account folder, so its rows hash to new ids; ISA's do not repeat
     assert len(ids) == len(set(ids)) == 5 + 3
 
 
+def test_drop_folder_failure_is_audited(spark):
+    from ledgerline.streaming.drop_folder import start_drop_folder_ingest
+    target = tempfile.mkdtemp(prefix="target-") + "/tx"
+    bad = spark.createDataFrame([("x",)], "unexpected string")
+    query = start_drop_folder_ingest(spark, _landing(), target, tempfile.mkdtemp(prefix="ckpt-"), bad)
+    with pytest.raises(Exception):
+        query.awaitTermination()
+    row = spark.read.parquet(f"{target}-report/audit").first()
+    assert (row.status, row.rows_inserted) == ("failure", 0) and row.detail
+
+
+def test_adhoc_select_reads_views_only(spark, tmp_path):
+    import __spark_entry__ as E  # noqa: F401
+    from ledgerline.plans.catalog import build
+    p = build(spark, SMOKE_DIR)
+    assert p.adhoc_select("SELECT account_name, max(value_gbp) m FROM mart_holdings_latest GROUP BY 1").count() > 0
+    assert p.adhoc_select("WITH a AS (SELECT * FROM dim_fund) SELECT count(*) FROM a WHERE fund_id IN "
+                          "(SELECT fund_id FROM dim_fund)").count() == 1
+    for sql in (f"WITH a AS (SELECT 1 x) INSERT OVERWRITE DIRECTORY '{tmp_path}/o' USING parquet SELECT * FROM a",
+                f"SELECT count(*) FROM parquet.`{SMOKE_DIR}/orders.parquet`", "DROP VIEW dim_fund", "",
+                f"SELECT 1 WHERE EXISTS (SELECT 1 FROM parquet.`{SMOKE_DIR}/orders.parquet`)",
+                "SELECT reflect('java.lang.System', 'currentTimeMillis')", "SELECT * FROM no_such_view", "SELECT 1; SELECT 2"):
+        with pytest.raises(ValueError):
+            p.adhoc_select(sql)
+    assert not (tmp_path / "o").exists()
+
+
 def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
