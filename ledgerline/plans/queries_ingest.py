@@ -185,8 +185,8 @@ def quarantine_rejects(p):
 # account that nobody opened.
 _MESSY = """
 , messy AS (
-    SELECT *, CASE WHEN account_id = (SELECT max(id) FROM raw_accounts) THEN 'unknown account'
-                   WHEN length(reference) % 5 = 1 THEN 'unparseable trade date' END AS reason
+    SELECT *, CASE WHEN length(reference) % 5 = 1 THEN 'unparseable trade date'
+                   WHEN account_id = (SELECT max(id) FROM raw_accounts) THEN 'unknown account' END AS reason
     FROM raw_transactions)"""
 
 

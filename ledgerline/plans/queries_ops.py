@@ -16,7 +16,7 @@ from ledgerline.plans import catalog
 from ledgerline.plans.catalog import register
 from ledgerline.plans import queries_more as QM
 from ledgerline.plans.queries_more import REBASE_MONTH
-from ledgerline.plans.queries_serving import ACCOUNT_A, AS_OF, SERIES_FROM
+from ledgerline.plans.queries_serving import ACCOUNT_A, AS_OF, MONTH_RETURN, SERIES_FROM
 from ledgerline.plans.returns import ratio
 from ledgerline.plans.star import (BUY_SIDE, FUND, INFLOW_TYPES, OPEN_UNITS, SELL_SIDE, SHOWN_UNITS, money,
                                    signed_units)
@@ -84,9 +84,7 @@ def surrogate_key_q(p):
 SELECT * FROM portfolio_value_daily
 WHERE valuation_date BETWEEN DATE '{RANGE_FROM}' AND DATE '{RANGE_TO}' AND account_name = '{ACCOUNT_A}'""")
 def date_range_filter(p):
-    return p.portfolio_value_daily.filter(
-        F.col("valuation_date").between(F.lit(RANGE_FROM).cast("date"), F.lit(RANGE_TO).cast("date"))
-        & (F.col("account_name") == ACCOUNT_A))
+    return p.portfolio_value_between(RANGE_FROM, RANGE_TO).filter(F.col("account_name") == ACCOUNT_A)
 
 
 @register("open_position_filter", oracle=f"""
@@ -248,12 +246,8 @@ def external_inflows_monthly(p):
         money(F.sum("value_gbp")).alias("inflows_gbp"))
 
 
-@register("weighted_average", oracle=f"""
-SELECT month_end_date,
-       round(CASE WHEN sum(prev_month_end_value_gbp + 0.5 * month_inflows_gbp) = 0 THEN 0
-             ELSE sum(monthly_return * (prev_month_end_value_gbp + 0.5 * month_inflows_gbp))
-                  / sum(prev_month_end_value_gbp + 0.5 * month_inflows_gbp) END, 6) AS monthly_return
-FROM portfolio_returns_monthly WHERE month_end_date BETWEEN DATE '{SERIES_FROM}' AND DATE '{AS_OF}' GROUP BY 1""")
+@register("weighted_average", oracle=MONTH_RETURN + """
+SELECT month_end_date, round(r, 6) AS monthly_return FROM wr""")
 def weighted_average(p):
     w = p.weighted_monthly_return(SERIES_FROM, AS_OF)
     return w.select("month_end_date", ratio(F.col("monthly_return")).alias("monthly_return"))

@@ -290,7 +290,13 @@ class Serving(Returns):
     # --------------------------------------------------------------- I23
     @cached_property
     def holdings_combined(self) -> DataFrame:
+        return self.combined_holdings()
+
+    def combined_holdings(self, account: str | None = None) -> DataFrame:
+        """Latest holdings pooled over accounts, or of one account; percentages are of the total shown."""
         h = self.holdings_latest
+        if account is not None:
+            h = h.filter(F.col("account_name") == account)
         f = self.dim_fund.select("fund_id", F.col("fund_name").alias("_fn"), "fund_short_name")
         cash_label = F.concat(F.col("account_name"), F.lit(" Cash"))
         j = h.join(f, h.fund_name == f._fn, "left")
@@ -321,9 +327,9 @@ class Serving(Returns):
         fund = self.dim_fund.filter(F.col("fund_id") == fund_id)
         start = (F.lit(date_from).cast("date") if date_from is not None else
                  F.coalesce(fund.select(F.max("first_investment_date")).scalar(), F.lit("1995-01-01").cast("date")))
-        fv = self.holdings_month_end.filter(
-            (F.col("holding_type") == FUND) & (F.col("fund_id") == fund_id)
-            & (F.col("date") >= start) & (F.col("date") <= F.lit(date_to).cast("date")))
+        # one fund's steps only reach the window functions
+        fv = self._fund_values("month", fund_id=fund_id).filter(
+            (F.col("date") >= start) & (F.col("date") <= F.lit(date_to).cast("date")))
         pts = fv.select("date", "fund_price_gbp").distinct().filter(F.col("fund_price_gbp") > 0)
         base = fv.select(F.min_by("fund_price_gbp", "date")).scalar()
         fund_series = pts.select(F.lit(fund_id).alias("series"), "date",

@@ -16,16 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import dates as D
+from ledgerline.functions.keys import surrogate_key
 from ledgerline.operators.asof import forward_fill
 from ledgerline.operators.windows import running_sum
 from ledgerline.plans.star import (BUY_SIDE, CASH, FUND, INFLOW_TYPES, OPEN_UNITS, SELL_SIDE, Warehouse,
                                    money, signed_units)
 
 
-# Largest exploded series broadcast to every task (rows of a few small columns: tens of MB).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
 class Snapshots(Warehouse):
     @property
     def horizon(self) -> str:
@@ -62,46 +59,28 @@ class Snapshots(Warehouse):
                 .agg(F.max_by("cash_balance_gbp", "_prio").alias("cash_balance_gbp")))
 
     # ---- dense series, either grain -----------------------------------------
-    def _fund_values(self, grain: str, window: tuple[str, str] | None = None) -> DataFrame:
-        units = forward_fill(self.unit_steps.select("account_key", "account_name", "fund_key", "fund_id",
-                                                    "trade_date", "units_held"),
+    def _fund_values(self, grain: str, window: tuple[str, str] | None = None, fund_id: str | None = None) -> DataFrame:
+        """Units times price at each day or month end. ``fund_id`` restricts both series before any window runs.
+
+        The join carries no hint: a broadcast is chosen at run time from the measured size of the exploded
+        prices; otherwise both sides are hash-partitioned on (fund, date), which spreads a hot fund over its dates.
+        """
+        unit_steps, price_steps = self.unit_steps, self.price_steps
+        if fund_id is not None:
+            unit_steps = unit_steps.filter(F.col("fund_id") == fund_id)
+            price_steps = price_steps.filter(F.col("fund_key") == surrogate_key(F.lit(fund_id)))
+        units = forward_fill(unit_steps.select("account_key", "account_name", "fund_key", "fund_id",
+                                               "trade_date", "units_held"),
                              ["account_key", "fund_key"], "trade_date", self.horizon, grain,
                              min_value=("units_held", OPEN_UNITS), window=window).drop("trade_date")
-        prices = forward_fill(self.price_steps, ["fund_key"], "price_date", self.horizon, grain,
+        prices = forward_fill(price_steps, ["fund_key"], "price_date", self.horizon, grain,
                               window=window).drop("price_date")
-        return (units.join(self._sized_price_side(prices, grain, window), ["fund_key", "date"])
+        return (units.join(prices, ["fund_key", "date"])
                 .select(D.date_key(F.col("date")).alias("date_key"), "account_key", "fund_key",
                         "units_held", "fund_price_gbp",
                         (F.col("units_held") * F.col("fund_price_gbp")).alias("value_gbp"),
                         "date", "account_name", "fund_id"))
 
-    @cached_property
-    def _price_extent(self) -> tuple[int, object]:
-        """(number of priced funds, first price date): one aggregate over the price table."""
-        r = self.price_steps.agg(F.countDistinct("fund_key").alias("n"), F.min("price_date").alias("d0")).first()
-        return int(r["n"] or 0), r["d0"]
-
-    def _sized_price_side(self, prices: DataFrame, grain: str, window) -> DataFrame:
-        """Broadcast the exploded price series only behind a proven bound on its size.
-
-        The series has at most (priced funds) x (days or month ends from the first
-        price to the horizon) rows. Plan-time estimates cannot see the explode, so
-        the bound is computed from the price table; under the limit the side is
-        broadcast (the unit series then never shuffles for this join), above it
-        both sides are hash-partitioned on (fund, date), which also spreads one
-        hot fund over all of its dates.
-        """
-        import datetime as _dt
-        n_funds, d0 = self._price_extent
-        if d0 is None:
-            return prices
-        lo = max(d0, _dt.date.fromisoformat(window[0])) if window else d0
-        hi = min(_dt.date.fromisoformat(self.horizon), _dt.date.fromisoformat(window[1])) if window \
-            else _dt.date.fromisoformat(self.horizon)
-        days = max((hi - lo).days + 1, 0)
-        periods = days if grain == "day" else days // 28 + 1
-        return F.broadcast(prices) if n_funds * periods <= BROADCAST_MAX_ROWS else prices.hint("shuffle_hash")
-
     def _cash_values(self, grain: str, window: tuple[str, str] | None = None) -> DataFrame:
         cash = forward_fill(self.cash_steps, ["account_key"], "trade_date", self.horizon, grain,
                             window=window).drop("trade_date")

@@ -92,17 +92,23 @@ def test_trade_before_first_price_is_dropped(spark):
     assert all(r.value_gbp == 20.0 for r in rows)
 
 
-def test_price_join_same_result_with_and_without_broadcast(spark, monkeypatch):
-    """The size-checked broadcast of the exploded price series and its shuffle fallback agree."""
-    import ledgerline.plans.snapshots as S
+def test_price_join_carries_no_hint_and_one_fund_is_filtered_below_the_windows(spark):
     from tests.conftest import SMOKE_DIR
     from ledgerline.plans.portfolio import Portfolio
     p = Portfolio.from_testdata(spark, SMOKE_DIR)
+    whole = p._fund_values("month")
+    assert "ResolvedHint" not in whole._jdf.queryExecution().analyzed().toString()
+    fund = whole.select("fund_id").orderBy("fund_id").first().fund_id
     cols = ["date_key", "account_key", "fund_key", "units_held", "fund_price_gbp", "value_gbp"]
-    broadcast = sorted(tuple(r) for r in p._fund_values("month").select(*cols).collect())
-    monkeypatch.setattr(S, "BROADCAST_MAX_ROWS", 0)
-    shuffled = sorted(tuple(r) for r in p._fund_values("month").select(*cols).collect())
-    assert broadcast == shuffled and len(broadcast) > 0
+    one = p._fund_values("month", fund_id=fund)
+    assert sorted(tuple(r) for r in one.select(*cols).collect()) == \
+        sorted(tuple(r) for r in whole.filter(F.col("fund_id") == fund).select(*cols).collect())
+    # in the optimized plan, no filter on the fund is left above a window: it reached the steps' inputs
+    tree = one._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    filters = [depth(x) for x in tree if f"= {fund}" in x]
+    last = [depth(x) for x in tree if "Window" in x and "lead" in x]
+    assert filters and last and min(filters) > min(last)
 
 
 def test_point_in_time_positions_equal_dense_holdings(spark):
