@@ -60,8 +60,11 @@ def _or(*parts):
 
 
 def _spelled(strings: set[str]):
-    """Query of a text that holds one of ``strings``; alternatives that imply another one are left out."""
-    sets = {frozenset(s[i:i + 3] for i in range(len(s) - 2)) for s in strings}
+    """Query of a text that holds one of ``strings``; alternatives that imply another one are left out.
+
+    A string is covered by every third of its trigrams and the last one: those in between say little more.
+    """
+    sets = {frozenset(s[i:i + 3] for i in {*range(0, len(s) - 2, 3), max(len(s) - 3, 0)} if len(s) > 2) for s in strings}
     least = sorted(sorted(x) for x in sets if not any(y < x for y in sets))
     return _or(*(_and(*(("tri", t) for t in x)) for x in least))
 
