@@ -21,19 +21,35 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import filterfalse
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from ledgerline.llm.common import id_and_text, map_arrow, texts_of
 
-LEAF_CHARS = 16_384
+LEAF_CHARS = 65_536
 WINDOW_CHARS = 64
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 300_000
 
-Tokens = list[tuple[int, int, int]]  # (id, start, end) with places in the text
+
+class Tokens(NamedTuple):
+    """Token ids with their places in the text, as arrays."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def part(self, a: int, b: int) -> Tokens:
+        return Tokens(self.ids[a:b], self.starts[a:b], self.ends[a:b])
+
+    def rows(self) -> list[tuple[int, int, int]]:
+        return list(zip(self.ids.tolist(), self.starts.tolist(), self.ends.tolist()))
 
 
 def load(path: str) -> Tokenizer:
@@ -48,7 +64,8 @@ def load(path: str) -> Tokenizer:
 def encode_part(tok: Tokenizer, text: str, start: int, end: int) -> Tokens:
     """Tokens of text[start:end], with places in ``text``."""
     enc = tok.encode(text[start:end], add_special_tokens=False)
-    return [(i, a + start, b + start) for i, (a, b) in zip(enc.ids, enc.offsets)]
+    places = np.array(enc.offsets, np.int32).reshape(-1, 2) + np.int32(start)
+    return Tokens(np.array(enc.ids, np.int32), places[:, 0], places[:, 1])
 
 
 def join_halves(tok: Tokenizer, text: str, start: int, cut: int, end: int, left: Tokens, right: Tokens,
@@ -60,11 +77,10 @@ def join_halves(tok: Tokenizer, text: str, start: int, cut: int, end: int, left:
         mid = encode_part(tok, text, a, b)
         # left: the last pair in front of the cut that both have; right: the first pair behind it. Neither may
         # lie so near to the window's edge that a token written in the text could begin or end outside
-        i, u = (0, 0) if a == start else _agree(left, mid, lambda t: a + margin <= t[1] and t[2] <= cut, last=True)
-        j, v = (len(right), len(mid)) if b == end else _agree(
-            right, mid, lambda t: cut <= t[1] and t[2] <= b - margin, last=False)
+        i, u = (0, 0) if a == start else _agree(left, mid, a + margin, cut, last=True)
+        j, v = (len(right.ids), len(mid.ids)) if b == end else _agree(right, mid, cut, b - margin, last=False)
         if i is not None and j is not None and u <= v:
-            return [*left[:i], *mid[u:v], *right[j:]]
+            return Tokens(*map(np.concatenate, zip(left.part(0, i), mid.part(u, v), right.part(j, len(right.ids)))))
         window *= 2
 
 
@@ -78,24 +94,26 @@ def longest_added(tok: Tokenizer) -> int:
 _LONGEST: dict[Tokenizer, int] = {}
 
 
-def _agree(half: Tokens, mid: Tokens, inside, last: bool) -> tuple[int | None, int]:
-    """Positions in ``half`` and ``mid`` between two consecutive tokens that both have, nearest to the cut.
+def _agree(half: Tokens, mid: Tokens, low: int, high: int, last: bool) -> tuple[int | None, int]:
+    """Positions in ``half`` and ``mid`` between two consecutive tokens that both have, within [low, high] and
+    nearest to the cut (the last such pair, or the first).
 
-    A place that several tokens share (the pieces of one character) cannot be told apart by its place, so the
-    pair must differ in places from its neighbours; repeated ids at one place are skipped.
+    Tokens that share a place and an id (pieces of one character) cannot be told apart and are skipped.
     """
-    places = {}
-    for k, t in enumerate(mid):
+    near = np.flatnonzero((half.starts >= low) & (half.ends <= high))
+    if not len(near):
+        return None, 0
+    first = int(near[0])
+    own, other = half.part(first, int(near[-1]) + 1).rows(), mid.rows()
+    places: dict[tuple[int, int, int], int] = {}
+    for k, t in enumerate(other):
         places[t] = -1 if t in places else k
-    order = range(len(half) - 2, -1, -1) if last else range(len(half) - 1)
-    reach = (mid[0][1], mid[-1][2]) if mid else (0, 0)
-    for k in order:
-        if last and half[k][2] < reach[0] or not last and half[k][1] > reach[1]:
-            break
-        u = places.get(half[k], -1)
-        if (u >= 0 and u + 1 < len(mid) and mid[u + 1] == half[k + 1] and places[mid[u + 1]] >= 0
-                and inside(half[k]) and inside(half[k + 1])):
-            return k + 1, u + 1
+    order = range(len(own) - 1)
+    for k in reversed(order) if last else order:
+        u = places.get(own[k], -1)
+        if (u >= 0 and u + 1 < len(other) and other[u + 1] == own[k + 1] and places[other[u + 1]] >= 0
+                and own[k][1] >= low and own[k + 1][2] <= high):
+            return first + k + 1, u + 1
     return None, 0
 
 
@@ -111,7 +129,7 @@ def join_tree(tok: Tokenizer, text: str, cuts: list[int], parts: list[Tokens], w
                 new_parts.append(parts[k])
                 new_cuts.append(cuts[k + 1])
         parts, cuts = new_parts, new_cuts
-    return parts[0] if parts else []
+    return parts[0] if parts else Tokens(*[np.zeros(0, np.int32)] * 3)
 
 
 # ------------------------------------------------------- words of short texts
@@ -138,8 +156,9 @@ class WordCodec:
 
     def __init__(self, path: str, limit: int = REMEMBERED_WORDS):
         self.tok, self.limit = load(path), limit
-        self.new: dict[bytes, tuple[bytes, bytes]] = {}
-        self.old: dict[bytes, tuple[bytes, bytes]] = {}
+        self.ids: dict[bytes, bytes] = {}
+        self.strings: dict[bytes, bytes] = {}
+        self.older: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
         self.pieces = {i: t.encode() for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
         self.direct = all(self._agrees(t) for t in ("straße", "élan", "año", "word"))
         self.ends = {w: self._look_up([w])[0] for w in (b".", b",")}
@@ -155,7 +174,7 @@ class WordCodec:
         out: list[tuple[bytes, bytes] | None] = [None] * len(words)
         rest: list[int] = []
         texts = [w.decode() for w in words]
-        tokenize = self.tok.model.tokenize
+        tokenize, pieces = self.tok.model.tokenize, self.pieces
         for k, t in enumerate(texts):
             if t.isascii():
                 plain = t if self.direct and t.isalpha() and t.islower() else None
@@ -164,8 +183,8 @@ class WordCodec:
             if plain is None:
                 rest.append(k)
             else:
-                got = tokenize(plain)
-                out[k] = " ".join([str(x.id) for x in got]).encode(), " ".join([x.value for x in got]).encode()
+                ids = [x.id for x in tokenize(plain)]
+                out[k] = " ".join(map(str, ids)).encode(), b" ".join([pieces[i] for i in ids])
         if rest:
             enc = self.tok.encode(" ".join([texts[k] for k in rest]), add_special_tokens=False)
             found: list[list[int]] = [[] for _ in rest]
@@ -175,57 +194,65 @@ class WordCodec:
                     k += 1
                     end += len(texts[rest[k]]) + 1
                 found[k].append(i)
-            pieces = self.pieces
             for k, ids in zip(rest, found):
                 out[k] = " ".join(map(str, ids)).encode(), b" ".join([pieces[i] for i in ids])
         return out
 
-    def learn(self, words: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        """The memory, with all of ``words`` in it."""
-        if len(self.new) + len(words) > self.limit:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
+    def learn(self, words: set[bytes]) -> None:
+        """Put words that aren't there into the memory."""
+        ids, strings = self.ids, self.strings
+        old_ids, old_strings = self.older
+        ends = self.ends
         asked: dict[bytes, list[tuple[bytes, bytes]]] = {}
         for w in words:
-            if w not in new:
-                if (known := old.get(w)) is not None:
-                    new[w] = known
-                    continue
-                stem, end = w, b""
-                if b"<" not in w:
-                    stem = w.lower()
-                    if stem[-1:] in self.ends and stem[-2:-1].isalnum():
-                        stem, end = stem[:-1], stem[-1:]
-                if (known := new.get(stem)) is not None:
-                    new[w] = self._with(known, end)
-                else:
-                    asked.setdefault(stem, []).append((w, end))
-        for (stem, forms), known in zip(asked.items(), self._look_up(list(asked)) if asked else ()):
-            new[stem] = known
+            if (known := old_ids.get(w)) is not None:
+                ids[w], strings[w] = known, old_strings[w]
+                continue
+            stem, end = w, b""
+            if b"<" not in w:
+                stem = w.lower()
+                if stem[-1:] in ends and stem[-2:-1].isalnum():
+                    stem, end = stem[:-1], stem[-1:]
+            asked.setdefault(stem, []).append((w, end))
+        todo = [stem for stem in asked if stem not in ids]
+        for stem, (a, b) in zip(todo, self._look_up(todo)):
+            ids[stem], strings[stem] = a, b
+        for stem, forms in asked.items():
+            a, b = ids[stem], strings[stem]
             for w, end in forms:
-                new[w] = self._with(known, end)
-        return new
+                if end:
+                    x, y = ends[end]
+                    ids[w], strings[w] = a + b" " + x, b + b" " + y
+                else:
+                    ids[w], strings[w] = a, b
 
-    def _with(self, known: tuple[bytes, bytes], end: bytes) -> tuple[bytes, bytes]:
-        if not end:
-            return known
-        a, b = self.ends[end]
-        return known[0] + b" " + a, known[1] + b" " + b
+    def decode(self, ids: list[int]) -> bytes:
+        """The decoded text, for a tokenizer that joins its token strings by blanks."""
+        return b" ".join([self.pieces[i] for i in ids])
 
     def encode(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(ids, decoded text) of each text, ids in decimal joined by one space."""
-        for k in range(0, len(texts), 256):
-            split = [t.split() for t in texts[k:k + 256]]
-            known = self.learn(set().union(*split)).__getitem__
+        for k in range(0, len(texts), 512):
+            split = [t.split() for t in texts[k:k + 512]]
+            if len(self.ids) > self.limit:
+                self.older, self.ids, self.strings = (self.ids, self.strings), {}, {}
+            missing: set[bytes] = set()
+            for words in split:
+                missing.update(filterfalse(self.ids.__contains__, words))
+            if missing:
+                self.learn(missing)
+            ids, strings = self.ids.__getitem__, self.strings.__getitem__
             for words in split:
-                got = list(map(known, words))
-                yield b" ".join([x[0] for x in got if x[0]]), b" ".join([x[1] for x in got if x[0]])
+                yield b" ".join(filter(None, map(ids, words))), b" ".join(filter(None, map(strings, words)))
 
 
 def plain_words(path: str) -> bool:
-    """Whether a tokenizer drops white space and knows no token across it, as the word memory needs."""
+    """Whether a tokenizer drops white space, knows no token across it and decodes to token strings joined by
+    blanks, as the word memory needs."""
     tok = load(path)
     one = tok.encode("a b\n c", add_special_tokens=False).ids
+    if tok.decode(one, skip_special_tokens=False) != " ".join(map(tok.id_to_token, one)):
+        return False
     parts = [i for w in ("a", "b", "c") for i in tok.encode(w, add_special_tokens=False).ids]
     return one == parts and not any(c.isspace() for t in tok.get_added_tokens_decoder().values() for c in t.content)
 
@@ -247,15 +274,16 @@ def encode_leaves(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> D
 
     Equal rows are one document with a count of copies, so many copies of a long text are encoded once.
     """
-    long = (docs.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
-            .withColumn("doc", F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-                                                  F.col("text")).cast("binary"), 256)))
+    long = docs.withColumn("doc", F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+                                                     F.col("text")).cast("binary"), 256))
     n = F.ceil(F.length("text") / leaf_chars).cast("int")
-    leaves = long.select("doc", "doc_id", "copies", F.posexplode(F.transform(
+    leaves = long.select("doc", "doc_id", F.posexplode(F.transform(
         F.sequence(F.lit(0), n - 1), lambda k: F.substr(F.col("text"), k * leaf_chars + 1, F.lit(leaf_chars))))
         .alias("leaf", "piece"))
-    # leaves of one document are spread over the tasks
-    leaves = leaves.repartition(F.xxhash64("doc", "leaf"))
+    # one shuffle spreads the leaves over the tasks and counts copies (map-side first)
+    leaves = (leaves.groupBy("doc", "leaf").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("piece").alias("piece"),
+                                                F.count(F.lit(1)).alias("copies"))
+              .select("doc", "doc_id", "copies", "leaf", "piece"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(path)
@@ -263,11 +291,11 @@ def encode_leaves(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> D
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
                 encs = [encode_part(tok, p, 0, len(p)) for p in part.column("piece").to_pylist()]
-                cols = [pa.array([[t[i] for t in e] for e in encs], pa.list_(pa.int32())) for i in range(3)]
+                cols = [pa.array([e[i].astype(np.int32).tobytes() for e in encs], pa.binary()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, "ids", "starts", "ends"])
 
     return map_arrow(leaves, run, "doc string, doc_id bigint, copies bigint, leaf int, piece string, "
-                                  "ids array<int>, starts array<int>, ends array<int>")
+                                  "ids binary, starts binary, ends binary")
 
 
 def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS,
@@ -291,14 +319,15 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS,
 
     def join(leaves: pa.Table) -> pa.Table:
         rows_ = sorted(leaves.to_pylist(), key=lambda r: r["leaf"])
-        tok = _joiner(path)
+        codec = _joiner(path)
         text, cuts, parts = "".join(r["piece"] for r in rows_), [0], []
         for r in rows_:
-            at = cuts[-1]
-            parts.append([(i, a + at, b + at) for i, a, b in zip(r["ids"], r["starts"], r["ends"])])
-            cuts.append(at + len(r["piece"]))
-        ids = [t[0] for t in join_tree(tok, text, cuts, parts, window_chars)]
-        pair = (" ".join(map(str, ids)).encode(), tok.decode(ids, skip_special_tokens=False).encode())
+            ids, starts, ends = (np.frombuffer(r[k], np.int32) for k in ("ids", "starts", "ends"))
+            parts.append(Tokens(ids, starts + np.int32(cuts[-1]), ends + np.int32(cuts[-1])))
+            cuts.append(cuts[-1] + len(r["piece"]))
+        ids = join_tree(codec.tok, text, cuts, parts, window_chars).ids.tolist()
+        pair = (" ".join(map(str, ids)).encode(), codec.decode(ids) if by_word
+                else codec.tok.decode(ids, skip_special_tokens=False).encode())
         one = _digests([rows_[0]["doc_id"]], iter([pair]))
         return pa.Table.from_batches([one] * rows_[0]["copies"])
 
@@ -307,13 +336,13 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS,
                          .groupBy("doc").applyInArrow(join, DIGEST)))
 
 
-_JOINERS: dict[str, Tokenizer] = {}
+_JOINERS: dict[str, WordCodec] = {}
 
 
-def _joiner(path: str) -> Tokenizer:
-    """One tokenizer per worker process for all documents it joins."""
+def _joiner(path: str) -> WordCodec:
+    """One codec per worker process for all documents it joins."""
     if path not in _JOINERS:
-        _JOINERS[path] = load(path)
+        _JOINERS[path] = WordCodec(path)
     return _JOINERS[path]
 
 
@@ -325,4 +354,4 @@ def decode_ids(frame: DataFrame, path: str, ids: str = "ids", text: str = "decod
             out = [tok.decode(x or [], skip_special_tokens=False) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, text])
 
-    return map_arrow(frame, run, frame.schema.add(text, "string"))
+    return map_arrow(frame, run, T.StructType([*frame.schema, T.StructField(text, T.StringType())]))
