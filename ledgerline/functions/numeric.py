@@ -22,3 +22,20 @@ def dround(c: Column, n: int) -> Column:
 
 def sql_dround(expr: str, n: int) -> str:
     return f"CAST(round(CAST({expr} AS DECIMAL(38,{SNAP_SCALE})), {n}) AS DOUBLE)"
+
+
+# Money and units are held as doubles, and sums of doubles depend on the order of the rows. As decimals of this
+# type they add up exactly, whatever the partitions; the finer type is for products of returns and weights.
+MONEY_TYPE = "decimal(18,6)"
+FINE_TYPE = "decimal(30,12)"
+
+
+def exact_sum(c: Column | str, kind: str = MONEY_TYPE) -> Column:
+    """Sum of a double column that is the same for every order and partitioning of the rows."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.sum(c.cast(kind)).cast("double")
+
+
+def exact_sum_over(c: Column | str, window, kind: str = MONEY_TYPE) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.sum(c.cast(kind)).over(window).cast("double")

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.numeric import exact_sum_over
+
 # Fixed values of the trailing-metric definitions.
 TRAILING_SHORT = 12          # months
 TRAILING_LONG = 36           # months
@@ -26,7 +28,7 @@ SHARPE_SCALE = math.sqrt(12.0)
 def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:
     """Cumulative sum in ROWS unbounded..current (rows unique per key and order)."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out, F.sum(value).over(w))
+    return df.withColumn(out, exact_sum_over(value, w))
 
 
 def lag_value(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:

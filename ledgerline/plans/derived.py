@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import dates as D
-from ledgerline.functions.numeric import dround
+from ledgerline.functions.numeric import dround, exact_sum
 from ledgerline.operators.windows import cumprod_index, period_end_downsample, rebase_to_first
 from ledgerline.plans.serving import Serving
 from ledgerline.plans.star import FUND, HOLDING, money
@@ -148,8 +148,8 @@ class Derived(Serving):
         acc = (s.filter(F.col("month_end_date") == last).join(r, ["account_name", "year_month"], "left")
                .select("account_name", "month_end_date", "month_end_value_gbp", "prev_month_end_value_gbp",
                        "monthly_inflows_gbp", F.round("monthly_return", 6).alias("monthly_return")))
-        tv, ti = F.sum("month_end_value_gbp"), F.sum("monthly_inflows_gbp")
-        tb = F.sum("prev_month_end_value_gbp")
+        tv, ti = exact_sum("month_end_value_gbp"), exact_sum("monthly_inflows_gbp")
+        tb = exact_sum("prev_month_end_value_gbp")
         bmv = F.when(tb != 0, tb)            # no or zero prior value -> no total return
         total = acc.agg(
             F.lit("TOTAL").alias("account_name"), F.max("month_end_date").alias("month_end_date"),
@@ -197,7 +197,7 @@ class Derived(Serving):
         v = self.fund_values_between(d0, d1).join(held, "fund_key", "left_semi")
         names = self.dim_fund.select("fund_key", "fund_name")
         return (v.join(names, "fund_key").groupBy("date", "fund_name")
-                .agg(money(F.sum("value_gbp")).alias("value_gbp")))
+                .agg(money(exact_sum("value_gbp")).alias("value_gbp")))
 
     # ------------------------------------------------------------ B9 / B11
     def list_funds(self, active_only: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.oracle import CALENDAR_COLUMNS
 from ledgerline.plans.catalog import register
 from ledgerline.plans.returns import TRAILING_COLS, ratio
 from ledgerline.plans.star import money
@@ -26,9 +27,27 @@ M2 = "round({0}, 2) AS {0}"
 
 
 # ---------------------------------------------------------------- star schema
-@register("calendar_seed", oracle="SELECT * FROM dim_date")
+_DATED = """
+, dated(source, date) AS (
+    SELECT 'transactions', trade_date FROM raw_transactions UNION ALL SELECT 'settlements', settle_date FROM raw_transactions
+    UNION ALL SELECT 'prices', date FROM raw_prices UNION ALL SELECT 'benchmarks', date FROM raw_benchmarks)"""
+
+
+@register("calendar_seed", oracle=_DATED + f"""
+, bounds AS (SELECT date_trunc('year', min(date)) AS lo, date_trunc('year', max(date)) + INTERVAL 1 YEAR - INTERVAL 1 DAY AS hi
+             FROM dated)
+{CALENDAR_COLUMNS}
+  FROM (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d FROM bounds)""")
 def calendar_seed(p):
-    return p.dim_date
+    return p.seeded_calendar()
+
+
+@register("rows_outside_calendar", oracle=_DATED + """
+SELECT source, count(*) FILTER (WHERE date IN (SELECT date FROM dim_date)) AS rows_inside,
+       count(*) FILTER (WHERE date NOT IN (SELECT date FROM dim_date)) AS rows_outside
+FROM dated WHERE date IS NOT NULL GROUP BY 1""")
+def rows_outside_calendar(p):
+    return p.outside_calendar()
 
 
 @register("dim_account", oracle="SELECT account_key, account_name, account_open_date FROM dim_account")

@@ -300,6 +300,49 @@ def missing_code_report(p):
     return FD.missing_code_report(p.dim_fund)
 
 
+@register("missing_code_report_held", oracle="""
+SELECT fund_id, fund_name, investment_status_indicator FROM dim_fund
+WHERE morningstar_code IS NULL AND investment_status_indicator = 'Holding'""")
+def missing_code_report_held(p):
+    return FD.missing_code_report(p.dim_fund, holding_only=True)
+
+
+NEW_INDEX = "5-LOW"     # an index of which no level has landed yet
+
+
+@register("index_high_water_mark", oracle=f"""
+, named AS (SELECT DISTINCT index_id, ticker FROM raw_benchmarks),
+  landed AS (SELECT index_id, max(date) AS d FROM raw_benchmarks WHERE index_id <> '{NEW_INDEX}' GROUP BY 1)
+SELECT index_id, ticker, coalesce(CAST(d + INTERVAL 1 DAY AS DATE), DATE '2017-01-01') AS fetch_start
+FROM named LEFT JOIN landed USING (index_id)
+WHERE coalesce(CAST(d + INTERVAL 1 DAY AS DATE), DATE '2017-01-01') < DATE '2018-01-01'""")
+def index_high_water_mark(p):
+    levels = p.raw.benchmarks
+    indices = levels.select("index_id", "ticker").distinct()
+    return FD.index_high_water_mark(indices, levels.filter(F.col("index_id") != NEW_INDEX), "2018-01-01")
+
+
+@register("append_prices", oracle="""
+SELECT fund_id, date, price_pence, 'old' AS origin FROM raw_prices WHERE date < DATE '2000-01-01'
+UNION ALL
+SELECT fund_id, date, price_pence, 'new' FROM raw_prices WHERE date >= DATE '2000-01-01'""")
+def append_prices(p):
+    """Landed prices up to 1999, then a feed that brings every day again: existing (fund, day) rows win."""
+    feed = p.raw.prices.select("fund_id", "date", "price_pence")
+    landed = feed.filter(F.col("date") < F.lit("2000-01-01").cast("date")).withColumn("origin", F.lit("old"))
+    _, table = W.insert_or_ignore(landed, feed.withColumn("origin", F.lit("new")), ["fund_id", "date"], prune_by="date")
+    return table
+
+
+@register("append_index_levels", oracle="""
+SELECT index_id, date, level, if(date < DATE '2000-01-01', 'old', 'new') AS origin FROM raw_benchmarks""")
+def append_index_levels(p):
+    feed = p.raw.benchmarks.select("index_id", "date", "level")
+    landed = feed.filter(F.col("date") < F.lit("2000-01-01").cast("date")).withColumn("origin", F.lit("old"))
+    _, table = W.insert_or_ignore(landed, feed.withColumn("origin", F.lit("new")), ["index_id", "date"], prune_by="date")
+    return table
+
+
 @register("fetch_high_water_mark", oracle=f"""
 , pr AS (SELECT * FROM raw_prices WHERE fund_id <> '{BACKFILL_FUND}' AND date < DATE '2000-01-01')
 SELECT u.fund_id, u.morningstar_code,
@@ -365,10 +408,11 @@ SELECT 'run=' || CAST(CAST(floor(conv_id / {CASES_PER_FILE}) AS BIGINT) AS VARCH
        CAST(t % 5 + 1 AS DOUBLE) AS quality_score, CAST(NULL AS DOUBLE) AS accuracy_judge_score
 FROM cases""")
 def flatten_eval_results(p):
-    """One JSON array file per run of 100 cases, flattened back with the run folder as file name."""
+    """One JSON array file per run of 100 cases, flattened to the summary CSV (run folder as file name) and read back."""
     cases = _eval_cases(p)
     files = cases.groupBy("run").agg(F.to_json(F.collect_list(F.struct(*FD.EVAL_FIELDS))).alias("value"))
     root = B.scratch_path(p.spark, "eval-results")
     files.write.partitionBy("run").text(root)
-    flat = FD.flatten_eval_results(p.spark, root, name="folder")
-    return flat.orderBy("filename", "test_case_id")
+    summary = B.scratch_path(p.spark, "eval-summary")
+    FD.write_eval_summary(FD.flatten_eval_results(p.spark, root, name="folder"), summary)
+    return FD.read_eval_summary(p.spark, summary)

@@ -10,10 +10,10 @@ from ledgerline.operators import quality as Q
 from ledgerline.plans import derived as DV
 from ledgerline.plans import text_metrics as TM
 from ledgerline.plans.catalog import register
+from ledgerline.plans.declared_checks import declared_sql, run_declared
 from ledgerline.plans.queries_ingest import SQL_ID, TX_COLS
 from ledgerline.plans.queries_serving import (_WEIGHTED, ACCOUNT_A, ACCOUNT_B, AS_OF, INDEX_A, INDICES, SERIES_FROM,
                                               _in)
-from ledgerline.plans.star import ALL_TYPES
 from ledgerline.sources import broker_csv as B
 
 REBASE_MONTH = "1999-01"
@@ -23,44 +23,6 @@ ADHOC_SQL = ("SELECT account_name, holding_type, count(*) AS n, round(sum(value_
              "FROM mart_holdings_latest GROUP BY account_name, holding_type")
 
 # ------------------------------------------------------------------ J1-J6
-_TYPES = _in(ALL_TYPES)
-
-
-def star_dq_report(p):
-    """The star's assertions: row-level checks in one scan per table, plus uniqueness and relationships."""
-    dd, da, df, dt = p.dim_date, p.dim_account, p.dim_fund, p.dim_transaction_type
-    ft, cp, hd, bm = p.fct_transactions, p.fct_cash_position_daily, p.holdings_daily, p.fct_benchmarks_monthly
-    me = "month_end_indicator = 'Month End'"
-    fye = "financial_year_end_indicator = 'Financial Year End'"
-    net = "net = trade + inflows + fees"
-    return Q.dq_report([
-        Q.table_checks(dd, "dim_date", ["date_key", "date", "year", "month", "day", "year_month", "financial_year"],
-                       expressions=[(me, F.col("month_end_indicator") == "Month End",
-                                     F.col("date") == F.lit("2000-02-29").cast("date")),
-                                    (fye, F.col("financial_year_end_indicator") == "Financial Year End",
-                                     F.col("date") == F.lit("2001-03-31").cast("date"))]),
-        Q.assert_unique(dd, "dim_date", ["date_key"]),
-        Q.assert_unique(dd, "dim_date", ["date"]),
-        Q.table_checks(da, "dim_account", ["account_key", "account_name"]),
-        Q.assert_unique(da, "dim_account", ["account_key"]),
-        Q.assert_unique(df, "dim_fund", ["fund_key"]),
-        Q.table_checks(df, "dim_fund", accepted={"investment_status_indicator": ["Holding", "Exited"]}),
-        Q.assert_unique(dt, "dim_transaction_type", ["transaction_type", "transaction_subtype"]),
-        Q.table_checks(dt, "dim_transaction_type", accepted={"transaction_type": list(ALL_TYPES)}),
-        Q.table_checks(ft, "fct_transactions", ["transaction_id", "account_key", "transaction_type_key",
-                                                "trade_date_key"]),
-        Q.key_checks(ft, "fct_transactions", ["transaction_id"], parents=[
-            ("account_key", da, "account_key", None), ("fund_key", df, "fund_key", None),
-            ("trade_date_key", dd, "date_key", None), ("settle_date_key", dd, "date_key", None)]),
-        Q.table_checks(cp, "fct_cash_position_daily", expressions=[
-            (net, F.abs(F.col("net_cash_movement_gbp") - (F.col("trade_cash_net_gbp") + F.col("inflows_gbp")
-                                                          + F.col("fees_and_other_gbp"))) < 0.005, None)]),
-        Q.key_checks(hd, "fct_holdings_daily", ["date_key", "account_key", "fund_key", "holding_type"],
-                     accepted={"holding_type": ["Fund", "Cash"]},
-                     parents=[("fund_key", df, "fund_key", F.col("holding_type") == "Fund")]),
-        Q.table_checks(bm, "fct_benchmarks_monthly",
-                       expressions=[("month_end_level > 0", F.col("month_end_level") > 0, None)]),
-    ])
 
 
 def _nn(table, src, cols):
@@ -76,55 +38,9 @@ def _uq(table, src, cols):
             f"(SELECT {k} FROM {src} GROUP BY {k} HAVING count(*) > 1)")
 
 
-def _rel(table, src, col, parent, pcol, where="TRUE"):
-    return (f"SELECT '{table}', 'relationships', '{col}', CAST(count(*) AS BIGINT) FROM {src} c "
-            f"WHERE c.{col} IS NOT NULL AND ({where}) AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pcol} = c.{col})")
-
-
-def _acc(table, src, col, vals):
-    return (f"SELECT '{table}', 'accepted_values', '{col}', CAST(count(*) AS BIGINT) FROM {src} "
-            f"WHERE {col} IS NOT NULL AND {col} NOT IN ({vals})")
-
-
-def _expr(table, src, name, expr, where="TRUE"):
-    return (f"SELECT '{table}', 'expression_is_true', '{name.replace(chr(39), chr(39) * 2)}', CAST(count(*) AS BIGINT) "
-            f"FROM {src} WHERE ({where}) AND NOT coalesce({expr}, FALSE)")
-
-
-_DQ_SQL = "\nUNION ALL ".join([
-    _nn("dim_date", "dim_date", ["date_key", "date", "year", "month", "day", "year_month", "financial_year"]),
-    _uq("dim_date", "dim_date", ["date_key"]), _uq("dim_date", "dim_date", ["date"]),
-    _expr("dim_date", "dim_date", "month_end_indicator = 'Month End'", "month_end_indicator = 'Month End'",
-          "date = DATE '2000-02-29'"),
-    _expr("dim_date", "dim_date", "financial_year_end_indicator = 'Financial Year End'",
-          "financial_year_end_indicator = 'Financial Year End'", "date = DATE '2001-03-31'"),
-    _nn("dim_account", "dim_account", ["account_key", "account_name"]),
-    _uq("dim_account", "dim_account", ["account_key"]),
-    _uq("dim_fund", "dim_fund", ["fund_key"]),
-    _acc("dim_fund", "dim_fund", "investment_status_indicator", "'Holding', 'Exited'"),
-    _uq("dim_transaction_type", "dim_transaction_type", ["transaction_type", "transaction_subtype"]),
-    _acc("dim_transaction_type", "dim_transaction_type", "transaction_type", _TYPES),
-    _nn("fct_transactions", "fct", ["transaction_id", "account_key", "transaction_type_key", "trade_date_key"]),
-    _uq("fct_transactions", "fct", ["transaction_id"]),
-    _rel("fct_transactions", "fct", "account_key", "dim_account", "account_key"),
-    _rel("fct_transactions", "fct", "fund_key", "dim_fund", "fund_key"),
-    _rel("fct_transactions", "fct", "trade_date_key", "dim_date", "date_key"),
-    _rel("fct_transactions", "fct", "settle_date_key", "dim_date", "date_key"),
-    _expr("fct_cash_position_daily", "fct_cash_position_daily", "net = trade + inflows + fees",
-          "abs(net_cash_movement_gbp - (trade_cash_net_gbp + inflows_gbp + fees_and_other_gbp)) < 0.005"),
-    _uq("fct_holdings_daily", "holdings_daily", ["date_key", "account_key", "fund_key", "holding_type"]),
-    _acc("fct_holdings_daily", "holdings_daily", "holding_type", "'Fund', 'Cash'"),
-    _rel("fct_holdings_daily", "holdings_daily", "fund_key", "dim_fund", "fund_key", "c.holding_type = 'Fund'"),
-    _expr("fct_benchmarks_monthly", "fct_benchmarks_monthly", "month_end_level > 0", "month_end_level > 0"),
-])
-
-
-@register("dq_report", oracle=f"""
-, dq(table_name, check_name, column_name, failures) AS (
-{_DQ_SQL})
-SELECT * FROM dq""")
+@register("dq_report", oracle=declared_sql())
 def dq_report(p):
-    return star_dq_report(p)
+    return run_declared(p)
 
 
 @register("assert_not_null", oracle=f"""

@@ -14,6 +14,7 @@ from ledgerline.functions import dates as D
 from ledgerline.functions.keys import surrogate_key
 from ledgerline.plans import catalog
 from ledgerline.plans.catalog import register
+from ledgerline.plans.declared_checks import declared_sql, run_declared
 from ledgerline.plans import queries_more as QM
 from ledgerline.plans.queries_more import REBASE_MONTH
 from ledgerline.plans.queries_serving import ACCOUNT_A, AS_OF, MONTH_RETURN, SERIES_FROM
@@ -205,7 +206,8 @@ def signed_unit_delta(p):
     return t.groupBy("account_key", "fund_key", "trade_date").agg(F.sum(signed_units()).alias("unit_delta"))
 
 
-@register("conditional_max_date", oracle="SELECT fund_id, latest_units, last_held_date FROM fund_pos")
+@register("conditional_max_date", oracle="""
+SELECT fund_id, sum(units) AS latest_units, max(trade_date) FILTER (level > 0.0001) AS last_held_date FROM fund_moves GROUP BY 1""")
 def conditional_max_date(p):
     h = p.fund_unit_history
     return h.groupBy("fund_id").agg(
@@ -295,8 +297,8 @@ def running_inflows(p):
 
 
 @register("latest_row_per_key", oracle="""
-SELECT fund_id, trade_date, cu AS cumulative_units FROM (
-  SELECT *, row_number() OVER (PARTITION BY fund_id ORDER BY trade_date DESC) AS rn FROM fund_cum) WHERE rn = 1""")
+SELECT fund_id, trade_date, level AS cumulative_units FROM fund_moves
+QUALIFY row_number() OVER (PARTITION BY fund_id ORDER BY trade_date DESC) = 1""")
 def latest_row_per_key(p):
     h = p.fund_unit_history
     w = Window.partitionBy("fund_id").orderBy(F.col("trade_date").desc())
@@ -373,53 +375,18 @@ def modified_dietz_portfolio(p):
                     F.col("monthly_inflows_gbp").alias("cf"), ratio(F.col("monthly_return")).alias("monthly_return"))
 
 
-def _star_checks(p, kind):
-    """The star's checks of one kind, each as its own standalone check (same rows as the report)."""
-    from ledgerline.operators import quality as Q
-    from ledgerline.plans.star import ALL_TYPES
-    dd, da, df, dt = p.dim_date, p.dim_account, p.dim_fund, p.dim_transaction_type
-    ft, hd = p.fct_transactions, p.holdings_daily
-    if kind == "unique":
-        return [Q.assert_unique(dd, "dim_date", ["date_key"]), Q.assert_unique(dd, "dim_date", ["date"]),
-                Q.assert_unique(da, "dim_account", ["account_key"]), Q.assert_unique(df, "dim_fund", ["fund_key"]),
-                Q.assert_unique(ft, "fct_transactions", ["transaction_id"])]
-    if kind == "accepted_values":
-        return [Q.assert_accepted_values(df, "dim_fund", "investment_status_indicator", ["Holding", "Exited"]),
-                Q.assert_accepted_values(dt, "dim_transaction_type", "transaction_type", list(ALL_TYPES)),
-                Q.assert_accepted_values(hd, "fct_holdings_daily", "holding_type", ["Fund", "Cash"])]
-    if kind == "relationships":
-        return [Q.assert_relationship(ft, "fct_transactions", "account_key", da, "account_key"),
-                Q.assert_relationship(ft, "fct_transactions", "fund_key", df, "fund_key"),
-                Q.assert_relationship(ft, "fct_transactions", "trade_date_key", dd, "date_key"),
-                Q.assert_relationship(ft, "fct_transactions", "settle_date_key", dd, "date_key"),
-                Q.assert_relationship(hd, "fct_holdings_daily", "fund_key", df, "fund_key",
-                                      where=F.col("holding_type") == "Fund")]
-    cp, bm = p.fct_cash_position_daily, p.fct_benchmarks_monthly
-    return [Q.assert_expression(dd, "dim_date", "month_end_indicator = 'Month End'",
-                                F.col("month_end_indicator") == "Month End",
-                                F.col("date") == F.lit("2000-02-29").cast("date")),
-            Q.assert_expression(dd, "dim_date", "financial_year_end_indicator = 'Financial Year End'",
-                                F.col("financial_year_end_indicator") == "Financial Year End",
-                                F.col("date") == F.lit("2001-03-31").cast("date")),
-            Q.assert_expression(cp, "fct_cash_position_daily", "net = trade + inflows + fees",
-                                F.abs(F.col("net_cash_movement_gbp") - (F.col("trade_cash_net_gbp")
-                                      + F.col("inflows_gbp") + F.col("fees_and_other_gbp"))) < 0.005),
-            Q.assert_expression(bm, "fct_benchmarks_monthly", "month_end_level > 0", F.col("month_end_level") > 0)]
-
-
-for _check, _key in [("unique", "assert_unique"), ("accepted_values", "assert_accepted_values"),
-                     ("relationships", "assert_relationship"), ("expression_is_true", "assert_expression")]:
-    def _make(check):
-        def q(p):
-            from ledgerline.operators import quality as Q
-            return Q.dq_report(_star_checks(p, check))
-        q.__name__ = f"dq_{check}"
-        return q
-    catalog._SPARK[_key] = _make(_check)
-    catalog._ORACLE[_key] = catalog._ORACLE["dq_report"].replace(
-        "\nSELECT * FROM dq", f"\nSELECT * FROM dq WHERE check_name = '{_check}'")
+def _declared(kind: str):
+    def q(p):
+        return run_declared(p, kind)
+    q.__name__ = f"dq_{kind}"
+    return q
 
 
+for _kind, _key in [("unique", "assert_unique"), ("accepted_values", "assert_accepted_values"),
+                    ("relationships", "assert_relationship"), ("expression_is_true", "assert_expression")]:
+    catalog._SPARK[_key] = _declared(_kind)
+    catalog._ORACLE[_key] = declared_sql() + f" WHERE check_name = '{_kind}'"
+
 
 # The reference's one-row CTEs side by side and its CROSS JOIN of two marts are answered
 # with scalar subqueries (no cross join): the question query that used one is the operator.

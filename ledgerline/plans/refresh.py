@@ -30,17 +30,20 @@ MART_TABLES = {
 }
 
 
-def daily_refresh(portfolio) -> DataFrame:
-    """Write the core models and every mart; returns (model, rows) read back from the tables.
+def refresh_tables(portfolio) -> dict[str, DataFrame]:
+    """Write the core models and every mart, once per model set, and let the models read the written tables.
 
     The marts are independent of each other once the core is written, so they
     are submitted as concurrent Spark jobs.
     """
     p = portfolio if portfolio.materialised else portfolio.materialise_core()
+    if hasattr(p, "_marts"):
+        return p._marts
 
     def write(name: str) -> DataFrame:
         attr, part, sort_by = MART_TABLES[name]
         df = getattr(p, attr)
+        columns = df.columns
         if part == "year_month":
             df = df.withColumn(part, F.date_format("date", "yyyy-MM"))
         path = f"{p._table_root()}/marts/{name}"
@@ -48,7 +51,7 @@ def daily_refresh(portfolio) -> DataFrame:
         out = df.repartitionByRange(part, sort_by[0]) if part else df
         writer = out.sortWithinPartitions(*sort_by).write.mode("overwrite")
         (writer.partitionBy(part) if part else writer).parquet(path)
-        return p.spark.read.parquet(path)
+        return p.spark.read.parquet(path).select(*columns)
 
     sc = p.spark.sparkContext
     group = sc.getLocalProperty("spark.jobGroup.id")
@@ -58,7 +61,16 @@ def daily_refresh(portfolio) -> DataFrame:
             sc.setJobGroup(group, group)
         return name, write(name)
     with ThreadPoolExecutor(max_workers=4) as pool:
-        tables = dict(pool.map(run, MART_TABLES))
+        p._marts = dict(pool.map(run, MART_TABLES))
+    for name, (attr, _, _) in MART_TABLES.items():      # reports built from now on read the tables
+        p.__dict__[attr] = p._marts[name]
+        p.materialised.add(attr)
+    return p._marts
+
+
+def daily_refresh(portfolio) -> DataFrame:
+    """The nightly build; (model, rows) read back from the written tables."""
+    tables = refresh_tables(portfolio)
     counts = [tables[n].agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("model"), "row_count")
               for n in MART_TABLES]
     out = counts[0]

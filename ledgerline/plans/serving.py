@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import dates as D
+from ledgerline.functions.numeric import FINE_TYPE, exact_sum, exact_sum_over
 from ledgerline.operators.asof import asof_join, step_intervals
 from ledgerline.operators.windows import running_sum
 from ledgerline.plans.returns import Returns
@@ -78,8 +79,8 @@ class Serving(Returns):
             & F.col("transaction_type").isin(*BUY_SIDE, *SELL_SIDE))
         ty, v = F.col("transaction_type"), F.abs(F.col("value_gbp"))
         return (t.groupBy("account_key", "fund_key")
-                .agg(F.sum(F.when(ty.isin(*BUY_SIDE), v)).alias("total_cost_gbp"),
-                     F.sum(F.when(ty.isin(*SELL_SIDE), v)).alias("total_proceeds_gbp")))
+                .agg(exact_sum(F.when(ty.isin(*BUY_SIDE), v)).alias("total_cost_gbp"),
+                     exact_sum(F.when(ty.isin(*SELL_SIDE), v)).alias("total_proceeds_gbp")))
 
     # --------------------------------------------------------------- I7
     @cached_property
@@ -104,7 +105,7 @@ class Serving(Returns):
             F.when(is_cash, F.lit(None).cast("double"))
              .when(F.col("cost") > 0, F.round(gain / F.col("cost") * 100.0, 2))
              .otherwise(F.lit(0.0)).alias("unrealised_gain_pct"),
-            F.round(F.try_divide(F.col("value_gbp"), F.sum("value_gbp").over(Window.partitionBy("account_name")))
+            F.round(F.try_divide(F.col("value_gbp"), exact_sum_over("value_gbp", Window.partitionBy("account_name")))
                     * 100.0, 2).alias("weight_pct"))
 
     # --------------------------------------------------------------- I8
@@ -113,7 +114,7 @@ class Serving(Returns):
         t = self.fct_transactions_wide.filter(
             F.col("account_key").isNotNull() & F.col("transaction_type").isin(*INFLOW_TYPES))
         d = t.groupBy("account_name", F.col("trade_date").alias("inflow_date")).agg(
-            F.sum("value_gbp").alias("inflow_today"))
+            exact_sum("value_gbp").alias("inflow_today"))
         return running_sum(d, ["account_name"], "inflow_date", "inflow_today", "cumulative_inflows_gbp")
 
     @cached_property
@@ -145,7 +146,7 @@ class Serving(Returns):
         t = self.fct_transactions_wide.filter(
             F.col("account_key").isNotNull() & (F.col("transaction_type") == "CONTRIBUTION"))
         return (t.groupBy("account_name", D.financial_year(F.col("trade_date")).alias("financial_year"))
-                .agg(money(F.sum("value_gbp")).alias("contributions_gbp")))
+                .agg(money(exact_sum("value_gbp")).alias("contributions_gbp")))
 
     # --------------------------------------------------------------- I16
     def portfolio_value_series(self, date_from: str, date_to: str, account: str | None = None) -> DataFrame:
@@ -153,7 +154,7 @@ class Serving(Returns):
         if account is not None:
             pv = pv.filter(F.col("account_name") == account)
         return pv.groupBy(F.col("valuation_date").alias("date")).agg(
-            money(F.sum("portfolio_value_gbp")).alias("value_gbp"))
+            money(exact_sum("portfolio_value_gbp")).alias("value_gbp"))
 
     # --------------------------------------------------------------- I17
     def allocation_as_of(self, as_of: str | None = None, account: str | None = None) -> DataFrame:
@@ -164,9 +165,9 @@ class Serving(Returns):
         funds = self.dim_fund.select("fund_key", "fund_name", "fund_short_name")
         per_fund = (pos.join(funds, "fund_key")
                     .groupBy("fund_id", "fund_name", "fund_short_name")
-                    .agg(F.sum("units_held").alias("units_held"), F.max("fund_price_gbp").alias("price_gbp"),
-                         money(F.sum("value_gbp")).alias("value_gbp")))
-        total = per_fund.select(F.sum("value_gbp")).scalar()          # D12, two-step total
+                    .agg(exact_sum("units_held").alias("units_held"), F.max("fund_price_gbp").alias("price_gbp"),
+                         money(exact_sum("value_gbp")).alias("value_gbp")))
+        total = per_fund.select(exact_sum("value_gbp")).scalar()          # D12, two-step total
         return per_fund.select(
             "fund_id", "fund_name", F.coalesce("fund_short_name", "fund_name").alias("fund_short_name"),
             "units_held", "price_gbp", "value_gbp",
@@ -178,16 +179,16 @@ class Serving(Returns):
         if account is not None:
             d = d.filter(F.col("account_name") == account)
         g = d.groupBy(F.col("valuation_date").alias("date")).agg(
-            money(F.sum("portfolio_value_gbp")).alias("portfolio_value"),
-            money(F.sum("cumulative_inflows_gbp")).alias("cumulative_inflows"))
+            money(exact_sum("portfolio_value_gbp")).alias("portfolio_value"),
+            money(exact_sum("cumulative_inflows_gbp")).alias("cumulative_inflows"))
         return g.withColumn("growth", money(F.col("portfolio_value") - F.col("cumulative_inflows")))
 
     # --------------------------------------------------------------- I19
     def contributions_fy_pivot(self, accounts: list[str]) -> DataFrame:
         c = self.contributions_by_fy
-        cols = [money(F.sum(F.when(F.col("account_name") == a, F.col("contributions_gbp")).otherwise(0.0)))
+        cols = [money(exact_sum(F.when(F.col("account_name") == a, F.col("contributions_gbp")).otherwise(0.0)))
                 .alias(f"{a.lower()}_gbp") for a in accounts]
-        return c.groupBy("financial_year").agg(*cols, money(F.sum("contributions_gbp")).alias("total_gbp"))
+        return c.groupBy("financial_year").agg(*cols, money(exact_sum("contributions_gbp")).alias("total_gbp"))
 
     # --------------------------------------------------------------- I20
     def weighted_monthly_return(self, date_from: str, date_to: str, account: str | None = None) -> DataFrame:
@@ -198,7 +199,7 @@ class Serving(Returns):
             r = r.filter(F.col("account_name") == account)
         w = F.col("prev_month_end_value_gbp") + F.lit(0.5) * F.col("month_inflows_gbp")
         return (r.groupBy("month_end_date")
-                .agg(F.sum(F.col("monthly_return") * w).alias("_num"), F.sum(w).alias("_den"))
+                .agg(exact_sum(F.col("monthly_return") * w, FINE_TYPE).alias("_num"), exact_sum(w, FINE_TYPE).alias("_den"))
                 .select("month_end_date",
                         F.when(F.col("_den") == 0, F.lit(0.0)).otherwise(F.col("_num") / F.col("_den"))
                         .alias("monthly_return")))
@@ -274,8 +275,8 @@ class Serving(Returns):
         bmv = F.col("prev_month_end_value_gbp")
 
         def wavg(s):
-            return F.try_divide(F.sum(F.col(s) * bmv),
-                                F.nullif(F.sum(F.when(F.col(s).isNotNull(), bmv)), F.lit(0.0)))
+            return F.try_divide(exact_sum(F.col(s) * bmv, FINE_TYPE),
+                                F.nullif(exact_sum(F.when(F.col(s).isNotNull(), bmv), FINE_TYPE), F.lit(0.0)))
         port = cur.agg(wavg("trailing_12m_sharpe").alias("trailing_12m"),
                        wavg("trailing_36m_sharpe").alias("trailing_36m")) \
             .select(F.lit("portfolio").alias("series"), "trailing_12m", "trailing_36m")
@@ -303,14 +304,14 @@ class Serving(Returns):
         g = (j.groupBy("holding_type", "fund_id",
                        F.coalesce("fund_name", cash_label).alias("fund_name"),
                        F.coalesce("fund_short_name", cash_label).alias("fund_short_name"))
-             .agg(F.sum("units_held").alias("units_held"), F.max("fund_price_gbp").alias("price_gbp"),
-                  money(F.sum("value_gbp")).alias("value_gbp"), money(F.sum("cost_basis_gbp")).alias("cost_basis_gbp"),
-                  money(F.sum("unrealised_gain_gbp")).alias("unrealised_gain_gbp")))
+             .agg(exact_sum("units_held").alias("units_held"), F.max("fund_price_gbp").alias("price_gbp"),
+                  money(exact_sum("value_gbp")).alias("value_gbp"), money(exact_sum("cost_basis_gbp")).alias("cost_basis_gbp"),
+                  money(exact_sum("unrealised_gain_gbp")).alias("unrealised_gain_gbp")))
         pct = F.when(F.col("holding_type") == CASH, F.lit(None).cast("double")) \
             .when(F.col("cost_basis_gbp") > 0,
                   F.round((F.col("value_gbp") - F.col("cost_basis_gbp")) / F.col("cost_basis_gbp") * 100.0, 2)) \
             .otherwise(F.lit(0.0))
-        total = g.select(F.sum("value_gbp")).scalar()
+        total = g.select(exact_sum("value_gbp")).scalar()
         return g.select(F.lower("holding_type").alias("holding_type"), "fund_id", "fund_name", "fund_short_name",
                         F.round("units_held", 4).alias("units_held"), F.round("price_gbp", 4).alias("price_gbp"),
                         "value_gbp", "cost_basis_gbp", "unrealised_gain_gbp", pct.alias("unrealised_gain_pct"),

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import dates as D
+from ledgerline.functions.numeric import exact_sum
 from ledgerline.functions.keys import surrogate_key
 from ledgerline.operators.asof import forward_fill
 from ledgerline.operators.windows import running_sum
@@ -36,7 +37,7 @@ class Snapshots(Warehouse):
         t = self.fct_transactions_wide.filter(
             F.col("is_trade") & F.col("fund_key").isNotNull() & F.col("account_key").isNotNull())
         deltas = (t.groupBy("account_key", "account_name", "fund_key", "fund_id", "trade_date")
-                  .agg(F.sum(signed_units()).alias("unit_delta")))
+                  .agg(exact_sum(signed_units()).alias("unit_delta")))
         return running_sum(deltas, ["account_key", "fund_key"], "trade_date", "unit_delta", "units_held")
 
     @cached_property
@@ -120,7 +121,7 @@ class Snapshots(Warehouse):
     @staticmethod
     def _value_by_day(holdings: DataFrame) -> DataFrame:
         return (holdings.groupBy("account_name", "date")
-                .agg(money(F.sum("value_gbp")).alias("portfolio_value_gbp"))
+                .agg(money(exact_sum("value_gbp")).alias("portfolio_value_gbp"))
                 .filter(F.col("portfolio_value_gbp") > 0)
                 .select("account_name", F.col("date").alias("valuation_date"), "portfolio_value_gbp"))
 
@@ -154,16 +155,16 @@ class Snapshots(Warehouse):
         v, ty = F.col("value_gbp"), F.col("transaction_type")
         return (t.filter(F.col("is_trade") | ty.isin(*INFLOW_TYPES))
                 .groupBy(*keys, "year_month")
-                .agg(F.sum(F.when(ty.isin(*INFLOW_TYPES), v)).alias("inflows"),
-                     (F.sum(F.when(ty.isin(*BUY_SIDE), F.abs(v)).otherwise(0.0))
-                      - F.sum(F.when(ty.isin(*SELL_SIDE), F.abs(v)).otherwise(0.0))).alias("net_trades"),
+                .agg(exact_sum(F.when(ty.isin(*INFLOW_TYPES), v)).alias("inflows"),
+                     (exact_sum(F.when(ty.isin(*BUY_SIDE), F.abs(v)).otherwise(0.0))
+                      - exact_sum(F.when(ty.isin(*SELL_SIDE), F.abs(v)).otherwise(0.0))).alias("net_trades"),
                      F.max(F.col("is_trade").cast("int")).alias("_has_trade")))
 
     @cached_property
     def portfolio_snapshot_monthly(self) -> DataFrame:   # I9
         # keyed by the account name (1:1 with the 32-character surrogate key, far fewer shuffle bytes)
         mev = (self.holdings_month_end.groupBy("account_name", "date")
-               .agg(money(F.sum("value_gbp")).alias("month_end_value_gbp"))
+               .agg(money(exact_sum("value_gbp")).alias("month_end_value_gbp"))
                .select("account_name", D.year_month(F.col("date")).alias("year_month"),
                        F.col("date").alias("month_end_date"), "month_end_value_gbp"))
         flows = self._monthly_flows(["account_name"]).filter(F.col("account_name").isNotNull())
@@ -179,7 +180,7 @@ class Snapshots(Warehouse):
     def fund_snapshot_monthly(self) -> DataFrame:       # I10
         fv = self.holdings_month_end.filter(F.col("holding_type") == FUND)
         mev = (fv.groupBy("account_key", "account_name", "fund_key", "date")
-               .agg(money(F.sum("value_gbp")).alias("month_end_value_gbp")))
+               .agg(money(exact_sum("value_gbp")).alias("month_end_value_gbp")))
         flows = (self._monthly_flows(["account_key", "fund_key"])
                  .filter(F.col("fund_key").isNotNull() & (F.col("_has_trade") == 1)))
         funds = self.dim_fund.select("fund_key", "fund_name", "fund_short_name")

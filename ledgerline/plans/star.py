@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import dates as D
+from ledgerline.functions.numeric import exact_sum
 from ledgerline.functions.keys import surrogate_key
 from ledgerline.operators.windows import running_sum
 from ledgerline.sources.fixture import (CALENDAR_END, CALENDAR_START, FIXTURE_AS_OF, RawSources,
@@ -106,6 +107,29 @@ class Warehouse:
         return b.select("index_id", F.col("date").alias("market_date"),
                         F.col("level").alias("index_level"), "ticker")
 
+    def dated_sources(self) -> DataFrame:
+        """(source, date) of every dated raw row."""
+        r = self.raw
+        parts = [r.transactions.select(F.lit("transactions").alias("source"), F.col("trade_date").alias("date")),
+                 r.transactions.select(F.lit("settlements").alias("source"), F.col("settle_date").alias("date")),
+                 r.prices.select(F.lit("prices").alias("source"), "date"),
+                 r.benchmarks.select(F.lit("benchmarks").alias("source"), "date")]
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out.filter(F.col("date").isNotNull())
+
+    def seeded_calendar(self) -> DataFrame:
+        """Whole years from the first to the last date of the sources (two days are resolved first)."""
+        lo, hi = self.dated_sources().agg(F.min("date"), F.max("date")).first()
+        return D.calendar(self.spark, f"{lo:%Y}-01-01", f"{hi:%Y}-12-31")
+
+    def outside_calendar(self) -> DataFrame:
+        """Rows by source that the model's calendar covers and leaves out: nothing is dropped uncounted."""
+        inside = self.in_calendar(F.col("date"))
+        return self.dated_sources().groupBy("source").agg(
+            F.count_if(inside).alias("rows_inside"), F.count_if(~inside).alias("rows_outside"))
+
     # ---- dimensions ------------------------------------------------------
     @cached_property
     def dim_date(self) -> DataFrame:
@@ -125,7 +149,7 @@ class Warehouse:
         """Cumulative units per fund (all accounts) on each trade date (D2 -> E1)."""
         deltas = (self.base_transactions
                   .filter(F.col("is_trade") & F.col("fund_id").isNotNull())
-                  .groupBy("fund_id", "trade_date").agg(F.sum(signed_units()).alias("unit_delta")))
+                  .groupBy("fund_id", "trade_date").agg(exact_sum(signed_units()).alias("unit_delta")))
         return running_sum(deltas, ["fund_id"], "trade_date", "unit_delta", "cumulative_units")
 
     @cached_property
@@ -219,9 +243,9 @@ class Warehouse:
         trade = F.col("is_trade")
         inflow = ty.isin(*INFLOW_TYPES)
         daily = (t.groupBy("account_key", "account_name", "trade_date")
-                 .agg(F.sum(F.when(trade, v).otherwise(0.0)).alias("trade_cash_net_gbp"),
-                      F.sum(F.when(inflow, v).otherwise(0.0)).alias("inflows_gbp"),
-                      F.sum(F.when(~trade & ~inflow, v).otherwise(0.0)).alias("fees_and_other_gbp"),
-                      F.sum(v).alias("net_cash_movement_gbp")))
+                 .agg(exact_sum(F.when(trade, v).otherwise(0.0)).alias("trade_cash_net_gbp"),
+                      exact_sum(F.when(inflow, v).otherwise(0.0)).alias("inflows_gbp"),
+                      exact_sum(F.when(~trade & ~inflow, v).otherwise(0.0)).alias("fees_and_other_gbp"),
+                      exact_sum(v).alias("net_cash_movement_gbp")))
         daily = running_sum(daily, ["account_key"], "trade_date", "net_cash_movement_gbp", "cash_balance_gbp")
         return daily.withColumn("date_key", D.date_key(F.col("trade_date")))

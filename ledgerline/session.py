@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -28,11 +29,15 @@ BASE_CONF = {
 }
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
+def build_session(master: str = "local[8]", shuffle_partitions: int | None = None,
                   app_name: str = "ledgerline", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    # on a cluster the setting stays as configured there (AQE coalesces); a local session gets a few
+    if shuffle_partitions is None and re.match(r"local(\[|$)", master):
+        shuffle_partitions = 8
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.driver.memory", "16g")
     if extra:
         conf.update(extra)
@@ -54,7 +59,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+        if not re.match(r"local(\[|$)", master):      # local-cluster has executors of its own
             # a driver-local folder is invisible to executors: refuse rather than scatter files
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for cluster runs")
         current = tempfile.mkdtemp(prefix="ledgerline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))

@@ -17,6 +17,7 @@ NOT_A_FUND = "Not a fund"
 NO_ISIN = "No_ISIN"
 DEFAULT_FETCH_START = "2017-01-01"
 PRICE_DIGITS = 6
+MILLIS_A_DAY = 86_400_000
 EVAL_FIELDS = ["test_case_id", "difficulty", "latency_s", "tool_call_count", "input_tokens", "output_tokens",
                "quality_score", "accuracy_judge_score"]
 
@@ -54,8 +55,9 @@ def normalise_price_payload(payloads: DataFrame, key: str = "fund_id", text: str
     rows = rows.select(key, pair.alias("_p")).filter(
         F.col("_p").isNotNull() & (F.size("_p") >= 2)
         & F.element_at("_p", 1).isNotNull() & F.element_at("_p", 2).isNotNull())
-    ts = F.element_at("_p", 1).cast("bigint")
-    return rows.select(key, F.to_date(F.timestamp_millis(ts)).alias("date"),
+    # the UTC day, whatever the session's time zone
+    day = F.floor(F.element_at("_p", 1) / MILLIS_A_DAY).cast("int")
+    return rows.select(key, F.date_add(F.lit("1970-01-01").cast("date"), day).alias("date"),
                        F.round(F.element_at("_p", 2) * 100, PRICE_DIGITS).alias("price_pence"))
 
 
@@ -65,7 +67,7 @@ def price_payloads_from(prices: DataFrame) -> DataFrame:
     Each payload holds at most one year of daily points, so no group grows
     with the data beyond the calendar.
     """
-    ms = (F.unix_timestamp(F.col("date").cast("timestamp")) * 1000).cast("double")
+    ms = (F.datediff("date", F.lit("1970-01-01").cast("date")) * F.lit(float(MILLIS_A_DAY)))
     return (prices.groupBy("fund_id", F.year("date").alias("year"))
             .agg(F.to_json(F.collect_list(F.array(ms, F.col("price_pence") / F.lit(100.0)))).alias("payload")))
 
@@ -78,9 +80,20 @@ def fetch_universe(dim_fund: DataFrame, holding_only: bool = False) -> DataFrame
     return u.select("fund_id", "morningstar_code")
 
 
-def missing_code_report(dim_fund: DataFrame) -> DataFrame:
-    return dim_fund.filter(F.col("morningstar_code").isNull()).select("fund_id", "fund_name",
-                                                                      "investment_status_indicator")
+def missing_code_report(dim_fund: DataFrame, holding_only: bool = False) -> DataFrame:
+    """Funds whose prices cannot be fetched, in the same scope as :func:`fetch_universe`."""
+    missing = dim_fund.filter(F.col("morningstar_code").isNull())
+    if holding_only:
+        missing = missing.filter(F.col("investment_status_indicator") == "Holding")
+    return missing.select("fund_id", "fund_name", "investment_status_indicator")
+
+
+def index_high_water_mark(indices: DataFrame, levels: DataFrame, as_of: str, backfill_from: str | None = None) -> DataFrame:
+    """Per index: start = backfill, else last level + 1 day, else the default; skip if >= as_of."""
+    last = levels.groupBy("index_id").agg(F.max("date").alias("_last"))
+    start = F.coalesce(F.lit(backfill_from).cast("date"), F.date_add("_last", 1), F.lit(DEFAULT_FETCH_START).cast("date"))
+    return (indices.join(last, "index_id", "left").select("index_id", "ticker", start.alias("fetch_start"))
+            .filter(F.col("fetch_start") < F.lit(as_of).cast("date")))
 
 
 def fetch_high_water_mark(universe: DataFrame, prices: DataFrame, transactions: DataFrame, as_of: str,
@@ -110,3 +123,15 @@ def flatten_eval_results(spark: SparkSession, path: str, name: str = "file") ->
           .withColumn("filename", F.col("_metadata.file_name") if name == "file"
                       else F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)))
     return df.select("filename", *EVAL_FIELDS)
+
+
+def write_eval_summary(flat: DataFrame, path: str) -> None:
+    """The flattened cases as CSV with a header, ordered by file and case."""
+    flat.orderBy("filename", "test_case_id").write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_eval_summary(spark: SparkSession, path: str) -> DataFrame:
+    numbers = {"latency_s": "double", "tool_call_count": "bigint", "input_tokens": "bigint", "output_tokens": "bigint",
+               "quality_score": "double", "accuracy_judge_score": "double"}
+    schema = ", ".join(f"{c} {numbers.get(c, 'string')}" for c in ["filename", *EVAL_FIELDS])
+    return spark.read.schema(schema).option("header", True).csv(path)

@@ -153,6 +153,18 @@ def test_price_payload_normalisation(spark):
     assert got == [("F", dt.date(2024, 1, 2), 123.45), ("F", dt.date(2024, 1, 3), 250.0)]
 
 
+def test_price_days_do_not_depend_on_the_session_time_zone(spark):
+    df = spark.createDataFrame([("F", "[[1704153600000, 1.0], [1704239999000, 2.0], [-1000, 3.0]]")], "fund_id string, payload string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Pacific/Auckland", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = sorted(str(r.date) for r in FD.normalise_price_payload(df).collect())
+            assert got == ["1969-12-31", "2024-01-02", "2024-01-02"], zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
 def test_account_from_partitioned_path(spark):
     df = spark.createDataFrame([("file:///x/account=Brand%252310/part-0.csv",), ("file:///x/ISA/a.csv",)], "p string")
     assert [r[0] for r in df.select(B.account_from_path(F.col("p"))).collect()] == ["Brand#10", "ISA"]

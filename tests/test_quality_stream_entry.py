@@ -66,6 +66,11 @@ def test_drop_folder_failure_is_audited(spark):
     assert (row.status, row.rows_inserted) == ("failure", 0) and row.detail
 
 
+def test_declared_checks_cover_every_model():
+    from ledgerline.plans.declared_checks import DECLARED, n_checks
+    assert n_checks() == 175 and len({c.table for c in DECLARED}) == len(DECLARED) == 28
+
+
 def test_adhoc_select_reads_views_only(spark, tmp_path):
     import __spark_entry__ as E  # noqa: F401
     from ledgerline.plans.catalog import build

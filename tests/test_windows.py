@@ -54,3 +54,17 @@ def test_dietz_zero_denominator_is_null(spark):
                                "emv double, bmv double, cf double")
     got = [r.r for r in df.select(modified_dietz(F.col("emv"), F.col("bmv"), F.col("cf")).alias("r")).collect()]
     assert abs(got[0] - 0.1) < 1e-12 and got[1] is None and got[2] is None
+
+
+def test_money_sums_do_not_depend_on_partitions(spark):
+    """Pounds and pence as doubles: 0.1 is not exact, and sums of doubles change with the order of the rows."""
+    import random
+    from ledgerline.functions.numeric import exact_sum
+    rnd = random.Random(4)
+    values = [round(rnd.uniform(-1e6, 1e6), 2) for _ in range(4000)] + [0.1] * 1000
+    df = spark.createDataFrame([(i % 3, v) for i, v in enumerate(values)], "k int, v double")
+    results = {n: sorted((r.k, r.s) for r in df.repartition(n).groupBy("k").agg(exact_sum("v").alias("s")).collect())
+               for n in (1, 3, 17)}
+    assert results[1] == results[3] == results[17]
+    for k, s in results[1]:
+        assert s == round(sum(round(v * 100) for i, v in enumerate(values) if i % 3 == k) / 100, 2)
