@@ -38,6 +38,7 @@ from xxhash import xxh3_64_intdigest
 
 from ledgerline.llm.common import id_and_text, map_arrow, ship_package, texts_of, written
 from ledgerline.llm.components import connected_components
+from ledgerline.operators.sizing import broadcast_if_small
 
 WORDS = 5
 BLOCK_SHINGLES = 2_000_000
@@ -170,85 +171,100 @@ def ordered(shingles: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate([rare, shingles[is_heavy]]), len(rare)
 
 
-POSTINGS = "bucket int, shingle bigint, class bigint, n int, heavy int, shingles binary, classes binary, ns binary, heavies binary"
+RARE = "bucket int, shingles binary, classes binary, ns binary, heavies binary"
+HOT = "shingle bigint, class bigint, n int, heavy int"
 
 
-def _postings(sent, boundary: int, buckets: int):
-    """Postings of rare shingles as arrays, a row for each block and bucket; of heavy ones as rows."""
-    least = -(-3 * (boundary + 1) // 4)
-    names = ["bucket", "shingle", "class", "n", "heavy", "shingles", "classes", "ns", "heavies"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 4
+def _prefixes(sets: list[np.ndarray], least: int, heavy: np.ndarray) -> Iterator[tuple[int, np.ndarray, int, int]]:
+    """(class, its first shingles, how many of them are rare, size, heavy ones of all) of a block's distinct sets."""
+    for c, s in _distinct(sets, [class_of(s) if len(s) >= least else 0 for s in sets]).items():
+        order, rare = ordered(s, heavy)
+        p = prefix(len(s))
+        yield c, order[:p], min(p, rare), len(s), len(s) - rare
+
+
+def _rare_postings(sent, least: int, buckets: int):
+    """Postings of rare shingles as arrays, a row for each block and bucket: 20 bytes a posting, one shuffle."""
+    names = ["bucket", "shingles", "classes", "ns", "heavies"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = sent.value
         for _, sets in _blocks(batches):
-            shingles, classes, ns, heavies, hot = [], [], [], [], []
-            for c, s in _distinct(sets, [class_of(s) if len(s) >= least else 0 for s in sets]).items():
-                order, rare = ordered(s, heavy)
-                p = prefix(len(s))
-                shingles.append(order[:min(p, rare)])
-                k = len(shingles[-1])
-                classes.append(np.full(k, c, np.int64))
-                ns.append(np.full(k, len(s), np.int32))
-                heavies.append(np.full(k, len(s) - rare, np.int32))
-                hot += [(int(x), c, len(s), len(s) - rare) for x in order[rare:p].view(np.int64)]
-            if hot:
-                cols = list(zip(*hot))
-                none = len(hot)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(none, pa.int32()), *[pa.array(c, k) for c, k in zip(cols, kinds[1:5])],
-                     *[pa.nulls(none, pa.binary())] * 4], names=names)
-            if shingles:
-                x, c, n, h = map(np.concatenate, (shingles, classes, ns, heavies))
-                at = ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-                order = np.argsort(at, kind="stable")
-                x, c, n, h, at = x[order], c[order], n[order], h[order], at[order]
-                bounds = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else np.zeros(1, int)
-                spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
-                blobs = [[v[a:b].tobytes() for a, b in spans] for v in (x, c, n, h)]
-                none = len(spans)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(at[a]) for a, _ in spans], pa.int32()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()),
-                     pa.nulls(none, pa.int32()), pa.nulls(none, pa.int32()), *[pa.array(b, pa.binary()) for b in blobs]],
-                    names=names)
+            shingles, classes, ns, heavies = [], [], [], []
+            for c, first, rare, n, h in _prefixes(sets, least, heavy):
+                shingles.append(first[:rare])
+                classes.append(np.full(rare, c, np.int64))
+                ns.append(np.full(rare, n, np.int32))
+                heavies.append(np.full(rare, h, np.int32))
+            if not shingles:
+                continue
+            x, c, n, h = map(np.concatenate, (shingles, classes, ns, heavies))
+            at = ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(at, kind="stable")
+            x, c, n, h, at = x[order].astype(np.uint32), c[order], n[order], h[order], at[order]  # low halves: buckets hold the high
+            bounds = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else np.zeros(1, int)
+            spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(at[i]) for i, _ in spans], pa.int32()),
+                 *[pa.array([v[i:j].tobytes() for i, j in spans], pa.binary()) for v in (x, c, n, h)]], names=names)
 
     return run
 
 
-LISTS = "shingle bigint, members array<struct<class:bigint,n:int,heavy:int>>"
+def _hot_postings(sent, least: int):
+    """Postings of heavy shingles as rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = sent.value
+        for _, sets in _blocks(batches):
+            hot = [(x, c, n, h) for c, first, rare, n, h in _prefixes(sets, least, heavy) if rare < len(first)
+                   for x in first[rare:].view(np.int64).tolist()]
+            cols = list(zip(*hot)) if hot else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32()])],
+                                             names=["shingle", "class", "n", "heavy"])
+
+    return run
+
+
+LISTS = "shingle bigint, weight int, members array<struct<class:bigint,n:int,heavy:int>>"
 _MEMBER = pa.struct([("class", pa.int64()), ("n", pa.int32()), ("heavy", pa.int32())])
 
 
 def _lists_of_bucket(rows: pa.Table) -> pa.Table:
-    """The distinct lists of a bucket that hold two classes or more (a long one in several rows of its shingle)."""
+    """The distinct lists of a bucket that hold two classes or more, each with the number of shingles that have it
+    (a long one in several rows of its first shingle).
+
+    Shingles are told apart by 32 bits more than the bucket has: where two share a list, it only has more members
+    to verify.
+    """
+    bucket = rows.column("bucket")[0].as_py()
     x, c, n, h = (np.frombuffer(b"".join(rows.column(k).to_pylist()), t) for k, t in
-                  (("shingles", np.uint64), ("classes", np.int64), ("ns", np.int32), ("heavies", np.int32)))
+                  (("shingles", np.uint32), ("classes", np.int64), ("ns", np.int32), ("heavies", np.int32)))
     order = np.lexsort((c, x))
     x, c, n, h = x[order], c[order], n[order], h[order]
     first = np.concatenate([[True], (x[1:] != x[:-1]) | (c[1:] != c[:-1])]) if len(x) else np.zeros(0, bool)
     x, c, n, h = x[first], c[first], n[first], h[first]  # a class may come from several blocks
     bounds = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, int)
-    size = np.diff(bounds)
-    seen, shingles, starts, ends = set(), [], [], []
-    for k in np.flatnonzero(size >= 2).tolist():
-        a, b = int(bounds[k]), int(bounds[k + 1])
-        key = c[a:b].tobytes()
-        if key not in seen:
-            seen.add(key)
-            for s in range(a, b, LONG_LIST):
-                shingles.append(int(x[a:a + 1].view(np.int64)[0]))
-                starts.append(s)
-                ends.append(min(s + LONG_LIST, b))
+    same: dict[bytes, list[int]] = {}
+    for k in np.flatnonzero(np.diff(bounds) >= 2).tolist():
+        same.setdefault(c[bounds[k]:bounds[k + 1]].tobytes(), []).append(k)
+    shingles, weights, starts, ends = [], [], [], []
+    for ks in same.values():
+        a, b = int(bounds[ks[0]]), int(bounds[ks[0] + 1])
+        for s in range(a, b, LONG_LIST):
+            shingles.append(bucket << 32 | int(x[a]))
+            weights.append(len(ks))
+            starts.append(s)
+            ends.append(min(s + LONG_LIST, b))
     flat = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends)]) if starts else np.zeros(0, np.int64)
     offsets = np.concatenate([[0], np.cumsum([b - a for a, b in zip(starts, ends)])]).astype(np.int32)
     members = pa.StructArray.from_arrays([pa.array(c[flat]), pa.array(n[flat]), pa.array(h[flat])], fields=list(_MEMBER))
-    return pa.table({"shingle": pa.array(shingles, pa.int64()),
+    return pa.table({"shingle": pa.array(shingles, pa.int64()), "weight": pa.array(weights, pa.int32()),
                      "members": pa.ListArray.from_arrays(pa.array(offsets), members)})
 
 
 # ------------------------------------------------------------ verification
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, set) of the wanted classes, from the documents (one row at least for each)."""
+    """(class, set) of the wanted classes, from the documents (copies may give a class several rows)."""
     known = wanted.count() <= MAX_SENT
     sent = docs.sparkSession.sparkContext.broadcast(
         np.sort(np.array(wanted.toArrow().column("class").to_numpy(), np.int64)) if known else None)
@@ -293,7 +309,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     members = pairs.join(fans, "lead").select("lead", F.pmod("salt", F.col("parts")).cast("int").alias("salt"), "class")
     leads = fans.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"),
                         F.col("lead").alias("class"))
-    rows = members.unionByName(leads).join(sets, "class").select("lead", "salt", "class", "set")
+    asked, _ = broadcast_if_small(written(members.unionByName(leads), "jaccard-asked"))
+    rows = sets.join(asked, "class").select("lead", "salt", "class", "set")
     rows = (rows.withColumn("_member", F.col("class") != F.col("lead"))
             .repartition("lead", "salt").sortWithinPartitions("lead", "salt", "_member"))
     return map_arrow(rows.drop("_member"), _verify, "a bigint, b bigint").distinct()
@@ -319,15 +336,14 @@ def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # lists
     buckets = max(16, math.ceil(total / 4 / POSTINGS_A_BUCKET))
-    entries = map_arrow(rows, _postings(heavy, boundary, buckets), POSTINGS)
-    packed = written(entries, "jaccard-postings")
-    rare = (packed.filter("bucket is not null").select("bucket", "shingles", "classes", "ns", "heavies")
+    least = -(-3 * (boundary + 1) // 4)
+    rare = (map_arrow(rows, _rare_postings(heavy, least, buckets), RARE)
             .repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists_of_bucket, LISTS))
-    rare = written(rare, "jaccard-lists")
+    hot = map_arrow(rows, _hot_postings(heavy, least), HOT).distinct()
     member = [F.col("m.class").alias("class"), F.col("m.n").alias("n"), F.col("m.heavy").alias("heavy")]
-    in_lists = (rare.select("shingle", F.explode("members").alias("m")).select("shingle", *member, F.lit(False).alias("hot"))
-                .unionByName(packed.filter("shingle is not null").select("shingle", "class", "n", "heavy", F.lit(True).alias("hot"))
-                             .distinct()))
+    in_lists = (rare.select("shingle", "weight", F.explode("members").alias("m"))
+                .select("shingle", "weight", *member, F.lit(False).alias("hot"))
+                .unionByName(hot.select("shingle", F.lit(1).alias("weight"), "class", "n", "heavy", F.lit(True).alias("hot"))))
     in_lists = written(in_lists, "jaccard-members")
 
     # every class of a list against the list's leader; subsets of small sets link at once
@@ -349,9 +365,15 @@ def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_ = written(marked.join(open_, ["shingle", "hot"]), "jaccard-open")
     other = open_.select("shingle", "hot", F.col("class").alias("lead"), F.col("n").alias("ln"), F.col("heavy").alias("lh"),
                          F.col("component").alias("other"))
-    across = (open_.join(other, ["shingle", "hot"])
-              .filter((F.col("lead") < F.col("class")) & (F.col("other") != F.col("component")) & _can_link("n", "ln", "heavy", "lh"))
-              .select("lead", "class").distinct().join(star, ["lead", "class"], "left_anti"))
+    met = (open_.join(other, ["shingle", "hot"])
+           .filter((F.col("lead") < F.col("class")) & (F.col("other") != F.col("component")) & _can_link("n", "ln", "heavy", "lh")))
+    # such a pair meets in open lists only, so all rare shingles that both prefixes hold are counted here
+    counted = (met.filter(~F.col("hot")).groupBy("lead", "class", "n", "ln")
+               .agg(F.sum("weight").alias("shared"), F.min("heavy").alias("heavy"), F.min("lh").alias("lh"))
+               .filter(_enough_shared()).select("lead", "class"))
+    across = (counted.unionByName(met.filter("hot").select("lead", "class")).distinct()
+              .join(star, ["lead", "class"], "left_anti")
+              .join(star.select(F.col("class").alias("lead"), F.col("lead").alias("class")), ["lead", "class"], "left_anti"))
     across = written(across, "jaccard-across")
     more = written(_links_of(rows, across).unionByName(linked), "jaccard-all-links")
     return by_doc, written(connected_components(more), "jaccard-final").withColumnRenamed("node", "class")
@@ -363,11 +385,27 @@ def _can_link(n: str, m: str, n_heavy: str, m_heavy: str):
     return 175 * o >= 75 * (F.col(n) + F.col(m))
 
 
+def _enough_shared():
+    """Whether a pair that shares ``shared`` rare shingles within both prefixes can reach the threshold.
+
+    Rare shingles come first in the common order. Of a set whose rare ones all lie in its prefix only heavy ones
+    are left behind it; else all that the prefix leaves, n - prefix(n). Two sets of the first kind share at most
+    the smaller heavy count besides; otherwise what one of the second kind has left bounds the rest (the
+    larger of the two, if both are).
+    """
+    def left(n: str, heavy: str):
+        behind = F.ceil(F.col(n) * 0.75) - 1
+        return F.col(heavy), behind, F.col(n) - F.col(heavy) > F.col(n) - behind  # the last: some rare ones are behind
+
+    (hx, bx, more_x), (hy, by, more_y) = left("n", "heavy"), left("ln", "lh")
+    rest = (F.when(more_x & more_y, F.greatest(bx, by)).when(more_x, bx).when(more_y, by).otherwise(F.least(hx, hy)))
+    return 175 * (F.col("shared") + rest) >= 75 * (F.col("n") + F.col("ln"))
+
+
 def _links_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("lead").alias("class")).unionByName(pairs.select("class")).distinct()
     wanted = written(wanted, "jaccard-wanted")
-    sets = written(class_sets(rows, wanted).groupBy("class").agg(F.any_value("set").alias("set")), "jaccard-sets")
-    return verified(pairs, sets)
+    return verified(pairs, class_sets(rows, wanted))
 
 
 def _small_links(rows: DataFrame, boundary: int) -> DataFrame:
