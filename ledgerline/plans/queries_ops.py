@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import dates as D
 from ledgerline.functions.keys import surrogate_key
+from ledgerline.operators.asof import asof_join, step_intervals
 from ledgerline.plans import catalog
 from ledgerline.plans.catalog import register
 from ledgerline.plans.declared_checks import declared_sql, run_declared
@@ -93,10 +94,12 @@ SELECT account_key, fund_key, count(*) FILTER (WHERE units_held > {OPEN_UNITS})
        count(*) FILTER (WHERE units_held >= {SHOWN_UNITS}) AS shown_days
 FROM units_daily GROUP BY 1, 2""")
 def open_position_filter(p):
-    u = p.units_held_daily
-    return u.groupBy("account_key", "fund_key").agg(
-        F.count(F.when(F.col("units_held") > OPEN_UNITS, 1)).alias("open_days"),
-        F.count(F.when(F.col("units_held") >= SHOWN_UNITS, 1)).alias("shown_days"))
+    """Days by the length of each validity interval; no day is generated."""
+    steps = step_intervals(p.unit_steps, ["account_key", "fund_key"], "trade_date", p.horizon)
+    days = F.datediff("valid_to", "trade_date") + 1
+    return steps.groupBy("account_key", "fund_key").agg(
+        F.sum(F.when(F.col("units_held") > OPEN_UNITS, days).otherwise(0)).alias("open_days"),
+        F.sum(F.when(F.col("units_held") >= SHOWN_UNITS, days).otherwise(0)).alias("shown_days"))
 
 
 def _scanned(p):
@@ -153,11 +156,26 @@ SELECT da.account_name, min(dd.date) AS first_day, max(dd.date) AS last_day, cou
 FROM dim_account da JOIN dim_date dd ON dd.date >= da.account_open_date AND dd.date <= DATE '{AS_OF}'
 GROUP BY 1""")
 def date_spine_range_join(p):
-    a = p.dim_account.filter(F.col("account_open_date").isNotNull())
-    spine = a.select("account_name", F.explode(F.sequence(
-        F.greatest("account_open_date", F.lit(p.cal_start).cast("date")), F.lit(p.horizon).cast("date"))).alias("d"))
-    return spine.groupBy("account_name").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"),
-                                             F.count(F.lit(1)).alias("days"))
+    """The spine is dense, so its ends and length follow from the opening day and the horizon."""
+    first = F.greatest("account_open_date", F.lit(p.cal_start).cast("date"))
+    last = F.lit(p.horizon).cast("date")
+    return p.dim_account.filter(first <= last).select(
+        "account_name", first.alias("first_day"), last.alias("last_day"), (F.datediff(last, first) + 1).cast("bigint").alias("days"))
+
+
+@register("asof_events_bucketed", raw_oracle="""
+WITH views AS (SELECT user_id, ts AS view_ts, max(value) AS view_value FROM events WHERE event_type = 'view' GROUP BY 1, 2)
+SELECT p.event_id, p.user_id, p.ts, v.view_ts, v.view_value
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+ASOF LEFT JOIN views v ON p.user_id = v.user_id AND p.ts >= v.view_ts""")
+def asof_events_bucketed(p):
+    """Each purchase with the user's last view before it, by the skew-safe form: one window per (user, week)."""
+    e = p.table("events")
+    views = (e.filter(F.col("event_type") == "view").groupBy("user_id", F.col("ts").alias("view_ts"))
+             .agg(F.max("value").alias("view_value")))
+    bought = e.filter(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
+    return asof_join(bought, views, ["user_id"], "ts", "view_ts", ["view_ts", "view_value"],
+                     bucket=lambda t: F.date_trunc("week", t)).select("event_id", "user_id", "ts", "view_ts", "view_value")
 
 
 @register("month_spine", oracle=f"""
