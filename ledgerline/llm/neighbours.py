@@ -10,7 +10,8 @@ neighbourhood (its neighbours and a sample of the nodes that list it) with their
 and keeps what improves a list, until few lists change.
 
 **Search.** A query starts at its own node's list and a few entry points. Each round expands the best ``BEAM``
-nodes found that aren't expanded yet: their neighbours are joined, compared and kept, until none is left.
+nodes found that aren't expanded yet: their neighbours are joined, compared and kept, until none is left or after
+``SEARCH_ROUNDS`` rounds.
 
 Vectors travel at one byte a component; the answers are scored in double precision on the original
 vectors. Every row is indexed. Recall against brute force is measured in the tests (0.9 at least).
@@ -36,13 +37,30 @@ MEMBERS = ANSWERS + 1
 K = 32
 REVERSE = 24         # nodes that list a node, sampled for its neighbourhood (in expectation)
 ROUNDS = 6
-SETTLED = 0.003      # share of list entries that a last round may change
-INITS = 3
-PIVOTS = 128
-BLOCK = 256
+SETTLED = 0.02       # share of list entries that a last round may change
+INITS = 6
+FIRST = 16           # neighbours kept by each first list
+MOST_PIVOTS = 4096   # sent to all tasks
+BLOCK = 2048
 BEAM = 96
 ENTRIES = 4
-SEARCH_ROUNDS = 12
+SEARCH_ROUNDS = 6
+
+
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def _side(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """A join side that is broadcast if its rows, at their known width, stay within the bound; else shuffled."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
+
+
+ROWS_A_TASK = 100_000
+
+
+def _tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more tasks than its number of rows (an estimate) asks for, but enough for all cores."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, int(rows) // ROWS_A_TASK))
 
 
 # -------------------------------------------------------------- vectors
@@ -114,8 +132,12 @@ def _edges(node, ident, sim) -> pa.RecordBatch:
 
 
 def first_lists(nodes: DataFrame, seed: int, k: int) -> DataFrame:
-    """Edges to the nearest of a block of nodes that are neighbours in an order by pivot and projection."""
-    pivots = (nodes.select("node", "unit").orderBy(F.xxhash64(F.lit(seed), F.col("node"))).limit(PIVOTS).toArrow())
+    """Edges to the nearest of a block of nodes that are neighbours in an order by pivot and projection.
+
+    About one pivot a block, as far as their bound allows.
+    """
+    n = min(max(nodes.count() // BLOCK, 4), MOST_PIVOTS)
+    pivots = (nodes.select("node", "unit").orderBy(F.xxhash64(F.lit(seed), F.col("node"))).limit(n).toArrow())
     sent = nodes.sparkSession.sparkContext.broadcast(_matrix(pivots.column("unit")))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,11 +158,13 @@ def first_lists(nodes: DataFrame, seed: int, k: int) -> DataFrame:
         for b in batches:
             m = _matrix(b.column("unit"))
             ids, rows = np.concatenate([ids, b.column("node").to_numpy()]), m if rows is None else np.concatenate([rows, m])
-            while len(ids) >= 2 * BLOCK:  # the last block stays until its size is known
+            while len(ids) >= 2 * BLOCK:  # the last rows stay until their number is known
                 yield _block(ids[:BLOCK], rows[:BLOCK], k)
                 ids, rows = ids[BLOCK:], rows[BLOCK:]
-        if len(ids) > 1:
-            yield _block(ids, rows, k)
+        half = len(ids) if len(ids) <= BLOCK else len(ids) // 2
+        for a, b in ((0, half), (half, len(ids))):
+            if b - a > 1:
+                yield _block(ids[a:b], rows[a:b], k)
 
     return map_arrow(placed, compare, EDGES)
 
@@ -193,27 +217,31 @@ def _compare(pivot, ids, unit, kth, new) -> pa.RecordBatch:
 
 def build_graph(nodes: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
     """(node, list) with list an array of (sim, id, new), most similar first."""
-    edges = first_lists(nodes, 1, k)
+    edges = first_lists(nodes, 1, min(k, FIRST))
     for seed in range(2, INITS + 1):
-        edges = edges.unionByName(first_lists(nodes, seed, k))
-    graph = written(best_lists(edges, k), "knn-graph")
+        edges = edges.unionByName(first_lists(nodes, seed, min(k, FIRST)))
+    graph = written(_tasks(best_lists(edges, k), nodes.count() * k), "knn-graph")
+    n, dim = nodes.agg(F.count(F.lit(1)), F.max(F.length("unit"))).first()
     units = nodes.select(F.col("node").alias("id"), "unit")
     total = graph.select(F.sum(F.size("list"))).first()[0] or 0
     for r in range(rounds):
         flat = graph.select("node", F.explode("list").alias("e")).select("node", "e.id", "e.sim", "e.new")
         degree = flat.groupBy("id").agg(F.count(F.lit(1)).alias("in"))
         # a node listed by many is joined with a sample of them, new each round
-        back = (flat.join(degree, "id")
+        back = (flat.join(_side(degree, n, 24), "id")
                 .filter(F.pmod(F.xxhash64(F.lit(r), "id", "node"), F.lit(1 << 30)) * F.col("in") < REVERSE * float(1 << 30))
                 .select(F.col("id").alias("pivot"), F.col("node").alias("id"), "new"))
         near = flat.select(F.col("node").alias("pivot"), "id", "new").unionByName(back)
-        near = near.groupBy("pivot", "id").agg(F.max("new").alias("new"))
+        near = near.repartition("pivot").groupBy("pivot", "id").agg(F.max("new").alias("new"))
         kth = graph.select(F.col("node").alias("id"), F.when(F.size("list") >= k, F.element_at("list", -1)["sim"])
                            .otherwise(F.lit(-2.0)).cast("float").alias("kth"))
-        rows = near.join(units.join(kth, "id"), "id").select("pivot", "id", "unit", "kth", "new")
-        found = map_arrow(rows.repartition("pivot").sortWithinPartitions("pivot"), _local_join, EDGES)
+        known = _side(units.join(_side(kth, n, 24), "id"), n, (dim or 0) + 40)
+        rows = near.join(known, "id").select("pivot", "id", "unit", "kth", "new")
+        if n * ((dim or 0) + 40) > BROADCAST_BYTES:
+            rows = rows.repartition("pivot")  # the shuffle join has dealt them by member
+        found = map_arrow(_tasks(rows, n * (k + REVERSE)).sortWithinPartitions("pivot"), _local_join, EDGES)
         found = found.groupBy("node", "id").agg(F.max("sim").alias("sim")).withColumn("new", F.lit(True))
-        graph = written(best_lists(flat.withColumn("new", F.lit(False)).unionByName(found), k), "knn-graph")
+        graph = written(_tasks(best_lists(flat.withColumn("new", F.lit(False)).unionByName(found), k), n * k), "knn-graph")
         changed = graph.select(F.sum(F.size(F.filter("list", lambda e: e["new"])))).first()[0] or 0
         if changed <= SETTLED * total:
             break
@@ -223,29 +251,31 @@ def build_graph(nodes: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame
 # --------------------------------------------------------------- search
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
     """(query, id, sim): what the greedy search of each query node has found, by coarse vectors."""
-    units = nodes.select(F.col("node").alias("id"), "unit")
     own = queries.select(F.col("node").alias("query")).distinct()
     own = written(own.join(nodes.select(F.col("node").alias("query"), F.col("unit").alias("own")), "query"), "knn-queries")
+    n, dim = nodes.agg(F.count(F.lit(1)), F.max(F.length("unit"))).first()
+    q, width = own.count(), (dim or 0) + 24
+    units = _side(nodes.select(F.col("node").alias("id"), "unit"), n, width)
+    near = _side(graph.select(F.col("node").alias("id"), F.col("list.id").alias("next")), n, 8 * K + 40)
     entries = [r["node"] for r in nodes.select("node").orderBy(F.xxhash64(F.lit(0), "node")).limit(ENTRIES).collect()]
     starts = own.select("query", F.explode(F.array(*[F.lit(e).cast("bigint") for e in entries])).alias("id")) if entries else None
-    start = own.join(graph, own["query"] == graph["node"]).select("query", F.explode("list").alias("e")).select("query", "e.id")
+    start = own.select("query", F.col("query").alias("id")).join(near, "id").select("query", F.explode("next").alias("id"))
     if starts is not None:
         start = start.unionByName(starts)
     found = None
     new = start.filter("id <> query").distinct()
-    for r in range(SEARCH_ROUNDS):
-        rows = new.join(own, "query").join(units, "id").select("query", "id", "own", "unit")
+    for _ in range(SEARCH_ROUNDS):
+        rows = _tasks(new, q * beam * K // 2).join(_side(own, q, width), "query").join(units, "id").select("query", "id", "own", "unit")
         scored = map_arrow(rows, _similar, "query bigint, id bigint, sim float").withColumn("open", F.lit(True))
         found = written(scored if found is None else found.unionByName(scored), "knn-found")
         best = found.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "id", "open")), asc=False), 1, beam).alias("b"))
         front = written(best.select("query", F.explode("b").alias("b")).filter("b.open").select("query", F.col("b.id").alias("id")), "knn-front")
         if front.isEmpty():
             break
-        found = (found.join(front.withColumn("go", F.lit(True)), ["query", "id"], "left")
+        found = (found.join(_side(front.withColumn("go", F.lit(True)), q * beam, 32), ["query", "id"], "left")
                  .select("query", "id", "sim", (F.col("open") & F.col("go").isNull()).alias("open")))
-        reached = (front.join(graph.withColumnRenamed("node", "id"), "id")
-                   .select("query", F.explode("list.id").alias("id")).filter("id <> query").distinct())
-        new = written(reached.join(found.select("query", "id"), ["query", "id"], "left_anti"), "knn-new")
+        reached = front.join(near, "id").select("query", F.explode("next").alias("id")).filter("id <> query").distinct()
+        new = reached.join(found.select("query", "id"), ["query", "id"], "left_anti")
     return found.select("query", "id", "sim")
 
 
