@@ -85,6 +85,18 @@ def align_series(df: DataFrame, series: list[str], key: str = "series", date: st
     return wide
 
 
+# Views that ad-hoc SQL may name, and their models.
+VIEWS = {
+    "mart_holdings_latest": "holdings_latest", "mart_portfolio_value_daily": "portfolio_value_daily",
+    "mart_portfolio_inflows_daily": "portfolio_inflows_daily",
+    "mart_portfolio_returns_monthly": "portfolio_returns_monthly",
+    "mart_benchmarks_monthly": "benchmark_returns_monthly",
+    "mart_contributions_by_financial_year": "contributions_by_fy",
+    "mart_portfolio_snapshot_monthly": "portfolio_snapshot_monthly",
+    "mart_fund_snapshot_monthly": "fund_snapshot_monthly", "mart_fund_returns_monthly": "fund_returns_monthly",
+    "dim_account": "dim_account", "dim_fund": "dim_fund", "dim_date": "dim_date",
+    "dim_transaction_type": "dim_transaction_type",
+}
 # Nodes that a parsed query may consist of.
 QUERY_NODES = ("Project", "Filter", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union",
                "Intersect", "Except", "Window", "WithWindowDefinition", "UnresolvedWith", "UnresolvedRelation",
@@ -209,23 +221,10 @@ class Derived(Serving):
             f = f.filter(F.col("is_active"))
         return f.orderBy("fund_name")
 
-    def register_views(self) -> None:
-        """Marts and dimensions as temp views, the only tables ad-hoc SQL can name."""
-        views = {
-            "mart_holdings_latest": self.holdings_latest, "mart_portfolio_value_daily": self.portfolio_value_daily,
-            "mart_portfolio_inflows_daily": self.portfolio_inflows_daily,
-            "mart_portfolio_returns_monthly": self.portfolio_returns_monthly,
-            "mart_benchmarks_monthly": self.benchmark_returns_monthly,
-            "mart_contributions_by_financial_year": self.contributions_by_fy,
-            "mart_portfolio_snapshot_monthly": self.portfolio_snapshot_monthly,
-            "mart_fund_snapshot_monthly": self.fund_snapshot_monthly,
-            "mart_fund_returns_monthly": self.fund_returns_monthly,
-            "dim_account": self.dim_account, "dim_fund": self.dim_fund, "dim_date": self.dim_date,
-            "dim_transaction_type": self.dim_transaction_type,
-        }
-        for name, df in views.items():
-            df.createOrReplaceTempView(name)
-        self.view_names = set(views)
+    def register_views(self, names=None) -> None:
+        """Marts and dimensions (or the named ones) as temp views, the only tables ad-hoc SQL can name."""
+        for name in VIEWS if names is None else names:
+            getattr(self, VIEWS[name]).createOrReplaceTempView(name)
 
     def adhoc_select(self, sql: str) -> DataFrame:
         """A read-only SELECT over the mart/dim views, first 200 rows.
@@ -234,7 +233,6 @@ class Derived(Serving):
         included, must be a query node, and every relation a registered view or a name that WITH defines.
         """
         from pyspark.errors import ParseException
-        self.register_views()
         try:
             tree = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
         except ParseException as e:
@@ -244,9 +242,11 @@ class Derived(Serving):
             if not re.match(rf"({'|'.join(QUERY_NODES)})\b", node):
                 raise ValueError(f"only SELECT statements are allowed, not {node.split()[0]}")
         named = {n.strip() for x in re.findall(r"CTE \[([^\]]*)\]", tree) for n in x.split(",")}
-        for relation in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree):
-            if relation not in self.view_names | named:
+        relations = set(re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree)) - named
+        for relation in relations:
+            if relation not in VIEWS:
                 raise ValueError(f"{relation} is not one of the views")
         if re.search(r"\b(try_)?(reflect|java_method)\(", tree):
             raise ValueError("only SQL functions are allowed")
+        self.register_views(relations)
         return self.spark.sql(sql).limit(ADHOC_ROW_CAP)

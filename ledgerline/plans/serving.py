@@ -328,9 +328,11 @@ class Serving(Returns):
         fund = self.dim_fund.filter(F.col("fund_id") == fund_id)
         start = (F.lit(date_from).cast("date") if date_from is not None else
                  F.coalesce(fund.select(F.max("first_investment_date")).scalar(), F.lit("1995-01-01").cast("date")))
-        # one fund's steps only reach the window functions
-        fv = self._fund_values("month", fund_id=fund_id).filter(
-            (F.col("date") >= start) & (F.col("date") <= F.lit(date_to).cast("date")))
+        if "holdings_month_end" in self.materialised:       # a written table: the filters reach its scan
+            fv = self.holdings_month_end.filter((F.col("holding_type") == FUND) & (F.col("fund_id") == fund_id))
+        else:                                               # one fund's steps only reach the window functions
+            fv = self._fund_values("month", fund_id=fund_id)
+        fv = fv.filter((F.col("date") >= start) & (F.col("date") <= F.lit(date_to).cast("date")))
         pts = fv.select("date", "fund_price_gbp").distinct().filter(F.col("fund_price_gbp") > 0)
         base = fv.select(F.min_by("fund_price_gbp", "date")).scalar()
         fund_series = pts.select(F.lit(fund_id).alias("series"), "date",
