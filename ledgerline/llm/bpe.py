@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from ledgerline.llm.common import id_and_text, map_arrow, texts_of
+from ledgerline.llm.common import id_and_text, map_arrow, slices, texts_of
 
 LEAF_CHARS = 65_536
 WINDOW_CHARS = 64
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 150_000
 
 
 class Tokens(NamedTuple):
@@ -286,7 +286,7 @@ def encode_leaves(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> D
               .select("doc", "doc_id", "copies", "leaf", "piece"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load(path)
+        tok = _codec(path).tok
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
@@ -306,8 +306,8 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS,
     by_word = plain_words(path)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = WordCodec(path)
-        for b in batches:
+        codec = _codec(path)
+        for b in (part for whole in batches for part in slices(whole)):
             texts = texts_of(b.column("text"))
             if by_word:
                 pairs = codec.encode(texts)
@@ -319,7 +319,7 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS,
 
     def join(leaves: pa.Table) -> pa.Table:
         rows_ = sorted(leaves.to_pylist(), key=lambda r: r["leaf"])
-        codec = _joiner(path)
+        codec = _codec(path)
         text, cuts, parts = "".join(r["piece"] for r in rows_), [0], []
         for r in rows_:
             ids, starts, ends = (np.frombuffer(r[k], np.int32) for k in ("ids", "starts", "ends"))
@@ -336,14 +336,14 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS,
                          .groupBy("doc").applyInArrow(join, DIGEST)))
 
 
-_JOINERS: dict[str, WordCodec] = {}
+_CODECS: dict[str, WordCodec] = {}
 
 
-def _joiner(path: str) -> WordCodec:
-    """One codec per worker process for all documents it joins."""
-    if path not in _JOINERS:
-        _JOINERS[path] = WordCodec(path)
-    return _JOINERS[path]
+def _codec(path: str) -> WordCodec:
+    """One codec per worker process: what it remembers serves all its tasks."""
+    if path not in _CODECS:
+        _CODECS[path] = WordCodec(path)
+    return _CODECS[path]
 
 
 def decode_ids(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -33,6 +34,12 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+def slices(batch: pa.RecordBatch, rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that only a part's texts are held as Python objects."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of every row; a null text counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -67,9 +74,26 @@ _SHIPPED: set[str] = set()
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with this package's sources at hand on the executors."""
+    """``mapInArrow`` with this package's sources at hand on the executors.
+
+    Python workers outlive their tasks; what a task has freed is given back to the system at its end, so that
+    idle workers of one stage do not take the memory of the next.
+    """
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of the Arrow pool and of the C library to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

@@ -13,24 +13,29 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import written
 
 
-def _least_neighbour(edges: DataFrame) -> DataFrame:
-    """(u, m): the least of each node and its neighbours, over directed edges (u, v)."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+BROADCAST_BYTES = 16 * 1024 * 1024
+NODE_BYTES = 48
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:
     """(node, component) of all nodes in pairs (a, b); a component is named by its least node."""
     edges = (pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     edges = written(edges, "edges")
-    size, mark = -1, None
+    size, mark = edges.count(), None
+
+    def side(least: DataFrame) -> DataFrame:
+        # a row for each node, so at most two for each edge
+        return F.broadcast(least) if 2 * size * NODE_BYTES <= BROADCAST_BYTES else least
+
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # large star: greater neighbours to the least neighbour
-        large = (both.join(_least_neighbour(both), "u").filter(F.col("v") > F.col("u"))
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        # large star: greater neighbours to the least of a node and its neighbours
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = (both.join(side(least), "u").filter(F.col("v") > F.col("u"))
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")))
         # small star: smaller neighbours and the node itself to the least neighbour
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        small = (large.join(side(least), "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct())
         edges = written(small, "edges")
         row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()

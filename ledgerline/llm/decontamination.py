@@ -249,6 +249,7 @@ FOUND = T.StructType([
     T.StructField("_n_words", T.LongType()),
     T.StructField("_spans", T.ArrayType(T.LongType())),
     T.StructField("_items", T.ArrayType(T.StringType())),
+    T.StructField("_cut", T.StringType()),
 ])
 
 
@@ -264,9 +265,9 @@ def _slices(benchmark: DataFrame, slice_chars: int) -> list[list[tuple[str, byte
 
 
 def _pass(df: DataFrame, items: list[tuple[str, bytes]], window: int, shard_words: int) -> DataFrame:
-    """Add one slice's finds to the columns of FOUND, which ``df`` ends with."""
+    """Add one slice's finds to the columns of FOUND, which ``df`` ends with; ``_cut`` is the text without all spans."""
     sent = df.sparkSession.sparkContext.broadcast(items)
-    kinds = [("_n_words", pa.int64()), ("_spans", pa.list_(pa.int64())), ("_items", pa.list_(pa.string()))]
+    kinds = [("_n_words", pa.int64()), ("_spans", pa.list_(pa.int64())), ("_items", pa.list_(pa.string())), ("_cut", pa.string())]
 
     def finish(batches: list[pa.RecordBatch], texts: list[bytes], phrases: Phrases) -> Iterator[pa.RecordBatch]:
         shard, at = search_shard(texts, phrases), 0
@@ -277,7 +278,8 @@ def _pass(df: DataFrame, items: list[tuple[str, bytes]], window: int, shard_word
                      zip((x or [] for x in batch.column("_spans").to_pylist()), shard.spans[part])]
             items_ = [sorted({*(s or []), *new}) for s, new in
                       zip(batch.column("_items").to_pylist(), shard.items[part])]
-            new = [shard.word_count[part], [[x for ab in s for x in ab] for s in spans], items_]
+            cut = [cut_spans(t, s).decode() if s else None for t, s in zip(texts[part], spans)]
+            new = [shard.word_count[part], [[x for ab in s for x in ab] for s in spans], items_, cut]
             kept = [c for c in batch.schema.names if c not in FOUND.names]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept], *[pa.array(v, k) for v, (_, k) in zip(new, kinds)]],
@@ -306,8 +308,8 @@ def _pass(df: DataFrame, items: list[tuple[str, bytes]], window: int, shard_word
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                        shard_words: int = SHARD_WORDS, slice_chars: int = SLICE_CHARS) -> DataFrame:
-    """(_row, text, _n_words, _spans, _items): each document's row, flat word starts and ends of its merged
-    removal spans, and the sorted ids of the items found."""
+    """(_row, text, _n_words, _spans, _items, _cut): each document's row, flat word starts and ends of its merged
+    removal spans, the sorted ids of the items found, and the text without the spans (null if there are none)."""
     out = packed(docs).withColumn("text", F.col("_row.text").cast("string"))
     for f in FOUND:
         out = out.withColumn(f.name, F.lit(None).cast(f.dataType))
@@ -336,18 +338,10 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFra
     """
     found = find_contamination(docs, benchmark, **kw)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [cut_spans(t, list(zip(s[::2], s[1::2]))).decode() if s else None
-                   for t, s in zip(texts_of(b.column("text")), b.column("_spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "_cut"])
-
     hit = F.size("_spans") > 0
-    cut_rows = map_arrow(found, cut, T.StructType([*found.schema, T.StructField("_cut", T.StringType())]))
     left = F.col("_n_words") > F.aggregate(F.transform("_spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)),
                                            F.lit(0).cast("bigint"), lambda s, x: s + x)
     changed = {"text": F.when(hit, F.col("_cut")).otherwise(F.col("_row.text"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(hit, F.length("_cut")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return cut_rows.filter(~hit | left).select(*unpacked(docs.columns, **changed))
+    return found.filter(~hit | left).select(*unpacked(docs.columns, **changed))

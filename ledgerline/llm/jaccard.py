@@ -34,14 +34,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from ledgerline.llm.common import id_and_text, map_arrow, ship_package, texts_of, written
+from ledgerline.llm.common import id_and_text, map_arrow, packed, ship_package, slices, texts_of, unpacked, written
 from ledgerline.llm.components import connected_components
 from ledgerline.operators.sizing import broadcast_if_small
 
 WORDS = 5
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_500_000
 LOCAL_REPEATS = 4        # of a shingle within a block, to be counted as possibly heavy
 HEAVY = 64               # repeats in all
 MAX_HEAVY = 1 << 19      # 4 MB at the tasks
@@ -122,7 +123,7 @@ def choose_boundary(histogram: dict[int, int]) -> int:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     """(ids, sets) of blocks of whole documents."""
     ids, sets, size = [], [], 0
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole)):
         for i, t in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text"))):
             s = shingle_set(t)
             ids.append(i)
@@ -306,7 +307,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Linked pairs (a, b) of ``pairs`` (lead, class). A leader with many members is worked on in several tasks."""
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(1 << 20)))
     fans = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_A_TASK).cast("int").alias("parts"))
-    members = pairs.join(fans, "lead").select("lead", F.pmod("salt", F.col("parts")).cast("int").alias("salt"), "class")
+    few, _ = broadcast_if_small(written(fans, "jaccard-fans"))  # a leader's pairs needn't meet in one task for this
+    members = pairs.join(few, "lead").select("lead", F.pmod("salt", F.col("parts")).cast("int").alias("salt"), "class")
     leads = fans.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"),
                         F.col("lead").alias("class"))
     asked, _ = broadcast_if_small(written(members.unionByName(leads), "jaccard-asked"))
@@ -427,21 +429,38 @@ def _small_links(rows: DataFrame, boundary: int) -> DataFrame:
             .filter("a <> b").distinct())
 
 
-def jaccard_report(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def named_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, class, component_id) of every document."""
     by_doc, found = class_components(docs)
     named = by_doc.join(found, "class", "left").withColumn("component", F.when(F.col("class") != 0, F.coalesce("component", "class")))
     least = written(named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "jaccard-names")
-    return (named.join(least, "component", "left")
-            .select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")))
+    return named.join(least, "component", "left").select("doc_id", "n", "class", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def jaccard_report(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    return named_documents(docs).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component (smallest doc_id); rows without words all stay."""
-    report = jaccard_report(docs)
-    out = written(report.filter((F.col("doc_id") != F.col("component_id")) & F.col("doc_id").isNotNull())
-                  .select("doc_id").distinct(), "jaccard-dropped")
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are the first of their component (smallest doc_id); rows without words all stay.
+
+    A row is known by its id and its set, so of an id with several texts only the repeated text goes. Rows without
+    an id all stay.
+    """
+    dropped = written(named_documents(docs).filter(F.col("doc_id") != F.col("component_id"))
+                      .select("doc_id", "class").distinct(), "jaccard-dropped")
+    rows = packed(docs).select("_row", F.col("_row.doc_id").cast("bigint").alias("doc_id"),
+                               F.col("_row.text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in slices(whole)):
+            classes = [class_of(shingle_set(t)) for t in texts_of(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("doc_id"), pa.array(classes, pa.int64())],
+                                             names=["_row", "doc_id", "class"])
+
+    schema = T.StructType([rows.schema["_row"], T.StructField("doc_id", T.LongType()), T.StructField("class", T.LongType())])
+    return map_arrow(rows, run, schema).join(dropped, ["doc_id", "class"], "left_anti").select(*unpacked(docs.columns))
 
 
 def oracle_sql() -> str:

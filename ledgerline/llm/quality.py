@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import id_and_text, map_arrow, texts_of
+from ledgerline.llm.common import id_and_text, map_arrow, slices, texts_of
 from ledgerline.llm.features import BITS, BUCKETS, SAMPLE_ROWS, fold, gram_features, labelled_sample
 
 THRESHOLD = 0.3
@@ -123,7 +123,7 @@ def sample_features(sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and labels of the bounded sample; tasks extract them, the driver gets bucket numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << BITS, bool)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 200)):
             rows = [gram_features(t, seen).astype(np.int32).tobytes() for t in texts_of(b.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column("y")], names=["f", "y"])
 
@@ -144,7 +144,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = sent.value, np.zeros(1 << BITS, bool)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             scores = [m.score(gram_features(t, seen)) for t in texts_of(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64())],
                                              names=["doc_id", "score"])
@@ -161,7 +161,7 @@ def keep_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = sent.value, np.zeros(1 << BITS, bool)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             keep = [m.score(gram_features(t, seen)) >= threshold for t in texts_of(b.column("text"))]
             yield b.filter(pa.array(keep, pa.bool_()))
 

@@ -92,3 +92,10 @@ def test_edges(spark):
     assert J.jaccard_report(no_docs(spark)).count() == 0
     kept = J.keep_representatives(edge_docs(spark))
     assert kept.columns == edge_docs(spark).columns and kept.count() == len(ROWS)
+
+
+def test_representatives_of_repeated_ids(spark):
+    a, b = "one two three four five six seven", "other words that nobody else has here today"
+    docs = spark.createDataFrame([(2, a), (5, b), (5, a), (None, a), (7, a)], "doc_id long, text string")
+    kept = sorted(map(str, ((r.doc_id, r.text) for r in J.keep_representatives(docs).collect())))
+    assert kept == sorted(map(str, [(2, a), (5, b), (None, a)]))
