@@ -59,3 +59,23 @@ def test_few_and_none(spark):
     assert [i for i, _ in got[0]] == [1, 2]
     assert N.nearest(vectors(spark, []), F.col("vec_id") % 50 == 0).count() == 0
     assert N.nearest(vectors(spark, [(0, [1, 0])]), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def recall(spark, rows):
+    got, want = answers(N.nearest(vectors(spark, rows), F.col("vec_id") % 50 == 0)), brute(rows)
+    assert got.keys() == want.keys()
+    return sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / (5 * len(want))
+
+
+def test_near_and_scaled_copies(spark):
+    rnd = np.random.default_rng(8)
+    base, other = rnd.standard_normal((2, 64))
+    far = [(5000 + i, rnd.standard_normal(64)) for i in range(300)]
+    near = [(i, base + (1e-3, 3e-3)[i // 1000] * rnd.standard_normal(64)) for i in range(2000)]
+    scaled = [(2000 + i, other * (i + 1)) for i in range(1000)]
+    assert recall(spark, near + far) >= 0.9
+    assert recall(spark, scaled + far) >= 0.9
+    # equal scores: the smaller ids
+    doubled = [(i, base * 2.0 ** (i % 120 - 60)) for i in range(120)]
+    got = answers(N.nearest(vectors(spark, doubled), F.col("vec_id") % 50 == 0))
+    assert all([i for i, _ in got[q]] == [i for i in range(7) if i != q][:5] for q in (0, 50, 100))
