@@ -7,11 +7,11 @@ node.
 **Graph.** Each node keeps its ``K`` nearest found. The first lists come from blocks of the nodes sorted by nearest
 pivot and a random projection, a few times over. Then each round joins the members of every node's
 neighbourhood (its neighbours and a sample of the nodes that list it) with their vectors, compares them pairwise
-and keeps what improves a list, until few lists change.
+and keeps what improves a list, until hardly any entry changes.
 
 **Search.** A query starts at its own node's list and a few entry points. Each round expands the best ``BEAM``
-nodes found that aren't expanded yet: their neighbours are joined, compared and kept, until none is left or after
-``SEARCH_ROUNDS`` rounds.
+nodes found that aren't expanded yet: their neighbours are joined, compared and kept, until none is left. The beam and
+the bound on the graph's rounds grow with the logarithm of the number of nodes.
 
 All comparisons, of lists as of the search, are in double precision on the original vectors, so near copies
 are told apart; ties go to the smaller id. Every row is indexed.
@@ -29,6 +29,7 @@ asked give fewer answers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,16 +43,16 @@ ANSWERS = 5
 MEMBERS = ANSWERS + 1
 K = 32
 REVERSE = 24         # nodes that list a node, sampled for its neighbourhood (in expectation)
-ROUNDS = 6
-SETTLED = 0.02       # share of list entries that a last round may change
+ROUNDS = 12          # at most, up to 2 ** GROWN_FROM nodes; more with their logarithm
+SETTLED = 0.003      # share of list entries that a last round may change
 INITS = 6
 FIRST = 16           # neighbours kept by each first list
 MOST_PIVOTS = 4096   # sent to all tasks
 BLOCK = 2048
 GROUP_BLOCK = 2048   # members, and queries, of one cell of a group
-BEAM = 96
+BEAM = 96            # up to 2 ** GROWN_FROM nodes; more with their logarithm
+GROWN_FROM = 12
 ENTRIES = 4
-SEARCH_ROUNDS = 6
 
 
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -70,6 +71,11 @@ def _tasks(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, int(rows) // ROWS_A_TASK))
 
 
+def grown(base: int, n: int) -> int:
+    """``base``, grown with the logarithm of the number of nodes."""
+    return math.ceil(base * max(1.0, math.log2(max(n, 1)) / GROWN_FROM))
+
+
 # -------------------------------------------------------------- vectors
 def vector_nodes(vectors: DataFrame) -> DataFrame:
     """(node, members, vec, code): distinct valid vectors, float32 bytes and a hash of the coarse direction."""
@@ -241,7 +247,7 @@ def build_graph(nodes: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame
     n, dim = nodes.agg(F.count(F.lit(1)), F.max(F.length("vec"))).first()
     units = nodes.select(F.col("node").alias("id"), "vec")
     total = graph.select(F.sum(F.size("list"))).first()[0] or 0
-    for r in range(rounds):
+    for r in range(grown(rounds, n)):
         flat = graph.select("node", F.explode("list").alias("e")).select("node", "e.id", "e.sim", "e.new")
         degree = flat.groupBy("id").agg(F.count(F.lit(1)).alias("in"))
         # a node listed by many is joined with a sample of them, new each round
@@ -271,7 +277,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = B
     own = queries.select(F.col("node").alias("query")).distinct()
     own = written(own.join(nodes.select(F.col("node").alias("query"), F.col("vec").alias("own")), "query"), "knn-queries")
     n, dim = nodes.agg(F.count(F.lit(1)), F.max(F.length("vec"))).first()
-    q, width = own.count(), (dim or 0) + 24
+    q, width, beam = own.count(), (dim or 0) + 24, grown(beam, n)
     units = _side(nodes.select(F.col("node").alias("id"), "vec"), n, width)
     near = _side(graph.select(F.col("node").alias("id"), F.col("list.id").alias("next")), n, 8 * K + 40)
     entries = [r["node"] for r in nodes.select("node").orderBy(F.xxhash64(F.lit(0), "node")).limit(ENTRIES).collect()]
@@ -281,7 +287,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = B
         start = start.unionByName(starts)
     found = None
     new = start.filter("id <> query").distinct()
-    for _ in range(SEARCH_ROUNDS):
+    while True:  # a node is expanded once for a query, so this ends
         rows = _tasks(new, q * beam * K // 2).join(_side(own, q, width), "query").join(units, "id").select("query", "id", "own", "vec")
         scored = map_arrow(rows, _similar, "query bigint, id bigint, sim double").withColumn("open", F.lit(True))
         found = written(scored if found is None else found.unionByName(scored), "knn-found")
@@ -383,8 +389,9 @@ def nearest(vectors: DataFrame, is_query, answers: int = ANSWERS, k: int = K, be
     asked = written(vector_nodes(wanted).select("vec").join(nodes.select("vec", "node"), "vec").select("node"), "knn-asked")
     graph = build_graph(nodes, k)
     found = search(graph, nodes, asked, beam)
+    n = nodes.count()
     vecs = nodes.select("node", "vec", "members")
-    best = (found.groupBy("query").agg(_first(max(beam, answers)).alias("b"))
+    best = (found.groupBy("query").agg(_first(max(grown(beam, n), answers)).alias("b"))
             .select("query", F.explode("b.id").alias("id"))
             .unionByName(asked.select(F.col("node").alias("query"), F.col("node").alias("id")))
             .unionByName(group_answers(nodes, asked, answers)).distinct())

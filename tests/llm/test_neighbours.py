@@ -79,3 +79,17 @@ def test_near_and_scaled_copies(spark):
     doubled = [(i, base * 2.0 ** (i % 120 - 60)) for i in range(120)]
     got = answers(N.nearest(vectors(spark, doubled), F.col("vec_id") % 50 == 0))
     assert all([i for i, _ in got[q]] == [i for i in range(7) if i != q][:5] for q in (0, 50, 100))
+
+
+def test_search_goes_on_while_nodes_are_open(spark, monkeypatch):
+    # a chain of 12 nodes on an arc; the query's own list holds its far end only
+    monkeypatch.setattr(N, "ENTRIES", 0)
+    nodes = N.vector_nodes(vectors(spark, [(i, [np.cos(0.1 * i), np.sin(0.1 * i)]) for i in range(12)])).cache()
+    graph = spark.createDataFrame([(i, [(0.0, i - 1 if i else 11, True)]) for i in range(12)],
+                                  "node long, list array<struct<sim:double, id:long, new:boolean>>")
+    found = N.search(graph, nodes, nodes.select("node").filter("node = 0"))
+    assert {r["id"] for r in found.collect()} == set(range(1, 12))
+
+
+def test_beam_and_rounds_grow():
+    assert N.grown(N.BEAM, 100) == N.BEAM < N.grown(N.BEAM, 50_000) < N.grown(N.BEAM, 10**8)
