@@ -2,7 +2,8 @@
 
 Detected entities get keyed replacements of the same type and format: digits become digits, letters letters of
 the same case and script, punctuation, titles and top-level domains stay. A titled name gets a surname of its
-script and, if it has two parts, a given name of the title's gender. The replacement is a function of the key, the
+script and, if it has more parts, a given name of the title's gender (any, after Dr and the like), further given names
+and initials; particles stay. IPv6 addresses come out without "::". The replacement is a function of the key, the
 type and the entity's canonical form (digits of a number, lower-case address), so one entity has one surrogate
 in all its spellings and documents.
 
@@ -23,7 +24,8 @@ from ledgerline.llm.common import packed, written
 
 # Titles by gender, given names by gender and script.
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа"],
-          "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н"]}
+          "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir", "Г-н"],
+          "n": ["Dr", "Doctor", "Prof", "Professor", "Mx", "Rev"]}
 GIVEN = {("f", "latin"): ["Anna", "Clara", "Elena", "Julia", "Laura", "Maria", "Nora", "Sofia"],
          ("m", "latin"): ["Adam", "Bruno", "David", "Felix", "Hugo", "Leon", "Martin", "Oscar"],
          ("f", "cyrillic"): ["Анна", "Вера", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Софья"],
@@ -31,20 +33,33 @@ GIVEN = {("f", "latin"): ["Anna", "Clara", "Elena", "Julia", "Laura", "Maria", "
 SYLLABLES = {"latin": ["ba", "den", "for", "gal", "hin", "ka", "lor", "mel", "nov", "per", "ros", "sand", "tem", "ul", "ver", "win"],
              "cyrillic": ["ба", "ден", "фор", "гал", "хин", "ка", "лор", "мел", "нов", "пер", "рос", "сан", "тем", "ул", "вер", "вин"]}
 
+GIVEN |= {("n", s): GIVEN["f", s] + GIVEN["m", s] for s in ("latin", "cyrillic")}
+
 _ANY_TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+# A name's part: a word, joined words (O'Brien, Smith-Jones; a possessive 's is none) or an initial before another part.
+_JOINED = r"(?:['’](?!s(?!\p{L}))|-)\p{L}++"
+_PARTICLE = "van|von|zu|de|der|den|del|della|di|da|dos|la|le|bin|al|el|ter"
+_PART = rf"\p{{Lu}}(?:\p{{L}}++(?:{_JOINED})*+|(?:{_JOINED})++|\.(?= (?:(?:{_PARTICLE}) )*\p{{Lu}}))"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IPV6 = (r"(?<![\w:.])(?=[0-9A-Fa-f:]*(?:\d|[A-Fa-f]:[A-Fa-f]+:))"
+         rf"(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:(?:{_HEX}:){{0,5}}\d{{1,3}}(?:\.\d{{1,3}}){{3}}"
+         rf"|{_HEX}(?::{_HEX}){{0,6}})?)(?![\w:]|\.\d)")
 # Kinds in the order in which they are tried at a place. Starts are anchored by what stands in front and runs are
 # possessive, so a long text is read in one pass.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "card": r"(?<!\d)(?:\d{16}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{4} \d{4} \d{4})(?!\d)",
-    "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
-    "phone": r"(?<!\d)(?:\+\d{1,3} ?\(\d{2,4}\) ?\d{3}[ -]\d{4}|\+\d{8,14}|(?<![\d-])\(\d{3}\) ?\d{3}-\d{4}"
-             r"|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])",
+    "card": r"(?<!\d)(?:\d{16}|[3-6]\d{12,14}|[3-6]\d{16,18}|\d{4}-\d{4}-\d{4}-\d{4}(?:-\d{1,3})?"
+            r"|\d{4} \d{4} \d{4} \d{4}(?: \d{3})?|3\d{3}-\d{6}-\d{4,5}|3\d{3} \d{6} \d{4,5})(?!\d)",
+    "ip": rf"(?<![\d.])\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}(?!\d|\.\d)|{_IPV6}",
+    "phone": r"(?<!\d)(?:\+\d{1,3} ?\(\d{2,4}\) ?\d{3}[ -]\d{4}|\+\d{8,14}|(?<![\d-])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}"
+             r"|\+?(?<![\d-]|[\d-]\+)1[ .-]\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}|(?<![\d-])\d{3}[ .-]\d{3}[ .-]\d{4}"
+             r"|(?<![\d-])0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}"
+             r"|\+(?=(?:[ .()-]{0,2}\d){7,15}(?![ .-]?\d))\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,5}){2,6})(?!-?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "name": rf"(?<!\p{{L}})(?:{_ANY_TITLE})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?",
+    "name": rf"(?<!\p{{L}})(?:{_ANY_TITLE})\.? {_PART}(?: (?:(?:{_PARTICLE}) )*{_PART})*",
 }
 ENTITY = "|".join(PATTERNS.values())
-MAYBE = rf"[@0-9]|(?:{_ANY_TITLE})\.? "  # without this no entity can be there
+MAYBE = rf"[@0-9]|::|[A-Fa-f]:[A-Fa-f]|(?:{_ANY_TITLE})\.? "  # without this no entity can be there
 PLAIN_ATTEMPTS = 8  # attempts before a surrogate also gets a suffix, where the format's space is exhausted
 ENTITIES = "array<string>"
 
@@ -57,8 +72,19 @@ def kind_of(entity: Column) -> Column:
     return out
 
 
+def _groups(entity: Column) -> Column:
+    """The eight groups (fewer, if the last is dotted) of an IPv6 address in any spelling, without leading zeros."""
+    left, right = F.substring_index(entity, "::", 1), F.substring_index(entity, "::", -1)
+    of = lambda side: F.filter(F.split(F.lower(side), ":"), lambda g: g != "")
+    n = F.when(entity.rlike(r"\."), 7).otherwise(8) - F.size(of(left)) - F.size(of(right))
+    full = F.when(entity.contains("::"), F.concat(of(left), F.array_repeat(F.lit("0"), F.greatest(n, F.lit(0))), of(right))) \
+        .otherwise(of(entity))
+    return F.transform(full, lambda g: F.when(g.contains("."), g).otherwise(F.regexp_replace(g, r"\A0+(?=.)", "")))
+
+
 def canonical(kind: Column, entity: Column) -> Column:
-    return F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(entity, r"[^0-9]", "")).otherwise(F.lower(entity))
+    return F.when((kind == "ip") & entity.contains(":"), F.array_join(_groups(entity), ":")) \
+        .when(kind.isin("card", "phone", "ssn"), F.regexp_replace(entity, r"[^0-9]", "")).otherwise(F.lower(entity))
 
 
 def _pick(digest: Column, at: int, choices: list[str]) -> Column:
@@ -82,6 +108,16 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
         .otherwise(c)), "")
     octets = F.array_join(F.transform(F.split(entity, r"\."), lambda c, i: (
         (hexdigit(i * 2) * 16 + hexdigit(i * 2 + 1)) % 254 + 1).cast("string")), ".")
+    # IPv6 addresses: zero groups stay, others keep their number of digits, until that format's space is exhausted
+    def group(g: Column, i: Column) -> Column:
+        first = F.lower(F.hex(hexdigit(i * 8) % 15 + 1))
+        some = F.concat(first, F.substr(digest, i * 8 + 2, F.lit(3)))
+        dotted = F.array_join(F.transform(F.split(g, r"\."), lambda o, j: (hexdigit(i * 8 + j * 2) * 15 + hexdigit(i * 8 + j * 2 + 1) + 1).cast("string")), ".")
+        return (F.when(g.contains("."), dotted).when(attempt >= PLAIN_ATTEMPTS, some).when(g == "0", g)
+                .otherwise(F.substr(some, F.lit(1), F.length(g))))
+
+    six = F.array_join(F.transform(_groups(entity), group), ":")
+    six = F.when(entity.rlike("[A-F]") & ~entity.rlike("[a-f]"), F.upper(six)).otherwise(six)
     # addresses: letters and digits change, the top-level domain and punctuation stay
     body = F.regexp_replace(entity, r"\.[^.]*$", "")
 
@@ -105,11 +141,22 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
         name = lambda s: (gender, s) if gender else s
         return F.when(cyrillic, _pick(digest, at, table[name("cyrillic")])).otherwise(_pick(digest, at, table[name("latin")]))
 
-    given = F.when(female, by_script(1, GIVEN, "f")).otherwise(by_script(1, GIVEN, "m"))
+    given = (F.when(female, by_script(1, GIVEN, "f")).when(bare.isin(TITLES["m"]), by_script(1, GIVEN, "m"))
+             .otherwise(by_script(1, GIVEN, "n")))
     surname = F.initcap(F.concat(*[by_script(2 + k, SYLLABLES) for k in range(4)]))
-    two = F.size(F.split(F.substr(entity, F.length(title) + 1), " ")) > 1
-    name = F.concat(title, F.when(two, F.concat(given, F.lit(" "))).otherwise(F.lit("")), surname, suffix)
-    return (F.when(kind.isin("card", "phone", "ssn"), numbers).when(kind == "ip", octets)
+    parts = F.split(F.substr(entity, F.length(title) + 1), " ")
+    second = F.initcap(F.concat(*[by_script(20 + k, SYLLABLES) for k in range(3)]))
+
+    def part(p: Column, i: Column) -> Column:
+        middle = F.element_at(F.when(cyrillic, F.array(*map(F.lit, GIVEN["n", "cyrillic"]))).otherwise(
+            F.array(*map(F.lit, GIVEN["n", "latin"]))), hexdigit(i + 30) + 1)
+        initial = F.concat(F.substr(F.when(cyrillic, F.lit("АБВГДЕЖЗИКЛМНОПР")).otherwise(F.lit("ABCDEFGHIKLMNOPR")),
+                                    hexdigit(i + 60) + 1, F.lit(1)), F.lit("."))
+        return (F.when(i == F.size(parts) - 1, F.concat(surname, F.when(p.contains("-"), F.concat(F.lit("-"), second)).otherwise(F.lit(""))))
+                .when(p.rlike(r"^\p{Ll}"), p).when(p.rlike(r"\.$"), initial).when(i == 0, given).otherwise(middle))
+
+    name = F.concat(title, F.array_join(F.transform(parts, part), " "), suffix)
+    return (F.when(kind.isin("card", "phone", "ssn"), numbers).when((kind == "ip") & entity.contains(":"), six).when(kind == "ip", octets)
             .when(kind == "name", name).otherwise(address))
 
 

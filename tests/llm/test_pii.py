@@ -49,3 +49,29 @@ def test_edges(spark):
     assert pii.pii_report(no_docs(spark), "k").count() == 0
     same = replaced(spark, ["a1.b2@c3.net"] * 3)
     assert len({r["text"] for r in same.values()}) == 1
+
+
+FORMATS = {
+    "phone": ["+1-555-123-4567", "+44 20 7946 0958", "+1 555 123 4567", "555 123 4567", "1-555-123-4567", "+49 (0)30 1234567",
+              "+33 1 23 45 67 89", "(555) 123 4567", "020 7946 0958", "+1 (213) 555-0199"],
+    "card": ["378282246310005", "3782 822463 10005", "30569309025904", "4222222222222", "4111 1111 1111 1111", "4111111111111111234"],
+    "ip": ["2001:db8::8a2e:370:7334", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1", "::ffff:192.0.2.128", "10.1.2.3"],
+    "name": ["Mr O'Brien", "Mrs Smith-Jones", "Mr John Paul Smith", "Dr Weber", "Prof. Ada Byron", "Mr J. Doe", "Dr. Ludwig van Beethoven"],
+}
+
+
+def test_formats(spark):
+    cases = [(kind, e) for kind, es in FORMATS.items() for e in es]
+    rest = ["at 12:30:45 std::vector", "1612345678901 ms", "Mr Smith's", "a: b :: c", "2001:db8::2 2001:0DB8:0:0:0:0:0:2"]
+    out = replaced(spark, [f"see {e}, then" for _, e in cases] + rest)
+    for i, (kind, e) in enumerate(cases):
+        new = re.fullmatch(r"see (.+), then", out[i]["text"])[1]
+        assert out[i]["n_entities"] == out[i]["n_" + kind] == 1 and new != e, (e, new)
+        for word in re.findall(r"[A-Z][a-z]{3,}", e.replace("Prof", "")) if kind == "name" else []:
+            assert word not in new, (e, new)
+        if kind in ("phone", "card"):
+            assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", e)
+    *plain, same = [out[len(cases) + i] for i in range(len(rest))]
+    assert [r["n_entities"] for r in plain] == [0, 0, 1, 0] and plain[2]["text"].endswith("'s")
+    a, b = same["text"].split()
+    assert a.lower() == b.lower() and same["n_ip"] == 2
