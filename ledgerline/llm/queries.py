@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, decontamination, jaccard, licenses, line_dedup, neighbours, pieces, pii, quality, secrets, toxicity
+from ledgerline.llm import (
+    bpe,
+    collocations,
+    conversations,
+    decontamination,
+    jaccard,
+    licenses,
+    line_dedup,
+    neighbours,
+    pieces,
+    pii,
+    quality,
+    secrets,
+    toxicity,
+)
 from ledgerline.llm.common import table
 
 PII_KEY = "documents-release-1"  # production callers pass a secret of their own
@@ -56,6 +70,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversation_report(table(spark, sf_dir, "conversations"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -63,8 +85,9 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_decontamination, op3_nearest_neighbours, op4_secret_scan, op5_quality, op6_pii_surrogates,
-        op7_toxicity, op8_bpe, op9_jaccard_join, op10_line_dedup, op13_sentencepiece)}
+        op7_toxicity, op8_bpe, op9_jaccard_join, op10_line_dedup, op11_conversation_repair, op12_collocations, op13_sentencepiece)}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op9_jaccard_join": jaccard.oracle_sql(), "op10_line_dedup": line_dedup.oracle_sql()}
+    return {"op9_jaccard_join": jaccard.oracle_sql(), "op10_line_dedup": line_dedup.oracle_sql(),
+            "op12_collocations": collocations.oracle_sql()}
