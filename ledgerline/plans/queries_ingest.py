@@ -47,6 +47,36 @@ def scan_broker_csv(p):
     return parsed.select(*[c.strip() for c in RAW_COLS.split(",")])
 
 
+# Descriptions as people paste them: line breaks, quotes and commas inside the cell.
+_PASTED = """
+, pasted AS (
+    SELECT * EXCLUDE (raw_description), CASE length(reference) % 3
+        WHEN 0 THEN raw_description || chr(10) || 'second line, "quoted"' || chr(10) || chr(10) || 'last "line'
+        WHEN 1 THEN '"' || raw_description || '",' || chr(10) || '"' ELSE raw_description END AS raw_description
+    FROM raw_transactions)"""
+SPLIT_BYTES = 32_768
+
+
+@register("scan_multiline_csv", oracle=_PASTED + f"""
+SELECT {RAW_COLS} FROM pasted""")
+def scan_multiline_csv(p):
+    """Records over several lines, read in splits that begin anywhere, inside quoted cells too."""
+    t, d, kind = p.raw.transactions, F.col("raw_description"), F.length("reference") % 3
+    pasted = t.withColumn("raw_description", F.when(kind == 0, F.concat(d, F.lit('\nsecond line, "quoted"\n\nlast "line')))
+                          .when(kind == 1, F.concat(F.lit('"'), d, F.lit('",\n"'))).otherwise(d))
+    root = B.write_broker_csv(pasted, B.scratch_path(p.spark, "multiline-csv"))
+    conf = {"spark.sql.files.maxPartitionBytes": SPLIT_BYTES, "spark.sql.files.openCostInBytes": SPLIT_BYTES}
+    old = {k: p.spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            p.spark.conf.set(k, v)
+        parsed = B.parse_broker_rows(B.scan_broker_csv(p.spark, root))
+        return W.materialise(parsed.select(*[c.strip() for c in RAW_COLS.split(",")]), "multiline")
+    finally:
+        for k, v in old.items():
+            p.spark.conf.set(k, v)
+
+
 @register("route_by_account", oracle="SELECT account_id, count(*) AS n_rows FROM raw_transactions GROUP BY 1")
 def route_by_account(p):
     return _scan(p).groupBy("account_id").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -5,7 +5,8 @@ lines (UK dates, quoted thousands-separated amounts, 'n/a' for missing
 numbers, Windows-1252 text). One folder per account.
 
 Files are read as lines in parallel splits; a line's place is (block start,
-row in its split), so order within a file is known without counting lines.
+row in its split), so order within a file is known without counting lines. A
+quoted cell may hold line breaks (``records.py``); they come out as line feeds.
 The header is the first line with a trade-date and a reference column. Every
 later line that isn't empty is data and ends up as a transaction or as a
 reject with its raw text and a reason: processed = inserted + skipped +
@@ -15,8 +16,6 @@ order; header names are matched by case-insensitive substring, first rule wins.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +24,8 @@ from ledgerline.functions.keys import transaction_id
 from ledgerline.functions.text import (NOT_AVAILABLE, classify_transaction, extract_fund_name, normalise_name,
                                        parse_number)
 from ledgerline.operators.sizing import broadcast_if_small
-from ledgerline.session import checkpoint_dir
+from ledgerline.sources.records import opens, stitched
+from ledgerline.sources.writers import scratch_path
 
 # Fixed values of the broker export format.
 BROKER_HEADER = ["Trade date", "Settle date", "Reference", "Description", "Unit cost (p)", "Quantity", "Value (£)"]
@@ -43,12 +43,14 @@ ENCODING = "ISO-8859-1"          # what Spark can write; exports are read as Win
 TRADE_TYPES = ("BUY", "SELL", "SWITCH_IN", "SWITCH_OUT")
 REJECTED, WARNING = "rejected", "warning"
 SALTS = 32
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"     # white space around references and descriptions
 
 # Windows-1252 differs from ISO-8859-1 in the printable characters at 0x80-0x9F.
 _CP1252 = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 # A cell with its leading comma: quoted (quotes doubled inside) or plain.
-CELL = r',("(?:[^"]++|"")*+"[^,]*+|[^,]*+)'
+QUOTED = r'^"([^"]*+(?:""[^"]*+)*+)"'
+CELL = r',("[^"]*+(?:""[^"]*+)*+"[^,]*+|[^,]*+)'
 
 
 def account_from_path(path: Column) -> Column:
@@ -77,10 +79,12 @@ def cp1252_text(raw: Column) -> Column:
 
 
 def csv_cells(line: Column) -> Column:
-    """The cells of one CSV line, however many; outer quotes removed, doubled ones undone."""
+    """The cells of one CSV record, however many; outer quotes removed, doubled ones undone, text behind the closing quote
+    kept as it is. Records without a quote are cut at their commas."""
     raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), 1)
-    return F.transform(raw, lambda c: F.when(
-        c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"(?=[^"]*$)', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    quoted = F.transform(raw, lambda c: F.when(c.startswith('"'), F.concat(
+        F.replace(F.regexp_extract(c, QUOTED, 1), F.lit('""'), F.lit('"')), F.regexp_replace(c, QUOTED, ""))).otherwise(c))
+    return F.when(line.contains('"'), quoted).otherwise(F.split(line, ","))
 
 
 def file_lines(text: DataFrame) -> DataFrame:
@@ -96,18 +100,43 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_headers(lines: DataFrame) -> DataFrame:
-    """One row per file: its header's position and the place of every internal field (0: none, last one wins)."""
+    """One row per file with a header or a line that leaves a quoted cell open: the header's position, the place of every
+    internal field (0: none, last one wins), and whether some line ``opens`` a cell that it doesn't close."""
     low = F.lower("line")
-    names = (lines.filter(low.contains("trade date") & low.contains("reference"))
-             .select("source_file", "pos", F.transform(csv_cells(F.col("line")), _header_name).alias("names"))
-             .filter(F.array_contains("names", "trade_date") & F.array_contains("names", "reference"))
-             .groupBy("source_file").agg(F.min_by(F.struct("pos", "names"), "pos").alias("h")))
+    titled = low.contains("trade date") & low.contains("reference")
+    cells = F.when(titled, F.transform(csv_cells(F.col("line")), _header_name))
+    is_header = F.coalesce(F.array_contains("names", "trade_date") & F.array_contains("names", "reference"), F.lit(False))
+    names = (lines.filter(titled | F.col("line").contains('"')).select("source_file", "pos", cells.alias("names"), opens(F.col("line")).alias("opens"))
+             .filter(is_header | F.col("opens"))
+             .groupBy("source_file").agg(F.min_by(F.struct("pos", "names"), F.when(is_header, F.col("pos"))).alias("h"),
+                                         F.max("opens").alias("opens")))
 
     def place(f: str) -> Column:
         back = F.array_position(F.reverse(F.col("h.names")), f)
         return F.when(back > 0, F.size("h.names") - back + 1).otherwise(0).cast("int").alias(f"p_{f}")
 
-    return names.select("source_file", F.col("h.pos").alias("header_pos"), *[place(f) for f in FIELDS])
+    return names.select("source_file", F.col("h.pos").alias("header_pos"), *[place(f) for f in FIELDS], "opens")
+
+
+def whole_records(lines: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, headers): lines that stand inside a quoted cell joined to their record's first line.
+
+    Files without an open cell behind their header keep their lines as they are. The others' headers are found again
+    among their records.
+    """
+    spark = lines.sparkSession
+    torn = headers.filter(F.col("opens") & F.col("header_pos").isNotNull()).select("source_file", "header_pos")
+    if not torn.limit(1).count():
+        return lines.withColumn("unclosed", F.lit(False)), headers
+    files, _ = broadcast_if_small(torn)
+    as_is = lines.join(files.drop("header_pos"), "source_file", "left_anti").withColumn("unclosed", F.lit(False))
+    path = scratch_path(spark, "broker-records")
+    stitched(lines.join(files, "source_file")).write.parquet(path)
+    records = spark.read.parquet(path)
+    again = scratch_path(spark, "broker-headers")
+    kept = headers.join(files.drop("header_pos"), "source_file", "left_anti")
+    kept.unionByName(file_headers(records.filter(~F.col("unclosed")))).write.parquet(again)
+    return as_is.unionByName(records), spark.read.parquet(again)
 
 
 def named_records(lines: DataFrame) -> DataFrame:
@@ -119,7 +148,8 @@ def named_records(lines: DataFrame) -> DataFrame:
     spark = lines.sparkSession
     path = scratch_path(spark, "broker-headers")
     file_headers(lines).write.parquet(path)
-    headers, small = broadcast_if_small(spark.read.parquet(path))
+    lines, found = whole_records(lines, spark.read.parquet(path))
+    headers, small = broadcast_if_small(found)
     if small:
         joined = lines.join(headers, "source_file", "left")
     else:
@@ -131,7 +161,7 @@ def named_records(lines: DataFrame) -> DataFrame:
     return data.select(
         "source_file", account_from_path(F.col("source_file")).alias("account_id"),
         *[F.when(F.col(f"p_{f}") > 0, F.get(F.col("_cells"), F.col(f"p_{f}") - 1)).alias(f) for f in FIELDS],
-        F.col("line").alias("raw_line"), F.col("header_pos").isNotNull().alias("has_header"))
+        F.col("line").alias("raw_line"), F.col("header_pos").isNotNull().alias("has_header"), "unclosed")
 
 
 def scan_broker_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -151,12 +181,13 @@ def parse_broker_rows(rows: DataFrame) -> DataFrame:
         "source_file", "account_id",
         date.alias("trade_date"),
         parse_uk_date(F.col("settle_date")).alias("settle_date"),
-        F.trim("reference").alias("reference"),
-        F.trim("description").alias("raw_description"),
+        F.btrim("reference", F.lit(WHITE)).alias("reference"),
+        F.btrim("description", F.lit(WHITE)).alias("raw_description"),
         parse_number(F.col("unit_cost")).alias("unit_cost_pence"),
         parse_number(F.col("quantity")).alias("quantity"),
         value.alias("value_gbp"),
         F.when(~F.col("has_header"), F.lit("no header line"))
+         .when(F.col("unclosed"), F.lit("unclosed quote"))
          .when(value.isNull(), F.lit("unparseable value"))
          .when(date.isNull(), F.lit("unparseable trade date"))
          .when(F.coalesce(F.trim("settle_date") != "", F.lit(False)) & parse_uk_date(F.col("settle_date")).isNull(),
@@ -253,7 +284,3 @@ def write_broker_csv(transactions: DataFrame, root: str) -> str:
      .option("encoding", ENCODING).option("emptyValue", "").option("escape", '"').csv(root))
     return root
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's checkpoint dir (shared storage on a cluster)."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
