@@ -87,6 +87,54 @@ def test_adhoc_select_reads_views_only(spark, tmp_path):
     assert not (tmp_path / "o").exists()
 
 
+def test_adhoc_statements_are_checked_by_their_parsed_plan(spark):
+    from ledgerline.plans.adhoc import check_statement
+    views = ["dim_fund", "dim_date"]
+    spark.range(3).createOrReplaceTempView("hidden")
+    many = ", ".join(f"{k} c{k}" for k in range(40))
+    call = "reflect('java.lang.System', 'getProperty', 'user.home')"
+    for sql in (f"SELECT {many}, {call} FROM dim_fund",                               # behind a list too long to print
+                "SELECT 'CTE [hidden]' a, id FROM hidden",                            # a literal is no WITH name
+                "WITH hidden AS (SELECT * FROM hidden) SELECT * FROM hidden, dim_fund",
+                "WITH a AS (SELECT * FROM b), b AS (SELECT 1 x) SELECT * FROM a, dim_fund",
+                "SELECT * FROM dim_fund WHERE fund_id IN (WITH x AS (SELECT 1 y) SELECT y FROM x) AND EXISTS (SELECT 1 FROM x)",
+                f"SELECT sum(1) OVER w FROM dim_fund WINDOW w AS (PARTITION BY {call})",
+                f"SELECT * FROM dim_fund ORDER BY {call}", f"SELECT count(*) FROM dim_fund GROUP BY GROUPING SETS (({call}))",
+                f"SELECT transform(array(1), x -> {call}) FROM dim_fund", f"SELECT * FROM dim_fund, LATERAL (SELECT {call})",
+                f"SELECT max(fund_id) FILTER (WHERE {call} = 'x') FROM dim_fund", "SELECT JAVA_METHOD('a', 'b') FROM dim_fund",
+                "SELECT * FROM dim_fund PIVOT (max(reflect('a', 'b')) FOR fund_id IN ('x'))",
+                "SELECT * FROM IDENTIFIER('hid' || 'den'), dim_fund", "SELECT IDENTIFIER('refl' || 'ect')('a', 'b') FROM dim_fund",
+                "SELECT * FROM dim_fund, range(10)", "SELECT TRANSFORM(fund_id) USING 'cat' FROM dim_fund",
+                "SELECT my_own(fund_id) FROM dim_fund", "SELECT spark_catalog.default.f(1) FROM dim_fund",
+                "SELECT 1", "VALUES (1)", "CREATE VIEW v AS SELECT * FROM dim_fund", "EXPLAIN SELECT * FROM dim_fund",
+                "SELECT * FROM csv.`/etc/passwd`, dim_fund", "SELECT * FROM default.dim_fund", "SET x = 1", "SHOW TABLES"):
+        with pytest.raises(ValueError):
+            check_statement(spark, sql, views)
+    for sql, names in {
+            "SELECT f.*, row_number() OVER (PARTITION BY fund_id ORDER BY 1) FROM dim_fund f": {"dim_fund"},
+            "WITH a AS (SELECT * FROM dim_fund), b AS (SELECT * FROM a) SELECT 'reflect(x)' FROM b JOIN dim_date ON true": set(views),
+            "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 5) SELECT * FROM r, dim_fund": {"dim_fund"},
+            "SELECT count(DISTINCT x) FROM (VALUES (1), (2)) AS t(x) WHERE x IN (SELECT 1 FROM dim_fund)": {"dim_fund"},
+            f"SELECT {many} FROM dim_fund HAVING max(fund_id) > 'x' LIMIT 3": {"dim_fund"}}.items():
+        assert check_statement(spark, sql, views) == names, sql
+
+
+def test_adhoc_statements_are_stopped(spark):
+    import time
+
+    from ledgerline.plans.adhoc import answer
+    spark.range(0, 400_000_000_000, 1, 40_000).createOrReplaceTempView("many_rows")
+    slow = spark.sql("SELECT sum(sqrt(id)) FROM many_rows")
+    began = time.time()
+    with pytest.raises(TimeoutError):
+        answer(slow, seconds=2)
+    assert time.time() - began < 20
+    assert spark.sparkContext.statusTracker().getActiveJobsIds() == []
+    assert answer(spark.range(500), rows=200).count() == 200
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        answer(spark.sql("SELECT 1 / 0"))
+
+
 def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
