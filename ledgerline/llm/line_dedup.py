@@ -1,23 +1,23 @@
 """Operator 10, line dedup by distinct-site spread (DataFrame functions only).
 
-A line is boilerplate if it stands on at least ``min_sites`` distinct sites. Lines are known by a 128-bit hash of
-their trimmed text; blank lines never count.
-
-1. One aggregation by line counts its rows and its least and greatest site. A line on fewer rows than
-   ``min_sites``, or on one site only, cannot spread (it is out for certain).
-2. For the others, HyperLogLog sketches of the sites are built map-side and merged by aggregation.
-3. Lines whose estimate lies within ``band`` of the threshold get an exact distinct count; above it they are
-   boilerplate, below it they are not.
+A line is boilerplate if it stands on at least ``min_sites`` distinct sites, in at least as many distinct texts (copies of
+one whole text don't make its lines boilerplate, however many sites carry it). Lines are known by a 128-bit hash of
+their trimmed text, texts by a 64-bit one; blank lines never count. Boilerplate goes from every document that holds it.
+
+1. One aggregation by line counts its rows and its least and greatest site and text. A line on fewer rows than
+   ``min_sites``, on one site or in one text only, cannot spread (it is out for certain).
+2. For the others, HyperLogLog sketches of the sites and of the texts are built map-side and merged by aggregation.
+3. Lines of which an estimate lies within ``band`` of the threshold, and none below, get exact distinct counts.
 4. The line numbers to drop are gathered by text (copies of a text share them) and joined to the documents.
 
-Documents that consist mostly of widespread lines (over ``max_share`` of their characters) are copies as a
-whole, not pages with boilerplate; they stay as they are, for the near-duplicate stage to judge.
+``copy_share`` (off unless given) leaves documents alone of which at least that share of characters is boilerplate:
+near copies with small differences, for a later near-duplicate stage that keeps one of them.
 
 Hot lines and sites combine map-side in every aggregation. The only join that moves texts is on the text's
 own hash, whose partitions Spark can split.
 
 Defined results: null texts count as empty; a null site is a site of its own; an empty text has one (blank) line;
-repeated rows get a row each.
+repeated rows get a row each; a text of boilerplate only becomes empty.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from ledgerline.llm.common import packed, unpacked, written
 MIN_SITES = 5
 BAND = 0.25
 LG_K = 10
-MAX_SHARE = 0.5
 
 
 def _lines(text: Column) -> Column:
@@ -48,33 +47,35 @@ def _text_key(text: Column) -> list[Column]:
 
 
 def site_lines(docs: DataFrame, site: str) -> DataFrame:
-    """(h1, h2, site) of every line that isn't blank."""
-    return (docs.select(F.coalesce(F.col(site).cast("string"), F.lit("\x00")).alias("site"),
+    """(h1, h2, site, t) of every line that isn't blank; ``t`` is its text's hash."""
+    return (docs.select(F.coalesce(F.col(site).cast("string"), F.lit("\x00")).alias("site"), _text_key(F.col("text"))[0].alias("t"),
                         F.explode(_lines(F.col("text"))).alias("line"))
-            .filter(F.trim("line") != "").select(*_line_key(F.col("line")), "site"))
+            .filter(F.trim("line") != "").select(*_line_key(F.col("line")), "site", "t"))
 
 
 def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, band: float = BAND,
                 lg_k: int = LG_K) -> DataFrame:
-    """(h1, h2, sites) of the lines on at least ``min_sites`` sites."""
+    """(h1, h2, sites, texts) of the lines on at least ``min_sites`` sites and in as many texts."""
     lines = site_lines(docs, site)
-    spread = (lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("a"), F.max("site").alias("b"))
-              .filter((F.col("n") >= min_sites) & ((F.col("a") < F.col("b")) | F.lit(min_sites <= 1)))
+    several = lambda c: F.min(c) < F.max(c)
+    spread = (lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), several("site").alias("s"), several("t").alias("x"))
+              .filter((F.col("n") >= min_sites) & ((F.col("s") & F.col("x")) | F.lit(min_sites <= 1)))
               .select("h1", "h2"))
     spread = written(spread, "repeated-lines")
     own = lines.join(spread, ["h1", "h2"])
-    sketched = (own.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"))
-                .select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites"))
-                .filter(F.col("sites") >= min_sites * (1 - band)))
+    least, enough = F.least("sites", "texts"), min_sites * (1 + band)
+    sketched = (own.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", lg_k).alias("s"), F.hll_sketch_agg("t", lg_k).alias("x"))
+                .select("h1", "h2", F.hll_sketch_estimate("s").alias("sites"), F.hll_sketch_estimate("x").alias("texts"))
+                .filter(least >= min_sites * (1 - band)))
     sketched = written(sketched, "line-sketches")
-    near = sketched.filter(F.col("sites") <= min_sites * (1 + band)).select("h1", "h2")
-    exact = (lines.join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites"))
-             .filter(F.col("sites") >= min_sites))
-    return sketched.filter(F.col("sites") > min_sites * (1 + band)).unionByName(exact)
+    near = sketched.filter(least <= enough).select("h1", "h2")
+    exact = (lines.join(near, ["h1", "h2"]).groupBy("h1", "h2")
+             .agg(F.countDistinct("site").alias("sites"), F.countDistinct("t").alias("texts")).filter(least >= min_sites))
+    return sketched.filter(least > enough).unionByName(exact)
 
 
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, band: float = BAND,
-                lg_k: int = LG_K, max_share: float = MAX_SHARE) -> DataFrame:
+                lg_k: int = LG_K, copy_share: float | None = None) -> DataFrame:
     """(_row, _old, _new, _n_lines, _n_removed): each document's row, its text before and after, and counts."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(text.alias("text"), F.col(site).alias("site"))
@@ -88,10 +89,13 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     rows = packed(docs).withColumn("_old", F.coalesce(F.col("_row.text").cast("string"), F.lit("")))
     rows = rows.select("*", *_text_key(F.col("_old"))).join(drop, ["k1", "k2"], "left")
     lines = _lines(F.col("_old"))
-    dropped = F.coalesce(F.aggregate(F.transform("_drop", lambda i: F.length(F.get(lines, i))), F.lit(0),
-                                     lambda s, n: s + n), F.lit(0))
-    removes = F.col("_drop").isNotNull() & (dropped <= max_share * F.length("_old"))
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_drop", i)), "\n")
+    removes = F.col("_drop").isNotNull()
+    if copy_share is not None:
+        dropped = F.aggregate(F.transform("_drop", lambda i: F.length(F.get(lines, i))), F.lit(0), lambda s, n: s + n)
+        removes = removes & F.coalesce(dropped < copy_share * F.length("_old"), F.lit(False))
+    # line numbers without the dropped ones, by a hash set: linear in the lines
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     return rows.select("_row", "_old", F.when(removes, kept).otherwise(F.col("_old")).alias("_new"),
                        F.size(lines).cast("bigint").alias("_n_lines"),
                        F.when(removes, F.size("_drop")).otherwise(0).cast("bigint").alias("_n_removed"))
@@ -113,22 +117,19 @@ def clean_lines(docs: DataFrame, **kw) -> DataFrame:
     return dedup_lines(docs, **kw).select(*unpacked(docs.columns, **changed))
 
 
-def oracle_sql(min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> str:
+def oracle_sql(min_sites: int = MIN_SITES) -> str:
     """DuckDB SQL for :func:`line_report` with exact counts throughout."""
     return f"""
 WITH l AS (
-  SELECT rowid_ AS r, doc_id, source, generate_subscripts(a, 1) AS i, unnest(a) AS line
-  FROM (SELECT row_number() OVER () AS rowid_, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)
+  SELECT rowid_ AS r, doc_id, source, t, generate_subscripts(a, 1) AS i, unnest(a) AS line
+  FROM (SELECT row_number() OVER () AS rowid_, doc_id, source, md5(coalesce(text, '')) AS t,
+               string_split(coalesce(text, ''), chr(10)) AS a FROM documents)
 ), spread AS (
   SELECT trim(line, ' ') AS line FROM l WHERE trim(line, ' ') <> ''
-  GROUP BY 1 HAVING count(DISTINCT coalesce(source, chr(1))) >= {min_sites}
+  GROUP BY 1 HAVING count(DISTINCT coalesce(source, chr(1))) >= {min_sites} AND count(DISTINCT t) >= {min_sites}
 ), marked AS (
   SELECT l.*, spread.line IS NOT NULL AS wide FROM l LEFT JOIN spread ON trim(l.line, ' ') = spread.line
-), judged AS (
-  SELECT r, sum(CASE WHEN wide THEN length(line) ELSE 0 END) <= {max_share} * (sum(length(line)) + count(*) - 1) AS cut
-  FROM marked GROUP BY r
 )
-SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines,
-       count(*) FILTER (WHERE wide AND cut) AS n_removed,
-       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT (wide AND cut)), '') AS text
-FROM marked JOIN judged USING (r) GROUP BY r"""
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE wide) AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT wide), '') AS text
+FROM marked GROUP BY r"""

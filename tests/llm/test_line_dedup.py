@@ -14,7 +14,9 @@ def docs_with_boilerplate(spark):
             lines.append("on four sites only")
         rows.append((i, "\n".join(lines), f"s{i % 10}" if i % 15 else f"s{i // 15}"))
     rows += [(100 + i, "a copied page\nwith two lines", f"s{i}") for i in range(8)]
-    rows += [(200, None, "s1"), (201, "", None), (202, "\n\n", None), (203, "Share this page", "s1")]
+    rows += [(200, None, "s1"), (201, "", None), (202, "\n\n", None), (203, "Share this page", "s1"),
+             (204, " Share this page\nshort own line\n Share this page          ", "s2"),
+             (205, "\n".join("Share this page" if k % 3 else f"own line number {k}, long enough to be a text" for k in range(600)), "s3")]
     return spark.createDataFrame(rows, "doc_id long, text string, source string")
 
 
@@ -29,8 +31,12 @@ def test_report_equals_sql(spark):
     by = {r[0]: r for r in got}
     assert by[2][2] == 1 and "Share" not in by[2][3]                   # boilerplate goes
     assert by[15][2] == 0 and "four sites" in by[0][3]                 # not enough sites
-    assert by[103][3] == "a copied page\nwith two lines"               # whole copies stay
-    assert by[203][3] == "Share this page" and by[200][3] == ""
+    assert by[103][3] == "a copied page\nwith two lines"               # copies of one text are one text
+    assert by[203][2] == 1 and by[203][3] == "" and by[200][3] == ""   # a page of nothing but boilerplate
+    assert by[204][2] == 2 and by[204][3] == "short own line"          # mostly boilerplate, but not only
+    assert by[205][2] == 400 and by[205][3].count("\n") == 199
+    careful = {r["doc_id"]: r["n_removed"] for r in L.line_report(df, copy_share=0.75).collect()}
+    assert careful[203] == 0 and careful[204] == 2 and careful[205] == 400 and careful[2] == 1
 
 
 def test_near_threshold_counts_are_exact(spark):
