@@ -10,7 +10,7 @@ from operator import eq
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import WORD_BYTES
@@ -22,7 +22,8 @@ BUCKETS = (1 << BITS) + REPEATS
 STEM = 6
 STEM_SHARE = 120
 FOLDS = 5           # rows whose crc32(doc_id) is 0 modulo this are held out
-SAMPLE_ROWS = 12_000  # bound of the labelled sample that a model is fitted on
+SAMPLE_ROWS = 12_000  # bounds of the labelled sample that a model is fitted on: documents,
+SAMPLE_CHARS = 1 << 26  # and characters in all
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)  # odd, of mixed bits
 
@@ -77,16 +78,24 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, y) of at most ``rows`` labelled documents outside the held-out fold.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS,
+                    chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(text, y) of at most ``rows`` labelled documents outside the held-out fold, with at most ``chars`` characters in all.
 
-    The ids are drawn first, by the order of their hash: at most ``rows`` of them, so joining them to the
-    documents is a join with a side of proven bound. An id with several labels takes the smallest.
+    Ids are taken in the order of their hash; an id with several labels takes the smallest, one with several texts the
+    one with the smallest hash. Everything broadcast or ordered here has at most ``rows`` rows.
     """
+    at = [F.xxhash64("doc_id"), F.col("doc_id")]
     drawn = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y"))
              .filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold(F.col("doc_id")) != 0))
              .groupBy("doc_id").agg(F.min("y").alias("y"))
-             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+             .orderBy(*at).limit(rows))
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return text.join(F.broadcast(drawn), "doc_id").select("text", "y")
+    text = text.withColumn("key", F.xxhash64("text"))
+    sizes = (text.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y")
+             .agg(F.min(F.struct("key", F.length("text").alias("n"))).alias("t")).select("doc_id", "y", "t.*"))
+    upto = F.sum("n").over(Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, 0))
+    taken = sizes.withColumn("upto", upto).filter(F.col("upto") <= chars).select("doc_id", "y", "key")
+    return (text.join(F.broadcast(taken), ["doc_id", "key"]).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+            .select("text", "y"))

@@ -1,9 +1,11 @@
+import math
 import random
+import zlib
 
 import numpy as np
 from edge import ROWS, edge_docs, no_docs
 
-from ledgerline.llm import quality, toxicity
+from ledgerline.llm import features, quality, toxicity
 from ledgerline.llm.common import table
 from ledgerline.llm.features import word_features
 
@@ -99,3 +101,74 @@ def test_edges(spark):
     one = quality.score_quality(docs, quality.fit_quality(docs, labels.filter("quality = 1"))).filter("score < 0.9").count()
     assert one == 0
     assert toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, none)).filter("toxic").count() == 0
+
+
+def test_the_sample_is_bounded(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"text {i} {k % 3} " + "x" * 90) for i in ids for k in range(40)] + [(None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(ids[0], 0), (ids[1], None)], "doc_id long, quality int")
+    draw = lambda **kw: features.labelled_sample(docs, labels, "quality", **kw).collect()
+    assert len(draw()) == len(ids) == len({r["text"].split()[1] for r in draw()})
+    assert len(draw(rows=2)) == 2                                       # repeated rows of an id count once
+    some = draw(chars=1_000)
+    assert 0 < len(some) < len(ids) and sum(len(r["text"]) for r in some) <= 1_000
+    assert draw(chars=5) == []
+    assert sorted(map(str, draw())) == sorted(map(str, features.labelled_sample(docs.repartition(5), labels, "quality").collect()))
+
+
+def brute_grams(text):
+    """Buckets of a text's byte n-grams, one by one."""
+    raw, out = text.encode(), set()
+    mult = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F]
+    for i in range(len(raw) - 3):
+        h = sum(raw[i + k] * mult[k] for k in range(4)) & 0xFFFFFFFF
+        h ^= h >> 15
+        out.add((h * mult[0] & 0xFFFFFFFF) >> 14)
+    if len(raw) < 4:
+        return out
+    run = best = 0
+    words = text.encode().split()
+    for a, b in zip(words, words[1:]):
+        run = run + 1 if a == b else 0
+        best = max(best, run)
+    return out | {(1 << 18) + k for k in range(min(best, 16))}
+
+
+def test_quality_equals_brute_force(spark):
+    """Ratios, values and scores of the fitted model recomputed in plain Python from the texts."""
+    docs, labels = corpus(spark, 80)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    y = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 5]
+    model = quality.fit_quality(docs, labels)
+    count, total = [dict(), dict()], [0, 0]
+    grams = {i: brute_grams(t) for i, t in texts.items()}
+    for i in train:
+        for g in grams[i]:
+            count[y[i]][g] = count[y[i]].get(g, 0) + 1
+    seen = set().union(*(grams[i] for i in train))
+    rows = [np.array(sorted(grams[i])) for i in train]
+    ratio = quality.log_count_ratios(rows, np.array([y[i] for i in train]), features.BUCKETS)
+    total = [sum(c.values()) + features.BUCKETS for c in count]
+    for g in list(seen)[:300]:
+        want = math.log((count[1].get(g, 0) + 1) / total[1]) - math.log((count[0].get(g, 0) + 1) / total[0])
+        assert abs(ratio[g] - want) < 1e-9
+    assert np.allclose(model.ratio, ratio)
+    for r in quality.score_quality(docs, model).collect():
+        own = sorted(grams[r["doc_id"]])
+        norm = math.sqrt(sum(ratio[g] ** 2 for g in own)) or 1.0
+        margin = sum(model.weights[g] for g in own) / norm + model.bias
+        assert abs(r["score"] - 1 / (1 + math.exp(-(model.slope * margin + model.offset)))) < 1e-9
+
+
+def test_severity_equals_brute_force(spark):
+    """Expected severity is the sum of P(grade >= k) over the thresholds, from weights shared by all of them."""
+    docs, labels = corpus(spark, 120)
+    model = toxicity.fit_toxicity(docs, labels)
+    for r in toxicity.score_toxicity(docs, model).join(docs, "doc_id").collect():
+        own = {int(f) for f in word_features(r["text"].encode()) if model.weights[f] != 0}
+        x = sum(model.weights[f] for f in own)
+        at_least = [1 / (1 + math.exp(-(x - t))) for t in model.thresholds]
+        assert abs(r["expected_severity"] - sum(at_least)) < 1e-9 and abs(r["score"] - at_least[0]) < 1e-9
+        mass = [a - b for a, b in zip([1, *at_least], [*at_least, 0])]
+        assert r["grade"] == mass.index(max(mass)) and all(m >= -1e-12 for m in mass)
