@@ -33,7 +33,7 @@ from tokenizers import Tokenizer
 
 from ledgerline.llm.common import id_and_text, map_arrow, slices, texts_of
 
-LEAF_CHARS = 65_536
+LEAF_CHARS = 16_384
 WINDOW_CHARS = 64
 REMEMBERED_WORDS = 150_000
 
@@ -253,8 +253,12 @@ def plain_words(path: str) -> bool:
     one = tok.encode("a b\n c", add_special_tokens=False).ids
     if tok.decode(one, skip_special_tokens=False) != " ".join(map(tok.id_to_token, one)):
         return False
-    parts = [i for w in ("a", "b", "c") for i in tok.encode(w, add_special_tokens=False).ids]
-    return one == parts and not any(c.isspace() for t in tok.get_added_tokens_decoder().values() for c in t.content)
+    def ids(*words: str) -> list[int]:
+        return [i for w in words for i in tok.encode(w, add_special_tokens=False).ids]
+
+    # case is dropped, and a full stop or comma behind a letter or digit is a token of its own
+    forms = all(ids(w) == ids(w[:-1].lower(), w[-1]) for w in ("Word.", "wOrD,", "X1.", "aB,", "7."))
+    return one == ids("a", "b", "c") and forms and not any(c.isspace() for t in tok.get_added_tokens_decoder().values() for c in t.content)
 
 
 DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -269,6 +273,11 @@ def _digests(ids: list, pairs: Iterator[tuple[bytes, bytes]]) -> pa.RecordBatch:
                                       names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def leaf_numbers(path: str, leaf_chars: int) -> type:
+    """What holds the ids and the places within a leaf."""
+    return np.uint16 if max(leaf_chars, load(path).get_vocab_size(with_added_tokens=True)) < 1 << 16 else np.int32
+
+
 def encode_leaves(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """Long documents as rows of leaves: (doc, copies, leaf, piece of text, ids, starts, ends).
 
@@ -285,13 +294,15 @@ def encode_leaves(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> D
                                                 F.count(F.lit(1)).alias("copies"))
               .select("doc", "doc_id", "copies", "leaf", "piece"))
 
+    kind = leaf_numbers(path, leaf_chars)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _codec(path).tok
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
                 encs = [encode_part(tok, p, 0, len(p)) for p in part.column("piece").to_pylist()]
-                cols = [pa.array([e[i].astype(np.int32).tobytes() for e in encs], pa.binary()) for i in range(3)]
+                cols = [pa.array([e[i].astype(kind).tobytes() for e in encs], pa.binary()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, "ids", "starts", "ends"])
 
     return map_arrow(leaves, run, "doc string, doc_id bigint, copies bigint, leaf int, piece string, "
@@ -303,7 +314,7 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS,
     """One row per document: token count and digests of the ids and of the decoded text."""
     rows = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     is_long = F.coalesce(F.length("text") > leaf_chars, F.lit(False))
-    by_word = plain_words(path)
+    by_word, kind = plain_words(path), leaf_numbers(path, leaf_chars)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
@@ -322,7 +333,7 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS,
         codec = _codec(path)
         text, cuts, parts = "".join(r["piece"] for r in rows_), [0], []
         for r in rows_:
-            ids, starts, ends = (np.frombuffer(r[k], np.int32) for k in ("ids", "starts", "ends"))
+            ids, starts, ends = (np.frombuffer(r[k], kind).astype(np.int32) for k in ("ids", "starts", "ends"))
             parts.append(Tokens(ids, starts + np.int32(cuts[-1]), ends + np.int32(cuts[-1])))
             cuts.append(cuts[-1] + len(r["piece"]))
         ids = join_tree(codec.tok, text, cuts, parts, window_chars).ids.tolist()
