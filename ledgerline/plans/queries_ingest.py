@@ -131,8 +131,9 @@ def match_fund(p):
 
 
 def _two_runs(p):
-    """Run 1 ingests trades dated before FIRST_BATCH_BEFORE; run 2 re-ingests everything."""
-    tx, _ = B.ingest_transactions(_scan(p), p.raw.funds)
+    """Run 1 ingests trades dated before FIRST_BATCH_BEFORE; run 2 re-ingests everything. The files are parsed once."""
+    parsed, _ = W.write_observed(B.parse_broker_rows(_scan(p)), B.scratch_path(p.spark, "parsed-run"), processed=F.count(F.lit(1)))
+    tx, _ = B.ingest_parsed(parsed, p.raw.funds)
     tx = tx.drop("source_file")
     order = ["settle_date", "raw_description", "quantity"]      # ascending, nulls first
     run1 = tx.filter(F.col("trade_date") < F.lit(FIRST_BATCH_BEFORE).cast("date"))
@@ -166,7 +167,8 @@ UNION ALL
 SELECT 'TOTAL', sum(processed), sum(inserted), sum(processed - inserted), 0 FROM per""")
 def ingest_counts(p):
     batch, new2, _ = _two_runs(p)
-    return B.ingest_counts(batch, new2, "account_id")
+    appended, _ = W.write_observed(new2, B.scratch_path(p.spark, "appended"), inserted=F.count(F.lit(1)))
+    return B.ingest_counts(batch, appended, "account_id")
 
 
 @register("ingest_audit_log", oracle=_DEDUPED + f"""
@@ -177,8 +179,8 @@ SELECT TIMESTAMP '{AUDIT_RUN_AT:%Y-%m-%d %H:%M:%S}', 'transactions',
        'success', 'broker csv'""")
 def ingest_audit_log(p):
     _, new2, _ = _two_runs(p)
-    row = W.audit_row(p.spark, AUDIT_RUN_AT, "transactions", new2.select(F.count(F.lit(1))).scalar(),
-                      "success", "broker csv")
+    _, seen = W.write_observed(new2, B.scratch_path(p.spark, "appended"), inserted=F.count(F.lit(1)))
+    row = W.audit_row(p.spark, AUDIT_RUN_AT, "transactions", seen["inserted"], "success", "broker csv")
     return p.raw.ingest_log.select("run_at", "source", "rows_inserted", "status", "detail").unionByName(row)
 
 

@@ -373,7 +373,7 @@ def incremental_drop_folder(p):
     each picked up by an availableNow run of the same stream (same checkpoint): the second run
     sees only the new files and appends only ids the target does not hold yet. Trades whose reference
     ends in 7 have no readable value: they are rejected, once in each drop."""
-    from ledgerline.streaming.drop_folder import start_drop_folder_ingest
+    from ledgerline.streaming.drop_folder import read_report, read_target, start_drop_folder_ingest
     spark = p.spark
     drop = B.scratch_path(spark, "drop")
     target = B.scratch_path(spark, "drop-target")
@@ -384,8 +384,8 @@ def incremental_drop_folder(p):
     start_drop_folder_ingest(spark, drop, target, ckpt, p.raw.funds, accounts=p.raw.accounts).awaitTermination()
     B.write_broker_csv(t, drop + "/run2")
     start_drop_folder_ingest(spark, drop, target, ckpt, p.raw.funds, accounts=p.raw.accounts).awaitTermination()
-    lost = spark.read.parquet(f"{target}-report/counts").filter(F.col("source_file") == "TOTAL").agg(F.sum("rejected")).scalar()
-    return spark.read.parquet(target).select(*[c.strip() for c in TX_COLS.split(",")], lost.alias("n_rejected"))
+    lost = read_report(spark, target, "counts").filter(F.col("source_file") == "TOTAL").agg(F.sum("rejected")).scalar()
+    return read_target(spark, target).select(*[c.strip() for c in TX_COLS.split(",")], lost.alias("n_rejected"))
 
 
 # ------------------------------------------------------------------ daily model build (A20, entry 1)

@@ -212,7 +212,11 @@ def ingest_transactions(rows: DataFrame, funds: DataFrame, accounts: DataFrame |
     name (null when unmatched: kept, reported as a warning row); the id is the content hash, so a
     re-ingested row keeps its id.
     """
-    parsed = parse_broker_rows(rows)
+    return ingest_parsed(parse_broker_rows(rows), funds, accounts)
+
+
+def ingest_parsed(parsed: DataFrame, funds: DataFrame, accounts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """As :func:`ingest_transactions`, from rows that are parsed already (for callers that read them several times)."""
     if accounts is not None:
         known, _ = broadcast_if_small(accounts.select(F.col("id").alias("account_id"), F.lit(True).alias("_known")).distinct())
         parsed = parsed.join(known, "account_id", "left").withColumn(

@@ -11,7 +11,7 @@ import datetime as _dt
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,6 +99,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def write_observed(df: DataFrame, path: str, partition_by: Sequence[str] = (), **metrics: Column) -> tuple[DataFrame, dict]:
+    """Write ``df`` (replacing the folder) and read it back, with aggregates taken while it is written.
+
+    The observation rides on the write, so counting costs no second evaluation of the frame.
+    """
+    spark, seen = df.sparkSession, Observation()
+    writer = df.observe(seen, *[c.alias(name) for name, c in metrics.items()]).write.mode("overwrite")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
+
+
 def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = (), sort_within: Sequence[str] = ()) -> DataFrame:
     """Full-refresh write to the shared checkpoint folder, then read back.
 

@@ -5,14 +5,16 @@ stream (``trigger(availableNow=True)`` for a daily run, or a processing-time
 trigger for a long-running one). Each micro-batch goes through the same scan,
 parse, classification and fund match as the batch job, then an idempotent
 append: rows are deduplicated on their content-hash id inside the batch and
-anti-joined against the target table before they are written. A micro-batch
-replayed after a failure (the checkpoint records it as not committed) appends
-nothing twice, so the sink is effectively exactly-once. Late files are fine:
-the key is content-based, not time-based, so no watermark is needed.
-
-Beside the target, each batch writes its rejects and warnings, its counts per
-file and one audit row (success or failure) under its own batch number, so a
-replayed batch replaces what it wrote.
+anti-joined against the target table before they are written. Late files are
+fine: the key is content-based, not time-based, so no watermark is needed.
+
+Batches are atomic. A batch parses its files once into a scratch table, stages
+its new rows, rejects, counts per file and audit row in folders of its own
+number, and commits by one manifest (``sources/commits.py``), which
+``read_target`` and ``read_report`` go by. A batch that died before its commit is replayed in full
+and overwrites its own folders; it is compared with batches in front of it
+only, so its rows and counts come out the same. One that died after its
+commit finds its manifest and only restores its audit row.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.sources import broker_csv as B
-from ledgerline.sources.writers import append_audit, audit_row, dedupe_first, table_exists
+from ledgerline.sources.commits import BatchTable, read_committed
+from ledgerline.sources.writers import append_audit, audit_row, dedupe_first, scratch_path, write_observed
 
 PARTITION_COL = "trade_month"
 # Deterministic winner among rows with the same content id: smallest (ascending, nulls first).
@@ -37,41 +40,24 @@ def start_drop_folder_ingest(spark: SparkSession, drop_dir: str, target_dir: str
 
     ``report_dir`` (default: beside the target) gets ``rejects``, ``counts`` and ``audit``.
     """
-    report = (report_dir or f"{target_dir.rstrip('/')}-report").rstrip("/")
+    report = report_root(target_dir, report_dir)
     stream = (spark.readStream.format("text").option("recursiveFileLookup", "true").load(drop_dir)
               .select("value", F.col("_metadata.file_path").alias("source_file"),
                       F.col("_metadata.file_block_start").alias("block")))
 
-    def ingest(batch: DataFrame, epoch_id: int) -> int:
-        lines = batch.select(B.cp1252_text(F.col("value")).alias("line"), "source_file",
-                             F.struct("block", F.monotonically_increasing_id().alias("row")).alias("pos"))
-        rows, rejects = B.ingest_transactions(B.named_records(lines), funds, accounts)
-        tx = dedupe_first(rows, ["id"], TX_ORDER).withColumn(PARTITION_COL, F.date_format("trade_date", "yyyy-MM")).persist()
-        try:
-            # The id hashes the trade date, so a duplicate can only sit in the same trade month:
-            # read just the target partitions this batch touches (a list bounded by the calendar).
-            months = [r[0] for r in tx.select(PARTITION_COL).distinct().collect()]
-            new = tx
-            if table_exists(spark, target_dir):
-                held = spark.read.parquet(target_dir).filter(F.col(PARTITION_COL).isin(months)).select("id")
-                new = tx.join(held, "id", "left_anti")
-            # the report first: once the target has grown, the batch's new rows can no longer be told from old ones
-            rejects.write.mode("overwrite").parquet(f"{report}/rejects/batch={epoch_id}")
-            counts = f"{report}/counts/batch={epoch_id}"
-            B.ingest_counts(rows, new, "source_file", rejects).write.mode("overwrite").parquet(counts)
-            # few files per month, and a month with many rows is split
-            (new.drop("source_file").hint("rebalance", PARTITION_COL).write.mode("append")
-             .partitionBy(PARTITION_COL).parquet(target_dir))
-            return int(spark.read.parquet(counts).filter(F.col("source_file") == "TOTAL").first()["inserted"])
-        finally:
-            tx.unpersist()
-
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         def log(rows: int, status: str, detail: str | None) -> None:
             append_audit(f"{report}/audit", audit_row(spark, _dt.datetime.now(_dt.timezone.utc), "transactions", rows,
-                                                      status, detail), run=f"{epoch_id}-{status}")
+                                                      status, detail), run=f"{epoch_id}")
+        table = BatchTable(spark, target_dir)
+        done = table.committed().get(epoch_id)
+        if done is not None:                                       # died behind its commit: nothing is left to do
+            log(done["rows"], "success", None)
+            return
         try:
-            log(ingest(batch, epoch_id), "success", None)
+            facts = stage_batch(batch, epoch_id, table, report, funds, accounts)
+            log(facts["rows"], "success", None)
+            table.commit(epoch_id, **facts)
         except Exception as error:
             log(0, "failure", str(error)[:1000])
             raise
@@ -79,3 +65,48 @@ def start_drop_folder_ingest(spark: SparkSession, drop_dir: str, target_dir: str
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
+
+
+def report_root(target_dir: str, report_dir: str | None = None) -> str:
+    return (report_dir or f"{target_dir.rstrip('/')}-report").rstrip("/")
+
+
+def stage_batch(batch: DataFrame, epoch_id: int, table: BatchTable, report: str, funds: DataFrame,
+                accounts: DataFrame | None) -> dict:
+    """Write a batch's new rows, rejects and counts per file into its folders; {rows: inserted, processed: lines}."""
+    spark = batch.sparkSession
+    lines = batch.select(B.cp1252_text(F.col("value")).alias("line"), "source_file",
+                         F.struct("block", F.monotonically_increasing_id().alias("row")).alias("pos"))
+    parsed, seen = write_observed(B.parse_broker_rows(B.named_records(lines)), scratch_path(spark, "parsed-batch"),
+                                  processed=F.count(F.lit(1)))
+    rows, rejects = B.ingest_parsed(parsed, funds, accounts)
+    new = dedupe_first(rows, ["id"], TX_ORDER).withColumn(PARTITION_COL, F.date_format("trade_date", "yyyy-MM"))
+    held = table.read(before=epoch_id)
+    if held is not None:
+        # The id hashes the trade date, so a duplicate can only sit in the same trade month:
+        # read just the target partitions this batch touches (a list bounded by the calendar).
+        months = [r[0] for r in parsed.select(F.date_format("trade_date", "yyyy-MM")).distinct().collect()]
+        new = new.join(held.filter(F.col(PARTITION_COL).isin(months)).select("id"), "id", "left_anti")
+    # few files per month, and a month with many rows is split
+    written, got = write_observed(new.hint("rebalance", PARTITION_COL), table.folder(epoch_id), partition_by=[PARTITION_COL],
+                                  inserted=F.count(F.lit(1)))
+    rejects.write.mode("overwrite").parquet(f"{report}/rejects/batch={epoch_id}")
+    rejects = spark.read.schema(rejects.schema).parquet(f"{report}/rejects/batch={epoch_id}")
+    counts = B.ingest_counts(rows, written, "source_file", rejects)
+    counts.write.mode("overwrite").parquet(f"{report}/counts/batch={epoch_id}")
+    return {"rows": got["inserted"], "processed": seen["processed"]}
+
+
+def read_target(spark: SparkSession, target_dir: str) -> DataFrame | None:
+    """The committed transactions; None before the first commit."""
+    rows = read_committed(spark, target_dir)
+    return None if rows is None else rows.drop("source_file")
+
+
+def read_report(spark: SparkSession, target_dir: str, name: str, report_dir: str | None = None) -> DataFrame:
+    """``rejects``, ``counts`` (of committed batches) or ``audit`` (every batch's last attempt), with their batch."""
+    report = spark.read.parquet(f"{report_root(target_dir, report_dir)}/{name}")
+    if name == "audit":
+        return report
+    done = sorted(BatchTable(spark, target_dir).committed())
+    return report.filter(F.col("batch").isin(done))

@@ -69,6 +69,23 @@ def test_insert_or_ignore_is_idempotent_and_counts(spark):
     assert counts == {"ISA": (4, 3, 1), "SIPP": (2, 2, 0), "TOTAL": (6, 5, 1)}
 
 
+def test_counts_ride_on_the_write(spark):
+    """One evaluation of the batch writes it and counts it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passes(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    df = spark.range(1_000).mapInPandas(passes, "id long")
+    out = tempfile.mkdtemp(prefix="observed-")
+    back, got = W.write_observed(df, out, n=F.count(F.lit(1)), top=F.max("id"))
+    assert got == {"n": 1000, "top": 999} and back.count() == 1000 and seen.value == 1000
+    _, got = W.write_observed(df.filter("id < 0"), out, n=F.count(F.lit(1)))
+    assert got == {"n": 0}
+
+
 def test_every_line_is_counted(spark):
     """Odd shapes end up as transactions or rejects; processed = inserted + skipped + rejected for each file."""
     root = tempfile.mkdtemp(prefix="broker-")

@@ -31,30 +31,107 @@ def test_quality_checks(spark):
 
 
 def test_drop_folder_stream_is_idempotent(spark):
-    from ledgerline.streaming.drop_folder import start_drop_folder_ingest
+    from ledgerline.streaming.drop_folder import read_report, read_target, start_drop_folder_ingest
     drop = _landing()
     target = tempfile.mkdtemp(prefix="target-") + "/tx"
     ckpt = tempfile.mkdtemp(prefix="ckpt-")
     start_drop_folder_ingest(spark, drop, target, ckpt, _funds(spark)).awaitTermination()
-    assert spark.read.parquet(target).count() == 5
+    assert read_target(spark, target).count() == 5
     # the same files again (a replayed drop) under a new name: nothing is appended twice
     os.makedirs(f"{drop}/ISA2", exist_ok=True)
     with open(f"{drop}/ISA/ISA_2024-03-01.csv", "rb") as src, open(f"{drop}/ISA2/ISA.csv", "wb") as dst:
         dst.write(src.read())
     start_drop_folder_ingest(spark, drop, target, ckpt, _funds(spark)).awaitTermination()
-    ids = [r.id for r in spark.read.parquet(target).collect()]
-    report = f"{target}-report"
-    rejected = spark.read.parquet(f"{report}/rejects").filter("severity = 'rejected'")
+    ids = [r.id for r in read_target(spark, target).collect()]
+    rejected = read_report(spark, target, "rejects").filter("severity = 'rejected'")
     assert sorted(r.reject_reason for r in rejected.collect()) == ["unparseable value"] * 2     # one in each drop
     counts = {(r.batch, r.source_file.split("/")[-2]): (r.processed, r.inserted, r.skipped, r.rejected)
-              for r in spark.read.parquet(f"{report}/counts").filter("source_file <> 'TOTAL'").collect()}
+              for r in read_report(spark, target, "counts").filter("source_file <> 'TOTAL'").collect()}
     assert counts == {(0, "ISA"): (5, 3, 1, 1), (0, "SIPP"): (2, 2, 0, 0), (1, "ISA2"): (5, 3, 1, 1)}
-    audit = sorted((r.run, r.rows_inserted, r.status) for r in spark.read.parquet(f"{report}/audit").collect())
-    assert audit == [("0-success", 5, "success"), ("1-success", 3, "success")]
+    audit = sorted((r.run, r.rows_inserted, r.status) for r in read_report(spark, target, "audit").collect())
+    assert audit == [(0, 5, "success"), (1, 3, "success")]
     # ISA2 is a different account folder, so its rows hash to new ids; ISA's do not repeat
     assert len(ids) == len(set(ids)) == 5 + 3
 
 
+def _facts(spark, target):
+    from ledgerline.streaming.drop_folder import read_report, read_target
+    rows = read_target(spark, target)
+    return (sorted(map(str, rows.collect())) if rows is not None else None,
+            sorted(str(r) for r in read_report(spark, target, "counts").withColumn("source_file", F.regexp_extract("source_file", "[^/]*$", 0)).collect()),
+            sorted((r.run, r.rows_inserted, r.status) for r in read_report(spark, target, "audit").collect()))
+
+
+@pytest.mark.parametrize("fails", ["before the rows", "half-way through the rows", "before the commit", "after the commit"])
+def test_replayed_batches_come_out_the_same(spark, monkeypatch, fails):
+    """A batch that dies anywhere around its append, and is replayed: same rows, same counts, same audit."""
+    from ledgerline.sources import commits
+    from ledgerline.streaming import drop_folder as D
+
+    def run(drop, target, ckpt):
+        D.start_drop_folder_ingest(spark, drop, target, ckpt, _funds(spark)).awaitTermination()
+
+    drop = _landing()
+    dirs = {k: (tempfile.mkdtemp(prefix="target-") + "/tx", tempfile.mkdtemp(prefix="ckpt-")) for k in ("plain", "torn")}
+    for target, ckpt in dirs.values():
+        run(drop, target, ckpt)
+    os.makedirs(f"{drop}/ISA2", exist_ok=True)
+    with open(f"{drop}/ISA/ISA_2024-03-01.csv", "rb") as src, open(f"{drop}/ISA/again.csv", "wb") as a, \
+            open(f"{drop}/ISA2/ISA.csv", "wb") as b:
+        text = src.read()
+        a.write(text)
+        b.write(text)
+    run(drop, *dirs["plain"])
+    before = _facts(spark, dirs["torn"][0])
+    with monkeypatch.context() as m:
+        def die(*args, **kw):
+            raise OSError("the driver is gone")
+
+        if fails == "before the rows":
+            m.setattr(D, "write_observed", die)
+        elif fails == "half-way through the rows":
+            real = D.write_observed
+
+            def torn(df, path, *args, **kw):
+                out = real(df, path, *args, **kw)
+                if "batch=" in path:
+                    spark.read.parquet(path).limit(1).write.mode("append").partitionBy(D.PARTITION_COL).parquet(path)
+                    die()
+                return out
+            m.setattr(D, "write_observed", torn)
+        elif fails == "before the commit":
+            m.setattr(commits.BatchTable, "commit", die)
+        else:
+            real_commit = commits.BatchTable.commit
+
+            def late(self, *args, **kw):
+                real_commit(self, *args, **kw)
+                die()
+            m.setattr(commits.BatchTable, "commit", late)
+        with pytest.raises(Exception, match="the driver is gone"):
+            run(drop, *dirs["torn"])
+    if fails != "after the commit":
+        assert _facts(spark, dirs["torn"][0])[:2] == before[:2]            # nothing of the dead batch shows
+    run(drop, *dirs["torn"])
+    assert _facts(spark, dirs["torn"][0]) == _facts(spark, dirs["plain"][0])
+
+
+def test_batch_tables_compact(spark):
+    from ledgerline.sources.commits import BatchTable
+    table = BatchTable(spark, tempfile.mkdtemp(prefix="table-") + "/t")
+    assert table.read() is None and table.compact() is None
+    for k in range(4):
+        spark.createDataFrame([(k, "a"), (10 + k, "b")], "x int, month string").write.partitionBy("month").parquet(table.folder(k))
+        if k != 2:
+            table.commit(k, rows=2)
+    want = sorted([0, 1, 3, 10, 11, 13])
+    assert sorted(r.x for r in table.read().collect()) == want and sorted(r.x for r in table.read(before=3).collect()) == [0, 1, 10, 11]
+    assert table.compact("month") == 3
+    spark.createDataFrame([(7, "c")], "x int, month string").write.partitionBy("month").parquet(table.folder(4))
+    table.commit(4, rows=1)
+    assert sorted(r.x for r in BatchTable(spark, table.root).read().collect()) == sorted([*want, 7])
+
+
 def test_drop_folder_failure_is_audited(spark):
     from ledgerline.streaming.drop_folder import start_drop_folder_ingest
     target = tempfile.mkdtemp(prefix="target-") + "/tx"
