@@ -30,6 +30,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,7 @@ WORDS_HELD = 1_000_000    # words numbered by a task before all is spilled and n
 BLOCK = 4 << 20           # bytes of text split into words at a time
 WORD_BITS = 21
 WORD_MASK = (1 << WORD_BITS) - 1
+PREFIXES = 1 << 16        # prefix partitions of a language, by hash of the first word
 TAILS = 16                # parts of a prefix partition
 
 _LOWER = bytes(ord(" ") if chr(b) == "\t" else ord("\n") if chr(b) in ".,;:!?\n\v\f\r" else b + 32 if 65 <= b <= 90 else b
@@ -57,6 +59,9 @@ LANGUAGE = "und"
 
 
 # ------------------------------------------------------------------ the trie
+Run = tuple[np.ndarray, np.ndarray]       # packed phrases in order, and their counts
+
+
 class Container:
     """Counts of packed phrases whose word at ``depth`` is at least a lower bound kept by the parent node."""
 
@@ -66,9 +71,12 @@ class Container:
     def __len__(self) -> int:
         return len(self.counts)
 
-    def run(self) -> Iterator[tuple[int, int]]:
+    def run(self) -> Iterator[Run]:
         """The phrases in order."""
-        return iter(sorted(self.counts.items()))
+        keys = np.fromiter(self.counts, np.int64, len(self.counts))
+        counts = np.fromiter(self.counts.values(), np.int64, len(self.counts))
+        order = np.argsort(keys)
+        yield keys[order], counts[order]
 
 
 class Node:
@@ -121,11 +129,11 @@ class Node:
             self.lows[k:k + 1] = lows
             self.children[k:k + 1] = children
 
-    def run(self) -> Iterator[tuple[int, int]]:
+    def run(self) -> Iterator[Run]:
         for child in self.children:
             yield from child.run()
 
-    def spill(self, most: int) -> Iterator[tuple[int, int]]:
+    def spill(self, most: int) -> Iterator[Run]:
         """Take whole subtrees out, largest first, until at most ``most`` phrases are left: a sorted run each."""
         left = len(self)
         for k in sorted(range(len(self.children)), key=lambda k: -len(self.children[k])):
@@ -207,7 +215,7 @@ class Language:
         self.number = {b"": -2, b"\n": -1}                         # nothing between blanks; the end of a piece
         self.texts, self.hashes = [], []
 
-    def count(self, texts: list[bytes], pairs: np.ndarray | None) -> Iterator[Iterator[tuple[int, int]]]:
+    def count(self, texts: list[bytes], pairs: np.ndarray | None) -> Iterator[Iterator[Run]]:
         """Count the phrases of some texts. Yields a run of all it holds whenever no numbers are left for new words."""
         for words in blocks(texts, self.words - 1):
             missing = set(words) - self.number.keys()
@@ -238,22 +246,35 @@ class Language:
             keys = (keys[:-1] << WORD_BITS) | ids[2:]
         self.trie.count(keys[whole])
 
-    def rows(self, run: Iterator[tuple[int, int]]) -> Iterator[tuple[list[bytes], list[int]]]:
-        """A run in parts: phrases as words joined by a blank, and counts."""
-        keys, counts = [], []
-        for key, n in run:
-            keys.append(key)
-            counts.append(n)
-            if len(keys) == 50_000:
-                yield self._named(keys), counts
-                keys, counts = [], []
-        if keys:
-            yield self._named(keys), counts
-
-    def _named(self, keys: list[int]) -> list[bytes]:
-        packed, text = np.array(keys, np.int64), self.texts.__getitem__
-        parts = [map(text, ((packed >> (WORD_BITS * (self.words - 1 - k))) & WORD_MASK).tolist()) for k in range(self.words)]
-        return list(map(b" ".join, zip(*parts)))
+    def rows(self, runs: Iterator[Run]) -> Iterator[pa.RecordBatch]:
+        """Sorted runs as rows: phrases are words joined by a blank."""
+        texts = pa.array(self.texts, pa.binary())
+        prefix = np.array(self.hashes, np.uint64) % np.uint64(PREFIXES) if self.hashes else None
+        held: list[Run] = []
+        for run in runs:
+            held.append(run)
+            if sum(len(k) for k, _ in held) >= 50_000:
+                yield self._batch(texts, prefix, held)
+                held = []
+        if held:
+            yield self._batch(texts, prefix, held)
+
+    def _batch(self, texts: pa.Array, prefix: np.ndarray | None, runs: list[Run]) -> pa.RecordBatch:
+        keys, counts = map(np.concatenate, zip(*runs))
+        words = [(keys >> (WORD_BITS * (self.words - 1 - k))) & WORD_MASK for k in range(self.words)]
+        named = [texts.take(pa.array(w)) for w in words]
+        phrases = named[0] if self.words == 1 else pc.binary_join_element_wise(*named, pa.scalar(b" ", pa.binary()))
+        # the partition: the first word, and a part of the last, by hashes that all tasks share
+        part = None if prefix is None else (prefix[words[0]] * np.uint64(TAILS)
+                                            + prefix[words[-1]] % np.uint64(TAILS)).astype(np.int32)
+        return self.batch(phrases.cast(pa.string()), part, counts)
+
+    def batch(self, phrases: pa.Array, part: np.ndarray | None, counts: np.ndarray) -> pa.RecordBatch:
+        n = len(counts)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([self.name.decode()], pa.string()).take(pa.array(np.zeros(n, np.int32))), phrases,
+             pa.nulls(n, pa.int32()) if part is None else pa.array(part, pa.int32()), pa.array(counts, pa.int64())],
+            names=["lang", "phrase", "part", "n"])
 
 
 def _has(bits: np.ndarray, h):
@@ -265,11 +286,12 @@ def _has(bits: np.ndarray, h):
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-RUNS = "lang string, phrase string, n bigint"
+RUNS = "lang string, phrase string, part int, n bigint"
 
 
 def phrase_runs(docs: DataFrame, words: int, allowed=None, pairs=None, burst: int = BURST, held: int = HELD) -> DataFrame:
-    """(lang, phrase, n): sorted runs of phrase counts, several a phrase; a null phrase counts all words (``words`` = 1).
+    """(lang, phrase, part, n): sorted runs of phrase counts, several a phrase; ``part`` is the prefix partition (phrases of two
+    words or more). A null phrase counts all words (``words`` = 1).
 
     ``allowed`` and ``pairs`` are broadcast bitmaps of the words and pairs that may stand in a phrase.
     """
@@ -278,16 +300,10 @@ def phrase_runs(docs: DataFrame, words: int, allowed=None, pairs=None, burst: in
         pair_bits = None if pairs is None else np.frombuffer(pairs.value, np.uint8)
         languages: dict[str, Language] = {}
 
-        def rows(own: Language, phrases: list, counts: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([own.name.decode()] * len(counts), pa.string()),
-                 pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
-
         def spilled(most: int) -> Iterator[pa.RecordBatch]:
             for own in sorted(languages.values(), key=lambda x: -len(x.trie)):
                 rest = sum(len(x.trie) for x in languages.values() if x is not own)
-                for phrases, counts in own.rows(own.trie.spill(max(0, most - rest))):
-                    yield rows(own, phrases, counts)
+                yield from own.rows(own.trie.spill(max(0, most - rest)))
 
         for b in (part for whole in batches for part in slices(whole, 500)):
             by: dict[str, list[bytes]] = {}
@@ -298,10 +314,9 @@ def phrase_runs(docs: DataFrame, words: int, allowed=None, pairs=None, burst: in
                     languages[lang] = Language(lang, words, bits, burst)
                 own = languages[lang]
                 for full in own.count(texts, pair_bits):
-                    for phrases, counts in own.rows(full):
-                        yield rows(own, phrases, counts)
+                    yield from own.rows(full)
                 if own.seen:
-                    yield rows(own, [None], [own.seen])
+                    yield own.batch(pa.nulls(1, pa.string()), None, np.array([own.seen]))
                     own.seen = 0
             if sum(len(x.trie) for x in languages.values()) > held:
                 yield from spilled(held // 2)
@@ -315,10 +330,7 @@ def phrase_runs(docs: DataFrame, words: int, allowed=None, pairs=None, burst: in
 
 def merged(runs: DataFrame) -> DataFrame:
     """One count per (lang, phrase): runs are dealt by prefix partition and summed there."""
-    dealt = runs.withColumn("prefix", F.substring_index("phrase", " ", 1)).withColumn(
-        "tail", F.pmod(F.xxhash64("phrase"), F.lit(TAILS)))
-    return (dealt.repartition("lang", "prefix", "tail").groupBy("lang", "prefix", "tail", "phrase")
-            .agg(F.sum("n").alias("n")).select("lang", "phrase", "n"))
+    return (runs.repartition("lang", "part").groupBy("lang", "part", "phrase").agg(F.sum("n").alias("n")).select("lang", "phrase", "n"))
 
 
 # ------------------------------------------------------------------ bitmaps
@@ -356,7 +368,8 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, bits: int = FILTE
     texts, sc = language_texts(docs), docs.sparkSession.sparkContext
     runs = written(phrase_runs(texts, 1, burst=burst, held=held), "word-runs")
     totals = written(runs.filter(F.col("phrase").isNull()).groupBy("lang").agg(F.sum("n").alias("n")), "words-by-language")
-    counts = [written(merged(runs.filter(F.col("phrase").isNotNull())).filter(F.col("n") >= min_count), "words")]
+    words_ = runs.filter(F.col("phrase").isNotNull()).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))   # a word is its own prefix
+    counts = [written(words_.filter(F.col("n") >= min_count), "words")]
     sent = []
     for words in (2, 3):
         sent.append(sc.broadcast(filter_bits(counts[-1], words - 1, bits)))

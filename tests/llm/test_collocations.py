@@ -36,6 +36,7 @@ def brute(rows, min_count=10, top=2000, inside=50):
     return sorted(out)
 
 
+COUNTS = "lang string, phrase string, n long"
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 
@@ -87,19 +88,18 @@ def test_trie_counts_and_spills_sorted_runs():
             want.update(keys)
             trie.count(np.array(keys, np.int64))
             if rnd.random() < 0.2:
-                for k, n in trie.spill(5):
-                    got[k] += n
+                for keys, counts in trie.spill(5):
+                    got.update(dict(zip(keys.tolist(), counts.tolist())))
                 assert len(trie) <= 5
-        run = list(trie.run())
+        run = [(k, n) for keys, counts in trie.run() for k, n in zip(keys.tolist(), counts.tolist())]
         assert run == sorted(run)
-        for k, n in run:
-            got[k] += n
+        got.update(dict(run))
         assert got == want
 
 
 def test_bitmap_holds_its_phrases(spark):
     names = [f"w{i} ü{i % 7}" for i in range(500)]
-    df = spark.createDataFrame([("en", p, 1) for p in names], C.RUNS)
+    df = spark.createDataFrame([("en", p, 1) for p in names], COUNTS)
     bits = np.frombuffer(C.filter_bits(df, 2, 1 << 20), np.uint8)
     lang = C.Language("en", 3, np.full(1 << 10, 255, np.uint8), 10)
     lang.learn({w.encode() for p in names for w in p.split()})
@@ -111,7 +111,7 @@ def test_bitmap_holds_its_phrases(spark):
 def test_scores_pass_64_bits(spark):
     a = 3_000_000_000_000
     one = [("en", "x", a), ("en", "y", a + 1), ("en", "z", a + 2)]
-    tables = [spark.createDataFrame(r, C.RUNS) for r in (one, [("en", "x y", a), ("en", "y z", a)], [("en", "x y z", a - 7)])]
+    tables = [spark.createDataFrame(r, COUNTS) for r in (one, [("en", "x y", a), ("en", "y z", a)], [("en", "x y z", a - 7)])]
     got = {r["phrase"]: (r["l"], r["r"], r["score"]) for r in C.candidates(tables).collect()}
     assert got == {"x y z": (a, a, 1_000_000 * (a - 7) ** 2 // (a * a))}
 
@@ -138,10 +138,10 @@ def test_numbers_run_out(monkeypatch, spark):
     got = Counter()
     for k in range(20):
         for run in trie.count([" ".join(f"w{(k * 7 + i) % 90}" for i in range(20)).encode()], None):
-            for phrases, counts in trie.rows(run):
-                got.update(dict(zip(phrases, counts)))
-    for phrases, counts in trie.rows(trie.trie.run()):
-        got.update(dict(zip(phrases, counts)))
+            for b in trie.rows(run):
+                got.update({r["phrase"]: r["n"] for r in b.to_pylist()})
+    for b in trie.rows(trie.trie.run()):
+        got.update({r["phrase"]: r["n"] for r in b.to_pylist()})
     assert sum(got.values()) == 400 and trie.seen == 400
 
 
