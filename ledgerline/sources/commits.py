@@ -17,17 +17,18 @@ MANIFESTS = "_commits"
 ROWS = "rows"
 
 
-class BatchTable:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.jvm = spark._jvm
-        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+class Manifests:
+    """Small JSON files in one folder, each put in place whole by a rename; one that is there is never replaced."""
 
-    def _path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+    def __init__(self, spark: SparkSession, folder: str):
+        self.folder, self.jvm = folder, spark._jvm
+        self.fs = self.path_of(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _manifests(self) -> dict[str, dict]:
-        folder = self._path(MANIFESTS)
+    def path_of(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(name)
+
+    def read_all(self) -> dict[str, dict]:
+        folder = self.path_of(self.folder)
         if not self.fs.exists(folder):
             return {}
         found = {}
@@ -41,32 +42,49 @@ class BatchTable:
                     stream.close()
         return found
 
-    def committed(self) -> dict[int, dict]:
-        """Manifest by batch."""
-        return {m["batch"]: m for m in self._manifests().values() if "batch" in m}
-
-    def folder(self, batch: int) -> str:
-        return f"{self.root}/{ROWS}/batch={batch}"
-
-    def _commit(self, name: str, manifest: dict) -> None:
-        draft, final = self._path(f"{MANIFESTS}/_{uuid.uuid4().hex}"), self._path(f"{MANIFESTS}/{name}")
+    def commit(self, name: str, manifest: dict) -> None:
+        draft, final = self.path_of(f"{self.folder}/_{uuid.uuid4().hex}"), self.path_of(f"{self.folder}/{name}")
         stream = self.fs.create(draft, True)
         try:
             stream.write(bytearray(json.dumps(manifest).encode()))
         finally:
             stream.close()
-        if not self.fs.rename(draft, final):
+        if self.fs.exists(final) or not self.fs.rename(draft, final):
             self.fs.delete(draft, False)
             if not self.fs.exists(final):
                 raise OSError(f"cannot commit {final}")
 
+
+class BatchTable:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.manifests = Manifests(spark, f"{self.root}/{MANIFESTS}")
+
+    def committed(self) -> dict[int, dict]:
+        """Manifest by batch."""
+        return {m["batch"]: m for m in self.manifests.read_all().values() if "batch" in m}
+
+    def folder(self, batch: int) -> str:
+        return f"{self.root}/{ROWS}/batch={batch}"
+
     def commit(self, batch: int, **facts) -> None:
         """Make a batch's folder part of the table; ``facts`` stand in the manifest."""
-        self._commit(f"batch-{batch}.json", {"batch": batch, **facts})
+        self.manifests.commit(f"batch-{batch}.json", {"batch": batch, **facts})
+
+    def append(self, rows: DataFrame) -> int:
+        """Write and commit ``rows`` as the next batch (one writer at a time); its number."""
+        batch = max(self.committed(), default=-1) + 1
+        rows.write.mode("overwrite").parquet(self.folder(batch))
+        self.commit(batch)
+        return batch
+
+    def read_batches(self, batches: list[int]) -> DataFrame:
+        return (self.spark.read.option("basePath", f"{self.root}/{ROWS}")
+                .parquet(*[self.folder(b) for b in batches]).drop("batch"))
 
     def read(self, before: int | None = None) -> DataFrame | None:
         """Rows of the committed batches (those numbered below ``before``, if given); None if there are none."""
-        manifests = self._manifests().values()
+        manifests = self.manifests.read_all().values()
         upto = max((m["upto"] for m in manifests if "upto" in m and (before is None or m["upto"] < before)), default=None)
         batches = sorted(m["batch"] for m in manifests if "batch" in m and m.get("rows", 1)
                          and (upto is None or m["batch"] > upto) and (before is None or m["batch"] < before))
@@ -74,8 +92,7 @@ class BatchTable:
         if upto is not None:
             parts.append(self.spark.read.parquet(f"{self.root}/{ROWS}/upto={upto}"))
         if batches:
-            parts.append(self.spark.read.option("basePath", f"{self.root}/{ROWS}")
-                         .parquet(*[self.folder(b) for b in batches]).drop("batch"))
+            parts.append(self.read_batches(batches))
         return None if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def compact(self, partition_by: str | None = None) -> int | None:
@@ -90,7 +107,7 @@ class BatchTable:
         if rows is not None:
             writer = (rows.hint("rebalance", partition_by) if partition_by else rows).write.mode("overwrite")
             (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.root}/{ROWS}/upto={upto}")
-            self._commit(f"upto-{upto}.json", {"upto": upto})
+            self.manifests.commit(f"upto-{upto}.json", {"upto": upto})
         return upto
 
 
