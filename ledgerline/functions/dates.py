@@ -77,3 +77,12 @@ def fy_range_filter(df: DataFrame, fy_from: str | None = None, fy_to: str | None
     if fy_to is not None:
         df = df.filter(F.col(col) <= F.lit(fy_to))
     return df
+
+
+def years_before(day: str, years: int) -> str:
+    """The same day some years earlier (28 February for a 29th that isn't there)."""
+    d = _dt.date.fromisoformat(day)
+    try:
+        return f"{d.replace(year=d.year - years)}"
+    except ValueError:
+        return f"{d.replace(year=d.year - years, day=28)}"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import dates as D
 from ledgerline.functions.keys import surrogate_key
+from ledgerline.functions.numeric import exact_sum
 from ledgerline.operators.asof import asof_join, step_intervals
 from ledgerline.plans import catalog
 from ledgerline.plans.catalog import register
@@ -221,7 +222,7 @@ SELECT account_key, fund_key, trade_date,
 FROM fct WHERE trade_indicator = 'Trade' AND fund_key IS NOT NULL GROUP BY 1, 2, 3""")
 def signed_unit_delta(p):
     t = p.fct_transactions_wide.filter(F.col("is_trade") & F.col("fund_key").isNotNull())
-    return t.groupBy("account_key", "fund_key", "trade_date").agg(F.sum(signed_units()).alias("unit_delta"))
+    return t.groupBy("account_key", "fund_key", "trade_date").agg(exact_sum(signed_units()).alias("unit_delta"))
 
 
 @register("conditional_max_date", oracle="""
@@ -245,16 +246,15 @@ alias("sell_proceeds", "buy_cost")
 
 
 @register("net_flows_monthly", oracle="""
-SELECT account_key, fund_key, year_month,
-       round(sum(CASE WHEN transaction_type IN ('BUY', 'SWITCH_IN') THEN abs(value_gbp) ELSE 0 END)
-             - sum(CASE WHEN transaction_type IN ('SELL', 'SWITCH_OUT') THEN abs(value_gbp) ELSE 0 END), 2) AS net_flows_gbp
-FROM fct WHERE trade_indicator = 'Trade' AND fund_key IS NOT NULL GROUP BY 1, 2, 3""")
+, sided AS (SELECT account_key, fund_key, year_month, abs(value_gbp) * if(transaction_type IN ('BUY', 'SWITCH_IN'), 1, -1) AS flow
+            FROM fct WHERE trade_indicator = 'Trade' AND fund_key IS NOT NULL)
+SELECT account_key, fund_key, year_month, round(sum(flow), 2) AS net_flows_gbp FROM sided GROUP BY ALL""")
 def net_flows_monthly(p):
+    """Money that went into a fund less what came out: each trade's size, signed by its side."""
     t = p.fct_transactions_wide.filter(F.col("is_trade") & F.col("fund_key").isNotNull())
-    ty, v = F.col("transaction_type"), F.abs(F.col("value_gbp"))
+    side = F.when(F.col("transaction_type").isin(*BUY_SIDE), 1).otherwise(-1)
     return t.groupBy("account_key", "fund_key", D.year_month(F.col("trade_date")).alias("year_month")).agg(
-        money(F.sum(F.when(ty.isin(*BUY_SIDE), v).otherwise(0.0)) - F.sum(F.when(ty.isin(*SELL_SIDE), v).otherwise(0.0)))
-        .alias("net_flows_gbp"))
+        money(exact_sum(F.abs("value_gbp") * side)).alias("net_flows_gbp"))
 
 
 @register("external_inflows_monthly", oracle="""
@@ -263,7 +263,7 @@ WHERE contribution_indicator IN ('Contribution', 'Transfer') GROUP BY 1, 2""")
 def external_inflows_monthly(p):
     t = p.fct_transactions_wide.filter(F.col("transaction_type").isin(*INFLOW_TYPES))
     return t.groupBy("account_key", D.year_month(F.col("trade_date")).alias("year_month")).agg(
-        money(F.sum("value_gbp")).alias("inflows_gbp"))
+        money(exact_sum("value_gbp")).alias("inflows_gbp"))
 
 
 @register("weighted_average", oracle=MONTH_RETURN + """
@@ -281,8 +281,8 @@ SELECT round(sum(value_gbp), 2) AS total_value_gbp, round(sum(cost_basis_gbp), 2
 FROM holdings_latest WHERE holding_type = 'Fund'""")
 def grand_totals(p):
     h = p.holdings_latest.filter(F.col("holding_type") == FUND)
-    cost, gain = F.sum("cost_basis_gbp"), F.sum("unrealised_gain_gbp")
-    return h.agg(money(F.sum("value_gbp")).alias("total_value_gbp"), money(cost).alias("total_cost_gbp"),
+    cost, gain = exact_sum("cost_basis_gbp"), exact_sum("unrealised_gain_gbp")
+    return h.agg(money(exact_sum("value_gbp")).alias("total_value_gbp"), money(cost).alias("total_cost_gbp"),
                  money(gain).alias("total_gain_gbp"),
                  ratio(F.when(cost > 0, gain / cost * 100)).alias("total_gain_pct"))
 

@@ -11,6 +11,7 @@ a single-partition window over the data.
 
 from __future__ import annotations
 
+import datetime as _dt
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,6 +72,29 @@ class Serving(Returns):
                         F.lit(None).cast("double").alias("fund_price_gbp"), "value_gbp"))
         return funds.unionByName(cash).withColumn("valuation_date", day)
 
+    def values_at(self, day: str) -> DataFrame:
+        """I6 on one day, from the sparse steps: accounts worth more than nothing."""
+        return (self.positions_at(F.lit(day).cast("date")).groupBy("account_name")
+                .agg(F.lit(day).cast("date").alias("valuation_date"), money(exact_sum("value_gbp")).alias("portfolio_value_gbp"))
+                .filter(F.col("portfolio_value_gbp") > 0))
+
+    def last_value_day(self, upto: str) -> str:
+        """Last day up to ``upto`` on which some account is worth more than nothing.
+
+        That is nearly always ``upto`` itself, which one point-in-time read tells; else months are looked at backwards.
+        """
+        day = min(upto, self.horizon)
+        if self.values_at(day).limit(1).count():
+            return day
+        last = _dt.date.fromisoformat(day)
+        while last >= _dt.date.fromisoformat(self.cal_start):
+            first = last.replace(day=1)
+            found = self._value_by_day(self._holdings("day", (f"{first}", f"{last}"))).agg(F.max("valuation_date")).first()[0]
+            if found is not None:
+                return f"{found}"
+            last = first - _dt.timedelta(days=1)
+        return day
+
     # ------------------------------------------------------------ cost basis
     @cached_property
     def cost_basis(self) -> DataFrame:
