@@ -85,30 +85,56 @@ def table_checks(df: DataFrame, table: str, not_null: Sequence[str] = (),
         F.lit(table).alias("table_name"), "s.check_name", "s.column_name", "s.failures")
 
 
-def key_checks(df: DataFrame, table: str, key: Sequence[str], accepted: dict[str, Sequence] | None = None,
-               parents: Sequence[tuple[str, DataFrame, str, Column | None]] = ()) -> DataFrame:
-    """J2 + J3 in one grouped pass over the table, plus J4 per parent.
-
-    One groupBy on ``key`` counts rows per key (duplicates) and rows outside
-    the accepted values. Each relationship (``parents``: column, parent frame,
-    parent column, optional where) pre-aggregates the child's keys before the
-    anti-join, so it only reads that column and shuffles distinct keys.
+def grouped_checks(df: DataFrame, table: str, not_null: Sequence[str] = (), accepted: dict[str, Sequence] | None = None,
+                   expressions: Sequence[tuple[str, Column, Column | None]] = (), unique: Sequence[Sequence[str]] = (),
+                   related: Sequence[tuple[str, str, DataFrame, str, Column | None]] = ()) -> DataFrame:
+    """Every check of one table in one scan and one shuffle.
+
+    ``related``: (check name, column, parent frame, parent column, condition). All unique keys and all child columns are
+    grouping sets of one aggregation, combined map-side: a set of a key counts its repeated values, one of a child
+    column the rows per distinct value. Row-level checks are sums that ride along; they are read from one set. Only the
+    distinct child values then meet the parents, united to one frame of (relation, value).
     """
-    flags = [("accepted_values", c, F.count(F.when(F.col(c).isNotNull() & ~F.col(c).isin(*values), 1)))
-             for c, values in (accepted or {}).items()]
-    per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"),
-                                   *[cnt.alias(f"_f{i}") for i, (_, _, cnt) in enumerate(flags)])
-    name = "unique" if len(key) == 1 else "unique_combination"
-    checks = [(name, ",".join(key), F.count(F.when(F.col("_n") > 1, 1)))] + \
-             [(chk, col, F.sum(f"_f{i}")) for i, (chk, col, _) in enumerate(flags)]
-    agg = per_key.agg(*[cnt.alias(f"_c{i}") for i, (_, _, cnt) in enumerate(checks)])
-    arr = F.array(*[F.struct(F.lit(chk).alias("check_name"), F.lit(col).alias("column_name"),
-                             F.coalesce(F.col(f"_c{i}"), F.lit(0)).cast("bigint").alias("failures"))
-                    for i, (chk, col, _) in enumerate(checks)])
-    grouped = agg.select(F.explode(arr).alias("s")).select(
-        F.lit(table).alias("table_name"), "s.check_name", "s.column_name", "s.failures")
-    rels = [assert_relationship(df, table, col, parent, pcol, where) for col, parent, pcol, where in parents]
-    return reduce(DataFrame.unionByName, [grouped, *rels])
+    flags = [("not_null", c, F.col(c).isNull()) for c in not_null]
+    flags += [("accepted_values", c, F.col(c).isNotNull() & ~F.col(c).isin(*values)) for c, values in (accepted or {}).items()]
+    for name, expr, where in expressions:
+        applies = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+        flags.append(("expression_is_true", name, applies & ~F.coalesce(expr, F.lit(False))))
+    if not unique and not related:
+        return table_checks(df, table, not_null, accepted, expressions)
+    keys = list(dict.fromkeys(c for cols in unique for c in cols))
+    columns = [F.col(c).alias(f"_k{keys.index(c)}") for c in keys]
+    for i, (_, col, _, _, where) in enumerate(related):
+        value = F.col(col).cast("string")
+        columns.append((value if where is None else F.when(where, value)).alias(f"_r{i}"))
+    named = [f"_k{i}" for i in range(len(keys))] + [f"_r{i}" for i in range(len(related))]
+    sets = [[f"_k{keys.index(c)}" for c in cols] for cols in unique] + [[f"_r{i}"] for i in range(len(related))]
+    gid = [sum(1 << (len(named) - 1 - k) for k, c in enumerate(named) if c not in own) for own in sets]
+    grouped = (df.select(*columns, *[f.cast("int").alias(f"_f{i}") for i, (_, _, f) in enumerate(flags)])
+               .groupingSets([[F.col(c) for c in own] for own in sets], *[F.col(c) for c in named])
+               .agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("_n"),
+                    *[F.sum(f"_f{i}").alias(f"_f{i}") for i in range(len(flags))]))
+    if related:
+        first = len(unique)
+        relation, value = F.lit(-1), F.xxhash64(*[F.col(c) for c in named]).cast("string")   # keys are spread, not one value
+        for i in range(len(related)):
+            here = (F.col("_set") == gid[first + i]) & F.col(f"_r{i}").isNotNull()
+            relation, value = F.when(here, i).otherwise(relation), F.when(here, F.col(f"_r{i}")).otherwise(value)
+        parents = reduce(DataFrame.unionByName, [
+            parent.select(F.lit(i).alias("_relation"), F.col(column).cast("string").alias("_value")).filter("_value IS NOT NULL").distinct()
+            for i, (_, _, parent, column, _) in enumerate(related)])
+        grouped = (grouped.withColumns({"_relation": relation, "_value": value})
+                   .join(parents.withColumn("_held", F.lit(True)), ["_relation", "_value"], "left"))
+    counts = [(check, column, F.sum(F.when(F.col("_set") == gid[0], F.col(f"_f{i}")))) for i, (check, column, _) in enumerate(flags)]
+    counts += [("unique" if len(cols) == 1 else "unique_combination", ",".join(cols),
+                F.count(F.when((F.col("_set") == gid[i]) & (F.col("_n") > 1), 1))) for i, cols in enumerate(unique)]
+    counts += [(check, column, F.sum(F.when((F.col("_relation") == i) & F.col("_held").isNull(), F.col("_n"))))
+               for i, (check, column, _, _, _) in enumerate(related)]
+    agg = grouped.agg(*[c.alias(f"_c{i}") for i, (_, _, c) in enumerate(counts)])
+    rows = F.array(*[F.struct(F.lit(check).alias("check_name"), F.lit(column).alias("column_name"),
+                              F.coalesce(F.col(f"_c{i}"), F.lit(0)).cast("bigint").alias("failures"))
+                     for i, (check, column, _) in enumerate(counts)])
+    return agg.select(F.explode(rows).alias("s")).select(F.lit(table).alias("table_name"), "s.check_name", "s.column_name", "s.failures")
 
 
 def dq_report(checks: Sequence[DataFrame]) -> DataFrame:

@@ -1,7 +1,6 @@
 """The declared data tests of all models (J6): sources, base views, star, intermediate tables and marts.
 
-``DECLARED`` states them as data; :func:`run_declared` runs them, row-level tests in one scan of each table and
-uniqueness in one grouped pass. A key that is declared unique twice (alone and as a combination of one) is
+``DECLARED`` states them as data; :func:`run_declared` runs them, all tests of a table in one pass. A key that is declared unique twice (alone and as a combination of one) is
 tested once. :func:`declared_sql` gives the same tests as DuckDB SQL over the oracle's models.
 """
 
@@ -133,27 +132,24 @@ def _parents(p) -> dict[str, DataFrame]:
 def run_declared(p, only: str | None = None) -> DataFrame:
     """(table_name, check_name, column_name, failures) of every declared test, or of one kind of them.
 
-    Marts are written first and read back.
+    One pass a table. Tables are read as they are written; a model that isn't written yet is taken from its
+    definition, so a check builds no other mart than the one it names.
     """
-    from ledgerline.plans.refresh import refresh_tables
-    refresh_tables(p)
     parents, out = _parents(p), []
+    wants = lambda kind: only in (None, kind)
     for c in DECLARED:
-        df = getattr(p.raw, c.model[4:]) if c.model.startswith("raw.") else getattr(p, c.model)
-        wants = lambda kind: only in (None, kind)
-        rows = (c.not_null if wants("not_null") else (), c.accepted if wants("accepted_values") else {},
-                [(name, F.expr(e), None if w is None else F.expr(w)) for name, e, w in c.true]
-                if wants("expression_is_true") else [])
-        if any(rows):
-            out.append(Q.table_checks(df, c.table, *rows))
-        out += [Q.assert_unique(df, c.table, list(cols)) for cols in c.unique
-                if wants("unique" if len(cols) == 1 else "unique_combination")]
-        if wants("relationships"):
-            out += [Q.assert_relationship(df, c.table, col, parents[t], pc, None if w is None else F.expr(w))
-                    for col, t, pc, w in c.related]
-        if wants("accepted_values"):
-            out += [Q.assert_relationship(df, c.table, col, parents[t], pc).withColumn("check_name", F.lit("accepted_values"))
-                    for col, t, pc in c.accepted_from]
+        checks = {
+            "not_null": c.not_null if wants("not_null") else (),
+            "accepted": c.accepted if wants("accepted_values") else {},
+            "expressions": [(name, F.expr(e), None if w is None else F.expr(w)) for name, e, w in c.true]
+            if wants("expression_is_true") else [],
+            "unique": [cols for cols in c.unique if wants("unique" if len(cols) == 1 else "unique_combination")],
+            "related": [("relationships", col, parents[t], pc, None if w is None else F.expr(w)) for col, t, pc, w in c.related
+                        if wants("relationships")]
+            + [("accepted_values", col, parents[t], pc, None) for col, t, pc in c.accepted_from if wants("accepted_values")]}
+        if any(checks.values()):
+            df = getattr(p.raw, c.model[4:]) if c.model.startswith("raw.") else getattr(p, c.model)
+            out.append(Q.grouped_checks(df, c.table, **checks))
     return reduce(DataFrame.unionByName, out)
 
 

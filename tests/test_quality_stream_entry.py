@@ -248,14 +248,42 @@ def test_query_matches_oracle_on_smoke_data(spark, name):
     assert ok, msg
 
 
-def test_key_checks_equal_standalone_checks(spark):
-    df = spark.createDataFrame([(1, "X", 10), (1, "Q", 11), (2, "X", 99), (3, None, None), (None, "Y", 10)],
-                               "k int, kind string, p int")
-    parent = spark.createDataFrame([(10,), (11,)], "p int")
-    one_pass = {tuple(r) for r in Q.key_checks(df, "t", ["k"], accepted={"kind": ["X", "Y"]},
-                                               parents=[("p", parent, "p", F.col("kind") != "Y")]).collect()}
-    separate = {tuple(r) for r in Q.dq_report([
-        Q.assert_unique(df, "t", ["k"]), Q.assert_accepted_values(df, "t", "kind", ["X", "Y"]),
-        Q.assert_relationship(df, "t", "p", parent, "p", where=F.col("kind") != "Y")]).collect()}
-    assert one_pass == separate == {("t", "unique", "k", 1), ("t", "accepted_values", "kind", 1),
-                                    ("t", "relationships", "p", 1)}
+def test_grouped_checks_equal_standalone_checks(spark):
+    df = spark.createDataFrame([(1, "X", 10, "a"), (1, "Q", 11, "a"), (2, "X", 99, None), (3, None, None, "b"), (None, "Y", 10, "c"),
+                                (None, "Y", 98, "c"), (4, "X", 98, "c")], "k int, kind string, p int, _n string")
+    parent, other = spark.createDataFrame([(10,), (11,), (None,)], "p int"), spark.createDataFrame([("a",), ("b",)], "name string")
+    where = F.col("kind") != "Y"
+    expr, cond = F.col("p") < 50, F.col("k").isNotNull()
+    one_pass = sorted(tuple(r) for r in Q.grouped_checks(
+        df, "t", ["k", "p"], {"kind": ["X", "Y"]}, [("small", expr, cond)], [["k"], ["k", "kind"], ["_n"]],
+        [("relationships", "p", parent, "p", where), ("accepted_values", "_n", other, "name", None)]).collect())
+    separate = sorted(tuple(r) for r in Q.dq_report([
+        Q.assert_not_null(df, "t", ["k", "p"]), Q.assert_accepted_values(df, "t", "kind", ["X", "Y"]),
+        Q.assert_expression(df, "t", "small", expr, cond),
+        Q.assert_unique(df, "t", ["k"]), Q.assert_unique(df, "t", ["k", "kind"]), Q.assert_unique(df, "t", ["_n"]),
+        Q.assert_relationship(df, "t", "p", parent, "p", where),
+        Q.assert_relationship(df, "t", "_n", other, "name").withColumn("check_name", F.lit("accepted_values"))]).collect())
+    assert one_pass == separate and len(one_pass) == 9
+    none = df.filter("false")
+    assert {r.failures for r in Q.grouped_checks(none, "t", ["k"], unique=[["k"]], related=[("relationships", "p", parent, "p", None)]).collect()} == {0}
+
+
+def test_checks_scan_a_table_once(spark, tmp_path):
+    """One scan and one exchange of the table, whatever the number of its keys and relations."""
+    spark.createDataFrame([(1, 2, "a")], "k int, p int, name string").write.parquet(f"{tmp_path}/t")
+    df, parent = spark.read.parquet(f"{tmp_path}/t"), spark.createDataFrame([(2,)], "p int")
+    report = Q.grouped_checks(df, "t", ["k"], unique=[["k"], ["k", "p"], ["name"]],
+                              related=[("relationships", "p", parent, "p", None), ("relationships", "k", parent, "p", None)])
+    plan = report._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("FileScan parquet") == 1 and plan.count("Expand ") == 1
+
+
+def test_a_kind_of_check_builds_no_marts(spark, monkeypatch):
+    from ledgerline.plans import refresh
+    from ledgerline.plans.catalog import build
+    from ledgerline.plans.declared_checks import run_declared
+    monkeypatch.setattr(refresh, "refresh_tables", lambda *_: pytest.fail("builds all marts"))
+    p = build(spark, SMOKE_DIR)
+    before = set(p.materialised)
+    kinds = {r.check_name for r in run_declared(p, "expression_is_true").collect()}
+    assert kinds == {"expression_is_true"} and p.materialised == before
