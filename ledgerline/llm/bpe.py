@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import chain, filterfalse
 from typing import NamedTuple
 
 import numpy as np
@@ -64,8 +64,9 @@ def load(path: str) -> Tokenizer:
 def encode_part(tok: Tokenizer, text: str, start: int, end: int) -> Tokens:
     """Tokens of text[start:end], with places in ``text``."""
     enc = tok.encode(text[start:end], add_special_tokens=False)
-    places = np.array(enc.offsets, np.int32).reshape(-1, 2) + np.int32(start)
-    return Tokens(np.array(enc.ids, np.int32), places[:, 0], places[:, 1])
+    ids = np.array(enc.ids, np.int32)
+    places = np.fromiter(chain.from_iterable(enc.offsets), np.int32, 2 * len(ids)).reshape(-1, 2) + np.int32(start)
+    return Tokens(ids, places[:, 0], places[:, 1])
 
 
 def join_halves(tok: Tokenizer, text: str, start: int, cut: int, end: int, left: Tokens, right: Tokens,
@@ -147,6 +148,9 @@ LATIN = {c: "".join(_SYMBOLS[b] for b in chr(c).encode()) for c in [*range(0xDF,
 LATIN_WORD = re.compile("[a-z" + "".join(map(chr, LATIN)) + "]+").fullmatch
 
 
+WORD = re.compile("[^ \t\n\r\x0b\x0c]+").finditer             # what bytes.split() cuts out, with places
+
+
 class WordCodec:
     """ids and token strings of white-space-free words, remembered as the bytes that the digests take.
 
@@ -159,6 +163,7 @@ class WordCodec:
         self.ids: dict[bytes, bytes] = {}
         self.strings: dict[bytes, bytes] = {}
         self.older: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
+        self.placed: dict[str, tuple[bytes, bytes]] = {}     # words of leaves: ids, and places within the word
         self.pieces = {i: t.encode() for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
         self.direct = all(self._agrees(t) for t in ("straße", "élan", "año", "word"))
         self.ends = {w: self._look_up([w])[0] for w in (b".", b",")}
@@ -226,6 +231,28 @@ class WordCodec:
                 else:
                     ids[w], strings[w] = a, b
 
+    def leaf(self, piece: str) -> Tokens:
+        """Tokens of a piece of text with their places, word by word from the memory of placed words."""
+        found = list(WORD(piece))
+        words = [m.group() for m in found]
+        if len(self.placed) > self.limit:
+            self.placed = {}
+        new = list(set(words) - self.placed.keys())
+        if new:
+            enc = self.tok.encode(" ".join(new), add_special_tokens=False)
+            places = np.fromiter(chain.from_iterable(enc.offsets), np.int32, 2 * len(enc.ids)).reshape(-1, 2)
+            starts = np.cumsum([0] + [len(w) + 1 for w in new])
+            cuts = np.searchsorted(places[:, 0], starts).tolist()
+            ids = np.array(enc.ids, np.int32)
+            for w, a, b, start in zip(new, cuts, cuts[1:], starts.tolist()):
+                self.placed[w] = ids[a:b].tobytes(), (places[a:b] - np.int32(start)).tobytes()
+        if not words:
+            return Tokens(*[np.zeros(0, np.int32)] * 3)
+        ids, places = zip(*map(self.placed.__getitem__, words))
+        at = np.repeat(np.fromiter((m.start() for m in found), np.int32, len(words)), [len(i) // 4 for i in ids])
+        both = np.frombuffer(b"".join(places), np.int32).reshape(-1, 2)
+        return Tokens(np.frombuffer(b"".join(ids), np.int32), both[:, 0] + at, both[:, 1] + at)
+
     def decode(self, ids: list[int]) -> bytes:
         """The decoded text, for a tokenizer that joins its token strings by blanks."""
         return b" ".join([self.pieces[i] for i in ids])
@@ -279,7 +306,7 @@ def leaf_numbers(path: str, leaf_chars: int) -> type:
 
 
 def encode_leaves(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """Long documents as rows of leaves: (doc, copies, leaf, piece of text, ids, starts, ends).
+    """Long documents as rows of leaves: (doc, copies, leaf, piece of text, ids, starts, lengths).
 
     Equal rows are one document with a count of copies, so many copies of a long text are encoded once.
     """
@@ -294,19 +321,21 @@ def encode_leaves(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> D
                                                 F.count(F.lit(1)).alias("copies"))
               .select("doc", "doc_id", "copies", "leaf", "piece"))
 
-    kind = leaf_numbers(path, leaf_chars)
+    kind, by_word = leaf_numbers(path, leaf_chars), plain_words(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _codec(path).tok
+        codec = _codec(path)
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
-                encs = [encode_part(tok, p, 0, len(p)) for p in part.column("piece").to_pylist()]
-                cols = [pa.array([e[i].astype(kind).tobytes() for e in encs], pa.binary()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, "ids", "starts", "ends"])
+                encs = [codec.leaf(p) if by_word else encode_part(codec.tok, p, 0, len(p)) for p in part.column("piece").to_pylist()]
+                # of the ends, the tokens' lengths: mostly one byte that isn't zero
+                cols = [pa.array([x.astype(kind).tobytes() for x in xs], pa.binary())
+                        for xs in zip(*[(e.ids, e.starts, e.ends - e.starts) for e in encs])]
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, "ids", "starts", "lengths"])
 
     return map_arrow(leaves, run, "doc string, doc_id bigint, copies bigint, leaf int, piece string, "
-                                  "ids binary, starts binary, ends binary")
+                                  "ids binary, starts binary, lengths binary")
 
 
 def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS,
@@ -333,8 +362,8 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS,
         codec = _codec(path)
         text, cuts, parts = "".join(r["piece"] for r in rows_), [0], []
         for r in rows_:
-            ids, starts, ends = (np.frombuffer(r[k], kind).astype(np.int32) for k in ("ids", "starts", "ends"))
-            parts.append(Tokens(ids, starts + np.int32(cuts[-1]), ends + np.int32(cuts[-1])))
+            ids, starts, lengths = (np.frombuffer(r[k], kind).astype(np.int32) for k in ("ids", "starts", "lengths"))
+            parts.append(Tokens(ids, starts + np.int32(cuts[-1]), starts + lengths + np.int32(cuts[-1])))
             cuts.append(cuts[-1] + len(r["piece"]))
         ids = join_tree(codec.tok, text, cuts, parts, window_chars).ids.tolist()
         pair = (" ".join(map(str, ids)).encode(), codec.decode(ids) if by_word

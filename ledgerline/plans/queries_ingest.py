@@ -18,8 +18,10 @@ from ledgerline.plans.catalog import register
 from ledgerline.sources import broker_csv as B
 from ledgerline.sources import feeds as FD
 from ledgerline.sources import writers as W
+from ledgerline.sources.bucketed import BucketedTable
 from ledgerline.sources.fixture import FIXTURE_AS_OF
 
+TARGET_BUCKETS = 16
 FIRST_BATCH_BEFORE = "1999-01-01"        # first ingest run: trades before this date
 AUDIT_RUN_AT = _dt.datetime(2001, 9, 1, 1, 0, 0)
 BACKFILL_FUND = "Brand#3"
@@ -152,8 +154,14 @@ _DEDUPED = f"""
 @register("insert_or_ignore", oracle=_DEDUPED + f"""
 SELECT {TX_COLS} FROM ded""")
 def insert_or_ignore(p):
-    _, _, table = _two_runs(p)
-    return table
+    """Trades before 1999 first, then everything again, into a target bucketed by id."""
+    parsed, _ = W.write_observed(B.parse_broker_rows(_scan(p)), B.scratch_path(p.spark, "parsed-run"), processed=F.count(F.lit(1)))
+    tx = B.ingest_parsed(parsed, p.raw.funds)[0].drop("source_file")
+    target = BucketedTable(p.spark, B.scratch_path(p.spark, "transactions"), tx.schema, ["id"], TARGET_BUCKETS)
+    order = ["settle_date", "raw_description", "quantity"]      # ascending, nulls first
+    target.insert_or_ignore(tx.filter(F.col("trade_date") < F.lit(FIRST_BATCH_BEFORE).cast("date")), order)
+    target.insert_or_ignore(tx, order)
+    return target.read()
 
 
 @register("ingest_counts", oracle=_DEDUPED + f"""
@@ -302,8 +310,11 @@ SELECT id, name, isin, morningstar_code, short_name FROM clean
 UNION ALL
 SELECT id, name, NULL, morningstar_code, short_name FROM raw_funds WHERE id NOT IN (SELECT id FROM clean)""")
 def upsert_replace(p):
-    target = p.raw.funds.select("id", "name", "isin", "morningstar_code", "short_name")
-    return W.upsert_replace(target, FD.clean_fund_reference(_landed_fund_ref(p)), ["id"])
+    funds = p.raw.funds.select("id", "name", "isin", "morningstar_code", "short_name")
+    target = BucketedTable(p.spark, B.scratch_path(p.spark, "funds"), funds.schema, ["id"], TARGET_BUCKETS)
+    target.insert_or_ignore(funds)
+    target.upsert_replace(FD.clean_fund_reference(_landed_fund_ref(p)))
+    return target.read()
 
 
 # ---------------------------------------------------------------- price feed

@@ -37,6 +37,14 @@ def test_tree_joins_equal_whole_encoding(path):
         assert got == tok.encode(s, add_special_tokens=False).ids, (s, leaf)
 
 
+def test_leaves_equal_whole_encoding():
+    tok, rnd, codec = bpe.load(PATH), random.Random(6), bpe.WordCodec(PATH, limit=30)
+    for _ in range(400):
+        s = random_text(rnd, PARTS, 60)
+        got, want = codec.leaf(s), bpe.encode_part(tok, s, 0, len(s))
+        assert all((a == b).all() for a, b in zip(got, want)) and len(got.ids) == len(want.ids), s
+
+
 def test_words_equal_whole_encoding():
     tok, rnd, codec = bpe.load(PATH), random.Random(4), bpe.WordCodec(PATH, limit=50)
     texts = [random_text(rnd, PARTS, 60) for _ in range(400)]
