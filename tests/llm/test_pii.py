@@ -75,3 +75,36 @@ def test_formats(spark):
     assert [r["n_entities"] for r in plain] == [0, 0, 1, 0] and plain[2]["text"].endswith("'s")
     a, b = same["text"].split()
     assert a.lower() == b.lower() and same["n_ip"] == 2
+
+
+def test_coreference_of_names_and_phones(spark):
+    texts = ["Mr. Brown called. Mr Brown left; later Brown and Browning met Mr John Brown, then John. BROWN!",
+             "Dr Brown, Mrs Ann Brown-Lee and Ann; Prof. J. van Brown. Lee stays",
+             "+1 (213) 555-0199 or (213) 555-0199 or 213.555.0199 or 1-213-555-0199",
+             "Mrs Smith saw Mr Peter Smith, Mr Paul Smith and Mr Mary Smith", "Brown bread"]
+    out = replaced(spark, texts)
+    m = re.fullmatch(r"Mr\. (\w+) called\. Mr (\w+) left; later (\w+) and Browning met Mr (\w+) (\w+), then (\w+)\. (\w+)!", out[0]["text"])
+    brown, john = m[1], m[4]
+    assert brown == m[2] == m[3] == m[5] != "Brown" and john == m[6] != "John"
+    n = re.fullmatch(r"Dr (\w+), Mrs (\w+) (\w+-\w+) and (\w+); Prof\. ([A-Z])\. van (\w+)\. Lee stays", out[1]["text"])
+    assert n[1] == n[6] == brown and n[2] == n[4] != "Ann" and n[2].endswith("a") and n[3] != "Brown-Lee"
+    phones = re.fullmatch(r"\+1 \((\d{3})\) (\d{3})-(\d{4}) or \((\d{3})\) (\d{3})-(\d{4}) or (\d{3})\.(\d{3})\.(\d{4}) or 1-(\d{3})-(\d{3})-(\d{4})",
+                          out[2]["text"]).groups()
+    assert len({phones[k:k + 3] for k in (0, 3, 6, 9)}) == 1 and phones[:3] != ("213", "555", "0199")
+    p = re.fullmatch(r"Mrs (\w+) saw Mr (\w+) (\w+), Mr (\w+) (\w+) and Mr (\w+) (\w+)", out[3]["text"])
+    assert p[1] == p[3] == p[5] == p[7] != "Smith" and len({p[2], p[4], p[6]}) == 3    # distinct given names stay distinct
+    assert out[4]["text"] == "Brown bread"                                   # no name is detected in that document
+    assert [out[i]["n_name"] for i in range(5)] == [3, 3, 0, 4, 0]
+
+
+def test_name_surrogates_equal_brute_force(spark):
+    """Every part of a name is replaced by one injective mapping, in every document; the mapping hits no real part."""
+    parts = [f"{a}{b}" for a in ("Bro", "Smi", "Tay", "Wil", "Joh") for b in ("wn", "th", "lor", "son", "ez", "ida")]
+    texts = [f"Mr {parts[i % 30]} {parts[(i * 7 + 3) % 30]} wrote; {parts[i % 30]} was here." for i in range(60)]
+    out, seen = replaced(spark, texts), {}
+    for i, text in enumerate(texts):
+        old, new = re.findall(r"[A-Z]\w{2,}", text), re.findall(r"[A-Z]\w{2,}", out[i]["text"])
+        assert len(old) == len(new)
+        for a, b in zip(old, new):
+            assert seen.setdefault(a, b) == b
+    assert len(set(seen.values())) == len(seen) and not set(seen.values()) & set(parts)
