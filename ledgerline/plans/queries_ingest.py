@@ -401,8 +401,9 @@ def fetch_high_water_mark(p):
     """Prices landed up to 1999 for every fund but one (which has none); that one is backfilled."""
     prices = p.raw.prices.filter((F.col("fund_id") != BACKFILL_FUND) & (F.col("date") < F.lit("2000-01-01").cast("date")))
     universe = FD.fetch_universe(p.dim_fund)
+    root = FD.land_by_fund(prices, B.scratch_path(p.spark, "prices-by-fund"))
     plain = FD.fetch_high_water_mark(universe.filter(F.col("fund_id") != BACKFILL_FUND), prices,
-                                     p.raw.transactions, FIXTURE_AS_OF)
+                                     p.raw.transactions, FIXTURE_AS_OF, last=FD.last_days(p.spark, root))
     back = FD.fetch_high_water_mark(universe.filter(F.col("fund_id") == BACKFILL_FUND), prices,
                                     p.raw.transactions, FIXTURE_AS_OF, backfill_from="1999-06-01")
     return plain.unionByName(back)

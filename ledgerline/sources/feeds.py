@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions.text import slug
+from ledgerline.sources.writers import scratch_path
 
 # Fixed values of the fund reference file and the price feed.
 FUND_REF_COLUMNS = ["fund_ISIN", "fund_code", "fund_name", "short_name"]
@@ -96,10 +97,40 @@ def index_high_water_mark(indices: DataFrame, levels: DataFrame, as_of: str, bac
             .filter(F.col("fetch_start") < F.lit(as_of).cast("date")))
 
 
+def land_by_fund(prices: DataFrame, root: str) -> str:
+    """Prices in a folder per fund, so that a fund's last day stands in its files' footers."""
+    prices.repartition("fund_id").sortWithinPartitions("fund_id", "date").write.mode("overwrite").partitionBy("fund_id").parquet(root)
+    return root
+
+
+def last_days(spark: SparkSession, root: str) -> DataFrame:
+    """(fund_id, _last) of prices landed by fund, from the files' footers: the maximum is pushed into the scan, which reads no
+    rows. The two settings hold while the small result is written; it is read back."""
+    conf = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+    old = {k: spark.conf.get(k) for k in conf}
+    path = scratch_path(spark, "last-days")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        last_day_query(spark, root).write.parquet(path)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    return spark.read.parquet(path)
+
+
+def last_day_query(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(root).groupBy("fund_id").agg(F.max("date").alias("_last"))
+
+
 def fetch_high_water_mark(universe: DataFrame, prices: DataFrame, transactions: DataFrame, as_of: str,
-                          backfill_from: str | None = None) -> DataFrame:
-    """Per fund: start = backfill, else last price + 1 day, else first trade, else the default; skip if >= as_of."""
-    last = prices.groupBy("fund_id").agg(F.max("date").alias("_last"))
+                          backfill_from: str | None = None, last: DataFrame | None = None) -> DataFrame:
+    """Per fund: start = backfill, else last price + 1 day, else first trade, else the default; skip if >= as_of.
+
+    ``last``: the funds' last price days if they are known already (:func:`last_days`); else ``prices`` is read.
+    """
+    if last is None:
+        last = prices.groupBy("fund_id").agg(F.max("date").alias("_last"))
     first = (transactions.filter(F.col("fund_id").isNotNull())
              .groupBy("fund_id").agg(F.min("trade_date").alias("_first")))
     start: Column = F.coalesce(F.lit(backfill_from).cast("date"), F.date_add("_last", 1), F.col("_first"),
