@@ -273,7 +273,11 @@ def build_graph(nodes: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame
 
 # --------------------------------------------------------------- search
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
-    """(query, id, sim): what the greedy search of each query node has found."""
+    """(query, id, sim): the best that the greedy search of each query node has found, ``beam`` nodes (grown) at most.
+
+    The state is one row a query, its beam. What has been seen stands in a table per round, written once and then only
+    read to leave it out.
+    """
     own = queries.select(F.col("node").alias("query")).distinct()
     own = written(own.join(nodes.select(F.col("node").alias("query"), F.col("vec").alias("own")), "query"), "knn-queries")
     n, dim = nodes.agg(F.count(F.lit(1)), F.max(F.length("vec"))).first()
@@ -285,21 +289,28 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = B
     start = own.select("query", F.col("query").alias("id")).join(near, "id").select("query", F.explode("next").alias("id"))
     if starts is not None:
         start = start.unionByName(starts)
-    found = None
+    state, front, visited = None, None, []
     new = start.filter("id <> query").distinct()
     while True:  # a node is expanded once for a query, so this ends
-        rows = _tasks(new, q * beam * K // 2).join(_side(own, q, width), "query").join(units, "id").select("query", "id", "own", "vec")
+        # what a round looks at is written and only read again, to leave out what was seen before
+        new = written(_tasks(new, q * beam * K // 2), "knn-visited")
+        visited.append(new)
+        rows = new.join(_side(own, q, width), "query").join(units, "id").select("query", "id", "own", "vec")
         scored = map_arrow(rows, _similar, "query bigint, id bigint, sim double").withColumn("open", F.lit(True))
-        found = written(scored if found is None else found.unionByName(scored), "knn-found")
-        best = found.groupBy("query").agg(_first(beam, "open").alias("b"))
-        front = written(best.select("query", F.explode("b").alias("b")).filter("b.open").select("query", F.col("b.id").alias("id")), "knn-front")
+        if state is not None:                                      # all that stood open has been expanded
+            kept = state.select("query", F.explode("b").alias("b")).select("query", "b.id", "b.sim", F.lit(False).alias("open"))
+            scored = scored.unionByName(kept)
+        # one row a query: its beam
+        state = written(scored.groupBy("query").agg(_first(beam, "open").alias("b")), "knn-beams")
+        front = state.select("query", F.explode("b").alias("b")).filter("b.open").select("query", F.col("b.id").alias("id"))
         if front.isEmpty():
             break
-        found = (found.join(_side(front.withColumn("go", F.lit(True)), q * beam, 32), ["query", "id"], "left")
-                 .select("query", "id", "sim", (F.col("open") & F.col("go").isNull()).alias("open")))
+        seen = visited[0]
+        for v in visited[1:]:
+            seen = seen.unionByName(v)
         reached = front.join(near, "id").select("query", F.explode("next").alias("id")).filter("id <> query").distinct()
-        new = reached.join(found.select("query", "id"), ["query", "id"], "left_anti")
-    return found.select("query", "id", "sim")
+        new = reached.join(seen, ["query", "id"], "left_anti")
+    return state.select("query", F.explode("b").alias("b")).select("query", "b.id", "b.sim")
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
