@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,25 @@ def give_back() -> None:
         trim(0)
 
 
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Bytes of a bitmap of ``bits`` bits (a power of two, 2^15 at least) that holds a column of 64-bit hashes by their low
+    bits. Its size is the same however many rows there are; at most bits / 2^15 parts of 4 KB come to the driver."""
+    # the bitmap functions count positions from 1, in buckets of 2^15 numbered from 1
+    at = hashes.select((F.col(hashes.columns[0]).bitwiseAND(F.lit(bits - 1)) + 1).alias("at"))
+    parts = (at.groupBy(F.bitmap_bucket_number("at").alias("bucket"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("part")).collect())
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    for r in parts:
+        out[(r["bucket"] - 1) * 4096:r["bucket"] * 4096] = np.frombuffer(bytes(r["part"]), np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of some unsigned 64-bit hashes a bitmap may hold."""
+    at = hashes % np.uint64(len(bits) * 8)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
 

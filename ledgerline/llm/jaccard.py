@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from ledgerline.llm.common import id_and_text, map_arrow, packed, ship_package, slices, texts_of, unpacked, written
+from ledgerline.llm.common import bitmap, id_and_text, in_bitmap, map_arrow, packed, ship_package, slices, texts_of, unpacked, written
 from ledgerline.llm.components import connected_components
 from ledgerline.operators.sizing import broadcast_if_small
 
@@ -50,7 +50,7 @@ LIST_WEIGHT = 6.0        # cost of a list entry (a share of a verification) agai
 MAX_SMALL = 16
 POSTINGS_A_BUCKET = 400_000
 LONG_LIST = 1_000        # classes of a list that one row may hold
-MAX_SENT = 4_000_000     # class numbers sent to all tasks (32 MB); more are joined instead
+WANTED_BITS = 1 << 26    # of the bitmap by which tasks know the classes to verify (8 MB)
 MEMBERS_A_TASK = 2_000   # members of one leader that are verified together
 
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -264,26 +264,26 @@ def _lists_of_bucket(rows: pa.Table) -> pa.Table:
 
 
 # ------------------------------------------------------------ verification
-def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, set) of the wanted classes, from the documents (copies may give a class several rows)."""
-    known = wanted.count() <= MAX_SENT
-    sent = docs.sparkSession.sparkContext.broadcast(
-        np.sort(np.array(wanted.toArrow().column("class").to_numpy(), np.int64)) if known else None)
+def class_sets(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, object]:
+    """((class, set) of the wanted classes and some others, the broadcast in use); copies may give a class several rows.
+
+    Tasks know the wanted classes by a bitmap of fixed size; what it lets through by chance finds no partner later.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("class"), WANTED_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = sent.value
         for _, sets in _blocks(batches):
             out = {}
             for s in sets:
                 c = class_of(s)
                 if c and c not in out:
-                    if want is None or len(want) and want[min(np.searchsorted(want, c), len(want) - 1)] == c:
-                        out[c] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())],
+                    out[c] = s
+            found = np.array(list(out), np.int64)
+            kept = in_bitmap(sent.value, found.view(np.uint64)) if len(found) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(found[kept]), pa.array([out[c].tobytes() for c in found[kept].tolist()], pa.binary())],
                                              names=["class", "set"])
 
-    sets = map_arrow(docs, run, "class bigint, set binary")
-    return sets if known else sets.join(wanted, "class", "left_semi")
+    return map_arrow(docs, run, "class bigint, set binary"), sent
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,9 +354,10 @@ def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                  F.struct(F.col("heavy") / F.col("n"), "n", "class")).alias("l"), F.count(F.lit(1)).alias("k"))
         .filter("k > 1").select("shingle", "hot", "l.*"))
     star = (in_lists.join(leaders, ["shingle", "hot"]).filter(_can_link("n", "ln", "heavy", "lh"))
-            .filter(F.col("class") != F.col("lead")).select("lead", "class").distinct())
+            .filter(F.col("class") != F.col("lead")).select("lead", "class", "n", "ln", "heavy", "lh").distinct())
     star = written(star, "jaccard-star")
-    linked = written(_links_of(rows, star).unionByName(_small_links(rows, boundary)), "jaccard-links")
+    linked = written(_links_of(rows, _with_shared(star, in_lists)).unionByName(_small_links(rows, boundary)), "jaccard-links")
+    heavy.destroy()
     found = written(connected_components(linked), "jaccard-components")
 
     # lists that still hold several components: pairs between these
@@ -387,6 +388,17 @@ def _can_link(n: str, m: str, n_heavy: str, m_heavy: str):
     return 175 * o >= 75 * (F.col(n) + F.col(m))
 
 
+def _with_shared(pairs: DataFrame, in_lists: DataFrame) -> DataFrame:
+    """The pairs whose shared rare shingles allow a link, counted in the lists that hold both: whole sets travel for these
+    only. A list's row stands for all shingles with the same members (``weight``)."""
+    rare = in_lists.filter(~F.col("hot"))
+    shared = (pairs.select("lead", "class").join(rare.select("class", "shingle", "weight"), "class")
+              .join(rare.select(F.col("class").alias("lead"), "shingle"), ["lead", "shingle"])
+              .groupBy("lead", "class").agg(F.sum("weight").alias("shared")))
+    return (pairs.join(shared, ["lead", "class"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+            .filter(_enough_shared()).select("lead", "class"))
+
+
 def _enough_shared():
     """Whether a pair that shares ``shared`` rare shingles within both prefixes can reach the threshold.
 
@@ -405,9 +417,12 @@ def _enough_shared():
 
 
 def _links_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    wanted = pairs.select(F.col("lead").alias("class")).unionByName(pairs.select("class")).distinct()
-    wanted = written(wanted, "jaccard-wanted")
-    return verified(pairs, class_sets(rows, wanted))
+    pairs = written(pairs, "jaccard-candidates")
+    wanted = pairs.select(F.col("lead").alias("class")).unionByName(pairs.select("class"))
+    sets, sent = class_sets(rows, wanted)
+    found = written(verified(pairs, sets), "jaccard-verified")
+    sent.destroy()
+    return found
 
 
 def _small_links(rows: DataFrame, boundary: int) -> DataFrame:
