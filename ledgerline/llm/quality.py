@@ -15,13 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import id_and_text, map_arrow, slices, texts_of
+from ledgerline.llm.common import give_back, id_and_text, map_arrow, slices, texts_of
 from ledgerline.llm.features import BITS, BUCKETS, SAMPLE_ROWS, fold, gram_features, labelled_sample
 
 THRESHOLD = 0.3
@@ -87,6 +88,17 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
     return w, bias
 
 
+class Scaled:
+    """Each row's log-count ratios, scaled to length 1; made when asked for, so that the sample is held as buckets only."""
+
+    def __init__(self, rows: list[np.ndarray], ratio: np.ndarray):
+        self.rows, self.ratio = rows, ratio
+        self.length = [np.sqrt(v @ v) or 1.0 for v in map(ratio.__getitem__, rows)]
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.ratio[self.rows[i]] / self.length[i]
+
+
 def logistic_curve(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Slope and offset of P(1 | margin), by Newton steps on smoothed targets."""
     pos = (y == 1).sum()
@@ -110,10 +122,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS) -> Model:
         share = float(np.mean(y)) if len(y) else 0.5
         return Model(zero, zero, 0.0, 1.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     ratio = log_count_ratios(rows, y, buckets)
-    values = []
-    for r in rows:
-        v = ratio[r]
-        values.append(v / (np.sqrt(v @ v) or 1.0))
+    values = Scaled(rows, ratio)
     w, bias = dual_coordinate_descent(rows, values, y, buckets)
     margin = np.array([w[r] @ v + bias for r, v in zip(rows, values)])
     return Model(w * ratio, ratio, bias, *logistic_curve(margin, y))
@@ -130,12 +139,14 @@ def sample_features(sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     got = map_arrow(sample, run, "f binary, y int").toArrow()
     rows = [np.frombuffer(x, np.int32) for x in got.column("f").to_pylist()]
     y = np.array(got.column("y").to_pylist(), np.int64)
-    order = sorted(range(len(y)), key=lambda i: (rows[i].tobytes(), y[i]))  # the order of tasks doesn't matter
+    order = sorted(range(len(y)), key=lambda i: (sha256(rows[i]).digest(), y[i]))  # the order of tasks doesn't matter
     return [rows[i] for i in order], y[order]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
-    return fit(*sample_features(labelled_sample(docs, labels, label, rows)))
+    model = fit(*sample_features(labelled_sample(docs, labels, label, rows)))
+    give_back()
+    return model
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
