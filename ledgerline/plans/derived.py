@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions import dates as D
 from ledgerline.functions.numeric import dround, exact_sum
 from ledgerline.operators.windows import cumprod_index, period_end_downsample, rebase_to_first
 from ledgerline.plans.adhoc import SECONDS, answer, check_statement

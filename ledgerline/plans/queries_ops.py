@@ -21,7 +21,7 @@ from ledgerline.plans import queries_more as QM
 from ledgerline.plans.queries_more import REBASE_MONTH
 from ledgerline.plans.queries_serving import ACCOUNT_A, AS_OF, MONTH_RETURN, SERIES_FROM
 from ledgerline.plans.returns import ratio
-from ledgerline.plans.star import (BUY_SIDE, FUND, INFLOW_TYPES, OPEN_UNITS, SELL_SIDE, SHOWN_UNITS, money,
+from ledgerline.plans.star import (BUY_SIDE, FUND, INFLOW_TYPES, OPEN_UNITS, SHOWN_UNITS, money,
                                    signed_units)
 from ledgerline.plans.queries_ingest import _scan
 from ledgerline.sources import broker_csv as B
