@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import map_arrow, slices, texts_of, written
+from ledgerline.llm.common import bitmap, in_bitmap, map_arrow, slices, texts_of, written
 from ledgerline.operators.sizing import broadcast_if_small
 
 MIN_COUNT = 10
@@ -184,48 +184,52 @@ def blocks(texts: list[bytes], overlap: int, size: int = BLOCK) -> Iterator[list
         group, n = [], 0
 
 
+class Numbers(dict):
+    """Word -> number; a word that isn't there yet gets its number from ``learn``."""
+
+    def __init__(self, learn):
+        super().__init__({b"": -2, b"\n": -1})                    # nothing between blanks; the end of a piece
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = self.learn(word)
+        return number
+
+
 class Language:
     """Words of one language numbered by a task, and the trie over them."""
 
     def __init__(self, name: str, words: int, allowed: np.ndarray | None, burst: int):
         self.name, self.words, self.allowed, self.seen = name.encode(), words, allowed, 0
         self.trie = HatTrie(words, burst)
-        self.number: dict[bytes, int] = {}
         self.texts: list[bytes] = []
         self.hashes: list[int] = []
         self.forget()
 
-    def learn(self, words: set[bytes]) -> None:
-        for w in words:
-            if self.allowed is None:
-                self.number[w] = len(self.texts)
-                self.texts.append(w)
-                continue
-            h = xxhash.xxh64_intdigest(self.name + b"\0" + w, seed=42)
-            if _has(self.allowed, h):
-                self.number[w] = len(self.texts)
-                self.texts.append(w)
-                self.hashes.append(h)
-            else:
-                self.number[w] = -1                                # no counted phrase holds it
+    def learn(self, word: bytes) -> int:
+        """The number of a new word; -1 if no counted phrase holds it."""
+        if self.allowed is not None:
+            h = xxhash.xxh64_intdigest(self.name + b"\0" + word, seed=42)
+            if not self.allowed[(h % (len(self.allowed) * 8)) >> 3] >> (h & 7) & 1:
+                return -1
+            self.hashes.append(h)
+        self.texts.append(word)
+        return len(self.texts) - 1
 
     def forget(self) -> None:
         """Begin numbering again, with an empty trie."""
         self.trie = HatTrie(self.words, self.trie.burst)
-        self.number = {b"": -2, b"\n": -1}                         # nothing between blanks; the end of a piece
+        self.number = Numbers(self.learn)
         self.texts, self.hashes = [], []
 
     def count(self, texts: list[bytes], pairs: np.ndarray | None) -> Iterator[Iterator[Run]]:
         """Count the phrases of some texts. Yields a run of all it holds whenever no numbers are left for new words."""
         for words in blocks(texts, self.words - 1):
-            missing = set(words) - self.number.keys()
-            if len(self.texts) + len(missing) > WORD_MASK:
+            room = WORD_MASK - len(self.texts)
+            if len(words) > room and sum(w not in self.number for w in set(words)) > room:
                 yield self.trie.run()
                 self.forget()
-                missing = set(words) - self.number.keys()
-            self.learn(missing)
-            ids = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-            self._count(ids, pairs)
+            self._count(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)), pairs)
 
     def _count(self, ids: np.ndarray, pairs: np.ndarray | None) -> None:
         if self.words == 1:
@@ -241,7 +245,7 @@ class Language:
             if not self.hashes or len(ids) < 3:
                 return
             own = np.array(self.hashes, np.uint64)[np.maximum(ids, 0)]
-            whole = whole & _has(pairs, phrase_hash([own[:-1], own[1:]]))
+            whole = whole & in_bitmap(pairs, phrase_hash([own[:-1], own[1:]]))
             whole = whole[:-1] & whole[1:]
             keys = (keys[:-1] << WORD_BITS) | ids[2:]
         self.trie.count(keys[whole])
@@ -277,15 +281,6 @@ class Language:
             names=["lang", "phrase", "part", "n"])
 
 
-def _has(bits: np.ndarray, h):
-    """Whether the bitmap holds hashes (an integer, or an array of 64-bit ones)."""
-    size = len(bits) * 8
-    if isinstance(h, int):
-        return bool(bits[(h % size) >> 3] >> (h & 7) & 1)
-    at = h % np.uint64(size)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
 RUNS = "lang string, phrase string, part int, n bigint"
 
 
@@ -345,15 +340,7 @@ def _hash_column(words: int):
 
 def filter_bits(counts: DataFrame, words: int, bits: int = FILTER_BITS) -> bytes:
     """The bitmap of the phrases' hashes: ``bits`` bits (a power of two, 2^15 at least), however many phrases there are."""
-    # the bitmap functions count positions from 1, in buckets of 2^15 numbered from 1
-    at = _hash_column(words).bitwiseAND(F.lit(bits - 1)) + 1
-    rows = (counts.select(at.alias("at"))
-            .groupBy(F.bitmap_bucket_number("at").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("part")).collect())   # at most bits / 2^15
-    out = np.zeros(max(bits // 8, 4096), np.uint8)
-    for r in rows:
-        out[(r["bucket"] - 1) * 4096:r["bucket"] * 4096] = np.frombuffer(bytes(r["part"]), np.uint8)
-    return out.tobytes()
+    return bitmap(counts.select(_hash_column(words).alias("hash")), bits).tobytes()
 
 
 # --------------------------------------------------------------------- steps
@@ -438,18 +425,18 @@ WITH pieces AS (
 ), grams AS (
   SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
   FROM lists, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(ws) >= k
-), f AS (
+), f AS MATERIALIZED (
   SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL
 ), totals AS (
   SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY 1
 ), c AS (
   SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= {min_count}
-), cuts AS (
-  SELECT c.lang, c.k, c.phrase, c.a, cut, x.n AS l, y.n AS r,
-         (({SCALE}::HUGEINT * c.a * c.a) // (x.n::HUGEINT * y.n))::BIGINT AS score
+), parts AS MATERIALIZED (
+  SELECT lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail
   FROM c JOIN (VALUES (1), (2)) AS places(cut) ON cut < c.k
-  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ')
-  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')
+), cuts AS (
+  SELECT p.lang, p.k, p.phrase, a, cut, x.n AS l, y.n AS r, (({SCALE}::HUGEINT * a * a) // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.head JOIN f y ON y.lang = p.lang AND y.phrase = p.tail
 ), best AS (
   SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
 ), inside AS (
