@@ -237,7 +237,7 @@ class WordCodec:
         words = [m.group() for m in found]
         if len(self.placed) > self.limit:
             self.placed = {}
-        new = list(set(words) - self.placed.keys())
+        new = list(filterfalse(self.placed.__contains__, set(words)))
         if new:
             enc = self.tok.encode(" ".join(new), add_special_tokens=False)
             places = np.fromiter(chain.from_iterable(enc.offsets), np.int32, 2 * len(enc.ids)).reshape(-1, 2)
