@@ -7,7 +7,8 @@
    else, around line feeds if no piece holds one) and the units are encoded by the model without its own normaliser.
    Merges never cross such a cut, so the units' ids in order are the ids of the whole text. Each worker remembers
    units it has met (a bounded memory; a forgotten unit is encoded again).
-3. Every piece knows how many normalised bytes it covers; running sums give its normalised span, and the recorded
+3. The ids of the whole text, the end id included, are decoded by the library.
+4. Every piece knows how many normalised bytes it covers; running sums give its normalised span, and the recorded
    places project that to a span of bytes of the original text. Of the byte pieces of one character only the last has
    a span, as in the library; the end id has an empty span at the end.
 
@@ -142,8 +143,9 @@ class Normalizer:
 
 
 # ----------------------------------------------------------------- encoding
-# Encoding of a unit: ids in decimal, and the normalised bytes that each covers as little-endian 32-bit integers.
-Unit = tuple[bytes, bytes]
+# Encoding of a unit: ids in decimal, the ids themselves and the normalised bytes that each covers, both as little-endian
+# 32-bit integers.
+Unit = tuple[bytes, bytes, bytes]
 
 
 class PieceCodec:
@@ -165,7 +167,6 @@ class PieceCodec:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         spec = proto.normalizer_spec
         self.normalise = Normalizer(spec)
-        self.strip, self.squeezed = spec.add_dummy_prefix, spec.remove_extra_whitespaces
         self.end = self.library.eos_id()
         # the model without its normaliser: it gets text that is normalised already
         spec.Clear()
@@ -195,7 +196,8 @@ class PieceCodec:
 
     def _encoded(self, units: list[str]) -> Iterator[Unit]:
         lists = self.model.encode(units, num_threads=1)
-        flat = np.fromiter(chain.from_iterable(lists), np.int32)
+        flat = np.fromiter(chain.from_iterable(lists), "<i4")
+        numbers = flat.tobytes()
         widths, at = self.covers[flat], 0
         digits = self.digits.__getitem__
         odd = np.zeros(len(flat) + 1, np.int64)
@@ -204,7 +206,7 @@ class PieceCodec:
         for unit, ids in zip(units, lists):
             end = at + len(ids)
             own = raw[4 * at:4 * end] if odd[at] == odd[end] else self._widths(unit, ids).tobytes()
-            yield b" ".join(map(digits, ids)), own
+            yield b" ".join(map(digits, ids)), numbers[4 * at:4 * end], own
             at = end
 
     def _widths(self, unit: str, ids: list[int]) -> np.ndarray:
@@ -255,7 +257,7 @@ class PieceCodec:
             cut = [self.units(norm.decode(errors="replace")) for norm, _ in pairs]
             known = self.lookup(cut).__getitem__
             for units, (norm, places) in zip(cut, pairs):
-                shown, widths = zip(*map(known, units)) if units else ((), ())
+                shown, numbers, widths = zip(*map(known, units)) if units else ((), (), ())
                 ends = np.cumsum(np.frombuffer(b"".join(widths), "<i4"), dtype=np.int64)
                 spans = np.empty((len(ends) + 1, 2), "<i4")
                 spans[:-1, 1] = places[ends]
@@ -263,15 +265,11 @@ class PieceCodec:
                 spans[:1, 0] = places[0]
                 spans[-1] = places[-1]                             # the end id stands behind the text
                 ids = b" ".join([*shown, self.digits[self.end]])
-                yield ids, spans, self._decoded(norm) if self.bytes and not self.squeezed else self.decode(ids.split()).encode()
+                yield ids, spans, self.decode([*np.frombuffer(b"".join(numbers), "<i4").tolist(), self.end]).encode()
 
-    def _decoded(self, norm: bytes) -> bytes:
-        """Decoded text of ids that spell all of a normalised text: blanks restored, without the one put in front."""
-        text = norm.replace(BLANK_BYTES, b" ")
-        return text[1:] if self.strip and text.startswith(b" ") else text
-
-    def decode(self, ids: list) -> str:
-        return self.library.decode(list(map(int, ids)))
+    def decode(self, ids: list[int]) -> str:
+        """The library's decoding of the ids themselves; nothing of the text that they were made from goes in."""
+        return self.library.decode(ids)
 
 
 _CODECS: dict[str, PieceCodec] = {}
@@ -331,7 +329,7 @@ def decode_ids(frame: DataFrame, path: str, ids: str = "ids", text: str = "decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for b in batches:
-            out = [own.decode(x or []) for x in b.column(ids).to_pylist()]
+            out = [own.decode([int(i) for i in x or []]) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, text])
 
     return map_arrow(frame, run, T.StructType([*frame.schema, T.StructField(text, T.StringType())]))

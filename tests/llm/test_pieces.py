@@ -87,3 +87,11 @@ def test_other_models_are_refused():
     m.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
     with pytest.raises(ValueError):
         pieces.PieceCodec(m.SerializeToString())
+
+
+def test_texts_are_decoded_from_their_ids():
+    own, asked = pieces.PieceCodec(PATH), []
+    own.decode = lambda ids: asked.append(list(ids)) or "decoded"
+    out = list(own.encode(["a b  c é".encode(), b""]))
+    assert [" ".join(map(str, ids)) for ids in asked] == [ids.decode() for ids, _, _ in out]
+    assert [decoded for _, _, decoded in out] == [b"decoded"] * 2
