@@ -22,6 +22,8 @@ HOLDINGS, VALUES, SNAPSHOT = "fct_holdings_daily", "mart_portfolio_value_daily",
 # Mart -> (column that tells the month, column to sort by).
 MARTS = {HOLDINGS: ("date", "account_key"), VALUES: ("valuation_date", "account_name"), SNAPSHOT: ("year_month", "account_name")}
 MONTH = "_month"
+UNREAD = ("transaction_id", "transaction_reference", "transaction_full_description", "transaction_type_key", "trade_date_key",
+          "settle_date_key", "settle_date", "transaction_subtype")       # of the fact, by these marts
 DATED = {"transactions": "trade_date", "prices": "date"}       # landed sources and their dates
 
 
@@ -82,7 +84,7 @@ class MartStore:
         marts = {name: {"columns": None, "months": {m: v for m, v in (before["marts"][name]["months"] if before else {}).items()
                                                     if m < f"{start:%Y-%m}"}} for name in MARTS}
         if f"{start}" <= p.horizon:
-            p.materialise_core()
+            p.materialise_core(landed=[n for n, t in landing.tables.items() if t.committed()], without=UNREAD)
             for name, rows in (self._rows(p, n, start) for n in MARTS):
                 columns, months = self._write(name, rows, version)
                 marts[name]["columns"] = columns

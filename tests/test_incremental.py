@@ -70,3 +70,24 @@ def test_changes_read_new_batches_only(spark, tmp_path):
     landing.land("prices", day(3))
     assert landing.changes({}) == (dt.date(2000, 1, 3), {"transactions": -1, "prices": 1})
     assert landing.changes({"prices": 0})[0] == dt.date(2000, 1, 3) and landing.changes({"prices": 1})[0] is None
+
+
+def test_landed_sources_are_not_copied_and_large_models_are_not_sorted(spark, monkeypatch):
+    from ledgerline.plans.portfolio import CORE_MODELS
+    assert dict(CORE_MODELS)["fct_transactions_wide"] == []
+    raw, written = load_raw(spark, SMOKE_DIR), {}
+    p = Portfolio(spark, raw, as_of="2001-06-10", **CALENDAR)
+    monkeypatch.setattr(p, "_write_read", lambda df, name, sort_by: written.setdefault(name, df))
+    p.materialise_core(landed=["transactions", "prices"], without=["transaction_id"])
+    assert "raw_transactions" not in written and "raw_prices" not in written and "raw_accounts" in written
+    assert "transaction_id" not in written["fct_transactions_wide"].columns
+
+
+def test_month_end_values_by_account_move_only_the_sparse_steps(spark):
+    p = Portfolio(spark, load_raw(spark, SMOKE_DIR, "customer"), as_of="2001-06-10", **CALENDAR).materialise_core()
+    plan = p._account_month_ends()._jdf.queryExecution().executedPlan().toString()
+    dense = plan[:plan.index("Generate explode")]
+    assert "SortMergeJoin" not in dense and "BroadcastHashJoin" in dense
+    whole = p.holdings_month_end.groupBy("account_name", "date").agg({"value_gbp": "sum"})
+    near = lambda df: {(r[0], r[1]): round(r[2], 4) for r in df.collect()}
+    assert near(p._account_month_ends()) == near(whole)
