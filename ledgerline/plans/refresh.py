@@ -15,6 +15,9 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.plans.portfolio import PortfolioOnRead
+from ledgerline.sources.writers import SCRATCH_CODEC, shuffles_removed
+
 # Mart tables of one refresh: name -> (Portfolio attribute, partition column or None, sort columns).
 MART_TABLES = {
     "fct_holdings_daily": ("holdings_daily", "year_month", ["account_key", "date"]),
@@ -39,6 +42,8 @@ def refresh_tables(portfolio) -> dict[str, DataFrame]:
     p = portfolio if portfolio.materialised else portfolio.materialise_core()
     if hasattr(p, "_marts"):
         return p._marts
+    if isinstance(p, PortfolioOnRead):       # the star first, as a whole: its tables are written concurrently
+        p.materialise_core()
 
     def write(name: str) -> DataFrame:
         attr, part, sort_by = MART_TABLES[name]
@@ -49,7 +54,7 @@ def refresh_tables(portfolio) -> dict[str, DataFrame]:
         path = f"{p._table_root()}/marts/{name}"
         # range-partition on (month, entity): balanced tasks, each spanning few month folders
         out = df.repartitionByRange(part, sort_by[0]) if part else df
-        writer = out.sortWithinPartitions(*sort_by).write.mode("overwrite")
+        writer = out.sortWithinPartitions(*sort_by).write.mode("overwrite").option("compression", SCRATCH_CODEC)
         (writer.partitionBy(part) if part else writer).parquet(path)
         return p.spark.read.parquet(path).select(*columns)
 
@@ -60,7 +65,7 @@ def refresh_tables(portfolio) -> dict[str, DataFrame]:
         if group:
             sc.setJobGroup(group, group)
         return name, write(name)
-    with ThreadPoolExecutor(max_workers=4) as pool:
+    with shuffles_removed(p.spark), ThreadPoolExecutor(max_workers=4) as pool:
         p._marts = dict(pool.map(run, MART_TABLES))
     for name, (attr, _, _) in MART_TABLES.items():      # reports built from now on read the tables
         p.__dict__[attr] = p._marts[name]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.sources import broker_csv as B
 from ledgerline.sources.commits import BatchTable, read_committed
-from ledgerline.sources.writers import append_audit, audit_row, dedupe_first, scratch_path, write_observed
+from ledgerline.sources.writers import append_audit, audit_row, dedupe_first, drop_scratch, scratch_path, write_observed, write_scratch
 
 PARTITION_COL = "trade_month"
 # Deterministic winner among rows with the same content id: smallest (ascending, nulls first).
@@ -77,23 +77,25 @@ def stage_batch(batch: DataFrame, epoch_id: int, table: BatchTable, report: str,
     spark = batch.sparkSession
     lines = batch.select(B.cp1252_text(F.col("value")).alias("line"), "source_file",
                          F.struct("block", F.monotonically_increasing_id().alias("row")).alias("pos"))
-    parsed, seen = write_observed(B.parse_broker_rows(B.named_records(lines)), scratch_path(spark, "parsed-batch"),
-                                  processed=F.count(F.lit(1)))
-    rows, rejects = B.ingest_parsed(parsed, funds, accounts)
+    scratch = scratch_path(spark, "parsed-batch")
+    matched, seen = write_observed(B.match_parsed(B.parse_broker_rows(B.named_records(lines)), funds, accounts), scratch,
+                                   processed=F.count(F.lit(1)))
+    rows, rejects = B.ingest_matched(matched)
     new = dedupe_first(rows, ["id"], TX_ORDER).withColumn(PARTITION_COL, F.date_format("trade_date", "yyyy-MM"))
     held = table.read(before=epoch_id)
     if held is not None:
         # The id hashes the trade date, so a duplicate can only sit in the same trade month:
         # read just the target partitions this batch touches (a list bounded by the calendar).
-        months = [r[0] for r in parsed.select(F.date_format("trade_date", "yyyy-MM")).distinct().collect()]
+        months = [r[0] for r in matched.select(F.date_format("trade_date", "yyyy-MM")).distinct().collect()]
         new = new.join(held.filter(F.col(PARTITION_COL).isin(months)).select("id"), "id", "left_anti")
     # few files per month, and a month with many rows is split
     written, got = write_observed(new.hint("rebalance", PARTITION_COL), table.folder(epoch_id), partition_by=[PARTITION_COL],
                                   inserted=F.count(F.lit(1)))
-    rejects.write.mode("overwrite").parquet(f"{report}/rejects/batch={epoch_id}")
+    write_scratch(rejects, f"{report}/rejects/batch={epoch_id}")
     rejects = spark.read.schema(rejects.schema).parquet(f"{report}/rejects/batch={epoch_id}")
     counts = B.ingest_counts(rows, written, "source_file", rejects)
-    counts.write.mode("overwrite").parquet(f"{report}/counts/batch={epoch_id}")
+    write_scratch(counts, f"{report}/counts/batch={epoch_id}")
+    drop_scratch(spark, scratch)                   # everything that was made of it is written
     return {"rows": got["inserted"], "processed": seen["processed"]}
 
 
